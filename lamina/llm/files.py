@@ -26,7 +26,10 @@ def open_store(uri: str):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What one task wrote: its place in the order, and its file's figures."""
+    """What one task wrote: its place in the order, and its file's figures.
+
+    A task without rows writes no file and has no name.
+    """
 
     partition: int
     name: str
@@ -44,7 +47,7 @@ def commit(uri: str, messages: list[Written | None], header: dict) -> None:
     The manifest has as many entries as the job had tasks, whatever the rows.
     """
     entries, base = [], {}
-    for m in sorted((m for m in messages if m is not None), key=lambda m: m.partition):
+    for m in sorted((m for m in messages if m is not None and m.name), key=lambda m: m.partition):
         entries.append({"name": m.name} | m.figures | {f"{k}_before": base.get(k, 0) for k in m.figures})
         base = {k: base.get(k, 0) + v for k, v in m.figures.items()}
     store, path = open_store(uri)
@@ -56,7 +59,7 @@ def commit(uri: str, messages: list[Written | None], header: dict) -> None:
 def abort(uri: str, messages: list[Written | None]) -> None:
     store, path = open_store(uri)
     for m in messages:
-        if m is not None:
+        if m is not None and m.name:
             for end in (".data", ".index"):
                 try:
                     store.delete_file(f"{path}/{m.name}{end}")

@@ -81,7 +81,7 @@ class _ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, uri: str):
         self.uri = uri
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> files.Written | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> files.Written:
         part, name = files.new_name()
         store, path = files.open_store(self.uri)
         at, members, out, index = 0, 0, None, None
@@ -100,7 +100,7 @@ class _ArchiveWriter(DataSourceArrowWriter):
                 at += len(head) + len(png) + -len(png) % 512
                 members += 1
         if out is None:
-            return None
+            return files.Written(part, "", {})
         out.write(bytes(1024))
         out.close()
         index.close()
@@ -129,7 +129,8 @@ class _ArchiveReader(DataSourceReader):
         self.batch = int(options.get("batchBytes", 4 << 20))
 
     def partitions(self) -> list[ByteRange]:
-        return [ByteRange(f["name"], s, s + self.split) for f in files.manifest(self.uri)["files"] for s in range(0, f["bytes"], self.split)]
+        found = [ByteRange(f["name"], s, s + self.split) for f in files.manifest(self.uri)["files"] for s in range(0, f["bytes"], self.split)]
+        return found or [ByteRange("", 0, 0)]  # Spark wants one partition at least
 
     def _member(self, store, path: str, at: int, size: int) -> tuple[str, bytes]:
         """Name and checked bytes of the member at this offset, tried anew alone."""
@@ -152,6 +153,8 @@ class _ArchiveReader(DataSourceReader):
         return head.name, png
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        if not partition.name:
+            return
         store, path = files.open_store(self.uri)
         with store.open_input_stream(f"{path}/{partition.name}.index", compression=None) as f:
             index = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
