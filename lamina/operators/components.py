@@ -1,7 +1,7 @@
 """Connected components of an edge table, by contraction.
 
-Each round every vertex hooks onto its least neighbour, two pointer jumps
-shorten the chains, and the edges are rewritten between the roots.  Edges inside
+Each round every vertex hooks onto its least neighbour, a pointer jump shortens
+the chains, and the edges are rewritten between the roots.  Edges inside
 a root vanish, so a round works on what is left.  Vertices are aggregated with
 map-side partial results and joined by shuffles that AQE may split; no vertex's
 edges are gathered in one row, however many it has.
@@ -25,23 +25,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     k = list(keys)
     ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(*k, F.col(src).alias("src"), F.col(dst).alias("dst"))
     todo = cut(ends.select(*k, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    done: DataFrame | None = None
-    while True:
+    hooks: list[DataFrame] = []
+    while not hooks or not todo.isEmpty():
         both = todo.select(*k, F.col("dst").alias("id"), F.col("src").alias("to")).union(todo.select(*k, F.col("src").alias("id"), F.col("dst").alias("to")))
         hook = both.groupBy(*k, "id").agg(F.min("to").alias("to")).select(*k, "id", F.least("id", "to").alias("root"))
-        hook = cut(hook)
-        for _ in range(2):
-            up = hook.select(*k, F.col("id").alias("root"), F.col("root").alias("up"))
-            hook = hook.join(up, [*k, "root"], "left").select(*k, "id", F.coalesce("up", "root").alias("root"))
-        hook = cut(hook)
-        if done is None:
-            done = hook.withColumnRenamed("root", "component")
-        else:
-            up = hook.select(*k, F.col("id").alias("component"), F.col("root").alias("up"))
-            done = cut(done.join(up, [*k, "component"], "left").select(*k, "id", F.coalesce("up", "component").alias("component")))
+        up = hook.select(*k, F.col("id").alias("root"), F.col("root").alias("up"))
+        hook = cut(hook.join(up, [*k, "root"], "left").select(*k, "id", F.coalesce("up", "root").alias("root")))
+        hooks.append(hook)
         a = hook.select(*k, F.col("id").alias("src"), F.col("root").alias("a"))
         b = hook.select(*k, F.col("id").alias("dst"), F.col("root").alias("b"))
         moved = todo.join(a, [*k, "src"]).join(b, [*k, "dst"]).where("a <> b")
         todo = cut(moved.select(*k, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-        if todo.isEmpty():
-            return done
+    done = hooks[0].withColumnRenamed("root", "component")
+    for hook in hooks[1:]:
+        up = hook.select(*k, F.col("id").alias("component"), F.col("root").alias("up"))
+        done = done.join(up, [*k, "component"], "left").select(*k, "id", F.coalesce("up", "component").alias("component"))
+    return cut(done)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +22,32 @@ def build_session(app: str = "lamina", master: str | None = None, **conf: str) -
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; a folder of our own if unset."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lamina-checkpoint-"))
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only if unset."""
+    context = spark.sparkContext
+    set_to = context._jsc.sc().getCheckpointDir()
+    if set_to.isDefined():
+        return context.getConf().get("spark.checkpoint.dir") or set_to.get()
+    named = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lamina-checkpoint-")
+    context.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and forget how it was made."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and forget how it was made.
+
+    One job, unlike an eager checkpoint, and compressed; survives lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/lamina-cut-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have ended before
+        pass
