@@ -1,6 +1,595 @@
-"""All registered queries and the SQL that says the same."""
+"""All registered queries over the demo volumes, and the SQL that says the same.
+
+Floating results are rounded to six places: engines differ in the last bits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.functions import scalar
+from lamina.operators import graph, grid, losses, masking, metrics, stencil, sweep
+from lamina.sources.voxels import VOX_SQL, demo_voxels, synthetic_volume
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, volume: bool = True):
+    """Register a function of the voxels (or of the session and folder).
+
+    ``sql`` follows the volume's view; ``{r:expr}`` stands for a rounded double.
+    """
+
+    def register(f):
+        name = f.__name__.lstrip("_")
+        QUERIES[name] = (lambda spark, sf_dir: f(demo_voxels(spark, sf_dir))) if volume else f
+        if sql is not None:
+            ORACLE_SQL[name] = VOX_SQL + (", " if sql.lstrip().startswith(("w as", "t as", "e as", "s as", "p as")) else " ") + sql if volume else sql
+        return f
+
+    return register
+
+
+def r6(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns named, as doubles rounded to six places."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in cols})
+
+
+def logits(vox: DataFrame) -> DataFrame:
+    return vox.withColumns({f"l{a}": 8 * (F.col(f"a{a}") - 0.5) for a in "zyx"})
+
+
+K = ["sample", "z", "y", "x"]
+_LINES = {"z": "y, x", "y": "z, x", "x": "z, y"}
+
+
+def _back(axis: str, col: str, table_cols: str = "sample") -> str:
+    """SQL for the value one step back on an axis."""
+    w = f"over (partition by sample, {_LINES[axis]} order by {axis})"
+    return f"(case when lag({axis}) {w} = {axis} - 1 then lag({col}) {w} end)"
+
+
+def _forth(axis: str, col: str) -> str:
+    w = f"over (partition by sample, {_LINES[axis]} order by {axis})"
+    return f"(case when lead({axis}) {w} = {axis} + 1 then lead({col}) {w} end)"
+
+
+# ---- metrics -------------------------------------------------------------
+
+_METRICS = """
+t as (select sample, {truth} gt, pred, count(*) n from {src} where {truth} <> 0 group by all),
+s as (select sample, cast(sum(n) as double) total from t group by 1),
+bp as (select sample, sum(n) n from t group by sample, pred), bg as (select sample, sum(n) n from t group by sample, gt),
+j as (select t.sample, sum(cast(n as double) * (n - 1) / 2) pr, sum(-(n / total) * log2(n / total)) h, any_value(total) total from t join s using (sample) group by 1),
+mp as (select bp.sample, sum(cast(n as double) * (n - 1) / 2) pr, sum(-(n / total) * log2(n / total)) h, count(*) c from bp join s using (sample) group by 1),
+mg as (select bg.sample, sum(cast(n as double) * (n - 1) / 2) pr, sum(-(n / total) * log2(n / total)) h, count(*) c from bg join s using (sample) group by 1),
+m as (select j.sample, coalesce(j.pr / nullif(mp.pr, 0), 0) p, coalesce(j.pr / nullif(mg.pr, 0), 0) r, greatest(j.h - mg.h, 0) sp, greatest(j.h - mp.h, 0) me, mp.c np, mg.c ng, total
+  from j join mp using (sample) join mg using (sample))
+select sample, round(1 - 2 * p * r / (p + r), 6) adapted_rand_error, round(2 * p * r / (p + r), 6) rand_fscore, round(p, 6) rand_precision, round(r, 6) rand_recall,
+  round(sp, 6) voi_split, round(me, 6) voi_merge, round(sp + me, 6) voi_sum, cast(np as bigint) n_pred, cast(ng as bigint) n_gt, cast(total as bigint) n_voxels from m
+"""
+_SCORES = ["adapted_rand_error", "rand_fscore", "rand_precision", "rand_recall", "voi_split", "voi_merge", "voi_sum"]
+
+
+@query(_METRICS.format(truth="label", src="vox"))
+def segmentation_metrics(vox):
+    return r6(metrics.segmentation_metrics(vox), *_SCORES)
+
+
+@query("select sample, pred, label as gt, count(*) n from vox where label <> 0 group by all")
+def contingency(vox):
+    return metrics.contingency(vox)
+
+
+_IGNORED = f"""e as (select *, greatest(
+    cast(coalesce({_back("y", "label")} <> label, false) as int), cast(coalesce({_back("x", "label")} <> label, false) as int),
+    cast(coalesce({_forth("y", "label")} <> label, false) as int), cast(coalesce({_forth("x", "label")} <> label, false) as int)) edge from vox),
+e1 as (select *, max(edge) over (partition by sample, z, x order by y range between 1 preceding and 1 following) ey from e),
+e2 as (select *, max(ey) over (partition by sample, z, y order by x range between 1 preceding and 1 following) near from e1),
+masked as (select *, case when near = 1 then 0 else label end masked from e2)"""
+
+
+@query(_IGNORED + " select sample, z, y, x, cast(masked as bigint) masked from masked")
+def boundary_ignore(vox):
+    return stencil.boundary_ignore(vox).select(*K, F.col("masked").cast("bigint"))
+
+
+@query(_IGNORED + ", " + _METRICS.strip().format(truth="masked", src="masked"))
+def boundary_ignore_metrics(vox):
+    return r6(metrics.segmentation_metrics(stencil.boundary_ignore(vox), truth="masked"), *_SCORES)
+
+
+_SEAM = "(({a} - {a} % {c} > 0 and {a} % {c} < 2) or ({a} - {a} % {c} + {c} < d{a} and {c} - {a} % {c} <= 2))"
+_SEAMS = " or ".join(f"(d{a} > {c} and {_SEAM.format(a=a, c=c)})" for a, c in (("z", 8), ("y", 10), ("x", 10)))
+_REGION = f"t0 as (select *, max(z) over (partition by sample) + 1 dz, max(y) over (partition by sample) + 1 dy, max(x) over (partition by sample) + 1 dx from vox), sm as (select *, {_SEAMS} seam from t0)"
+
+
+def _seamed(vox):
+    dims = grid.extents(vox)
+    inside = vox.join(dims, "sample")
+    return inside.withColumn("seam", stencil.seam_mask({"z": 8, "y": 10, "x": 10}, {a: F.col(f"d{a}") for a in "zyx"}, 2))
+
+
+QUERIES["seam_mask"] = lambda spark, sf_dir: _seamed(demo_voxels(spark, sf_dir)).select(*K, "seam")
+ORACLE_SQL["seam_mask"] = VOX_SQL + ", " + _REGION + " select sample, z, y, x, seam from sm"
+QUERIES["seam_region_metrics"] = lambda spark, sf_dir: r6(metrics.segmentation_metrics(_seamed(demo_voxels(spark, sf_dir)).withColumn("label", F.when(F.col("seam"), F.col("label")).otherwise(0))), *_SCORES)
+ORACLE_SQL["seam_region_metrics"] = VOX_SQL + ", " + _REGION + ", sl as (select sample, pred, case when seam then label else 0 end label from sm), " + _METRICS.strip().format(truth="label", src="sl")
+
+
+@query("select sample, count(distinct label) n_labels, round(avg(case when label = 0 then 1.0::double else 0 end), 6) zero_share, round(avg(case when label = 0 then 1.0::double else 0 end), 6) ignore_share from vox group by 1")
+def label_stats(vox):
+    return r6(metrics.label_stats(vox), "zero_share", "ignore_share")
+
+
+@query("""w as (select sample, unnest(['z', 'y', 'x']) channel, unnest([az, ay, ax]) v from vox)
+select sample, channel, round(avg(v), 6) mean, round(stddev_pop(v), 6) std, """ + ", ".join(f"round(quantile_cont(v, {q / 100}), 6) p{q:02d}" for q in (1, 5, 50, 95, 99)) + " from w group by 1, 2")
+def affinity_stats(vox):
+    return r6(metrics.channel_stats(vox, {a: f"a{a}" for a in "zyx"}), "mean", "std", "p01", "p05", "p50", "p95", "p99")
+
+
+@query(f"""w as (select sample, 8 * (ax - 0.5::double) l, cast(coalesce({_back("x", "label")} = label and label > 0, false) as int) t from vox),
+s as (select sample, cast(1 / (1 + exp(-greatest(least(l, 50), -50))) >= 0.5 as double::int) p, t from w)
+select 1""".split("w as")[0] + f"""w as (select sample, 8 * (ax - 0.5::double) l, cast(coalesce({_back("x", "label")} = label and label > 0, false) as int) t from vox),
+g as (select sample, sum(case when l >= 0 then t else 0 end) b, sum(case when l >= 0 then 1 else 0 end) p, sum(t) t from w group by 1)
+select sample, round(2.0::double * b / (p + t), 6) dice, round(b / cast(p + t - b as double), 6) iou from g""")
+def dice_iou(vox):
+    return r6(metrics.overlap(stencil.affinities(logits(vox)), "lx", "tx"), "dice", "iou")
+
+
+# ---- scalar functions ----------------------------------------------------
+
+@query("""s as (select sample, max(raw) top, quantile_cont(raw, 0.01) lo, quantile_cont(raw, 0.99) hi from vox group by 1)
+select sample, z, y, x, round(case when hi > lo then least(greatest((raw / 255 - lo / 255) / (hi / 255 - lo / 255), 0), 1) else raw / 255 end, 6) norm from vox join s using (sample)""")
+def normalize_volume(vox):
+    return r6(scalar.normalize_volume(vox).select(*K, "norm"), "norm")
+
+
+_VARIANTS = [(0.0, 0.0, 0.0, 1.0), (0.2, -0.1, -0.1, 1.0), (0.2, -0.1, -0.1, 0.8), (0.001, 0.0, 0.0, 1.0)]
+
+
+@query("""w as (select * from (values ('bias_z+0.00_y+0.00_x+0.00_t1.00', 0.0::double, 0.0::double, 0.0::double, 1.0::double),
+  ('bias_z+0.20_y-0.10_x-0.10_t1.00', 0.2, -0.1, -0.1, 1.0), ('bias_z+0.20_y-0.10_x-0.10_t0.80', 0.2, -0.1, -0.1, 0.8)) v(variant, bz, b_y, bx, t))
+select sample, variant, """ + ", ".join(f"round(avg(1 / (1 + exp(-((8 * (a{a} - 0.5::double) + {b}) / t)))), 6) m{a}" for a, b in (("z", "bz"), ("y", "b_y"), ("x", "bx"))) + " from vox, w group by 1, 2")
+def calibrate_variants(vox):
+    each = scalar.calibrate(logits(vox), _VARIANTS)
+    return r6(each.groupBy("sample", "variant").agg(*(F.avg(f"p{a}").alias(f"m{a}") for a in "zyx")), "mz", "my", "mx")
+
+
+@query("""select sample, z, y, x, round(ln(least(greatest(ax, 1e-6), 1 - 1e-6) / least(greatest(1 - ax, 1e-6), 1)), 6) l from vox""")
+def logit_of_probability(vox):
+    return r6(vox.select(*K, scalar.logit(F.col("ax")).alias("l")), "l")
+
+
+@query("select sample, z, y, x, round(1 - 0.5 * (ay + ax), 6) boundary, (az + ay + ax) / 3 >= 0.5 as inside from vox")
+def boundary_map(vox):
+    return r6(vox.select(*K, (1 - 0.5 * (F.col("ay") + F.col("ax"))).alias("boundary"), ((F.col("az") + F.col("ay") + F.col("ax")) / 3 >= 0.5).alias("inside")), "boundary")
+
+
+@query("""select sample, z, y, x, round(least(greatest(raw / 255 * 1.1 - 0.02, 0), 1), 6) gained,
+round(least(greatest(pow(least(greatest(raw / 255, 1e-4), 1), 1.3), 0), 1), 6) gammaed from vox""")
+def gamma_gain(vox):
+    v = F.col("raw") / 255
+    return r6(vox.select(*K, scalar.gain_bias(v, 1.1, -0.02).alias("gained"), scalar.gamma(v, 1.3).alias("gammaed")), "gained", "gammaed")
+
+
+@query("select sample, 19 - z as z, 19 - x as y, 19 - y as x, raw from vox where z < 20".replace("19 - z as z, 19 - x as y, 19 - y as x", "z, 19 - x as y, 19 - y as x"))
+def rot90_flip(vox):
+    turned = scalar.rotate_xy(vox.where("z < 20"), 1, 20)  # (y, x) -> (19 - x, y)
+    return scalar.flip(turned, "x", 20).select(*K, "raw")
+
+
+@query("""p as (select sample, ((z // 2) * 2 + y // 10) * 2 + x // 10 pid, ((z % 2) * 10 + y % 10) * 10 + x % 10 place, raw from vox)
+select sample, pid, cast(count(*) as bigint) n, round(sum(raw * (place + 1)), 6) digest from p group by 1, 2 having count(*) = 200""")
+def patchify(vox):
+    p = scalar.patchify(vox, (2, 10, 10), (2, 2))
+    digest = F.aggregate(F.transform("vals", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return r6(p.select("sample", "pid", F.size("vals").cast("bigint").alias("n"), digest.alias("digest")), "digest")
+
+
+@query("""p as (select *, ((z // 2) * 2 + y // 10) * 2 + x // 10 pid from vox), w as (select *, count(*) over (partition by sample, pid) n from p)
+select sample, z, y, x, raw from w where n = 200""")
+def unpatchify(vox):
+    return scalar.unpatchify(scalar.patchify(vox, (2, 10, 10), (2, 2)), (2, 10, 10), (2, 2)).select(*K, "raw")
+
+
+# ---- stencils ------------------------------------------------------------
+
+def _aff(replicate: bool) -> str:
+    edge = "cast(label > 0 as int)" if replicate else "0"
+    cols = ", ".join(f"case when {_back(a, 'label')} is null then {edge} else cast({_back(a, 'label')} = label and label > 0 as int) end t{a}" for a in "zyx")
+    return f"select sample, z, y, x, {cols} from vox"
+
+
+@query(_aff(False))
+def affinity_nn(vox):
+    return stencil.affinities(vox).select(*K, "tz", "ty", "tx")
+
+
+@query(_aff(True))
+def affinity_replicate(vox):
+    return stencil.affinities(vox, replicate=True).select(*K, "tz", "ty", "tx")
+
+
+_OFFSETS = [(-1, 0, 0), (0, -3, 0), (0, 2, -2)]
+
+
+@query("""w as (select * from (values (0, -1, 0, 0), (1, 0, -3, 0), (2, 0, 2, -2)) o(c, dz, dy, dx))
+select a.sample, c, a.z, a.y, a.x, cast(coalesce(b.label = a.label and a.label > 0, false) as int) t
+from vox a cross join w left join vox b on b.sample = a.sample and b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx""")
+def affinity_offsets(vox):
+    return stencil.offset_affinities(vox, _OFFSETS)
+
+
+@query("select sample, z, y, x, " + ", ".join(f"cast(coalesce(label <> 0 and {_back(a, 'label')} <> 0, false) as int) v{a}" for a in "zyx") + " from vox")
+def valid_mask(vox):
+    return stencil.valid_edges(vox).select(*K, "vz", "vy", "vx")
+
+
+@query("""w as (select *, case when label = 0 then max(label) over (partition by sample, z) + 1 else label end lifted from vox),
+w1 as (select *, max(label) over (partition by sample, z, x order by y range between 1 preceding and 1 following) h, min(lifted) over (partition by sample, z, x order by y range between 1 preceding and 1 following) l from w),
+w2 as (select *, max(h) over (partition by sample, z, y order by x range between 1 preceding and 1 following) hh, min(l) over (partition by sample, z, y order by x range between 1 preceding and 1 following) ll from w1)
+select sample, z, y, x, case when hh <> ll then 0 else label end widened from w2""")
+def widen_border(vox):
+    return stencil.widen_boundaries(vox).select(*K, "widened")
+
+
+_STEP = "coalesce(abs(raw - {b}), 0)"
+
+
+@query("w as (select *, " + " + ".join(f"{w} * " + _STEP.format(b=_back(a, "raw")) for a, w in (("z", 0.5), ("y", 1.0), ("x", 1.0))) + """ g from vox)
+select sample, z, y, x, round(least(g / greatest(avg(g) over (partition by sample), 1e-6), 5), 6) edge from w""")
+def edge_map(vox):
+    return r6(stencil.edge_map(vox, (0.5, 1.0, 1.0)).select(*K, "edge"), "edge")
+
+
+@query("w as (select *, " + ", ".join(f"abs((ax - {_back(a, 'ax')}) - (ay - {_back(a, 'ay')})) g{a}" for a in "zyx") + """ from vox)
+select sample, round((coalesce(avg(gz), 0) + coalesce(avg(gy), 0) + coalesce(avg(gx), 0)) / 3, 6) loss from w group by 1""")
+def gradient_loss(vox):
+    return r6(stencil.gradient_loss(vox, "ax", "ay"), "loss")
+
+
+@query("w as (select *, " + ", ".join(_STEP.format(b=_back(a, "raw")) + f" g{a}" for a in "zyx") + " from vox) select sample, z, y, x, " + ", ".join(f"round(exp(-g{a} / greatest(avg(g{a}) over (partition by sample), 1e-6)), 6) p{a}" for a in "zyx") + " from w")
+def pseudo_affinity(vox):
+    return r6(stencil.pseudo_affinity(vox).select(*K, "pz", "py", "px"), "pz", "py", "px")
+
+
+_N = "case when max({a}) over (partition by sample) = 0 then -1.0::double else -1 + 2.0::double * {a} / max({a}) over (partition by sample) end"
+
+
+@query("w as (select *, " + ", ".join(f"{_N.format(a=a)} n{a}" for a in "zyx") + " from vox) select sample, z, y, x, cast(label > 0 as int) fg, " + ", ".join(f"round(case when label > 0 then least(greatest(avg(n{a}) over (partition by sample, label) - n{a}, -1), 1) else 0 end, 6) + 0.0 o{a}" for a in "zyx") + " from w")
+def lsd_targets(vox):
+    out = r6(stencil.shape_descriptors(vox).select(*K, "fg", "oz", "oy", "ox"), "oz", "oy", "ox")
+    return out.withColumns({f"o{a}": F.col(f"o{a}") + 0.0 for a in "zyx"})
+
+
+@query("""w as (select *, sum(ax) over (partition by sample, y, x order by z range between 1 preceding and 1 following) a1 from vox),
+w1 as (select *, sum(a1) over (partition by sample, z, x order by y range between 1 preceding and 1 following) a2 from w)
+select sample, z, y, x, round(sum(a2) over (partition by sample, z, y order by x range between 1 preceding and 1 following) / 27, 6) pooled from w1""")
+def average_pool(vox):
+    return r6(stencil.average_pool(vox, 3, "ax", "pooled").select(*K, "pooled"), "pooled")
+
+
+# ---- grids ---------------------------------------------------------------
+
+@query("""t as (select * from (values (38, 16, 6), (20, 8, 5), (20, 32, 5), (7, 7, 3), (25, 10, 10)) v(dim, win, stride))
+select dim, win, stride, unnest(case when dim <= win then [0] else list_sort(list_distinct(list_append(range(0, dim - win + 1, stride), dim - win))) end) as start from t""".replace("t as", "with t as", 1), volume=False)
+def sliding_starts(spark, sf_dir):
+    rows = [(38, 16, 6), (20, 8, 5), (20, 32, 5), (7, 7, 3), (25, 10, 10)]
+    parts = [spark.range(1).select(F.lit(d).alias("dim"), F.lit(w).alias("win"), F.lit(s).alias("stride"), F.explode(grid.sliding_starts(F.lit(d), w, s)).alias("start")) for d, w, s in rows]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+_CHUNK, _HALO = (8, 10, 12), (2, 3, 4)
+_PLAN = "t as (select sample, max(z) + 1 dz, max(y) + 1 dy, max(x) + 1 dx from vox group by 1), " + ", ".join(f"t{a} as (select sample, d{a}, unnest(case when d{a} <= {c} then [0] else range(0, d{a}, {c}) end) {a}0 from t)" for a, c in zip("zyx", _CHUNK, strict=True))
+
+
+@query(_PLAN + " select sample, " + ", ".join(f"{a}0, least({a}0 + case when d{a} <= {c} then d{a} else {c} end, d{a}) {a}1, greatest({a}0 - {h}, 0) e{a}0, least(least({a}0 + case when d{a} <= {c} then d{a} else {c} end, d{a}) + {h}, d{a}) e{a}1" for a, c, h in zip("zyx", _CHUNK, _HALO, strict=True)) + " from tz join ty using (sample) join tx using (sample)")
+def chunk_plan(vox):
+    return grid.chunk_plan(grid.extents(vox), _CHUNK, _HALO)
+
+
+@query(_PLAN + """ select v.sample, z0 // 8 cz, y0 // 10 cy, x0 // 12 cx, cast(count(*) as bigint) n, cast(sum(case when v.z // 8 = z0 // 8 and v.y // 10 = y0 // 10 and v.x // 12 = x0 // 12 then 1 else 0 end) as bigint) n_core
+from vox v join tz using (sample) join ty using (sample) join tx using (sample)
+where v.z >= z0 - 2 and v.z < z0 + 8 + 2 and v.y >= y0 - 3 and v.y < y0 + 10 + 3 and v.x >= x0 - 4 and v.x < x0 + 12 + 4 group by 1, 2, 3, 4""")
+def chunk_halo_core(vox):
+    return grid.deal_to_chunks(vox, _CHUNK, _HALO).groupBy("sample", "cz", "cy", "cx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("core").cast("bigint")).alias("n_core"))
+
+
+@query("""w as (select * from (values (0), (5), (10), (12)) a(wy)), t as (select v.*, w.wy, u.wy wx from vox v join w on w.wy <= v.y and v.y < w.wy + 8 join w u on u.wy <= v.x and v.x < u.wy + 8)
+select sample, z, y, x, count(*) n, round(1 / (1 + exp(-avg(8 * (ax - 0.5::double) + 0.01 * (wy - wx)))), 6) p from t group by 1, 2, 3, 4""")
+def window_stitch(vox):
+    logit = 8 * (F.col("ax") - 0.5) + 0.01 * (F.col("wy") - F.col("wx"))
+    return r6(grid.stitch_windows(vox, {"z": 1 << 20, "y": 20, "x": 20}, (1 << 20, 8, 8), (1, 5, 5), logit), "p")
+
+
+@query("select sample, z - 1 as z, y - 4 as y, x - 2 as x, raw, label from vox where z >= 1 and z < 4 and y >= 4 and y < 16 and x >= 2 and x < 18")
+def center_crop(vox):
+    y, x = grid.centre_bounds(20, 12), grid.centre_bounds(20, 16)
+    return grid.crop(vox, {"z": grid.centre_bounds(5, 3), "y": y, "x": x}).select(*K, "raw", "label")
+
+
+@query("""select sample, z, y, x, raw from vox where z < 5 union all select sample, z, 38 - y, x, raw from vox where z < 5 and y >= 12 and y < 19""".replace("38 - y, x, raw from vox where z < 5 and y >= 12 and y < 19", "38 - y, x, raw from vox where z < 5 and 38 - y >= 20 and 38 - y < 26"))
+def pad_reflect(vox):
+    return grid.pad(vox.where("z < 5"), "y", 20, 26).select(*K, "raw")
+
+
+@query("""t as (select unnest(range(0, 30)) i)
+select i as index, i % 10 as path, """.replace("t as", "with t as", 1) + ", ".join(f"cast(('0x' || substr(md5('7:{a}:' || i), 1, 8)) as bigint) % {m} as {a}0" for a, m in (("z", 18), ("y", 11), ("x", 5))) + " from t", volume=False)
+def crop_plan(spark, sf_dir):
+    return grid.crop_plan(spark, 10, 3, (25, 20, 20), (8, 10, 16), 7)
+
+
+# ---- graphs --------------------------------------------------------------
+
+_CC_EDGES = " union all ".join(f"select sample, id a, {_back(a, 'id')} b from vox qualify a{a} >= 0.85 and b is not null" for a in "zyx")
+_CLOSE = """rec as (select sample, a, b from ed union select sample, b, a from ed),
+reach as (select sample, a, b from rec union select r.sample, r.a, e.b from reach r join rec e on e.sample = r.sample and e.a = r.b)"""
+
+
+def _components_sql(edges: str, then: str) -> str:
+    view = VOX_SQL.replace("with src", "with recursive src", 1)
+    return view + f", ed as ({edges}), " + _CLOSE + ", cc as (select sample, a, least(a, min(b)) c from reach group by sample, a), part as (select v.*, coalesce(c, id) component from vox v left join cc on cc.sample = v.sample and cc.a = v.id) " + then
+
+
+@query()
+def connected_components(vox):
+    return graph.affinity_components(vox, 0.85).select("sample", "id", "component")
+
+
+ORACLE_SQL["connected_components"] = _components_sql(_CC_EDGES, "select sample, id, component from part")
+
+
+@query()
+def cc_min_size(vox):
+    parts = graph.affinity_components(vox, 0.85)
+    return graph.relabel(graph.drop_small(parts.withColumn("component", F.col("component") + 1), "component", 3, "big"), "big", "segment").select("sample", "id", "segment")
+
+
+ORACLE_SQL["cc_min_size"] = _components_sql(_CC_EDGES, """, sz as (select *, case when count(*) over (partition by sample, component) < 3 then 0 else component + 1 end big from part)
+select sample, id, cast(dense_rank() over (partition by sample order by big) - cast(min(big) over (partition by sample) = 0 as int) as bigint) segment from sz""")
+
+_MASK = "(az + ay + ax) / 3 >= 0.62"
+
+
+@query()
+def mean_affinity_cc(vox):
+    return graph.mask_components(vox, (F.col("az") + F.col("ay") + F.col("ax")) / 3 >= 0.62).select("sample", "id", "component")
+
+
+ORACLE_SQL["mean_affinity_cc"] = _components_sql(
+    " union all ".join(f"select v.sample, v.id a, u.id b from vox v join vox u on u.sample = v.sample and u.z = v.z + {z} and u.y = v.y + {y} and u.x = v.x + {x} where (v.az + v.ay + v.ax) / 3 >= 0.62 and (u.az + u.ay + u.ax) / 3 >= 0.62" for z, y, x in ((1, 0, 0), (0, 1, 0), (0, 0, 1))),
+    f"select sample, id, case when {_MASK} then component else -1 end component from part",
+)
+
+
+@query("select sample, id, cast(dense_rank() over (partition by sample order by label) - cast(min(label) over (partition by sample) = 0 as int) as bigint) dense from vox")
+def relabel(vox):
+    return graph.relabel(vox, "label", "dense").select("sample", "id", "dense")
+
+
+@query("select sample, z, y, x, row_number() over (partition by sample order by z, y, x) seed from vox where y % 5 = 2 and x % 5 = 2")
+def grid_seeds(vox):
+    return graph.grid_seeds(vox, 5)
+
+
+_PAIRS = "p as (" + " union all ".join(f"select sample, {k} axis, least(s, q) lo, greatest(s, q) hi, w from (select sample, pred s, {_back(a, 'pred')} q, a{a} w from vox) where s > 0 and q > 0 and s <> q" for k, a in enumerate("zyx")) + ")"
+
+
+@query(_PAIRS + " select sample, axis, lo, hi, count(*) n, round(sum(w), 6) total from p group by 1, 2, 3, 4")
+def rag_pairs(vox):
+    return r6(graph.boundary_pairs(vox, "pred").groupBy("sample", "axis", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total")), "total")
+
+
+for _mode, _sql in (("mean", "avg(w)"), ("min", "min(w)"), ("max", "max(w)"), ("q25", "quantile_cont(w, 0.25)")):
+
+    def _scores(vox, mode=_mode):
+        return r6(graph.boundary_pairs(vox, "pred").groupBy("sample", "lo", "hi").agg(graph.pair_score(mode).alias("score"), F.count(F.lit(1)).alias("n")), "score")
+
+    _scores.__name__ = f"rag_scores_{_mode}"
+    query(_PAIRS + f" select sample, lo, hi, round({_sql}, 6) score, count(*) n from p group by 1, 2, 3")(_scores)
+
+_FEATURES = [f"{n}_{a}" for a in "zyx" for n in ("mean", "min", "max", "share")]
+
+
+@query(_PAIRS + " select sample, lo, hi, count(*) n, " + ", ".join(f"round(coalesce({f}(case when axis = {k} then w end), 0), 6) {n}_{a}" for k, a in enumerate("zyx") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + ", " + ", ".join(f"round(count(case when axis = {k} then w end) / cast(count(*) as double), 6) share_{a}" for k, a in enumerate("zyx")) + ", round(ln(1 + count(*)), 6) log_n from p group by 1, 2, 3 having count(*) >= 2")
+def rag_features(vox):
+    return r6(graph.rag_features(graph.boundary_pairs(vox, "pred"), 2), *_FEATURES, "log_n")
+
+
+_MAJORITY = "w as (select sample, pred segment, label best, count(*) n from vox group by 1, 2, 3), mj as (select sample, segment, best, n / cast(sum(n) over (partition by sample, segment) as double) confidence from w qualify row_number() over (partition by sample, segment order by n desc, best) = 1)"
+
+
+@query(_MAJORITY + " select sample, segment, best, round(confidence, 6) confidence from mj")
+def rag_majority_labels(vox):
+    return r6(graph.majority_labels(vox, "pred", "label"), "confidence")
+
+
+@query(_MAJORITY + ", " + _PAIRS + """, e as (select distinct sample, lo, hi from p)
+select e.sample, lo, hi, cast(a.best = b.best and a.best > 0 and least(a.confidence, b.confidence) >= 0.5 as int) target
+from e join mj a on a.sample = e.sample and a.segment = lo join mj b on b.sample = e.sample and b.segment = hi""")
+def rag_pair_targets(vox):
+    return graph.pair_targets(graph.boundary_pairs(vox, "pred"), graph.majority_labels(vox, "pred", "label"))
+
+
+@query()
+def agglomerate_affinity(vox):
+    return graph.agglomerate(vox, "pred", 0.8, "segment", z_threshold=0.9, min_boundary=2).select("sample", "id", "segment")
+
+
+ORACLE_SQL["agglomerate_affinity"] = VOX_SQL.replace("with src", "with recursive src", 1) + ", " + _PAIRS + """,
+sel as (select sample, lo, hi from p group by sample, lo, hi, axis having avg(w) >= case when axis = 0 then 0.9 else 0.8 end and count(*) >= 2),
+ed as (select distinct sample, lo a, hi b from sel), """ + _CLOSE + """, cc as (select sample, a, least(a, min(b)) c from reach group by sample, a),
+mg as (select v.sample, v.id, coalesce(c, pred) root from vox v left join cc on cc.sample = v.sample and cc.a = v.pred)
+select sample, id, cast(dense_rank() over (partition by sample order by root) - cast(min(root) over (partition by sample) = 0 as int) as bigint) segment from mg"""
+
+
+# ---- masks ---------------------------------------------------------------
+
+def _patches(vox):
+    p = scalar.patchify(vox, (1, 10, 10), (2, 2), "ax")
+    return p.select("sample", "pid", (F.aggregate("vals", F.lit(0.0), lambda s, v: s + v) / 100).alias("edge"))
+
+
+_PATCH = "p as (select sample, (z * 2 + y // 10) * 2 + x // 10 pid, avg(ax) edge, count(*) c from vox group by 1, 2 having count(*) = 100)"
+_RANK = "md5('0:' || sample || ':' || pid), pid"
+
+
+@query(_PATCH + f" select sample, pid, row_number() over (partition by sample order by {_RANK}) <= greatest(1, round_even(0.75 * count(*) over (partition by sample), 0)) masked from p")
+def random_mask(vox):
+    return masking.random_mask(_patches(vox), 0.75).select("sample", "pid", "masked")
+
+
+_EDGED = _PATCH + f""", w as (select *, least(greatest(round_even(0.5 * count(*) over (partition by sample), 0), 1), greatest(count(*) over (partition by sample) - 1, 1)) k from p),
+w1 as (select *, least(round_even(k * 0.4, 0), k) led, row_number() over (partition by sample order by round(edge, 9) desc, pid) r from w),
+w2 as (select *, r <= led top from w1), mk as (select *, top or row_number() over (partition by sample order by top, {_RANK}) <= k - led masked from w2)"""
+
+
+def _edged(vox):
+    return masking.edge_mask(_patches(vox).withColumn("edge", F.round("edge", 9)), 0.5, 0.4)
+
+
+QUERIES["edge_mask"] = lambda spark, sf_dir: _edged(demo_voxels(spark, sf_dir)).select("sample", "pid", "masked")
+ORACLE_SQL["edge_mask"] = VOX_SQL + ", " + _EDGED + " select sample, pid, masked from mk"
+
+
+@query(_EDGED + """, mc as (select sample, sum(cast(masked as int) * edge) / greatest(sum(edge), 1e-6) cov, avg(cast(masked as int)) ratio, avg(edge) mean, stddev_pop(edge) std, max(edge) max, min(edge) min from mk group by 1)
+select sample, round(ratio, 6) ratio, round(cov, 6) coverage, round(cov - ratio, 6) gain, round(mean, 6) mean, round(std, 6) std, round(max, 6) max, round(min, 6) min from mc""")
+def mask_coverage(vox):
+    return r6(masking.mask_coverage(_edged(vox)), "ratio", "coverage", "gain", "mean", "std", "max", "min")
+
+
+@query(_PATCH + """, w as (select *, round(edge, 9) prob, round(edge, 9) > 0.5 act, count(*) over (partition by sample) n from p), w1 as (select *, sum(cast(act as int)) over (partition by sample) c from w)
+select sample, pid, row_number() over (partition by sample order by act desc, prob desc, pid) <= least(greatest(c, greatest(1, round_even(0.6 * n, 0))), greatest(1, round_even(0.8 * n, 0))) masked from w1""")
+def enforce_ratio(vox):
+    p = _patches(vox).withColumns({"prob": F.round("edge", 9), "act": F.round("edge", 9) > 0.5})
+    return masking.enforce_ratio(p, "act", "prob", 0.6, 0.8).select("sample", "pid", "masked")
+
+
+# ---- losses --------------------------------------------------------------
+
+def _rows(vox):
+    both = stencil.valid_edges(stencil.affinities(logits(vox)))
+    return losses.long_channels(both, ("lz", "ly", "lx"), ("tz", "ty", "tx"), ("vz", "vy", "vx"))
+
+
+_LONG = "w as (" + " union all ".join(f"select sample, '{a}' c, 8 * (a{a} - 0.5::double) l, cast(coalesce({_back(a, 'label')} = label and label > 0, false) as double::int)::double t, cast(coalesce(label <> 0 and {_back(a, 'label')} <> 0, false) as int)::double v from vox".replace("double::int)::double t", "int)::double t") for a in "zyx") + "), e as (select *, 1 / (1 + exp(-l)) p from w)"
+
+
+@query(_LONG + " select sample, round(sum(v * (p - t) * (p - t)) / greatest(sum(v), 1), 6) loss from e group by 1")
+def loss_mse(vox):
+    return r6(losses.mean_loss(_rows(vox), losses.squared_error()), "loss")
+
+
+@query(_LONG + """, b as (select *, avg(t) over (partition by sample, c) f0 from e), b1 as (select *, least(greatest(f0, 0.05), 0.99) f from b),
+b2 as (select *, v * case when t >= 0.5 then case when f < 0.5 then (1 - f) / f else 1 end else case when f < 0.5 then 1 else f / (1 - f) end end wt from b1)
+select sample, round(sum(wt * (p - t) * (p - t)) / greatest(sum(wt), 1), 6) loss from b2 group by 1""")
+def loss_mse_balanced(vox):
+    return r6(losses.mean_loss(_rows(vox), losses.squared_error(), losses.ratio_weight()), "loss")
+
+
+@query(_LONG + """ select sample, round(sum(v * (greatest(l, 0) - l * t + ln(1 + exp(-abs(l)))) * case when t >= 0.5 then 1 else 2 end * pow(1 - (p * t + (1 - p) * (1 - t)), 2)) / greatest(sum(v), 1), 6) loss from e group by 1""")
+def loss_bce_focal(vox):
+    return r6(losses.mean_loss(_rows(vox), losses.cross_entropy(1.0, 2.0, 2.0)), "loss")
+
+
+@query(_LONG + ", d as (select sample, c, 1 - (2 * sum(p * v * t * v) + 1) / (sum(p * v) + sum(t * v) + 1) d from e group by 1, 2) select sample, round(avg(d), 6) loss from d group by 1")
+def loss_dice(vox):
+    return r6(losses.soft_dice(_rows(vox)), "loss")
+
+
+@query(_LONG + """, d as (select sample, c, avg(case when t >= 0.5 and v > 0 then l end) a, avg(case when t < 0.5 and v > 0 then l end) b, avg(case when v > 0 then p end) m from e group by 1, 2)
+select sample, round(avg(ln(1 + exp(1 - a + b))), 6) rank_loss, round(pow(avg(case when c = 'z' then m end) - avg(case when c <> 'z' then m end), 2), 6) calibration from d group by 1""")
+def loss_bcar(vox):
+    return r6(losses.ranking(_rows(vox)), "rank_loss", "calibration")
+
+
+@query("w as (select *, " + " + ".join(_STEP.format(b=_back(a, "raw")) for a in "zyx") + """ g from vox), w1 as (select *, least(g / greatest(avg(g) over (partition by sample), 1e-6), 5) edge from w)
+select sample, z, y, x, round((1 + 2 * edge) / greatest(avg(1 + 2 * edge) over (partition by sample), 1e-6), 6) spatial from w1""")
+def loss_membrane_weight(vox):
+    return r6(losses.membrane_weight(stencil.edge_map(vox), 2.0).select(*K, "spatial"), "spatial")
+
+
+@query(_PATCH.replace("avg(ax) edge", "avg((ax - ay) * (ax - ay)) err") + f""", w as (select *, row_number() over (partition by sample order by {_RANK}) <= greatest(1, round_even(0.75 * count(*) over (partition by sample), 0)) masked from p)
+select sample, round(avg(err), 6) loss from w where masked group by 1""")
+def loss_mae(vox):
+    a, b = (scalar.patchify(vox, (1, 10, 10), (2, 2), c).withColumnRenamed("vals", c) for c in ("ax", "ay"))
+    return r6(losses.reconstruction(masking.random_mask(a.join(b, ["sample", "pid"]), 0.75), "ax", "ay"), "loss")
+
+
+# ---- sweeps and manifests ------------------------------------------------
+
+_AXES = {"threshold": [0.1, 0.25, 0.5], "seed_distance": [4, 10], "min_boundary": [1, 4], "score_mode": ["mean", "q25"]}
+
+
+@query("""with b as (select unnest(['components', 'mean_components', 'agglomeration', 'watershed']) backend)
+select backend, threshold, seed_distance, min_boundary, score_mode from b,
+(select unnest([0.1, 0.25, 0.5])::double threshold), (select unnest([4, 10]) seed_distance), (select unnest([1, 4]) min_boundary), (select unnest(['mean', 'q25']) score_mode)
+where (seed_distance = 4 or backend = 'watershed') and (min_boundary = 1 or backend in ('agglomeration', 'watershed')) and (score_mode = 'mean' or backend in ('agglomeration', 'watershed'))""", volume=False)
+def sweep_grid(spark, sf_dir):
+    return sweep.sweep_grid(spark, _AXES)
+
+
+def _records(vox):
+    rows = losses.long_channels(logits(vox), ("lz", "ly", "lx"), ("az", "ay", "ax"))
+    each = rows.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in (0.1, 0.25, 0.5, 0.75)))))
+    hit = (scalar.sigmoid(F.col("l"), None) >= F.col("threshold")).cast("double")
+    return each.groupBy("sample", "c", "threshold").agg(F.round(F.avg(F.abs(hit - F.col("t"))), 9).alias("error"), F.round(F.avg(hit), 9).alias("share"))
+
+
+_REC = "w as (" + " union all ".join(f"select sample, '{a}' c, a{a} t, 1 / (1 + exp(-8 * (a{a} - 0.5::double))) p from vox" for a in "zyx") + """),
+rc as (select sample, c, threshold, round(avg(abs(cast(p >= threshold as int) - t)), 9) error, round(avg(cast(p >= threshold as int)), 9) share from w, (select unnest([0.1, 0.25, 0.5, 0.75])::double threshold) group by 1, 2, 3),
+gm as (select c, threshold, avg(error) error, avg(share) share, count(*) n from rc group by 1, 2)"""
+
+
+@query(_REC + " select c, threshold, round(error, 6) error, round(share, 6) share, n from gm")
+def sweep_group_mean(vox):
+    return r6(sweep.group_means(_records(vox), ["c", "threshold"], ["error", "share"], 3), "error", "share")
+
+
+@query(_REC + " select threshold, round(avg(error), 6) error, count(*) n from rc group by 1")
+def sweep_per_threshold(vox):
+    return r6(sweep.group_means(_records(vox), ["threshold"], ["error"]), "error")
+
+
+@query(_REC + " select c, threshold, round(error, 6) error, n from gm order by round(error, 9), c, cast(threshold as varchar) limit 1")
+def best_by_error(vox):
+    groups = sweep.group_means(_records(vox), ["c", "threshold"], ["error"]).withColumn("rank_error", F.round("error", 9))
+    return r6(sweep.best(groups, "rank_error", ["c", "threshold"]).drop("rank_error"), "error")
+
+
+@query("select c_mktsegment as prefix, count(*) files, round(sum(c_acctbal), 4) size from customer where starts_with(c_name, 'Customer') group by 1", volume=False)
+def manifest_select(spark, sf_dir):
+    from lamina.sources.manifest import select_files
+
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("path"), F.col("c_acctbal").alias("size"), F.col("c_mktsegment").alias("prefix"))
+    return select_files(files, starts=["Customer"]).groupBy("prefix").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("size"), 4).alias("size"))
+
+
+@query("select l_returnflag, round(sum(l_extendedprice * l_quantity) / greatest(sum(l_quantity), 1), 4) mean from lineitem group by 1", volume=False)
+def weighted_meter(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return metrics.weighted_mean(rows, "l_extendedprice", "l_quantity", ("l_returnflag",)).withColumn("mean", F.round("mean", 4))
+
+
+@query("""with n as (select n_nationkey, count(*) over () c, row_number() over (order by md5('3:' || n_nationkey), n_nationkey) r from nation)
+select n_nationkey, r <= least(c - 1, greatest(1, round_even(c * 0.2, 0))) validation from n""", volume=False)
+def train_val_split(spark, sf_dir):
+    return sweep.split(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey"), "n_nationkey", 0.2, "3")
+
+
+_BLOBS = [(1, 4, 6, 6, 3, 4, 4), (2, 5, 12, 10, 3, 5, 4), (3, 2, 9, 14, 2, 3, 5)]
+
+
+@query("""with g as (select i // 256 z, (i // 16) % 16 y, i % 16 x from range(0, 2048) t(i)),
+b as (select * from (values (1, 4, 6, 6, 3, 4, 4), (2, 5, 12, 10, 3, 5, 4), (3, 2, 9, 14, 2, 3, 5)) v(num, cz, cy, cx, rz, ry, rx)),
+f as (select z, y, x, num, pow((z - cz) / rz::double, 2) + pow((y - cy) / ry::double, 2) + pow((x - cx) / rx::double, 2) far from g, b)
+select z, y, x, cast(coalesce(max(case when far < 1 then num end), 0) as bigint) "label", round(least(greatest(0.15 + 0.75 * max(exp(-2.5 * far)), 0), 1), 6) raw from f group by 1, 2, 3""", volume=False)
+def synthetic_em(spark, sf_dir):
+    return r6(synthetic_volume(spark, (8, 16, 16), _BLOBS), "raw")
