@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, whole_text
-from .units import encoder
+from .units import encoder, slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -39,8 +39,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
         codec = encoder(vocabulary)
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = codec.encode([text.as_py() or ""])[0] + end
+            encoded = (x for part in slices(batch.column(1).to_pylist()) for x in codec.encode(part))
+            for key, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: 5 + with_ids])

@@ -13,8 +13,11 @@ import os
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+
 #: A unit: white space, then letters, or a run of other characters with the
 #: letters that follow its last apostrophe ("'s" is one piece).
 UNIT = re.compile(r"\s*(?:[^\W\d_]+|(?:[^\w\s]|[\d_])+(?:(?<=')[^\W\d_]+)?)|\s+")
@@ -31,11 +34,24 @@ def unlike() -> frozenset:
     return frozenset(numbers) | frozenset("\x1c\x1d\x1e\x1f᠎")
 
 
+def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Consecutive texts of about ``chars`` characters together, one at least."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text)
+        if held >= chars:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    #: Units held at once; beyond it the store starts anew (bounded memory).
-    LIMIT = 600_000
+    #: Units of a generation; the one before the last is forgotten (bounded memory).
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -45,37 +61,35 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.composes = "NFC" in str(self.tokenizer.normalizer)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def vocabulary_size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = unlike()
-        units: list[list[str] | None] = []
-        new: dict[str, None] = {}
+        """Ids of each text; a text with unlike characters is encoded whole."""
+        if self.composes:
+            texts = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts]
         if len(self.known) > self.LIMIT:
-            self.known.clear()
-        known = self.known
-        for text in texts:
-            if self.composes and not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            cut = UNIT.findall(text) if odd.isdisjoint(text) else None
-            units.append(cut)
-            if cut is not None:
-                for u in cut:
-                    if u not in known:
-                        new[u] = None
-        names = list(new)
-        for i in range(0, len(names), 4096):
-            part = names[i : i + 4096]
-            known.update(zip(part, self._plain(part), strict=True))
+            self.known, self.older = {}, self.known
+        cuts = [UNIT.findall(t) for t in texts]
+        known, older, odd = self.known, self.older, unlike()
+        new, whole = [], set()
+        for u in set().union(*cuts).difference(known):
+            if u in older:
+                known[u] = older[u]
+            elif odd.isdisjoint(u):
+                new.append(u)
+            else:  # never stored, so found anew in every text that has it
+                whole.add(u)
+        known.update(zip(new, self._each(new), strict=True))
         get = known.__getitem__
-        return [b"".join(map(get, cut)) if cut is not None else self._plain([text])[0] for cut, text in zip(units, texts, strict=True)]
+        if not whole:
+            return [b"".join(map(get, cut)) for cut in cuts]
+        return [b"".join(map(get, cut)) if whole.isdisjoint(cut) else self._each([text])[0] for cut, text in zip(cuts, texts, strict=True)]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
