@@ -466,7 +466,7 @@ def mask_coverage(vox):
 
 
 @query(_PATCH + """, w as (select *, round(edge, 9) prob, round(edge, 9) > 0.5 act, count(*) over (partition by sample) n from p), w1 as (select *, sum(cast(act as int)) over (partition by sample) c from w)
-select sample, pid, row_number() over (partition by sample order by act desc, prob desc, pid) <= least(greatest(c, greatest(1, round_even(0.6 * n, 0))), greatest(1, round_even(0.8 * n, 0))) masked from w1""")
+select sample, pid, row_number() over (partition by sample order by act desc, prob desc, pid) <= least(greatest(c, greatest(1, round_even(0.6::double * n, 0))), greatest(1, round_even(0.8::double * n, 0))) masked from w1""")
 def enforce_ratio(vox):
     p = _patches(vox).withColumns({"prob": F.round("edge", 9), "act": F.round("edge", 9) > 0.5})
     return masking.enforce_ratio(p, "act", "prob", 0.6, 0.8).select("sample", "pid", "masked")
@@ -593,3 +593,26 @@ f as (select z, y, x, num, pow((z - cz) / rz::double, 2) + pow((y - cy) / ry::do
 select z, y, x, cast(coalesce(max(case when far < 1 then num end), 0) as bigint) "label", round(least(greatest(0.15 + 0.75 * max(exp(-2.5 * far)), 0), 1), 6) raw from f group by 1, 2, 3""", volume=False)
 def synthetic_em(spark, sf_dir):
     return r6(synthetic_volume(spark, (8, 16, 16), _BLOBS), "raw")
+
+
+# ---- kernels: no SQL form; tests hold their invariants -------------------
+
+@query()
+def watershed_fragments(vox):
+    from lamina.operators.kernels import watershed_fragments as fragments
+
+    return fragments(vox, distance=5).select("sample", "id", "fragment")
+
+
+@query()
+def watershed_agglomeration(vox):
+    from lamina.operators.kernels import watershed_fragments as fragments
+
+    return graph.agglomerate(fragments(vox, distance=5), "fragment", 0.6, "segment", min_boundary=2).select("sample", "id", "segment")
+
+
+@query()
+def hierarchical_agglomeration(vox):
+    from lamina.operators.kernels import hierarchical_agglomeration as merge
+
+    return merge(vox, "pred", 0.4).select("sample", "id", "segment")
