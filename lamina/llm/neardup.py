@@ -6,11 +6,12 @@ documents with probability their Jaccard similarity.  40 bands of 5 values find
 a pair at similarity 0.8 but for one in eight million.
 
 Copies first fall together into classes by a digest of their shingle set; one
-document stands for its class.  In each bucket the members are compared with a
-leader, links on full sets are joined to components, and only what then still
-lies in different components of one bucket is compared pair by pair.  So a
-bucket of thousands of near copies costs a few comparisons each, and no pair
-that shares a bucket is left untested unless a component holds both already.
+document stands for its class.  In two turns the members of a bucket are compared
+with a few leaders of other components, and links on full sets join components.
+What still shares a bucket with another component then goes through an exact
+prefix-filter join.  So a bucket of thousands of near copies costs a few
+comparisons each, and no pair that shares a bucket is left unless one component
+holds both already or the filter proves the two unlike.
 
 Defined results: a document without words has an empty set and is its own
 component; rows with a null id are never linked (component null, kept true);
@@ -127,20 +128,75 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are at least ``percent`` % alike."""
+    """(p, q) of the pairs (a, b, p, q) whose full sets are ``percent`` % alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                every = np.concatenate([s, t])
+                every.sort(kind="stable")
+                both = int((every[1:] == every[:-1]).sum())  # each set is distinct
+                keep.append(100 * both >= percent * (len(every) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("q")], ["p", "q"]).filter(pa.array(keep, pa.bool_()))
 
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(y, "b").join(x, "a").select("p", "q", "x", "y").mapInArrow(run, "p bigint, q bigint").distinct()
+
+
+#: Leaders that a bucket's members meet in a turn, and turns before the exact join of what is left.
+LEADERS, TURNS = 6, 2
+
+
+def _alike(n, m, percent: int):
+    """Set sizes that allow the similarity at all."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _with_leaders(now: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member with its bucket's leaders of other components.
+
+    A leader has the least hash of its bucket, so buckets that share most of
+    their members share their leaders too, and a pair is met once.
+    """
+    leaders = [F.min(F.struct(F.xxhash64("id", F.lit(turn * LEADERS + j)), "id", "n", "part")).alias(f"l{j}") for j in range(LEADERS)]
+    leads = now.groupBy("key").agg(*leaders).select("key", F.array_distinct(F.array(*(F.struct(f"l{j}.id", f"l{j}.n", f"l{j}.part") for j in range(LEADERS)))).alias("leads"))
+    both = now.join(leads, "key").select("id", "part", F.explode(F.filter("leads", lambda x: (x["part"] != F.col("part")) & _alike(x["n"], F.col("n"), percent))).alias("x"))
+    return _pairs(both, F.col("x.id"), F.col("x.part"))
+
+
+def _by_prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What is left, exactly: pairs of components by the prefix filter.
+
+    With each set's items from the rarest on, two sets that are alike share an
+    item among the first n - ceil(p n) + 1 of both, and at the first they share
+    enough items must follow.  Heavily edited copies of one text begin with their
+    own edits, so they do not meet, however many they are.
+    """
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "items"])
+
+    each = sets.join(left.select("id"), "id", "left_semi").mapInArrow(items, "id bigint, items array<bigint>").select("id", F.explode("items").alias("item"))
+    each = stored(each, "items")
+    often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ordered = each.join(often, "item", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "item"))).alias("items"))
+    length = (F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).cast("int")
+    first = ordered.join(left, "id").select("id", "n", "part", F.posexplode(F.slice("items", F.lit(1), length)).alias("at", "x"))
+    first = first.where("x.often > 1").select("id", "n", "part", (F.col("at") + 1).alias("at"), F.col("x.item").alias("item"))
+    other = first.select("item", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("at").alias("at2"))
+    enough = (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    both = first.join(other, "item").where((F.col("part") < F.col("part2")) & _alike(F.col("n"), F.col("n2"), percent) & enough)
+    return _pairs(both, F.col("id2"), F.col("part2"))
+
+
+def _pairs(both: DataFrame, id2, part2) -> DataFrame:
+    first = F.col("id") < id2
+    return both.select(F.least("id", id2).alias("a"), F.greatest("id", id2).alias("b"), F.when(first, F.col("part")).otherwise(part2).alias("p"), F.when(first, part2).otherwise(F.col("part")).alias("q")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,40 +207,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = stored(classes, "classes")
 
     members = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1").select("key", "lead")
-    buckets = stored(members.join(shared, "key"), "buckets")  # (key, id, n, lead) of buckets with two members at least
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    buckets = stored(members.join(shared, "key"), "buckets")  # (key, id, n, c) of buckets with two members at least
 
     ids = buckets.select("id").distinct()
     wanted = classes.join(ids, "id", "left_semi").select("id", "digest")
     sets = _sets(texts.join(ids, texts.doc_id == ids.id, "left_semi"), words)
     sets = stored(sets.join(wanted, ["id", "digest"], "left_semi").select("id", "items"), "sets")
 
-    size = buckets.select(F.col("id").alias("lead"), F.col("n").alias("m")).distinct()
-
-    def alike(n: str, m: str):  # sizes that allow the similarity at all
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & F.col(n).isNotNull()
-
-    led = buckets.where("id <> lead").select("lead", "id", "n").distinct().join(size, "lead").where(alike("n", "m"))
-    links = stored(_linked(led.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets, percent), "links")
-    parts = connected_components(links, "a", "b")
-
-    # Buckets that still hold several components: a second leader, of another
-    # component than the first, then every pair of different components.
-    for last in (False, True):
-        now = buckets.select("key", "id", "n").join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
-        open_keys = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max_by(F.struct("id", "part", "n"), "part").alias("lead")).where("p <> q")
-        if last:
-            here = stored(now.join(open_keys.select("key"), "key", "left_semi"), "open")
-            other = here.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("part").alias("part2"))
-            tried = here.join(other, "key").where((F.col("part") < F.col("part2")) & alike("n", "m"))
+    places = ids.select("id", F.col("id").alias("part"))  # each class's component so far
+    now = buckets.join(places, "id")
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            tried = _with_leaders(now, turn, percent)
         else:
-            tried = now.join(open_keys.select("key", F.col("lead.id").alias("id2"), F.col("lead.part").alias("part2"), F.col("lead.n").alias("m")), "key").where((F.col("part") != F.col("part2")) & alike("n", "m"))
-        tried = tried.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        more = stored(_linked(tried, sets, percent), "links")
-        links = links.union(more)
-        parts = connected_components(links, "a", "b")
-
-    found = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+            left = now.groupBy("id").agg(F.first("n").alias("n"), F.first("part").alias("part"))
+            tried = _by_prefixes(left, sets, percent)
+        links = stored(_linked(tried, sets, percent), "links")
+        if not links.isEmpty():
+            roots = connected_components(links, "p", "q").select(F.col("id").alias("part"), "component")
+            places = stored(places.join(roots, "part", "left").select("id", F.coalesce("component", "part").alias("part")), "places")
+        if turn < TURNS:  # what goes on: buckets of three members or more, in several components
+            now = buckets.where("c > 2").join(places, "id")
+            spread = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+            now = stored(now.join(spread.select("key"), "key", "left_semi"), "open")
+            if now.isEmpty():
+                break
+
+    found = classes.select("digest", "id").join(places, "id", "left").select("digest", F.coalesce("part", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
