@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from . import files
 from .common import scratch_path, whole_text
-from .units import encoder
+from .units import encoder, slices
 
 #: Ids of a block; a multiple of 64, so that blocks end on whole words.
 BLOCK = 1 << 14
@@ -36,6 +36,8 @@ def bits_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Little-endian bit stream; 64 ids fill ``bits`` words of 64 bits."""
     n = len(ids)
+    if bits == 16:  # the same stream, as NumPy's own integers
+        return np.pad(ids.astype("<u2"), (0, -n % 64)).tobytes()
     lanes = np.zeros((-(-n // 64), 64), np.uint64)
     lanes.reshape(-1)[:n] = ids
     words = np.zeros((len(lanes), bits), np.uint64)
@@ -49,6 +51,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     """The first ``n`` ids of packed bytes, as unsigned 32-bit integers."""
+    if bits == 16:
+        return np.frombuffer(data, "<u2")[:n].astype(np.uint32)
     words = np.frombuffer(data, "<u8").reshape(-1, bits)
     out = np.empty((len(words), 64), np.uint32)
     mask = np.uint64((1 << bits) - 1)
@@ -65,7 +69,7 @@ class _TokenWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.uri, self.vocabulary, self.end = options["path"], options["vocabulary"], int(options["end_id"])
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> files.Written | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> files.Written:
         part, name = files.new_name()
         store, path = files.open_store(self.uri)
         codec = encoder(self.vocabulary)
@@ -76,9 +80,9 @@ class _TokenWriter(DataSourceArrowWriter):
             if out is None and batch.num_rows:
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}.data", compression=None)
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = codec.encode([text.as_py() or ""])[0] + end
-                keys.append(key)
+            keys += batch.column(0).to_pylist()
+            for ids in (x for part in slices(batch.column(1).to_pylist()) for x in codec.encode(part)):
+                ids += end
                 sizes.append(len(ids) // 4)
                 rest.append(ids)
                 held += len(ids) // 4
@@ -89,7 +93,7 @@ class _TokenWriter(DataSourceArrowWriter):
                     total += whole
                     rest, held = [flat[whole:].tobytes()], held - whole
         if out is None:
-            return None
+            return files.Written(part, "", {})
         out.write(pack(np.frombuffer(b"".join(rest), "<u4"), bits))
         out.close()
         total += held
@@ -145,9 +149,12 @@ class _TokenReader(DataSourceReader):
         self.uri, self.docs = options["path"], int(options.get("splitDocs", 20_000))
 
     def partitions(self) -> list[DocRange]:
-        return [DocRange(f["name"], d, min(d + self.docs, f["docs"]), f["ids_before"]) for f in files.manifest(self.uri)["files"] for d in range(0, f["docs"], self.docs)]
+        found = [DocRange(f["name"], d, min(d + self.docs, f["docs"]), f["ids_before"]) for f in files.manifest(self.uri)["files"] for d in range(0, f["docs"], self.docs)]
+        return found or [DocRange("", 0, 0, 0)]  # Spark wants one partition at least
 
     def read(self, partition: DocRange) -> Iterator[pa.RecordBatch]:
+        if not partition.name:
+            return
         file = TokenFile(self.uri, partition.name)
         first = partition.first
         while first < partition.last:  # a few blocks at a time, one document at least

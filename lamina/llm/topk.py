@@ -173,10 +173,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(cast(x as double) * 64)) as v
+  select vec_id, list_transform(embedding, lambda x: floor(cast(x as double) * 64)) as v
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
   from (select distinct on (vec_id) * from v where vec_id % 20 = 0) q

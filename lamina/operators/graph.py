@@ -132,3 +132,12 @@ def grid_seeds(vox: DataFrame, distance: int, first: int = 1) -> DataFrame:
     half = distance // 2
     chosen = vox.where((F.col("y") % distance == half) & (F.col("x") % distance == half)).select("sample", *AXES)
     return chosen.withColumn("seed", (F.row_number().over(Window.partitionBy("sample").orderBy(*AXES)) + first - 1).cast("bigint"))
+
+
+def rag_stats(vox: DataFrame, segment: str, min_boundary: int = 1) -> DataFrame:
+    """(sample, segments, pairs, mean_faces, pairs_per_mvoxel) of the region graph."""
+    size = vox.groupBy("sample").agg(F.count(F.lit(1)).alias("voxels"), F.countDistinct(F.when(F.col(segment) > 0, F.col(segment))).alias("segments"))
+    pairs = boundary_pairs(vox, segment).groupBy("sample", "lo", "hi").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_boundary)
+    sums = pairs.groupBy("sample").agg(F.count(F.lit(1)).alias("pairs"), F.avg("n").alias("mean_faces"))
+    out = size.join(sums, "sample", "left")
+    return out.select("sample", "segments", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("mean_faces", F.lit(0.0)).alias("mean_faces"), (F.coalesce("pairs", F.lit(0)) / F.greatest(F.col("voxels") / 1e6, F.lit(1e-6))).alias("pairs_per_mvoxel"))

@@ -118,3 +118,12 @@ def crop_plan(spark, n_paths: int, multiplier: int, shape: tuple[int, int, int],
         draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(a), F.col("index").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
         plan = plan.withColumn(f"{a}0", draw % (max(0, d - s) + 1))
     return plan
+
+
+def factor_grid(spark, patches: int) -> DataFrame:
+    """(d, h, w) with d <= h <= w and d h w = ``patches``, the most even, z the least."""
+    d = spark.range(1, round(patches ** (1 / 3)) + 8).where(F.lit(patches) % F.col("id") == 0).select(F.col("id").alias("a"))
+    h = d.withColumn("rest", F.expr(f"{patches} div a")).withColumn("b", F.explode(F.expr("sequence(1L, cast(sqrt(rest) as bigint))"))).where("rest % b = 0")
+    dims = h.select("a", "b", F.array_sort(F.array("a", "b", F.expr("rest div b"))).alias("s"))
+    score = (F.col("s")[2] - F.col("s")[1]) + 2 * (F.col("s")[1] - F.col("s")[0])
+    return dims.orderBy(score, "a", "b").limit(1).select(*(F.col("s")[i].alias(n) for i, n in enumerate("dhw")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.scalar import clamp, sigmoid
 
+from .stencil import AXES, before
+
 
 def long_channels(vox: DataFrame, logits: tuple[str, ...], targets: tuple[str, ...], valid: tuple[str, ...] | None = None, weight: str | None = None, names: tuple[str, ...] = ("z", "y", "x"), keep: tuple[str, ...] = ("sample",)) -> DataFrame:
     """One row a voxel and channel: c, l, t, v (counts or not), s (spatial weight)."""
@@ -18,8 +22,8 @@ def long_channels(vox: DataFrame, logits: tuple[str, ...], targets: tuple[str, .
 def ratio_weight(by: tuple[str, ...] = ("sample", "c"), alpha: float = 1.0) -> Column:
     """The rarer class of a channel weighs more; the commoner keeps 1."""
     p = clamp(F.avg("t").over(Window.partitionBy(*by)), 0.05, 0.99)
-    positive = F.when(p < 0.5, F.pow((1 - p) / p, F.lit(alpha))).otherwise(1.0)
-    negative = F.when(p < 0.5, 1.0).otherwise(F.pow(p / (1 - p), F.lit(alpha)))
+    positive = F.when(p > 0.5, 1.0).otherwise(alpha * (1 - p) / p)
+    negative = F.when(p > 0.5, alpha * p / (1 - p)).otherwise(1.0)
     return F.when(F.col("t") >= 0.5, positive).otherwise(negative)
 
 
@@ -53,20 +57,97 @@ def soft_dice(rows: DataFrame, smooth: float = 1.0, boundary: bool = False) -> D
     return by_c.groupBy("sample").agg(F.avg("d").alias("loss"))
 
 
-def ranking(rows: DataFrame, margin: float = 1.0, gap: float = 0.0) -> DataFrame:
-    """(sample, rank_loss, calibration): mean logits of edges kept and cut should differ
-    by a margin, and the z channel's mean probability should lie ``gap`` below y and x."""
-    kept, l = (F.col("t") >= 0.5) & (F.col("v") > 0), F.col("l")
-    by_c = rows.groupBy("sample", "c").agg(F.avg(F.when(kept, l)).alias("p"), F.avg(F.when(~kept & (F.col("v") > 0), l)).alias("n"), F.avg(F.when(F.col("v") > 0, sigmoid(l, None))).alias("m"))
-    soft = F.log1p(F.exp(F.lit(margin) - F.col("p") + F.col("n")))
-    z, yx = F.avg(F.when(F.col("c") == "z", F.col("m"))), F.avg(F.when(F.col("c") != "z", F.col("m")))
-    return by_c.groupBy("sample").agg(F.coalesce(F.avg(soft), F.lit(0.0)).alias("rank_loss"), F.when(F.count(F.lit(1)) == 3, F.pow(z - yx + gap, F.lit(2.0))).otherwise(0.0).alias("calibration"))
+def _contrast(rows: DataFrame, margin: float) -> DataFrame:
+    """(sample, c, soft, m): softplus of how little kept edges' mean logit exceeds
+    cut edges' by the margin (null where either is missing); mean logit."""
+    l, v = F.col("l"), F.col("v") > 0
+    by_c = rows.groupBy("sample", "c").agg(F.avg(F.when((F.col("t") >= 0.75) & v, l)).alias("p"), F.avg(F.when((F.col("t") <= 0.25) & v, l)).alias("n"), F.avg(F.when(v, l)).alias("m"))
+    return by_c.select("sample", "c", F.log1p(F.exp(F.lit(margin) - F.col("p") + F.col("n"))).alias("soft"), "m")
 
 
-def membrane_weight(vox: DataFrame, weight: float, edge: str = "edge", out: str = "spatial") -> DataFrame:
-    """1 + weight x edge, over its sample's mean."""
+def ranking(rows: DataFrame, margin: float = 1.0, gap: float = 0.0) -> DataFrame:
+    """(sample, rank_loss, calibration): kept edges above cut ones by a margin, and
+    the z channel's mean logit ``gap`` below that of y and x if all three count.
+
+    Means over all edges; none are sampled.
+    """
+    z, yx = F.avg(F.when(F.col("c") == "z", F.col("m"))), F.avg(F.when(F.col("c") != "z", F.col("m")))
+    return _contrast(rows, margin).groupBy("sample").agg(F.coalesce(F.avg("soft"), F.lit(0.0)).alias("rank_loss"), F.when(F.count("m") == 3, F.pow(z - yx + gap, F.lit(2.0))).otherwise(0.0).alias("calibration"))
+
+
+def connectivity(vox: DataFrame, logits: tuple[str, str, str], targets: tuple[str, str, str], valid: tuple[str, str, str] | None = None, margin: float = 0.05, weights: tuple[float, float, float] = (1.0, 0.15, 0.25)) -> DataFrame:
+    """(sample, path, smooth, contrast, loss): two steps along a channel's own axis
+    should multiply like the targets, stay even within objects, and stand apart."""
+    path = smooth = F.lit(0.0)
+    cols, axes = [], F.lit(0)
+    for i, a in enumerate(AXES):
+        p, t = sigmoid(F.col(logits[i]), None), F.col(targets[i]).cast("double")
+        m = F.col(valid[i]).cast("double") if valid else F.lit(1.0)
+        names = {f"__p{a}": p, f"__t{a}": t, f"__m{a}": m}
+        vox = vox.withColumns(names)
+        vox = vox.withColumns({f"{n}0": before(a, n) for n in names})
+        both = F.col(f"__m{a}") * F.col(f"__m{a}0")
+        same = both * F.col(f"__t{a}") * F.col(f"__t{a}0")
+        missed = F.pow(F.col(f"__p{a}") * F.col(f"__p{a}0") - F.col(f"__t{a}") * F.col(f"__t{a}0"), F.lit(2.0))
+        uneven = F.pow(F.col(f"__p{a}0") - F.col(f"__p{a}"), F.lit(2.0))
+        for n, x, w in (("path", missed, both), ("smooth", uneven, same)):
+            cols.append((F.sum(x * w) / F.greatest(F.sum(w), F.lit(1.0))).alias(f"{n}_{a}"))
+        path, smooth = path + F.coalesce(f"path_{a}", F.lit(0.0)), smooth + F.coalesce(f"smooth_{a}", F.lit(0.0))
+        axes = axes + F.col(f"path_{a}").isNotNull().cast("int")
+    sums = vox.groupBy("sample").agg(*cols).select("sample", (path / F.greatest(axes, F.lit(1))).alias("path"), (smooth / F.greatest(axes, F.lit(1))).alias("smooth"))
+    apart = _contrast(long_channels(vox, logits, targets, valid), margin).groupBy("sample").agg(F.coalesce(F.avg("soft"), F.lit(0.0)).alias("contrast"))
+    total = weights[0] * F.col("path") + weights[1] * F.col("smooth") + weights[2] * F.col("contrast")
+    return sums.join(apart, "sample").withColumn("loss", total)
+
+
+def spatial_mse(rows: DataFrame, norm: str = "spatial") -> DataFrame:
+    """(sample, loss): class-balanced squared error over the voxels, or the valid edges."""
+    each = rows.withColumn("__l", squared_error() * ratio_weight() * F.col("v") * F.col("s"))
+    voxels = F.count(F.lit(1)) / F.countDistinct("c")
+    base = F.sum("v") if norm == "valid" else voxels
+    return each.groupBy("sample").agg((F.sum("__l") / F.greatest(base, F.lit(1.0))).alias("loss"))
+
+
+def shape_loss(vox: DataFrame, logits: tuple[str, str, str, str], fg_weight: float = 0.25, offset_weight: float = 1.0) -> DataFrame:
+    """(sample, fg_loss, offset_loss, loss) of shape descriptors fg, oz, oy, ox."""
+    l, t = F.col(logits[0]), F.col("fg").cast("double")
+    bce = F.greatest(l, F.lit(0.0)) - l * t + F.log1p(F.exp(-F.abs(l)))
+    off = F.lit(0.0)
+    for name, a in zip(logits[1:], AXES, strict=True):
+        d = F.abs(F.tanh(F.col(name)) - F.col(f"o{a}")) * t
+        off = off + F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)
+    out = vox.groupBy("sample").agg(F.avg(bce).alias("fg_loss"), (F.sum(off) / (F.greatest(F.sum(t), F.lit(1.0)) * 3)).alias("offset_loss"))
+    return out.withColumn("loss", fg_weight * F.col("fg_loss") + offset_weight * F.col("offset_loss"))
+
+
+def policy_loss(decisions: DataFrame, value_weight: float = 0.5, entropy_weight: float = 0.01, edge_reward: float = 0.0, ratio_weight: float = 0.0, hard: bool = False, clip: float = 0.0, normalize: bool = False) -> DataFrame:
+    """(actor, critic, entropy, loss) over (recon, value, log_prob, entropy, gain, ratio_penalty)."""
+    reward = (F.col("recon") if hard else -F.col("recon")) + edge_reward * F.col("gain") - ratio_weight * F.col("ratio_penalty")
+    if clip > 0:
+        reward = clamp(reward, -clip, clip)
+    each = decisions.withColumn("__r", reward).withColumn("__a", F.col("__r") - F.col("value"))
+    if normalize:
+        s = each.agg(F.avg("__a").alias("__m"), F.stddev_pop("__a").alias("__s"), F.count(F.lit(1)).alias("__n"))  # one row
+        scaled = (F.col("__a") - F.col("__m")) / F.greatest("__s", F.lit(1e-6))
+        each = each.crossJoin(s).withColumn("__a", F.when(F.col("__n") > 1, scaled).otherwise(F.col("__a")))
+    out = each.agg((-F.avg(F.col("log_prob") * F.col("__a"))).alias("actor"), F.avg(F.pow(F.col("value") - F.col("__r"), F.lit(2.0))).alias("critic"), (-F.avg("entropy")).alias("entropy"))
+    return out.withColumn("loss", F.col("actor") + value_weight * F.col("critic") + entropy_weight * F.col("entropy"))
+
+
+def prior_log_probs(bins: list[float], start: float | None, margin: float) -> list[float]:
+    """Log-softmax with a margin at the bin nearest to ``start``."""
+    raw = [0.0] * len(bins)
+    if start is not None and margin > 0:
+        raw[min(range(len(bins)), key=lambda i: abs(bins[i] - start))] = margin
+    total = math.log(sum(map(math.exp, raw)))
+    return [x - total for x in raw]
+
+
+def membrane_weight(vox: DataFrame, weight: float, edge: str = "edge", valid: str | None = None, out: str = "spatial") -> DataFrame:
+    """1 + weight x edge, over its sample's mean where ``valid``."""
     raw = 1 + F.lit(weight) * F.col(edge)
-    return vox.withColumn(out, raw / F.greatest(F.avg(raw).over(Window.partitionBy("sample")), F.lit(1e-6)))
+    counts = F.when(F.col(valid) > 0, raw) if valid else raw
+    return vox.withColumn(out, raw / F.greatest(F.coalesce(F.avg(counts).over(Window.partitionBy("sample")), F.lit(1e-6)), F.lit(1e-6)))
 
 
 def reconstruction(patches: DataFrame, pred: str, target: str, weight: str | None = None) -> DataFrame:
@@ -74,4 +155,4 @@ def reconstruction(patches: DataFrame, pred: str, target: str, weight: str | Non
     err = F.zip_with(pred, target, lambda a, b: (a - b) * (a - b))
     mean = F.aggregate(err, F.lit(0.0), lambda s, e: s + e) / F.size(err)
     w = F.col("masked").cast("double") * (F.col(weight) if weight else F.lit(1.0))
-    return patches.withColumns({"__e": mean, "__w": w}).groupBy("sample").agg((F.sum(F.col("__e") * F.col("__w")) / F.greatest(F.sum("__w"), F.lit(1e-6))).alias("loss"))
+    return patches.withColumns({"__e": mean, "__w": w}).groupBy("sample").agg((F.sum(F.col("__e") * F.col("__w")) / F.greatest(F.sum("__w"), F.lit(1.0))).alias("loss"))

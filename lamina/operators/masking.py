@@ -41,7 +41,7 @@ def enforce_ratio(patches: DataFrame, action: str, prob: str, least: float, most
     """Adds masked: actions, with the likeliest added or the unlikeliest dropped."""
     w = Window.partitionBy(by)
     n, chosen = _count(by), F.sum(F.col(action).cast("int")).over(w)
-    low, high = F.greatest(F.lit(1), F.bround(F.lit(least) * n)), F.greatest(F.lit(1), F.bround(F.lit(most) * n))
+    low, high = F.greatest(F.lit(1), F.bround(F.lit(least) * n)), F.least(n - 1, F.bround(F.lit(most) * n))
     want = F.least(F.greatest(chosen, low), high)
     rank = F.row_number().over(w.orderBy(F.col(action).desc(), F.col(prob).desc(), "pid"))
     return patches.withColumn("masked", rank <= want)

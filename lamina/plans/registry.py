@@ -466,7 +466,7 @@ def mask_coverage(vox):
 
 
 @query(_PATCH + """, w as (select *, round(edge, 9) prob, round(edge, 9) > 0.5 act, count(*) over (partition by sample) n from p), w1 as (select *, sum(cast(act as int)) over (partition by sample) c from w)
-select sample, pid, row_number() over (partition by sample order by act desc, prob desc, pid) <= least(greatest(c, greatest(1, round_even(0.6::double * n, 0))), greatest(1, round_even(0.8::double * n, 0))) masked from w1""")
+select sample, pid, row_number() over (partition by sample order by act desc, prob desc, pid) <= least(greatest(c, greatest(1, round_even(0.6::double * n, 0))), least(n - 1, round_even(0.8::double * n, 0))) masked from w1""")
 def enforce_ratio(vox):
     p = _patches(vox).withColumns({"prob": F.round("edge", 9), "act": F.round("edge", 9) > 0.5})
     return masking.enforce_ratio(p, "act", "prob", 0.6, 0.8).select("sample", "pid", "masked")
@@ -487,11 +487,26 @@ def loss_mse(vox):
     return r6(losses.mean_loss(_rows(vox), losses.squared_error()), "loss")
 
 
-@query(_LONG + """, b as (select *, avg(t) over (partition by sample, c) f0 from e), b1 as (select *, least(greatest(f0, 0.05), 0.99) f from b),
-b2 as (select *, v * case when t >= 0.5 then case when f < 0.5 then (1 - f) / f else 1 end else case when f < 0.5 then 1 else f / (1 - f) end end wt from b1)
-select sample, round(sum(wt * (p - t) * (p - t)) / greatest(sum(wt), 1), 6) loss from b2 group by 1""")
+_BALANCED = _LONG + """, b as (select *, least(greatest(avg(t) over (partition by sample, c), 0.05), 0.99) f from e),
+b2 as (select *, (p - t) * (p - t) * case when t >= 0.5 then case when f > 0.5 then 1 else (1 - f) / f end else case when f > 0.5 then f / (1 - f) else 1 end end m from b)"""
+
+
+@query(_BALANCED + " select sample, round(sum(v * m) / greatest(sum(v), 1), 6) loss from b2 group by 1")
 def loss_mse_balanced(vox):
-    return r6(losses.mean_loss(_rows(vox), losses.squared_error(), losses.ratio_weight()), "loss")
+    return r6(losses.mean_loss(_rows(vox), losses.squared_error() * losses.ratio_weight()), "loss")
+
+
+@query(_BALANCED + " select sample, round(sum(v * m) / greatest(count(*) / 3.0::double, 1), 6) loss from b2 group by 1")
+def loss_mse_spatial(vox):
+    return r6(losses.spatial_mse(_rows(vox)), "loss")
+
+
+@query(_LONG + """, h as (select sample, sum(v * (greatest(l, 0) - l * t + ln(1 + exp(-abs(l))))) / greatest(sum(v), 1) a, sum(v * (p - t) * (p - t)) / greatest(sum(v), 1) b from e group by 1)
+select sample, round(a + 0.5 * b, 6) loss from h""")
+def loss_hybrid(vox):
+    rows = _rows(vox)
+    both = losses.mean_loss(rows, losses.cross_entropy(), name="a").join(losses.mean_loss(rows, losses.squared_error(), name="b"), "sample")
+    return r6(both.select("sample", (F.col("a") + 0.5 * F.col("b")).alias("loss")), "loss")
 
 
 @query(_LONG + """ select sample, round(sum(v * (greatest(l, 0) - l * t + ln(1 + exp(-abs(l)))) * case when t >= 0.5 then 1 else 2 end * pow(1 - (p * t + (1 - p) * (1 - t)), 2)) / greatest(sum(v), 1), 6) loss from e group by 1""")
@@ -504,8 +519,8 @@ def loss_dice(vox):
     return r6(losses.soft_dice(_rows(vox)), "loss")
 
 
-@query(_LONG + """, d as (select sample, c, avg(case when t >= 0.5 and v > 0 then l end) a, avg(case when t < 0.5 and v > 0 then l end) b, avg(case when v > 0 then p end) m from e group by 1, 2)
-select sample, round(avg(ln(1 + exp(1 - a + b))), 6) rank_loss, round(pow(avg(case when c = 'z' then m end) - avg(case when c <> 'z' then m end), 2), 6) calibration from d group by 1""")
+@query(_LONG + """, d as (select sample, c, avg(case when t >= 0.5 and v > 0 then l end) a, avg(case when t < 0.5 and v > 0 then l end) b, avg(case when v > 0 then l end) m from e group by 1, 2)
+select sample, round(avg(ln(1 + exp(1 - a + b))), 6) rank_loss, round(case when count(m) = 3 then pow(avg(case when c = 'z' then m end) - avg(case when c <> 'z' then m end), 2) else 0 end, 6) calibration from d group by 1""")
 def loss_bcar(vox):
     return r6(losses.ranking(_rows(vox)), "rank_loss", "calibration")
 
@@ -523,6 +538,39 @@ def loss_mae(vox):
     return r6(losses.reconstruction(masking.random_mask(a.join(b, ["sample", "pid"]), 0.75), "ax", "ay"), "loss")
 
 
+_STEPS = "q as (select *, " + ", ".join(f"1 / (1 + exp(-8 * (a{a} - 0.5::double))) p{a}, cast(coalesce({_back(a, 'label')} = label and label > 0, false) as int)::double t{a}, cast(coalesce(label <> 0 and {_back(a, 'label')} <> 0, false) as int)::double v{a}" for a in "zyx") + " from vox), q2 as (select *, " + ", ".join(f"{_back(a, c + a)} {c}{a}0" for a in "zyx" for c in "ptv") + " from q)"
+
+
+@query(_LONG + ", " + _STEPS + """, s as (select sample, """ + ", ".join(f"sum(v{a} * v{a}0 * pow(p{a} * p{a}0 - t{a} * t{a}0, 2)) / greatest(sum(v{a} * v{a}0), 1) path{a}, sum(v{a} * v{a}0 * t{a} * t{a}0 * pow(p{a} - p{a}0, 2)) / greatest(sum(v{a} * v{a}0 * t{a} * t{a}0), 1) smooth{a}" for a in "zyx") + """ from q2 group by 1),
+d as (select sample, c, avg(case when t >= 0.75 and v > 0 then l end) a, avg(case when t <= 0.25 and v > 0 then l end) b from e group by 1, 2),
+k as (select sample, coalesce(avg(ln(1 + exp(0.05 - a + b))), 0) contrast from d group by 1),
+r as (select sample, list_avg(list_filter([pathz, pathy, pathx], lambda x: x is not null)) path, list_avg(list_filter([smoothz, smoothy, smoothx], lambda x: x is not null)) smooth, contrast from s join k using (sample))
+select sample, round(path, 6) path, round(smooth, 6) smooth, round(contrast, 6) contrast, round(path + 0.15 * smooth + 0.25 * contrast, 6) loss from r""")
+def loss_connectivity(vox):
+    both = stencil.valid_edges(stencil.affinities(logits(vox)))
+    return r6(losses.connectivity(both, ("lz", "ly", "lx"), ("tz", "ty", "tx"), ("vz", "vy", "vx")), "path", "smooth", "contrast", "loss")
+
+
+@query("w as (select *, " + ", ".join(f"{_N.format(a=a)} n{a}" for a in "zyx") + " from vox), f as (select *, cast(label > 0 as int)::double fg, 8 * (az - 0.5::double) l, " + ", ".join(f"case when label > 0 then abs((1 - 2 / (exp(2 * g{a}) + 1)) - least(greatest(avg(n{a}) over (partition by sample, label) - n{a}, -1), 1)) else 0 end d{a}" for a in "zyx").replace("gz", "(8 * (ay - 0.5::double))").replace("gy", "(8 * (ax - 0.5::double))").replace("gx", "(8 * (az - 0.5::double))") + """ from w),
+h as (select sample, avg(greatest(l, 0) - l * fg + ln(1 + exp(-abs(l)))) fg_loss, sum(""" + " + ".join(f"case when d{a} < 1 then 0.5 * d{a} * d{a} else d{a} - 0.5 end" for a in "zyx") + """) / (greatest(sum(fg), 1) * 3) offset_loss from f group by 1)
+select sample, round(fg_loss, 6) fg_loss, round(offset_loss, 6) offset_loss, round(0.25 * fg_loss + offset_loss, 6) loss from h""")
+def loss_lsd(vox):
+    return r6(losses.shape_loss(stencil.shape_descriptors(logits(vox)), ("lz", "ly", "lx", "lz")), "fg_loss", "offset_loss", "loss")
+
+
+@query(_PAIRS + """, n as (select sample, lo, hi, count(*) n from p group by 1, 2, 3), g as (select sample, count(*) pairs, avg(n) mean_faces from n group by 1), z as (select sample, count(*) voxels, count(distinct case when pred > 0 then pred end) segments from vox group by 1)
+select sample, segments, coalesce(pairs, 0) pairs, round(coalesce(mean_faces, 0), 6) mean_faces, round(coalesce(pairs, 0) / (voxels / 1e6::double), 6) pairs_per_mvoxel from z left join g using (sample)""")
+def rag_stats(vox):
+    return r6(graph.rag_stats(vox, "pred"), "mean_faces", "pairs_per_mvoxel")
+
+
+@query("""with d as (select unnest(range(1, 18)) a), h as (select a, 960 // a rest from d where 960 % a = 0), k as (select a, rest, b from h, (select unnest(range(1, 32)) b) where b * b <= rest and rest % b = 0),
+s as (select a, b, list_sort([a, b, rest // b]) s from k)
+select s[1] d, s[2] h, s[3] w from s order by (s[3] - s[2]) + 2 * (s[2] - s[1]), a, b limit 1""", volume=False)
+def factor_grid(spark, sf_dir):
+    return grid.factor_grid(spark, 960)
+
+
 # ---- sweeps and manifests ------------------------------------------------
 
 _AXES = {"threshold": [0.1, 0.25, 0.5], "seed_distance": [4, 10], "min_boundary": [1, 4], "score_mode": ["mean", "q25"]}
