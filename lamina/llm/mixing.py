@@ -56,10 +56,10 @@ def target_rates(docs: DataFrame, weights: dict[str, float] | None, power: float
         shares = counts.withColumn("__w", weight)
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__source string, __w double")
-        shares = counts.join(given, "__source")
-    whole = shares.agg(F.sum("__w").alias("w")).crossJoin(counts.agg(F.sum("__n").alias("n"))).first()  # one row
+        shares = counts.join(given, "__source", "left")
+    whole = shares.agg(F.sum("__w").alias("w"), F.sum("__n").alias("n")).first()
     size = float(total or whole["n"] or 0)
-    return shares.select("__source", (F.col("__w") / F.lit(float(whole["w"] or 1)) * F.lit(size) / F.col("__n")).alias("__rate"))
+    return shares.where("__w is not null").select("__source", (F.col("__w") / F.lit(float(whole["w"] or 1)) * F.lit(size) / F.col("__n")).alias("__rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, total: float | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", key_col: str = "shuffle_key", ordered: bool = True) -> DataFrame:
