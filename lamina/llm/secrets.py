@@ -1,8 +1,8 @@
 """Secrets: fixed patterns, and a token-efficiency test for random strings.
 
 A string that a vocabulary spells with few characters per token was not written
-by people.  Candidates are long unbroken runs; digests of known lengths, UUIDs
-and other identifiers are set aside before the test.
+by people.  Candidates are long unbroken runs, and of a dotted run each part that is
+long enough; digests of known lengths and UUIDs are set aside before the test.
 
 Defined results: a null text is empty and has no span; a null id stays null;
 repeated rows give repeated results; an empty table gives no row; other columns
@@ -31,25 +31,18 @@ _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 ASSIGN = re.compile(rf"(?:{_WORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 HEX = re.compile("[0-9a-f]{32,}")
-#: Runs for the efficiency test: key-like characters, 20 or more.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])")
+#: Runs for the efficiency test: key-like characters, 20 or more; a full stop ends a run.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 _DIGEST = re.compile(r"[0-9a-fA-F]+\Z")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
-_WORDLIKE = re.compile(r"[A-Za-z]+(?:[_/=+-]+[A-Za-z]+)*[_/=+-]*\Z|[0-9_/=+-]+\Z")
-_CAMEL = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+|[_/=+-]+")
 
 
 def excluded(run: str) -> bool:
-    """Digests of known lengths, UUIDs, numbers, words and their compounds."""
-    if _UUID.match(run) or _DIGEST.match(run) and len(run) in DIGEST_LENGTHS:
-        return True
-    if _WORDLIKE.match(run):
-        pieces = _CAMEL.findall(run)
-        return not pieces or len(run) / len(pieces) >= 3
-    return False
+    """Digests of known lengths and UUIDs."""
+    return bool(_UUID.match(run) or _DIGEST.match(run) and len(run) in DIGEST_LENGTHS)
 
 
 def entropy(run: str) -> float:
@@ -101,8 +94,6 @@ def added_spans(text: str, base: list[tuple[int, int, int]], test: Efficiency, m
         run = m.group()
         if excluded(run) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if sum((any(map(str.isdigit, run)), any(map(str.islower, run)), any(map(str.isupper, run)))) < 2:
-            continue
         if entropy(run) >= min_entropy and test.ratio(run) < max_ratio:
             out.append((m.start(), 3, m.end()))
     return out

@@ -110,3 +110,17 @@ def test_random_strings_stand_out(spark):
     for clean in ("internationalization_of_configuration", "123e4567-e89b-12d3-a456-426614174000", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "12345678901234567890123", "getUserAccountConfigurationByIdentifier"):
         assert find(f"see {clean} here") == []
     assert secrets.redact("ab token=abcdefgh99 cd", secrets.base_spans("ab token=abcdefgh99 cd"), "[secret]") == "ab [secret] cd"
+
+
+def test_keys_at_full_stops_and_of_one_class():
+    test = secrets._efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    find = lambda t: [t[s:e] for s, k, e in secrets.added_spans(t, secrets.base_spans(t), test, 2.0, 3.5)]
+    key = "Zk3Jq9LmX7vTb2RwYp5NcA8d"
+    assert find(f"use {key}. Next") == find(f"use .{key}") == find(f"{key}...") == [key]
+    jwt = ["eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    assert find(f"bearer {'.'.join(jwt)}.") == jwt
+    assert find(f"SG.{key}.{jwt[2]} is the mailer's") == [key, jwt[2]]
+    for letters in ("qzjxkvwpmtrbhgyfldncuqxz", "XKQZJVWPMTRBHGYFLDNCUQXZ", "qZjXkVwPmTrBhGyFlDnCuQxZ"):
+        assert find(f"the key {letters} opens it") == [letters]
+    for clean in ("Donaudampfschifffahrtsgesellschaft.", "www.internationalization-of-configuration.example.com", "id.123e4567-e89b-12d3-a456-426614174000.json", "." * 40, "=" * 40):
+        assert find(f"see {clean} here") == []
