@@ -60,13 +60,17 @@ def _few(table: DataFrame, rows: int = 10_000) -> bool:
     return table.limit(rows + 1).count() <= rows
 
 
-def stitch_windows(vox: DataFrame, dims: dict[str, int], window: tuple[int, int, int], stride: tuple[int, int, int], logit: Column) -> DataFrame:
+def stitch_windows(vox: DataFrame, dims: dict[str, int], window: tuple[int | None, int, int], stride: tuple[int | None, int, int], logit: Column) -> DataFrame:
     """(sample, z, y, x, n, p): mean logit over the windows on a voxel, as probability.
 
     ``logit`` may use the window's start (wz, wy, wx).  The starts along an axis
-    are few and fixed, so a voxel is given its windows by a filter on them.
+    are few and fixed, so a voxel is given its windows by a filter on them.  An axis
+    whose window is None lies whole in each window, from 0 on, however long it is.
     """
     for a, w, s in zip(AXES, window, stride, strict=True):
+        if w is None:
+            vox = vox.withColumn(f"w{a}", F.lit(0))
+            continue
         starts = [0] if dims[a] <= w else sorted({*range(0, dims[a] - w + 1, max(1, s)), dims[a] - w})
         hold = F.filter(F.array(*(F.lit(x) for x in starts)), _covers(a, w))
         vox = vox.withColumn(f"w{a}", F.explode(hold))

@@ -306,7 +306,7 @@ def chunk_halo_core(vox):
 select sample, z, y, x, count(*) n, round(1 / (1 + exp(-avg(8 * (ax - 0.5::double) + 0.01 * (wy - wx)))), 6) p from t group by 1, 2, 3, 4""")
 def window_stitch(vox):
     logit = 8 * (F.col("ax") - 0.5) + 0.01 * (F.col("wy") - F.col("wx"))
-    return r6(grid.stitch_windows(vox, {"z": 1 << 20, "y": 20, "x": 20}, (1 << 20, 8, 8), (1, 5, 5), logit), "p")
+    return r6(grid.stitch_windows(vox, {"y": 20, "x": 20}, (None, 8, 8), (None, 5, 5), logit), "p")
 
 
 @query("select sample, z - 1 as z, y - 4 as y, x - 2 as x, raw, label from vox where z >= 1 and z < 4 and y >= 4 and y < 16 and x >= 2 and x < 18")

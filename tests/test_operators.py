@@ -105,6 +105,15 @@ def test_stitching_a_constant_gives_it(spark):
     assert len(got) == vox.count() and all(r["p"] == pytest.approx(1 / (1 + np.exp(-0.7))) for r in got)
 
 
+def test_window_stitch_keeps_voxels_at_any_depth(spark):
+    from lamina.plans.registry import window_stitch
+
+    vox = demo_voxels(spark, SF).where("sample = 'C'")
+    shown = lambda df: sorted(map(tuple, df.drop("z").collect()))
+    deep = window_stitch(vox.withColumn("z", F.col("z") + (1 << 20)))
+    assert vox.count() and shown(deep) == shown(window_stitch(vox))
+
+
 def test_padding(spark):
     row = volume(spark, [[[1, 2, 3, 4]]])
     shown = lambda df: [r["label"] for r in df.orderBy("x").collect()]
