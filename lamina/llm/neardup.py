@@ -117,12 +117,20 @@ def _hashed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(id, digest, items) of each row; of rows repeated within a task, once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Shingler(words)
+        cut, seen = Shingler(words), set()
         for batch in batches:
-            sets = [cut(t.as_py() or "").tobytes() for t in batch.column(1)]
-            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "items"])
+            rows = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = cut(t.as_py() or "").tobytes()
+                key = i, hashlib.blake2b(s, digest_size=16).digest()
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((*key, s))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "digest", "items"])
 
     return docs.mapInArrow(run, "id bigint, digest binary, items binary")
 
@@ -173,20 +181,22 @@ def _by_prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     With each set's items from the rarest on, two sets that are alike share an
     item among the first n - ceil(p n) + 1 of both, and at the first they share
     enough items must follow.  Heavily edited copies of one text begin with their
-    own edits, so they do not meet, however many they are.
+    own edits, so they do not meet, however many they are.  ``sets`` has each
+    set once; an id with several texts has several sets, each with its own size.
     """
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("which"), lists], ["id", "which", "items"])
 
-    each = sets.join(left.select("id"), "id", "left_semi").mapInArrow(items, "id bigint, items array<bigint>").select("id", F.explode("items").alias("item"))
+    those = sets.join(left.select("id"), "id", "left_semi").select("id", F.xxhash64("digest").alias("which"), "items")
+    each = those.mapInArrow(items, "id bigint, which bigint, items array<bigint>").select("id", "which", F.explode("items").alias("item"))
     each = stored(each, "items")
     often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ordered = each.join(often, "item", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "item"))).alias("items"))
+    ordered = each.join(often, "item", "left").groupBy("id", "which").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "item"))).alias("items"))
     length = (F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).cast("int")
-    first = ordered.join(left, "id").select("id", "n", "part", F.posexplode(F.slice("items", F.lit(1), length)).alias("at", "x"))
+    first = ordered.withColumn("n", F.size("items").cast("bigint")).join(left, "id").select("id", "n", "part", F.posexplode(F.slice("items", F.lit(1), length)).alias("at", "x"))
     first = first.where("x.often > 1").select("id", "n", "part", (F.col("at") + 1).alias("at"), F.col("x.item").alias("item"))
     other = first.select("item", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("at").alias("at2"))
     enough = (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
@@ -213,7 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ids = buckets.select("id").distinct()
     wanted = classes.join(ids, "id", "left_semi").select("id", "digest")
     sets = _sets(texts.join(ids, texts.doc_id == ids.id, "left_semi"), words)
-    sets = stored(sets.join(wanted, ["id", "digest"], "left_semi").select("id", "items"), "sets")
+    sets = stored(sets.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "sets")
 
     places = ids.select("id", F.col("id").alias("part"))  # each class's component so far
     now = buckets.join(places, "id")
@@ -221,7 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         if turn < TURNS:
             tried = _with_leaders(now, turn, percent)
         else:
-            left = now.groupBy("id").agg(F.first("n").alias("n"), F.first("part").alias("part"))
+            left = now.select("id", "part").distinct()
             tried = _by_prefixes(left, sets, percent)
         links = stored(_linked(tried, sets, percent), "links")
         if not links.isEmpty():

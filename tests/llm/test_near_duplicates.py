@@ -1,6 +1,7 @@
 import itertools
 import random
 
+from lamina.llm import neardup
 from lamina.llm.neardup import near_duplicates, op10_near_duplicates
 
 from .conftest import SCHEMA, SF, rows
@@ -54,6 +55,27 @@ def test_five_words_on_chains_of_edits(spark):
     assert got(near_duplicates(df, words=5)) == brute(docs, 5)
 
 
+def test_prefix_join_on_repeated_rows_and_ids(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TURNS", 0)
+    rng = random.Random(7)
+    docs = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(100)]
+        other = [f"g{g}v{i}" for i in range(100)]
+        near = [" ".join(words[:100 - j] + [f"e{rng.random()}" for _ in range(j)]) for j in (9, 10)]
+        docs += [(10 * g, " ".join(words)), (10 * g + 1, near[0]), (10 * g + 2, near[1]), (10 * g + 3, " ".join(other))]
+    repeated = [d for i, d in enumerate(docs) for _ in range((1, 7, 1, 3)[i % 4])]
+    rng.shuffle(repeated)
+    out = near_duplicates(spark.createDataFrame(rows(repeated), SCHEMA), words=2)
+    assert out.count() == len(repeated)
+    assert got(out) == brute(docs, 2)
+    assert {i: c for i, (_, c) in got(out).items()} == {i: i - i % 10 + (3 if i % 10 == 3 else 0) for i, _ in docs}
+    # An id with two texts has two sets: what either is like is one component.
+    two = docs + [(10 * g + 4, " ".join(f"g{g}{'wv'[k]}{i}" for i in range(99))) for g in range(12) for k in range(2)]
+    both = near_duplicates(spark.createDataFrame(rows(two), SCHEMA), words=2)
+    assert {r["doc_id"]: r["component_id"] for r in both.collect()} == {i: i - i % 10 for i, _ in two}
+
+
 def test_odd_rows(spark, odd, odd_texts):
     out = near_duplicates(odd, words=2)
     assert out.count() == len(odd_texts)
