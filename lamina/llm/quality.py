@@ -186,8 +186,14 @@ def label_sample(labels: DataFrame, label_col: str = "quality", max_rows: int =
 
 
 def fit_quality(table: DataFrame, sample: DataFrame) -> AdditiveModel:
-    """Fit to a bounded sample of labels; ``table`` has doc_id and x."""
-    rows = sorted((r["doc_id"], r["y"], r["x"]) for r in table.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "x").collect())
+    """Fit to a bounded sample of labels; ``table`` has doc_id and x.
+
+    Of rows that repeat a doc_id one counts, that of the least hash, so no more
+    rows are collected than the sample has.
+    """
+    known = table.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+    one = known.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x"))["x"].alias("x"))
+    rows = sorted((r["doc_id"], r["y"], r["x"]) for r in one.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "x").collect())
     if not rows:
         return AdditiveModel()
     return AdditiveModel().fit(np.array([x for _, _, x in rows]), np.array([y for _, y, _ in rows]))

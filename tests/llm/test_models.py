@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from lamina.llm.elias_fano import EliasFano, Trie
 from lamina.llm.ngram_lm import op5_ngram_scores, score_texts
-from lamina.llm.quality import fit_quality, label_sample, op8_quality, score_quality, text_features
+from lamina.llm.quality import AdditiveModel, fit_quality, label_sample, op8_quality, score_quality, text_features
 
 from .conftest import SF
 
@@ -91,6 +91,16 @@ def test_held_out_quality(spark):
     assert np.mean([(s >= 0.3) == y for s, y in held]) > 0.9
 
 
+def test_fit_counts_a_repeated_id_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(AdditiveModel, "fit", lambda self, x, y: seen.append((x.tolist(), y.tolist())) or self)
+    table = spark.createDataFrame([(1, [float(i % 3)]) for i in range(30)] + [(2, [5.0])], "doc_id bigint, x array<double>")
+    sample = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id bigint, y double")
+    for t in (table, table.orderBy("x")):
+        fit_quality(t, sample)
+    assert len(seen[0][0]) == 2 and seen[0] == seen[1] and seen[0][1] == [1.0, 0.0]
+
+
 def test_quality_odd_rows(spark, odd, odd_texts, empty):
     table = text_features(odd)
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (4, None), (6, 7)], "doc_id bigint, quality int")
