@@ -53,7 +53,7 @@ def _multipliers(n: int) -> np.ndarray:
 class Shingler:
     """Distinct hashes of a text's runs of ``size`` words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 150_000  # words whose hash is remembered, about 20 MB
 
     def __init__(self, size: int):
         self.size, self.words = size, {}

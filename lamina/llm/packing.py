@@ -10,8 +10,11 @@ lengths left finds the fullest feasible rest.  The bin found is the fullest
 until one of its lengths runs out, so it is removed as often as the counts
 allow at once; every such step ends a length, which bounds the steps.
 
-Defined results: a null text is empty (its end id alone); repeated rows are
-packed as often as they occur; an empty table gives no row.
+Defined results: a null text is empty (its end id alone); a null id stays null
+and its pieces are packed like any; a text of any length is cut into pieces;
+repeated rows, and pieces of one length, are packed as often as they occur, in
+any order among equals; other columns are not read, so their names do not
+matter; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, whole_text
@@ -119,32 +122,38 @@ def slots(bins: list[tuple[list[int], int]]) -> list[tuple]:
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "piece"), salts: int = 512) -> DataFrame:
+#: Pieces that one part of a length should hold at most, about.
+PART = 100_000
+
+
+def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length``.
 
-    ``pieces`` is read twice: give a stored table.  Ranks within a length are
-    counted in ``salts`` parts of the order columns' hash, so a length that a
-    third of all pieces share is no single task's work.
+    ``pieces`` is read twice: give a stored table.  A length's pieces are ranked
+    in parts by the order columns' hash, and the parts grow in number with the
+    table, so a length that a third of all pieces share is no single task's work.
     """
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    by_part = dealt.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    by_part = stored(by_part, "lengths")  # at most capacity * salts rows
+    parts = max(64, -(-pieces.count() // PART))
+    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    by_part = stored(dealt.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n")), "lengths")
     totals = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `capacity` rows
     if not totals:
         return pieces.withColumn("sequence_id", F.lit(None).cast("bigint")).withColumn("offset", F.lit(None).cast("bigint"))
+    # A slot is one pattern's use of a length, for ranks from `first` up to the next slot's.
     plan = spark.createDataFrame(slots(pack_lengths(totals, capacity)), "length bigint, first long, uses int, bin long, places array<bigint>")
-    before = by_part.withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)))
-    # Every length is one sorted array of its slots, found by the last first rank not above.
-    by_length = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "uses", "bin", "places"))).alias("__slots"))
-    starts = before.select("length", "__salt", F.coalesce("__before", F.lit(0)).alias("__before"))
-    # (length, salt) pairs are at most capacity * salts, slots at most capacity * a bin's pieces:
-    # both are joined by shuffles of the small tables unless Spark measures them small.
-    rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1
-    ranked = dealt.withColumn("__rank", rank).join(starts, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    slot = F.element_at(F.filter("__slots", lambda s: s["first"] <= F.col("__rank")), -1)
-    placed = ranked.join(F.broadcast(by_length), "length").withColumn("__slot", slot)
-    nth = F.col("__rank") - F.col("__slot.first")
+    plan = plan.withColumn("next", F.coalesce(F.lead("first").over(Window.partitionBy("length").orderBy("first")), F.lit((1 << 63) - 1)))
+    before = F.sum("__n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = by_part.select("length", "__part", "__n", F.coalesce(before, F.lit(0)).alias("__before"))
+    # The slots that a part's ranks meet; the parts of a length follow one another, so there
+    # are hardly more of these rows than parts and slots together.
+    met = starts.join(plan, "length").where((F.col("first") < F.col("__before") + F.col("__n")) & (F.col("next") > F.col("__before")))
+    slot = F.struct((F.col("first") - F.col("__before")).alias("at"), "uses", "bin", "places")
+    met = met.groupBy("length", "__part").agg(F.sort_array(F.collect_list(slot)).alias("__slots"))
+    rank = F.row_number().over(Window.partitionBy("length", "__part").orderBy(*order)) - 1
+    placed = dealt.withColumn("__rank", rank).join(met, ["length", "__part"])
+    placed = placed.withColumn("__slot", F.element_at("__slots", _last_at_most(F.col("__rank"))))
+    nth = F.col("__rank") - F.col("__slot.at")
     return placed.select(
         *(F.col(c) for c in pieces.columns),
         (F.col("__slot.bin") + F.floor(nth / F.col("__slot.uses"))).cast("bigint").alias("sequence_id"),
@@ -152,9 +161,24 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "
     )
 
 
+def _last_at_most(rank: Column) -> Column:
+    """Place, from 1, of the last slot that begins at ``rank`` or before: a binary search."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = ((s["low"] + s["high"] + 1) / 2).cast("int")
+        right = F.col("__slots")[middle - 1]["at"] <= rank
+        return F.struct(F.when(right, middle).otherwise(s["low"]).alias("low"), F.when(right, s["high"]).otherwise(middle - 1).alias("high"))
+
+    whole = F.struct(F.lit(1).alias("low"), F.size("__slots").alias("high"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size("__slots").cast("double") + 1)).cast("int"))
+    return F.aggregate(steps, whole, halve)["low"]
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their sequence and place in it."""
-    return pack(stored(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    pieces = token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col)
+    # The stored number spreads pieces whose id many rows share.
+    return pack(stored(pieces.withColumn("turn", F.monotonically_increasing_id()), "pieces"), capacity, ("turn",)).drop("turn")
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

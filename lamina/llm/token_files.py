@@ -4,9 +4,15 @@ Each file holds blocks of ``BLOCK`` ids, every id in the same number of bits;
 its index holds the place of each block, the first id and length of each
 document.  Any run of ids is unpacked with NumPy from the blocks that cover it.
 
+Texts are encoded where they lie and stored as ids of two bytes (four, if the
+vocabulary needs them); what is put in order afterwards is these ids, and the
+writers only join and pack them.
+
 Defined results: a null text is empty and holds the end id alone; rows are in
-ascending ``doc_id`` (nulls first; equal ids by text); an empty table gives no
-file; other columns are not read.
+ascending ``doc_id`` (nulls first; equal ids by a hash of their ids, so a doc_id
+that many rows share is dealt to many files); repeated rows are stored as often
+as they occur; a text may be of any length, as a document may span blocks; an
+empty table gives no file; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from . import files
-from .common import scratch_path, whole_text
+from .common import scratch_path, stored, whole_text
 from .units import encoder, slices
 
 #: Ids of a block; a multiple of 64, so that blocks end on whole words.
@@ -65,45 +71,76 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
+def id_type(vocabulary: int) -> str:
+    """The NumPy type in which ids are stored before they are packed."""
+    return "<u2" if bits_for(vocabulary) <= 16 else "<u4"
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): each whole text's ids and the end id, in the type of ``id_type``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoder(vocabulary)
+        kind = id_type(codec.vocabulary_size())
+        end = np.array([end_id], kind).tobytes()
+        for batch in batches:
+            first = 0
+            for part in slices(batch.column(1).to_pylist()):
+                rows = codec.encode(part)
+                if kind == "<u2":
+                    rows = [np.frombuffer(ids, "<u4").astype(kind).tobytes() for ids in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array([ids + end for ids in rows], pa.binary())], ["doc_id", "ids"])
+                first += len(part)
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column one after the other, and their number in each row."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], "<i8" if wide else "<i4")[column.offset : column.offset + len(column) + 1]
+    width = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data else np.zeros(0, kind)
+    return flat, np.diff(offsets).astype(np.int64) // width
+
+
 class _TokenWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.uri, self.vocabulary, self.end = options["path"], options["vocabulary"], int(options["end_id"])
+        self.uri, self.vocabulary, self.size = options["path"], options["vocabulary"], int(options["size"])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> files.Written:
         part, name = files.new_name()
         store, path = files.open_store(self.uri)
-        codec = encoder(self.vocabulary)
-        bits = bits_for(codec.vocabulary_size())
-        keys, sizes, rest, out = [], [], [], None
-        end, held, total = np.array([self.end], "<u4").tobytes(), 0, 0
+        bits, kind = bits_for(self.size), id_type(self.size)
+        keys, nulls, sizes, rest, out, total = [], [], [], np.zeros(0, kind), None, 0
         for batch in iterator:
-            if out is None and batch.num_rows:
+            if not batch.num_rows:
+                continue
+            if out is None:
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}.data", compression=None)
-            keys += batch.column(0).to_pylist()
-            for ids in (x for part in slices(batch.column(1).to_pylist()) for x in codec.encode(part)):
-                ids += end
-                sizes.append(len(ids) // 4)
-                rest.append(ids)
-                held += len(ids) // 4
-                if held >= BLOCK:
-                    flat = np.frombuffer(b"".join(rest), "<u4")
-                    whole = held // BLOCK * BLOCK
-                    out.write(pack(flat[:whole], bits))
-                    total += whole
-                    rest, held = [flat[whole:].tobytes()], held - whole
+            ids = batch.column("doc_id")
+            keys.append(ids.fill_null(0).to_numpy())
+            nulls.append(ids.is_null().to_numpy(zero_copy_only=False))
+            flat, counts = _flat(batch.column("ids"), kind)
+            sizes.append(counts)
+            flat = np.concatenate([rest, flat])
+            whole = len(flat) // BLOCK * BLOCK
+            if whole:
+                out.write(pack(flat[:whole], bits))
+            total += whole
+            rest = flat[whole:].copy()
         if out is None:
             return files.Written(part, "", {})
-        out.write(pack(np.frombuffer(b"".join(rest), "<u4"), bits))
+        out.write(pack(rest, bits))
         out.close()
-        total += held
+        total += len(rest)
+        keys, nulls, sizes = (np.concatenate(x) for x in (keys, nulls, sizes))
         blocks = np.arange(0, total, BLOCK) // 64 * bits * 8
         with store.open_output_stream(f"{path}/{name}.index", compression=None) as f:
-            f.write(np.array([bits, BLOCK, len(keys), len(blocks), total], "<i8").tobytes())
-            f.write(np.array([k is None for k in keys], "<i8").tobytes())
-            f.write(np.array([k or 0 for k in keys], "<i8").tobytes())
-            f.write(np.array(sizes, "<i8").tobytes())
-            f.write(blocks.astype("<i8").tobytes())
+            for x in ([bits, BLOCK, len(keys), len(blocks), total], nulls, keys, sizes, blocks):
+                f.write(np.asarray(x).astype("<i8").tobytes())
         return files.Written(part, name, {"docs": len(keys), "ids": total})
 
     def commit(self, messages) -> None:
@@ -170,7 +207,7 @@ class _TokenReader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """``format("lamina_tokens")``: options path, vocabulary, end_id; splitDocs."""
+    """``format("lamina_tokens")``: options path, vocabulary, size; splitDocs."""
 
     @classmethod
     def name(cls) -> str:
@@ -189,9 +226,12 @@ class TokenFiles(DataSource):
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and store their ids, in ascending order of the id."""
     docs.sparkSession.dataSource.register(TokenFiles)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.write.format("lamina_tokens").option("vocabulary", vocabulary).option("end_id", end_id).mode("append").save(path)
+    rows = stored(encoded(docs, vocabulary, end_id, id_col, text_col), "encoded")
+    # Rows alike in both are interchangeable, so the last key only spreads them.
+    rows = rows.withColumns({"hash": F.xxhash64("ids"), "turn": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "hash", "turn").sortWithinPartitions("doc_id", "hash", "turn")
+    size = encoder(vocabulary).vocabulary_size()
+    rows.select("doc_id", "ids").write.format("lamina_tokens").option("vocabulary", vocabulary).option("size", size).mode("append").save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

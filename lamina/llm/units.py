@@ -3,8 +3,12 @@
 Both vocabularies pre-tokenize with a pattern whose pieces never run from a
 letter into a non-letter, nor from a non-space into a space.  A text may
 therefore be cut at those places and each unit encoded on its own; equal units
-have equal ids, so a worker encodes a unit once and joins stored bytes after.
-Tests compare whole texts with the library's own result.
+have equal ids.  A unit of letters is a single piece, so it goes straight to the
+tokenizer's merge model; all others go through the whole tokenizer.
+
+Units met before are remembered in two generations of bounded size, so a
+worker's memory stays the same however many texts it encodes.  Tests compare
+whole texts with the library's own result.
 """
 
 from __future__ import annotations
@@ -13,25 +17,43 @@ import os
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
+#: Letters, or a run of other characters with the letters that follow its last apostrophe ("'s" is one piece).
+_BODY = r"[^\W\d_]+|(?:[^\w\s]|[\d_])+(?:(?<=')[^\W\d_]+)?"
+#: A unit with the white space before it, and white space at the end.
+SPACED = re.compile(rf"\s*(?:{_BODY})|\s+")
+#: Units of a tokenizer that drops white space.
+BARE = re.compile(_BODY)
+
 
-#: A unit: white space, then letters, or a run of other characters with the
-#: letters that follow its last apostrophe ("'s" is one piece).
-UNIT = re.compile(r"\s*(?:[^\W\d_]+|(?:[^\w\s]|[\d_])+(?:(?<=')[^\W\d_]+)?)|\s+")
+#: White space to ``str`` but not to the tokenizers, or the other way round.
+SEPARATORS = "\x1c\x1d\x1e\x1f\u180e"
+#: Characters that leave a text uncut where it is put in lower case: separators, and the one letter that becomes two.
+APART = SEPARATORS + "İ"
 
 
 @lru_cache(maxsize=1)
 def unlike() -> frozenset:
     """Characters which ``re`` and the tokenizers' patterns class differently.
 
-    Numbers other than decimal digits (letters to ``re``) and the separators
-    that only ``str.isspace`` takes as white space.
+    Numbers other than decimal digits (letters to ``re``) and ``SEPARATORS``.
     """
-    numbers = (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
-    return frozenset(numbers) | frozenset("\x1c\x1d\x1e\x1f᠎")
+    numbers = (c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("No", "Nl"))
+    return frozenset(numbers) | frozenset(SEPARATORS)
+
+
+@lru_cache(maxsize=1)
+def byte_letters() -> dict[int, str]:
+    """The visible character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves, the others follow from code point 256 on.
+    """
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -47,11 +69,16 @@ def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
         yield part
 
 
+def lowered(text: str) -> str:
+    """Lower case letter by letter, as the tokenizer has it: no rule for a last sigma."""
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
 class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    #: Units of a generation; the one before the last is forgotten (bounded memory).
-    LIMIT = 400_000
+    #: Units of a generation (about 30 MB); the one before the last is forgotten.
+    LIMIT = 150_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -59,44 +86,68 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.composes = "NFC" in str(self.tokenizer.normalizer)
+        self.words = "Lowercase" in str(self.tokenizer.normalizer)  # composed, lower case, white space dropped
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def vocabulary_size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.words:
+            return SPACED.findall(text)
+        return BARE.findall(lowered(text if text.isascii() else unicodedata.normalize("NFC", text)))
+
+    def _store(self, units: list[str]) -> None:
+        known, model, letters, space, others = self.known, self.model, byte_letters(), byte_letters()[32], []
+        for u in units:
+            if u.isalpha():
+                piece = u
+            elif u[0] == " " and u[1:].isalpha():
+                piece = u[1:]
+            else:
+                others.append(u)
+                continue
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(letters)
+            if u[0] == " ":
+                piece = space + piece
+            known[u] = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
+        known.update(zip(others, self._whole(others), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; a text with unlike characters is encoded whole."""
-        if self.composes:
-            texts = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts]
+        """Ids of each text; equal texts are encoded once, those with unlike characters whole."""
         if len(self.known) > self.LIMIT:
             self.known, self.older = {}, self.known
-        cuts = [UNIT.findall(t) for t in texts]
-        known, older, odd = self.known, self.older, unlike()
+        known, older, odd, each = self.known, self.older, unlike(), dict.fromkeys(texts)
+        cuts = {t: self._cut(t) for t in each if not self.words or not any(c in t for c in APART)}
         new, whole = [], set()
-        for u in set().union(*cuts).difference(known):
+        for u in set().union(*cuts.values()).difference(known):
             if u in older:
                 known[u] = older[u]
-            elif odd.isdisjoint(u):
+            elif u.isascii() and u.isprintable() or odd.isdisjoint(u):
                 new.append(u)
             else:  # never stored, so found anew in every text that has it
                 whole.add(u)
-        known.update(zip(new, self._each(new), strict=True))
+        self._store(new)
         get = known.__getitem__
-        if not whole:
-            return [b"".join(map(get, cut)) for cut in cuts]
-        return [b"".join(map(get, cut)) if whole.isdisjoint(cut) else self._each([text])[0] for cut, text in zip(cuts, texts, strict=True)]
+        for text, cut in cuts.items():
+            if not whole or whole.isdisjoint(cut):
+                each[text] = b"".join(map(get, cut))
+        rest = [t for t, ids in each.items() if ids is None]
+        each.update(zip(rest, self._whole(rest), strict=True))
+        return [each[t] for t in texts]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str) -> UnitEncoder:
-    """The worker's encoder for this vocabulary file; it outlives a task."""
+    """The worker's encoder for this vocabulary file; it outlives a task, within its bound."""
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
