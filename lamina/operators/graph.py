@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .ranking import beside, ranks
 from .stencil import AXES, before
 
 
 def relabel(vox: DataFrame, label: str, out: str, by: tuple[str, ...] = ("sample",)) -> DataFrame:
     """Labels as 1, 2, ... by size of their id; 0 stays 0 where it is the least."""
-    ids = vox.select(*by, label).distinct()
-    w = Window.partitionBy(*by)
-    rank = F.dense_rank().over(w.orderBy(label)) - (F.min(label).over(w) == 0).cast("int")
-    return vox.join(ids.withColumn(out, rank.cast("bigint")), [*by, label])
+    ids = ranks(vox.select(*by, label).distinct(), by, (label,), "__rank")
+    least = beside(ids, by, __least=F.min(label))
+    return vox.join(least.select(*by, label, (F.col("__rank") - (F.col("__least") == 0).cast("int")).cast("bigint").alias(out)), [*by, label])
 
 
 def drop_small(vox: DataFrame, label: str, min_size: int, out: str) -> DataFrame:
-    """Labels of fewer voxels become 0, if ``min_size`` is above 1."""
+    """Labels of fewer voxels become 0, if ``min_size`` is above 1; 0 stays 0."""
     if min_size <= 1:
         return vox.withColumn(out, F.col(label))
     sizes = vox.groupBy("sample", label).agg(F.count(F.lit(1)).alias("__n"))
@@ -89,9 +89,15 @@ def rag_features(pairs: DataFrame, min_boundary: int = 1) -> DataFrame:
     return pairs.groupBy("sample", "lo", "hi").agg(total.alias("n"), *cols, F.log1p(total).alias("log_n")).where(F.col("n") >= min_boundary)
 
 
-def majority_labels(vox: DataFrame, segment: str, label: str) -> DataFrame:
-    """(sample, segment, best, confidence): most frequent label, least if tied."""
-    n = vox.groupBy("sample", F.col(segment).alias("segment"), F.col(label).alias("best")).agg(F.count(F.lit(1)).alias("n"))
+def majority_labels(vox: DataFrame, segment: str, label: str, ignore: int | None = 0) -> DataFrame:
+    """(sample, segment, best, confidence): most frequent label, least if tied.
+
+    Voxels without segment or label, or with the label ``ignore``, don't vote.
+    """
+    voters = vox.where((F.col(segment) > 0) & (F.col(label) > 0))
+    if ignore is not None:
+        voters = voters.where(F.col(label) != ignore)
+    n = voters.groupBy("sample", F.col(segment).alias("segment"), F.col(label).alias("best")).agg(F.count(F.lit(1)).alias("n"))
     top = n.groupBy("sample", "segment").agg(F.max_by("best", F.struct("n", (-F.col("best")).alias("b"))).alias("best"), F.max("n").alias("top"), F.sum("n").alias("all"))
     return top.select("sample", "segment", "best", (F.col("top") / F.col("all")).alias("confidence"))
 
@@ -100,9 +106,9 @@ def pair_targets(pairs: DataFrame, majority: DataFrame, least: float = 0.5) -> D
     """(sample, lo, hi, target): both ends have one label above 0, surely enough."""
     p = pairs.select("sample", "lo", "hi").distinct()
     ends = [majority.select("sample", F.col("segment").alias(e), F.col("best").alias(f"best_{e}"), F.col("confidence").alias(f"sure_{e}")) for e in ("lo", "hi")]
-    both = p.join(ends[0], ["sample", "lo"]).join(ends[1], ["sample", "hi"])
+    both = p.join(ends[0], ["sample", "lo"], "left").join(ends[1], ["sample", "hi"], "left")
     same = (F.col("best_lo") == F.col("best_hi")) & (F.col("best_lo") > 0) & (F.least("sure_lo", "sure_hi") >= least)
-    return both.select("sample", "lo", "hi", same.cast("int").alias("target"))
+    return both.select("sample", "lo", "hi", F.coalesce(same, F.lit(False)).cast("int").alias("target"))
 
 
 def merge_segments(vox: DataFrame, segment: str, joins: DataFrame, out: str) -> DataFrame:
@@ -121,6 +127,11 @@ def select_pairs(pairs: DataFrame, threshold: dict[int, float], min_boundary: in
     return scored.where((F.col("score") >= level) & (F.col("n") >= min_boundary)).select("sample", "lo", "hi").distinct()
 
 
+def agglomerate_by_scores(vox: DataFrame, segment: str, scores: DataFrame, threshold: float, out: str, score: str = "score") -> DataFrame:
+    """Merge the pairs (sample, lo, hi) whose given score, a model's for instance, is enough."""
+    return merge_segments(vox, segment, scores.where(F.col(score) >= threshold).select("sample", "lo", "hi"), out)
+
+
 def agglomerate(vox: DataFrame, segment: str, threshold: float, out: str, z_threshold: float | None = None, xy_threshold: float | None = None, min_boundary: int = 1, mode: str = "mean", quantile: float = 0.25) -> DataFrame:
     """Merge segments whose shared faces score enough."""
     z, xy = (t if t is not None else threshold for t in (z_threshold, xy_threshold))
@@ -128,10 +139,10 @@ def agglomerate(vox: DataFrame, segment: str, threshold: float, out: str, z_thre
 
 
 def grid_seeds(vox: DataFrame, distance: int, first: int = 1) -> DataFrame:
-    """(sample, z, y, x, seed): every ``distance`` voxels on y and x, numbered by place."""
-    half = distance // 2
-    chosen = vox.where((F.col("y") % distance == half) & (F.col("x") % distance == half)).select("sample", *AXES)
-    return chosen.withColumn("seed", (F.row_number().over(Window.partitionBy("sample").orderBy(*AXES)) + first - 1).cast("bigint"))
+    """(sample, z, y, x, seed): every ``distance`` voxels on y and x from 0 on, numbered by place."""
+    step = max(1, distance)
+    chosen = vox.where((F.col("y") % step == 0) & (F.col("x") % step == 0)).select("sample", *AXES)
+    return ranks(chosen, ("sample",), AXES, "__rank").select("sample", *AXES, (F.col("__rank") + first - 1).cast("bigint").alias("seed"))
 
 
 def rag_stats(vox: DataFrame, segment: str, min_boundary: int = 1) -> DataFrame:

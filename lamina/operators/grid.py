@@ -50,14 +50,10 @@ def deal_to_chunks(vox: DataFrame, chunk: tuple[int, int, int], halo: tuple[int,
         high = F.expr(f"({a} + {h}) div {c}")
         vox = vox.withColumn(f"c{a}", F.explode(F.sequence(low, high)))
         core = core & (F.expr(f"{a} div {c}") == F.col(f"c{a}"))
-    dims = extents(vox)  # chunks beyond the volume hold nothing of their own
+    dims = extents(vox)  # chunks beyond the volume hold nothing of their own; one row a volume
     exists = [F.col(f"c{a}") * c < F.col(f"d{a}") for a, c in zip(AXES, chunk, strict=True)]
     inside = exists[0] & exists[1] & exists[2]
-    return vox.join(F.broadcast(dims) if _few(dims) else dims, "sample").where(inside).drop(*(f"d{a}" for a in AXES)).withColumn("core", core)
-
-
-def _few(table: DataFrame, rows: int = 10_000) -> bool:
-    return table.limit(rows + 1).count() <= rows
+    return vox.join(dims, "sample").where(inside).drop(*(f"d{a}" for a in AXES)).withColumn("core", core)
 
 
 def stitch_windows(vox: DataFrame, dims: dict[str, int], window: tuple[int | None, int, int], stride: tuple[int | None, int, int], logit: Column) -> DataFrame:
@@ -97,6 +93,36 @@ def crop(vox: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
     return vox.withColumns({a: F.col(a) - start for a, (start, _) in bounds.items()})
 
 
+def centre_crop(vox: DataFrame, size: dict[str, int]) -> DataFrame:
+    """A box in the centre of each volume, counted from its corner; 0 or a larger size is the whole axis."""
+    dims = extents(vox)
+    for a, n in size.items():
+        dim = F.col(f"d{a}")
+        whole = (dim <= n) | F.lit(n <= 0)
+        dims = dims.withColumns({f"s{a}": F.when(whole, 0).otherwise(F.floor((dim - n) / 2)), f"n{a}": F.when(whole, dim).otherwise(n)})
+    out = vox.join(dims, "sample")
+    for a in size:
+        out = out.where((F.col(a) >= F.col(f"s{a}")) & (F.col(a) < F.col(f"s{a}") + F.col(f"n{a}"))).withColumn(a, F.col(a) - F.col(f"s{a}"))
+    return out.drop(*(f"{k}{a}" for k in "dsn" for a in AXES))
+
+
+def paired_crop(raw: DataFrame, labels: DataFrame, bounds: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Raw values beside labels, voxel by voxel; the bounds reach both scans.
+
+    Volumes must hold the same voxels; one that lacks its partner stops the query.
+    """
+    sides = [crop(side, bounds) if bounds else side for side in (raw, labels)]
+    keys = ["sample", *AXES]
+    both = sides[0].withColumn("__raw", F.lit(1)).join(sides[1].withColumn("__label", F.lit(1)), keys, "full")
+    matched = F.col("__raw").isNotNull() & F.col("__label").isNotNull()
+    return both.where(F.when(matched, F.lit(True)).otherwise(F.raise_error(F.lit("volumes of unlike shape")).cast("boolean"))).drop("__raw", "__label")
+
+
+def crop_size(crop: int, window: int) -> int:
+    """0, the whole axis, stays; any other crop is as large as the model's window at least."""
+    return 0 if crop <= 0 else max(crop, window)
+
+
 def pad(vox: DataFrame, axis: str, size: int, target: int, mode: str = "reflect") -> DataFrame:
     """Grow an axis at its end from ``size`` to ``target``: mirrored, or its last plane.
 

@@ -67,7 +67,7 @@ def touching(mask: np.ndarray) -> np.ndarray:
 def seeds(boundary: np.ndarray, method: str, distance: int, threshold: float) -> np.ndarray:
     """Seeds of a slice: a grid, regional minima, or peaks of the inner distance.
 
-    A slice without such places gets the grid, and without that one seed.
+    A slice without such places gets the grid, which begins at its corner.
     """
     found = np.zeros(boundary.shape, np.int64)
     if method == "minima":
@@ -79,9 +79,7 @@ def seeds(boundary: np.ndarray, method: str, distance: int, threshold: float) ->
         raise ValueError(f"unknown seed method {method!r}")
     if not found.any():
         marks = np.zeros(boundary.shape, bool)
-        marks[distance // 2 :: distance, distance // 2 :: distance] = True
-        if not marks.any():
-            marks[0, 0] = True
+        marks[:: max(1, distance), :: max(1, distance)] = True
         found[marks] = np.arange(1, marks.sum() + 1)
     return found
 

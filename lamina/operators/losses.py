@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.scalar import clamp, sigmoid
 
+from .ranking import beside
 from .stencil import AXES, before
 
 
@@ -19,12 +20,28 @@ def long_channels(vox: DataFrame, logits: tuple[str, ...], targets: tuple[str, .
     return vox.select(*keep, F.explode(F.array(*rows)).alias("__r")).select(*keep, "__r.*")
 
 
-def ratio_weight(by: tuple[str, ...] = ("sample", "c"), alpha: float = 1.0) -> Column:
-    """The rarer class of a channel weighs more; the commoner keeps 1."""
-    p = clamp(F.avg("t").over(Window.partitionBy(*by)), 0.05, 0.99)
+def ratio_weight(rows: DataFrame, by: tuple[str, ...] = ("sample", "c"), alpha: float = 1.0, out: str = "balance") -> DataFrame:
+    """Adds ``out``: the rarer class of a channel weighs more; the commoner keeps 1.
+
+    A target above 0.5 is of the positive class.
+    """
+    rows = beside(rows, by, __share=F.avg((F.col("t") > 0.5).cast("double")))
+    p = clamp(F.col("__share"), 0.05, 0.99)
     positive = F.when(p > 0.5, 1.0).otherwise(alpha * (1 - p) / p)
     negative = F.when(p > 0.5, alpha * p / (1 - p)).otherwise(1.0)
-    return F.when(F.col("t") >= 0.5, positive).otherwise(negative)
+    return rows.withColumn(out, F.when(F.col("t") > 0.5, positive).otherwise(negative)).drop("__share")
+
+
+def per_channel(value: float | list[float], names: tuple[str, ...] = ("z", "y", "x"), name: str = "value") -> Column:
+    """One number for all channels, or a list with one for each."""
+    if not isinstance(value, list | tuple):
+        return F.lit(float(value))
+    if len(value) != len(names):
+        raise ValueError(f"{name} must have {len(names)} values, got {value}")
+    out = F.lit(None).cast("double")
+    for n, v in zip(names, value, strict=True):
+        out = F.when(F.col("c") == n, float(v)).otherwise(out)
+    return out
 
 
 def mean_loss(rows: DataFrame, loss: Column, weight: Column | None = None, by: tuple[str, ...] = ("sample",), name: str = "loss") -> DataFrame:
@@ -38,23 +55,33 @@ def squared_error() -> Column:
     return F.pow(sigmoid(F.col("l"), None) - F.col("t"), F.lit(2.0))
 
 
-def cross_entropy(positive: float = 1.0, negative: float = 1.0, focus: float = 0.0) -> Column:
-    """From logits, in the form that cannot overflow; ``focus`` dims the sure ones."""
+def cross_entropy(positive: float | Column = 1.0, negative: float | Column = 1.0, focus: float = 0.0, focus_positive: float | None = None, focus_negative: float | None = None) -> Column:
+    """From logits, in the form that cannot overflow; ``focus`` dims the sure ones.
+
+    Each class may have an exponent of its own; a probability counts as 0.0001 at least.
+    """
     l, t = F.col("l"), F.col("t")
     bce = F.greatest(l, F.lit(0.0)) - l * t + F.log1p(F.exp(-F.abs(l)))
+    up, down = (focus if f is None else f for f in (focus_positive, focus_negative))
+    bce = bce * F.when(t > 0.5, positive).otherwise(negative)
+    if max(up, down) <= 0:
+        return bce
     p = sigmoid(l, None)
-    sure = p * t + (1 - p) * (1 - t)
-    return bce * F.when(t >= 0.5, positive).otherwise(negative) * F.pow(1 - sure, F.lit(focus))
+    dim = [F.pow(1 - clamp(sure, 1e-4, 1.0), F.lit(float(f))) for sure, f in ((p, up), (1 - p, down))]
+    return bce * F.when(t > 0.5, dim[0]).otherwise(dim[1])
 
 
-def soft_dice(rows: DataFrame, smooth: float = 1.0, boundary: bool = False) -> DataFrame:
+def soft_dice(rows: DataFrame, smooth: float = 1.0, boundary: bool = False, channel_weight: Column | None = None) -> DataFrame:
     """(sample, loss): 1 - soft Dice, mean over channels; of boundaries if asked."""
     p, t = sigmoid(F.col("l"), None), F.col("t")
     if boundary:
         p, t = 1 - p, 1 - t
     each = rows.withColumns({"__p": p * F.col("v"), "__t": t * F.col("v")})
     by_c = each.groupBy("sample", "c").agg((1 - (2 * F.sum(F.col("__p") * F.col("__t")) + smooth) / (F.sum("__p") + F.sum("__t") + smooth)).alias("d"))
-    return by_c.groupBy("sample").agg(F.avg("d").alias("loss"))
+    if channel_weight is None:
+        return by_c.groupBy("sample").agg(F.avg("d").alias("loss"))
+    k = channel_weight
+    return by_c.groupBy("sample").agg((F.sum(F.col("d") * k) / F.greatest(F.sum(k), F.lit(1.0))).alias("loss"))
 
 
 def _contrast(rows: DataFrame, margin: float) -> DataFrame:
@@ -100,9 +127,10 @@ def connectivity(vox: DataFrame, logits: tuple[str, str, str], targets: tuple[st
     return sums.join(apart, "sample").withColumn("loss", total)
 
 
-def spatial_mse(rows: DataFrame, norm: str = "spatial") -> DataFrame:
+def spatial_mse(rows: DataFrame, norm: str = "spatial", alpha: float = 1.0, channel_weight: Column | None = None) -> DataFrame:
     """(sample, loss): class-balanced squared error over the voxels, or the valid edges."""
-    each = rows.withColumn("__l", squared_error() * ratio_weight() * F.col("v") * F.col("s"))
+    k = channel_weight if channel_weight is not None else F.lit(1.0)
+    each = ratio_weight(rows, alpha=alpha).withColumn("__l", squared_error() * F.col("balance") * F.col("v") * F.col("s") * k)
     voxels = F.count(F.lit(1)) / F.countDistinct("c")
     base = F.sum("v") if norm == "valid" else voxels
     return each.groupBy("sample").agg((F.sum("__l") / F.greatest(base, F.lit(1.0))).alias("loss"))
@@ -120,8 +148,11 @@ def shape_loss(vox: DataFrame, logits: tuple[str, str, str, str], fg_weight: flo
     return out.withColumn("loss", fg_weight * F.col("fg_loss") + offset_weight * F.col("offset_loss"))
 
 
-def policy_loss(decisions: DataFrame, value_weight: float = 0.5, entropy_weight: float = 0.01, edge_reward: float = 0.0, ratio_weight: float = 0.0, hard: bool = False, clip: float = 0.0, normalize: bool = False) -> DataFrame:
-    """(actor, critic, entropy, loss) over (recon, value, log_prob, entropy, gain, ratio_penalty)."""
+def policy_loss(decisions: DataFrame, value_weight: float = 0.5, entropy_weight: float = 0.01, edge_reward: float = 0.0, ratio_weight: float = 0.0, hard: bool = False, clip: float = 0.0, normalize: bool = False, prior_weight: float = 0.0, priors: dict[str, list[float]] | None = None) -> DataFrame:
+    """(actor, critic, entropy, prior_kl, loss) over (recon, value, log_prob, entropy, gain, ratio_penalty).
+
+    ``priors`` names columns that hold the logits of a choice, with the prior's log-probabilities.
+    """
     reward = (F.col("recon") if hard else -F.col("recon")) + edge_reward * F.col("gain") - ratio_weight * F.col("ratio_penalty")
     if clip > 0:
         reward = clamp(reward, -clip, clip)
@@ -130,8 +161,66 @@ def policy_loss(decisions: DataFrame, value_weight: float = 0.5, entropy_weight:
         s = each.agg(F.avg("__a").alias("__m"), F.stddev_pop("__a").alias("__s"), F.count(F.lit(1)).alias("__n"))  # one row
         scaled = (F.col("__a") - F.col("__m")) / F.greatest("__s", F.lit(1e-6))
         each = each.crossJoin(s).withColumn("__a", F.when(F.col("__n") > 1, scaled).otherwise(F.col("__a")))
-    out = each.agg((-F.avg(F.col("log_prob") * F.col("__a"))).alias("actor"), F.avg(F.pow(F.col("value") - F.col("__r"), F.lit(2.0))).alias("critic"), (-F.avg("entropy")).alias("entropy"))
-    return out.withColumn("loss", F.col("actor") + value_weight * F.col("critic") + entropy_weight * F.col("entropy"))
+    kl = F.lit(0.0)
+    for name, prior in (priors or {}).items() if prior_weight > 0 else ():
+        kl = kl + F.avg(_divergence(F.col(name), prior))
+    out = each.agg((-F.avg(F.col("log_prob") * F.col("__a"))).alias("actor"), F.avg(F.pow(F.col("value") - F.col("__r"), F.lit(2.0))).alias("critic"), (-F.avg("entropy")).alias("entropy"), kl.alias("prior_kl"))
+    return out.withColumn("loss", F.col("actor") + value_weight * F.col("critic") + entropy_weight * F.col("entropy") + prior_weight * F.col("prior_kl"))
+
+
+def _divergence(logits: Column, prior: list[float]) -> Column:
+    """Of the softmax of ``logits`` from a prior given by its log-probabilities."""
+    total = F.ln(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x)))
+    parts = F.zip_with(logits, F.array(*(F.lit(float(p)) for p in prior)), lambda x, p: F.exp(x - total) * (x - total - p))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+
+SQUARED = ("mse", "weighted_mse", "superhuman_mse")
+SPATIAL = ("superhuman_weighted_mse", "superhuman_weighted_mse_loss", "superhuman_wmse")
+ENTROPY = ("bce", "weighted_bce")
+HYBRID = ("bce_mse", "mse_bce", "hybrid_bce_mse", "hybrid_mse_bce", "weighted_bce_mse")
+HYBRID_SPATIAL = ("bce_superhuman_mse", "hybrid_bce_superhuman_mse", "bce_shwmse")
+
+
+def objective(
+    rows: DataFrame, kind: str = "bce", names: tuple[str, ...] = ("z", "y", "x"), positive: float | list[float] = 1.0, negative: float | list[float] = 1.0, channels: float | list[float] = 1.0,
+    focus: float = 0.0, focus_positive: float | None = None, focus_negative: float | None = None, alpha: float = 1.0, norm: str = "spatial", hybrid: tuple[float, float] = (1.0, 1.0),
+    main_weight: float = 1.0, dice_weight: float = 0.0, boundary_dice_weight: float = 0.0, smooth: float = 1.0, rank_weight: float = 0.0, calibration_weight: float = 0.0, margin: float = 1.0, gap: float = 0.0,
+) -> DataFrame:
+    """(sample, main, dice, boundary_dice, rank_loss, calibration, valid_fraction, loss).
+
+    ``rows`` are those of ``long_channels``; a sample is a batch.  A term of no
+    weight is 0 and is not computed.
+    """
+    k = per_channel(channels, names, "channels")
+    ends = [per_channel(v, names, n) for v, n in ((positive, "positive"), (negative, "negative"))]
+    if kind in SQUARED:
+        balanced = kind != "mse"
+        main = mean_loss(ratio_weight(rows, alpha=alpha) if balanced else rows, squared_error() * (F.col("balance") if balanced else F.lit(1.0)), k, name="main")
+    elif kind in SPATIAL:
+        main = spatial_mse(rows, norm, alpha, k).withColumnRenamed("loss", "main")
+    elif kind in ENTROPY:
+        main = mean_loss(rows, cross_entropy(*ends, focus, focus_positive, focus_negative), k, name="main")
+    elif kind in HYBRID + HYBRID_SPATIAL:
+        first = mean_loss(rows.withColumn("s", F.lit(1.0)), cross_entropy(*ends), k, name="first")
+        if kind in HYBRID_SPATIAL:
+            second = spatial_mse(rows, norm, alpha, k).withColumnRenamed("loss", "second")
+        else:
+            balanced = kind == "weighted_bce_mse"
+            second = mean_loss(ratio_weight(rows, alpha=alpha) if balanced else rows, squared_error() * (F.col("balance") if balanced else F.lit(1.0)), k, name="second")
+        main = first.join(second, "sample").select("sample", (hybrid[0] * F.col("first") + hybrid[1] * F.col("second")).alias("main"))
+    else:
+        raise ValueError(f"unknown loss {kind!r}")
+    out = main
+    for name, weight, boundary in (("dice", dice_weight, False), ("boundary_dice", boundary_dice_weight, True)):
+        out = out.join(soft_dice(rows, smooth, boundary, k).withColumnRenamed("loss", name), "sample") if weight > 0 else out.withColumn(name, F.lit(0.0))
+    if rank_weight > 0 or calibration_weight > 0:
+        out = out.join(ranking(rows, margin, gap), "sample")
+    else:
+        out = out.withColumns({"rank_loss": F.lit(0.0), "calibration": F.lit(0.0)})
+    out = out.join(rows.groupBy("sample").agg(F.avg("v").alias("valid_fraction")), "sample")
+    terms = (("main", main_weight), ("dice", dice_weight), ("boundary_dice", boundary_dice_weight), ("rank_loss", rank_weight), ("calibration", calibration_weight))
+    return out.withColumn("loss", sum((w * F.col(n) for n, w in terms), F.lit(0.0))).select("sample", *(n for n, _ in terms), "valid_fraction", "loss")
 
 
 def prior_log_probs(bins: list[float], start: float | None, margin: float) -> list[float]:
@@ -144,15 +233,16 @@ def prior_log_probs(bins: list[float], start: float | None, margin: float) -> li
 
 
 def membrane_weight(vox: DataFrame, weight: float, edge: str = "edge", valid: str | None = None, out: str = "spatial") -> DataFrame:
-    """1 + weight x edge, over its sample's mean where ``valid``."""
+    """1 + weight x edge, over its mean where ``valid``; ``vox`` is the batch that has one mean."""
     raw = 1 + F.lit(weight) * F.col(edge)
-    counts = F.when(F.col(valid) > 0, raw) if valid else raw
-    return vox.withColumn(out, raw / F.greatest(F.coalesce(F.avg(counts).over(Window.partitionBy("sample")), F.lit(1e-6)), F.lit(1e-6)))
+    v = F.col(valid).cast("double") if valid else F.lit(1.0)
+    mean = vox.agg((F.sum(raw * v) / F.greatest(F.sum(v), F.lit(1.0))).alias("mean")).scalar()
+    return vox.withColumn(out, raw / F.greatest(F.coalesce(mean, F.lit(1e-6)), F.lit(1e-6)))
 
 
 def reconstruction(patches: DataFrame, pred: str, target: str, weight: str | None = None) -> DataFrame:
     """(sample, loss): squared error of masked patches, patch by patch."""
-    err = F.zip_with(pred, target, lambda a, b: (a - b) * (a - b))
+    err = F.array_compact(F.zip_with(pred, target, lambda a, b: (a - b) * (a - b)))  # places without voxel don't count
     mean = F.aggregate(err, F.lit(0.0), lambda s, e: s + e) / F.size(err)
     w = F.col("masked").cast("double") * (F.col(weight) if weight else F.lit(1.0))
     return patches.withColumns({"__e": mean, "__w": w}).groupBy("sample").agg((F.sum(F.col("__e") * F.col("__w")) / F.greatest(F.sum("__w"), F.lit(1.0))).alias("loss"))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import beside
+
 AXES = ("z", "y", "x")
 
 
@@ -64,6 +66,22 @@ def valid_edges(vox: DataFrame, label: str = "label", ignore: int = 0, replicate
     return vox
 
 
+def offset_valid(vox: DataFrame, offsets: list[tuple[int, int, int]], label: str = "label", ignore: int = 0, replicate: bool = False) -> DataFrame:
+    """(sample, c, z, y, x, v): both ends of an edge have a label that counts.
+
+    ``replicate`` lets the first plane of a channel count that steps back by one
+    on one axis, where its own voxel does.
+    """
+    steps = F.array(*(F.struct(F.lit(c).alias("c"), *(F.lit(d).alias(f"d{a}") for d, a in zip(o, AXES, strict=True))) for c, o in enumerate(offsets)))
+    here = vox.select("sample", *AXES, (F.col(label) != ignore).alias("here"))
+    asked = here.withColumn("o", F.explode(steps)).select("sample", *AXES, "here", "o.*", *((F.col(a) + F.col(f"o.d{a}")).alias(f"n{a}") for a in AXES))
+    there = here.select("sample", *(F.col(a).alias(f"n{a}") for a in AXES), F.col("here").alias("there"))
+    back = F.col("dz") + F.col("dy") + F.col("dx") == -1
+    back = back & (F.abs("dz") + F.abs("dy") + F.abs("dx") == 1) & F.lit(replicate) & (F.least("nz", "ny", "nx") < 0)
+    both = F.when(back, F.col("here")).otherwise(F.col("here") & F.coalesce("there", F.lit(False)))
+    return asked.join(there, ["sample", "nz", "ny", "nx"], "left").select("sample", "c", *AXES, both.cast("int").alias("v"))
+
+
 def box(vox: DataFrame, col: str, radii: dict[str, int], how: str, out: str) -> DataFrame:
     """A min, max or sum over a box, cut at the volume's edges, axis by axis."""
     vox = vox.withColumn(out, F.col(col))
@@ -110,9 +128,9 @@ def edge_map(vox: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.
         if w > 0:
             vox = vox.withColumn(f"__d{a}", F.abs(F.col(col) - before(a, col)))
             total = total + F.lit(float(w)) * F.coalesce(f"__d{a}", F.lit(0.0))
-    vox = vox.withColumn("__sum", total)
-    mean = F.greatest(F.avg("__sum").over(Window.partitionBy("sample")), F.lit(1e-6))
-    return vox.withColumn(out, F.least(F.col("__sum") / mean, F.lit(float(clip)))).drop("__sum", *(f"__d{a}" for a in AXES))
+    vox = beside(vox.withColumn("__sum", total), ("sample",), __mean=F.avg("__sum"))
+    mean = F.greatest("__mean", F.lit(1e-6))
+    return vox.withColumn(out, F.least(F.col("__sum") / mean, F.lit(float(clip)))).drop("__sum", "__mean", *(f"__d{a}" for a in AXES))
 
 
 def gradient_loss(vox: DataFrame, pred: str, target: str, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -141,15 +159,15 @@ def shape_descriptors(vox: DataFrame, label: str = "label") -> DataFrame:
     Coordinates run from -1 to 1 over the sample's extent; offsets are 0 outside
     objects and clipped to 1.
     """
-    whole, own = Window.partitionBy("sample"), Window.partitionBy("sample", label)
-    vox = vox.withColumn("fg", (F.col(label) > 0).cast("int"))
+    vox = beside(vox.withColumn("fg", (F.col(label) > 0).cast("int")), ("sample",), **{f"__last_{a}": F.max(a) for a in AXES})
     for a in AXES:
-        last = F.max(a).over(whole)
+        last = F.col(f"__last_{a}")
         vox = vox.withColumn(f"__{a}", F.when(last == 0, F.lit(-1.0)).otherwise(-1 + 2 * F.col(a) / F.greatest(last, F.lit(1))))
+    vox = beside(vox, ("sample", label), **{f"__mean_{a}": F.avg(f"__{a}") for a in AXES})
     for a in AXES:
-        off = F.avg(f"__{a}").over(own) - F.col(f"__{a}")
+        off = F.col(f"__mean_{a}") - F.col(f"__{a}")
         vox = vox.withColumn(f"o{a}", F.when(F.col("fg") == 1, F.least(F.greatest(off, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0))
-    return vox.drop(*(f"__{a}" for a in AXES))
+    return vox.drop(*(f"__{k}{a}" for a in AXES for k in ("", "last_", "mean_")))
 
 
 def average_pool(vox: DataFrame, size: int, col: str, out: str) -> DataFrame:
@@ -157,11 +175,12 @@ def average_pool(vox: DataFrame, size: int, col: str, out: str) -> DataFrame:
     return box(vox, col, dict.fromkeys(AXES, size // 2), "sum", out).withColumn(out, F.col(out) / float(size**3))
 
 
-def pseudo_affinity(vox: DataFrame, temperature: float = 1.0, col: str = "raw") -> DataFrame:
-    """Adds pz, py, px: exp(-T |step| / mean step of the sample), clipped to 0..1."""
+def pseudo_affinity(vox: DataFrame, temperature: float = 1.0, col: str = "raw", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Adds pz, py, px: exp(-T w |step| / mean step of the sample), clipped to 0..1."""
     for a in AXES:
         vox = vox.withColumn(f"__g{a}", F.coalesce(F.abs(F.col(col) - before(a, col)), F.lit(0.0)))
-    for a in AXES:
-        mean = F.greatest(F.avg(f"__g{a}").over(Window.partitionBy("sample")), F.lit(1e-6))
-        vox = vox.withColumn(f"p{a}", F.least(F.greatest(F.exp(-temperature * F.col(f"__g{a}") / mean), F.lit(0.0)), F.lit(1.0)))
-    return vox.drop(*(f"__g{a}" for a in AXES))
+    vox = beside(vox, ("sample",), **{f"__mean_{a}": F.avg(f"__g{a}") for a in AXES})
+    for a, w in zip(AXES, weights, strict=True):
+        mean = F.greatest(f"__mean_{a}", F.lit(1e-6))
+        vox = vox.withColumn(f"p{a}", F.least(F.greatest(F.exp(-temperature * w * F.col(f"__g{a}") / mean), F.lit(0.0)), F.lit(1.0)))
+    return vox.drop(*(f"__{k}{a}" for a in AXES for k in ("g", "mean_")))

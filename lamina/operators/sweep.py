@@ -32,6 +32,26 @@ def group_means(records: DataFrame, keys: list[str], metrics: list[str], require
     return (out.where(F.col("__samples") >= require_samples) if require_samples else out).drop("__samples")
 
 
+def throughput(chunks: DataFrame, by: tuple[str, ...] = (), seconds: str = "seconds", voxels: str = "voxels", core: str = "core_voxels") -> DataFrame:
+    """(by, chunks, seconds, voxels, core_voxels, voxels_per_sec) of a run's chunks.
+
+    The rate is that of the core voxels, each of which belongs to one chunk.
+    """
+    sums = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("chunks"), F.sum(seconds).alias("seconds"), F.sum(voxels).alias("voxels"), F.sum(core).alias("core_voxels"))
+    return sums.withColumn("voxels_per_sec", F.col("core_voxels") / F.greatest("seconds", F.lit(1e-6)))
+
+
+def validation_summary(batches: DataFrame, metrics: list[str], size: str = "size", batch: str = "batch", most: int = 0) -> DataFrame:
+    """One row: each metric's mean over the batches, weighted by their sizes.
+
+    ``most`` batches count, the first by number; 0 means all.
+    """
+    if most > 0:
+        batches = batches.where(F.col(batch) < most)
+    total = F.greatest(F.sum(size).cast("double"), F.lit(1.0))
+    return batches.agg(*((F.sum(F.col(m) * F.col(size)) / total).alias(m) for m in metrics), F.count(F.lit(1)).alias("batches"))
+
+
 def best(groups: DataFrame, metric: str, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """The least of a metric; ties go to the first in order of the keys as text."""
     order = [F.col(metric), *(F.col(k).cast("string") for k in keys)]

@@ -5,6 +5,7 @@ Floating results are rounded to six places: engines differ in the last bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,11 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in cols})
 
 
+def r96(df: DataFrame, *cols: str) -> DataFrame:
+    """Rounded to six places, from midway up: for means that may lie midway between two sixth places."""
+    return df.withColumns({c: F.round(F.round(F.col(c).cast("double"), 9) + 1e-9, 6) for c in cols})
+
+
 def logits(vox: DataFrame) -> DataFrame:
     return vox.withColumns({f"l{a}": 8 * (F.col(f"a{a}") - 0.5) for a in "zyx"})
 
@@ -132,8 +138,6 @@ def affinity_stats(vox):
 
 
 @query(f"""w as (select sample, 8 * (ax - 0.5::double) l, cast(coalesce({_back("x", "label")} = label and label > 0, false) as int) t from vox),
-s as (select sample, cast(1 / (1 + exp(-greatest(least(l, 50), -50))) >= 0.5 as double::int) p, t from w)
-select 1""".split("w as")[0] + f"""w as (select sample, 8 * (ax - 0.5::double) l, cast(coalesce({_back("x", "label")} = label and label > 0, false) as int) t from vox),
 g as (select sample, sum(case when l >= 0 then t else 0 end) b, sum(case when l >= 0 then 1 else 0 end) p, sum(t) t from w group by 1)
 select sample, round(2.0::double * b / (p + t), 6) dice, round(b / cast(p + t - b as double), 6) iou from g""")
 def dice_iou(vox):
@@ -176,22 +180,44 @@ def gamma_gain(vox):
     return r6(vox.select(*K, scalar.gain_bias(v, 1.1, -0.02).alias("gained"), scalar.gamma(v, 1.3).alias("gammaed")), "gained", "gammaed")
 
 
-@query("select sample, 19 - z as z, 19 - x as y, 19 - y as x, raw from vox where z < 20".replace("19 - z as z, 19 - x as y, 19 - y as x", "z, 19 - x as y, 19 - y as x"))
+@query("select sample, z, 19 - x as y, 19 - y as x, raw from vox")
 def rot90_flip(vox):
-    turned = scalar.rotate_xy(vox.where("z < 20"), 1, 20)  # (y, x) -> (19 - x, y)
+    turned = scalar.rotate_xy(vox, 1, 20)  # (y, x) -> (19 - x, y)
     return scalar.flip(turned, "x", 20).select(*K, "raw")
 
 
+_DRAWS = {"turn": 0.3, "flip_x": 0.1, "flip_y": 0.9, "flip_z": 0.9, "gain": 0.2, "gain_by": 0.4, "bias_by": 0.7, "gamma": 0.1, "gamma_by": 0.5, "noise": 0.05}
+_DRAW = "(cast('0x' || substr(md5('0:{}:' || sample || ':' || z || ':' || y || ':' || x), 1, 8) as bigint) + 0.5::double) / 4294967296::double"
+
+
+@query(f"""w as (select sample, z, 19 - x as y, 19 - y as x, label, least(greatest(raw / 255 * (0.85::double + 0.30::double * 0.4::double) + 0.10::double * (0.7::double - 0.5::double), 0), 1) v from vox),
+w1 as (select *, pow(least(greatest(v, 1e-4), 1), 1.1::double) g, sqrt(-2 * ln({_DRAW.format("r")})) * cos(2 * pi() * {_DRAW.format("a")}) n from w)
+select sample, z, y, x, label, round(least(greatest(g + 0.03::double * n, 0), 1), 6) raw from w1""")
+def augment_volume(vox):
+    bright = vox.withColumn("raw", F.col("raw") / 255)
+    return r6(scalar.augment(bright, _DRAWS, {"z": 1, "y": 20, "x": 20}).select(*K, "label", "raw"), "raw")
+
+
+@query("select sample, z, y, x, c, round(v, 6) v from (select sample, z, y, x, unnest([0, 1, 2]) c, unnest([ax, ay, az]) v from vox)")
+def choose_channels(vox):
+    long = vox.select(*K, F.posexplode(F.array("az", "ay", "ax", "raw")).alias("c", "v"))
+    return r6(scalar.choose_channels(long, (2, 1, 0)), "v")
+
+
+@query("select p_partkey, regexp_replace(p_name, '[^0-9A-Za-z._-]', '_', 'g') tag from part", volume=False)
+def safe_tag(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", scalar.safe_tag(F.col("p_name")).alias("tag"))
+
+
 @query("""p as (select sample, ((z // 2) * 2 + y // 10) * 2 + x // 10 pid, ((z % 2) * 10 + y % 10) * 10 + x % 10 place, raw from vox)
-select sample, pid, cast(count(*) as bigint) n, round(sum(raw * (place + 1)), 6) digest from p group by 1, 2 having count(*) = 200""")
+select sample, pid, cast(count(*) as bigint) n, round(sum(raw * (place + 1)), 6) digest from p group by 1, 2""")
 def patchify(vox):
     p = scalar.patchify(vox, (2, 10, 10), (2, 2))
-    digest = F.aggregate(F.transform("vals", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
-    return r6(p.select("sample", "pid", F.size("vals").cast("bigint").alias("n"), digest.alias("digest")), "digest")
+    digest = F.aggregate(F.transform("vals", lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return r6(p.select("sample", "pid", F.size(F.array_compact("vals")).cast("bigint").alias("n"), digest.alias("digest")), "digest")
 
 
-@query("""p as (select *, ((z // 2) * 2 + y // 10) * 2 + x // 10 pid from vox), w as (select *, count(*) over (partition by sample, pid) n from p)
-select sample, z, y, x, raw from w where n = 200""")
+@query("select sample, z, y, x, raw from vox")
 def unpatchify(vox):
     return scalar.unpatchify(scalar.patchify(vox, (2, 10, 10), (2, 2)), (2, 10, 10), (2, 2)).select(*K, "raw")
 
@@ -273,10 +299,17 @@ def average_pool(vox):
     return r6(stencil.average_pool(vox, 3, "ax", "pooled").select(*K, "pooled"), "pooled")
 
 
+@query("""w as (select * from (values (0, -1, 0, 0), (1, 0, -3, 0), (2, 0, 2, -2)) o(c, dz, dy, dx))
+select a.sample, c, a.z, a.y, a.x, cast(a.label <> 0 and (coalesce(b.label <> 0, false) or (c = 0 and a.z = 0)) as int) v
+from vox a cross join w left join vox b on b.sample = a.sample and b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx""")
+def offset_valid_mask(vox):
+    return stencil.offset_valid(vox, _OFFSETS, replicate=True)
+
+
 # ---- grids ---------------------------------------------------------------
 
-@query("""t as (select * from (values (38, 16, 6), (20, 8, 5), (20, 32, 5), (7, 7, 3), (25, 10, 10)) v(dim, win, stride))
-select dim, win, stride, unnest(case when dim <= win then [0] else list_sort(list_distinct(list_append(range(0, dim - win + 1, stride), dim - win))) end) as start from t""".replace("t as", "with t as", 1), volume=False)
+@query("""with t as (select * from (values (38, 16, 6), (20, 8, 5), (20, 32, 5), (7, 7, 3), (25, 10, 10)) v(dim, win, stride))
+select dim, win, stride, unnest(case when dim <= win then [0] else list_sort(list_distinct(list_append(range(0, dim - win + 1, stride), dim - win))) end) as start from t""", volume=False)
 def sliding_starts(spark, sf_dir):
     rows = [(38, 16, 6), (20, 8, 5), (20, 32, 5), (7, 7, 3), (25, 10, 10)]
     parts = [spark.range(1).select(F.lit(d).alias("dim"), F.lit(w).alias("win"), F.lit(s).alias("stride"), F.explode(grid.sliding_starts(F.lit(d), w, s)).alias("start")) for d, w, s in rows]
@@ -309,19 +342,24 @@ def window_stitch(vox):
     return r6(grid.stitch_windows(vox, {"y": 20, "x": 20}, (None, 8, 8), (None, 5, 5), logit), "p")
 
 
-@query("select sample, z - 1 as z, y - 4 as y, x - 2 as x, raw, label from vox where z >= 1 and z < 4 and y >= 4 and y < 16 and x >= 2 and x < 18")
+@query("t as (select sample, " + ", ".join(f"case when max({a}) + 1 > {n} then (max({a}) + 1 - {n}) // 2 else 0 end s{a}" for a, n in (("z", 3), ("y", 12), ("x", 16))) + """ from vox group by 1)
+select sample, z - sz as z, y - sy as y, x - sx as x, raw, label from vox join t using (sample) where z >= sz and z < sz + 3 and y >= sy and y < sy + 12 and x >= sx and x < sx + 16""")
 def center_crop(vox):
-    y, x = grid.centre_bounds(20, 12), grid.centre_bounds(20, 16)
-    return grid.crop(vox, {"z": grid.centre_bounds(5, 3), "y": y, "x": x}).select(*K, "raw", "label")
+    return grid.centre_crop(vox, {"z": 3, "y": 12, "x": 16}).select(*K, "raw", "label")
 
 
-@query("""select sample, z, y, x, raw from vox where z < 5 union all select sample, z, 38 - y, x, raw from vox where z < 5 and y >= 12 and y < 19""".replace("38 - y, x, raw from vox where z < 5 and y >= 12 and y < 19", "38 - y, x, raw from vox where z < 5 and 38 - y >= 20 and 38 - y < 26"))
+@query("select sample, z - 1 as z, y - 4 as y, x, raw, label from vox where z >= 1 and z < 4 and y >= 4 and y < 16")
+def paired_crop(vox):
+    return grid.paired_crop(vox.select(*K, "raw"), vox.select(*K, "label"), {"z": (1, 4), "y": (4, 16)}).select(*K, "raw", "label")
+
+
+@query("select sample, z, y, x, raw from vox union all select sample, z, 38 - y, x, raw from vox where 38 - y >= 20 and 38 - y < 26")
 def pad_reflect(vox):
-    return grid.pad(vox.where("z < 5"), "y", 20, 26).select(*K, "raw")
+    return grid.pad(vox, "y", 20, 26).select(*K, "raw")
 
 
-@query("""t as (select unnest(range(0, 30)) i)
-select i as index, i % 10 as path, """.replace("t as", "with t as", 1) + ", ".join(f"cast(('0x' || substr(md5('7:{a}:' || i), 1, 8)) as bigint) % {m} as {a}0" for a, m in (("z", 18), ("y", 11), ("x", 5))) + " from t", volume=False)
+@query("""with t as (select unnest(range(0, 30)) i)
+select i as index, i % 10 as path, """ + ", ".join(f"cast(('0x' || substr(md5('7:{a}:' || i), 1, 8)) as bigint) % {m} as {a}0" for a, m in (("z", 18), ("y", 11), ("x", 5))) + " from t", volume=False)
 def crop_plan(spark, sf_dir):
     return grid.crop_plan(spark, 10, 3, (25, 20, 20), (8, 10, 16), 7)
 
@@ -369,12 +407,23 @@ ORACLE_SQL["mean_affinity_cc"] = _components_sql(
 )
 
 
+@query()
+def mask_cc_26(vox):
+    return graph.mask_components(vox, (F.col("az") + F.col("ay") + F.col("ax")) / 3 >= 0.75, 26).select("sample", "id", "component")
+
+
+ORACLE_SQL["mask_cc_26"] = _components_sql(
+    "select v.sample, v.id a, u.id b from (select * from vox where (az + ay + ax) / 3 >= 0.75) v join (select * from vox where (az + ay + ax) / 3 >= 0.75) u on u.sample = v.sample and u.z between v.z - 1 and v.z + 1 and u.y between v.y - 1 and v.y + 1 and u.x between v.x - 1 and v.x + 1 and u.id > v.id",
+    "select sample, id, case when (az + ay + ax) / 3 >= 0.75 then component else -1 end component from part",
+)
+
+
 @query("select sample, id, cast(dense_rank() over (partition by sample order by label) - cast(min(label) over (partition by sample) = 0 as int) as bigint) dense from vox")
 def relabel(vox):
     return graph.relabel(vox, "label", "dense").select("sample", "id", "dense")
 
 
-@query("select sample, z, y, x, row_number() over (partition by sample order by z, y, x) seed from vox where y % 5 = 2 and x % 5 = 2")
+@query("select sample, z, y, x, row_number() over (partition by sample order by z, y, x) seed from vox where y % 5 = 0 and x % 5 = 0")
 def grid_seeds(vox):
     return graph.grid_seeds(vox, 5)
 
@@ -390,20 +439,20 @@ def rag_pairs(vox):
 for _mode, _sql in (("mean", "avg(w)"), ("min", "min(w)"), ("max", "max(w)"), ("q25", "quantile_cont(w, 0.25)")):
 
     def _scores(vox, mode=_mode):
-        return r6(graph.boundary_pairs(vox, "pred").groupBy("sample", "lo", "hi").agg(graph.pair_score(mode).alias("score"), F.count(F.lit(1)).alias("n")), "score")
+        return r96(graph.boundary_pairs(vox, "pred").groupBy("sample", "lo", "hi").agg(graph.pair_score(mode).alias("score"), F.count(F.lit(1)).alias("n")), "score")
 
     _scores.__name__ = f"rag_scores_{_mode}"
-    query(_PAIRS + f" select sample, lo, hi, round({_sql}, 6) score, count(*) n from p group by 1, 2, 3")(_scores)
+    query(_PAIRS + f" select sample, lo, hi, round(round({_sql}, 9) + 1e-9::double, 6) score, count(*) n from p group by 1, 2, 3")(_scores)
 
 _FEATURES = [f"{n}_{a}" for a in "zyx" for n in ("mean", "min", "max", "share")]
 
 
-@query(_PAIRS + " select sample, lo, hi, count(*) n, " + ", ".join(f"round(coalesce({f}(case when axis = {k} then w end), 0), 6) {n}_{a}" for k, a in enumerate("zyx") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + ", " + ", ".join(f"round(count(case when axis = {k} then w end) / cast(count(*) as double), 6) share_{a}" for k, a in enumerate("zyx")) + ", round(ln(1 + count(*)), 6) log_n from p group by 1, 2, 3 having count(*) >= 2")
+@query(_PAIRS + " select sample, lo, hi, count(*) n, " + ", ".join(f"round(round(coalesce({f}(case when axis = {k} then w end), 0), 9) + 1e-9::double, 6) {n}_{a}" for k, a in enumerate("zyx") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + ", " + ", ".join(f"round(round(count(case when axis = {k} then w end) / cast(count(*) as double), 9) + 1e-9::double, 6) share_{a}" for k, a in enumerate("zyx")) + ", round(round(ln(1 + count(*)), 9) + 1e-9::double, 6) log_n from p group by 1, 2, 3 having count(*) >= 2")
 def rag_features(vox):
-    return r6(graph.rag_features(graph.boundary_pairs(vox, "pred"), 2), *_FEATURES, "log_n")
+    return r96(graph.rag_features(graph.boundary_pairs(vox, "pred"), 2), *_FEATURES, "log_n")
 
 
-_MAJORITY = "w as (select sample, pred segment, label best, count(*) n from vox group by 1, 2, 3), mj as (select sample, segment, best, n / cast(sum(n) over (partition by sample, segment) as double) confidence from w qualify row_number() over (partition by sample, segment order by n desc, best) = 1)"
+_MAJORITY = "w as (select sample, pred segment, label best, count(*) n from vox where pred > 0 and label > 0 group by 1, 2, 3), mj as (select sample, segment, best, n / cast(sum(n) over (partition by sample, segment) as double) confidence from w qualify row_number() over (partition by sample, segment order by n desc, best) = 1)"
 
 
 @query(_MAJORITY + " select sample, segment, best, round(confidence, 6) confidence from mj")
@@ -412,12 +461,24 @@ def rag_majority_labels(vox):
 
 
 @query(_MAJORITY + ", " + _PAIRS + """, e as (select distinct sample, lo, hi from p)
-select e.sample, lo, hi, cast(a.best = b.best and a.best > 0 and least(a.confidence, b.confidence) >= 0.5 as int) target
-from e join mj a on a.sample = e.sample and a.segment = lo join mj b on b.sample = e.sample and b.segment = hi""")
+select e.sample, lo, hi, cast(coalesce(a.best = b.best and a.best > 0 and least(a.confidence, b.confidence) >= 0.5, false) as int) target
+from e left join mj a on a.sample = e.sample and a.segment = lo left join mj b on b.sample = e.sample and b.segment = hi""")
 def rag_pair_targets(vox):
     return graph.pair_targets(graph.boundary_pairs(vox, "pred"), graph.majority_labels(vox, "pred", "label"))
 
 
+@query()
+def agglomerate_scores(vox):
+    scores = graph.rag_features(graph.boundary_pairs(vox, "pred")).select("sample", "lo", "hi", F.round(F.greatest("max_z", "max_y", "max_x"), 9).alias("score"))
+    return graph.agglomerate_by_scores(vox, "pred", scores, 0.97, "segment").select("sample", "id", "segment")
+
+
+_MERGED = """, cc as (select sample, a, least(a, min(b)) c from reach group by sample, a),
+mg as (select v.sample, v.id, coalesce(c, pred) root from vox v left join cc on cc.sample = v.sample and cc.a = v.pred)
+select sample, id, cast(dense_rank() over (partition by sample order by root) - cast(min(root) over (partition by sample) = 0 as int) as bigint) segment from mg"""
+ORACLE_SQL["agglomerate_scores"] = VOX_SQL.replace("with src", "with recursive src", 1) + ", " + _PAIRS + ", ed as (select sample, lo a, hi b from p group by sample, lo, hi having round(max(w), 9) >= 0.97), " + _CLOSE + _MERGED
+
+
 @query()
 def agglomerate_affinity(vox):
     return graph.agglomerate(vox, "pred", 0.8, "segment", z_threshold=0.9, min_boundary=2).select("sample", "id", "segment")
@@ -425,19 +486,18 @@ def agglomerate_affinity(vox):
 
 ORACLE_SQL["agglomerate_affinity"] = VOX_SQL.replace("with src", "with recursive src", 1) + ", " + _PAIRS + """,
 sel as (select sample, lo, hi from p group by sample, lo, hi, axis having avg(w) >= case when axis = 0 then 0.9 else 0.8 end and count(*) >= 2),
-ed as (select distinct sample, lo a, hi b from sel), """ + _CLOSE + """, cc as (select sample, a, least(a, min(b)) c from reach group by sample, a),
-mg as (select v.sample, v.id, coalesce(c, pred) root from vox v left join cc on cc.sample = v.sample and cc.a = v.pred)
-select sample, id, cast(dense_rank() over (partition by sample order by root) - cast(min(root) over (partition by sample) = 0 as int) as bigint) segment from mg"""
+ed as (select distinct sample, lo a, hi b from sel), """ + _CLOSE + _MERGED
 
 
 # ---- masks ---------------------------------------------------------------
 
 def _patches(vox):
     p = scalar.patchify(vox, (1, 10, 10), (2, 2), "ax")
-    return p.select("sample", "pid", (F.aggregate("vals", F.lit(0.0), lambda s, v: s + v) / 100).alias("edge"))
+    held = F.array_compact("vals")
+    return p.select("sample", "pid", (F.aggregate(held, F.lit(0.0), lambda s, v: s + v) / F.size(held)).alias("edge"))
 
 
-_PATCH = "p as (select sample, (z * 2 + y // 10) * 2 + x // 10 pid, avg(ax) edge, count(*) c from vox group by 1, 2 having count(*) = 100)"
+_PATCH = "p as (select sample, (z * 2 + y // 10) * 2 + x // 10 pid, avg(ax) edge from vox group by 1, 2)"
 _RANK = "md5('0:' || sample || ':' || pid), pid"
 
 
@@ -446,9 +506,9 @@ def random_mask(vox):
     return masking.random_mask(_patches(vox), 0.75).select("sample", "pid", "masked")
 
 
-_EDGED = _PATCH + f""", w as (select *, least(greatest(round_even(0.5 * count(*) over (partition by sample), 0), 1), greatest(count(*) over (partition by sample) - 1, 1)) k from p),
-w1 as (select *, least(round_even(k * 0.4, 0), k) led, row_number() over (partition by sample order by round(edge, 9) desc, pid) r from w),
-w2 as (select *, r <= led top from w1), mk as (select *, top or row_number() over (partition by sample order by top, {_RANK}) <= k - led masked from w2)"""
+_MASKED = """, w1 as (select *, least(round_even(k * f, 0), k) led, row_number() over (partition by sample order by round(edge, 9) desc, pid) r from w),
+w2 as (select *, r <= led top from w1), mk as (select *, top or row_number() over (partition by sample order by top, """ + _RANK + """) <= k - led masked from w2)"""
+_EDGED = _PATCH + ", w as (select *, 0.4::double f, greatest(round_even(0.5 * count(*) over (partition by sample), 0), 1) k from p)" + _MASKED
 
 
 def _edged(vox):
@@ -465,11 +525,41 @@ def mask_coverage(vox):
     return r6(masking.mask_coverage(_edged(vox)), "ratio", "coverage", "gain", "mean", "std", "max", "min")
 
 
-@query(_PATCH + """, w as (select *, round(edge, 9) prob, round(edge, 9) > 0.5 act, count(*) over (partition by sample) n from p), w1 as (select *, sum(cast(act as int)) over (partition by sample) c from w)
-select sample, pid, row_number() over (partition by sample order by act desc, prob desc, pid) <= least(greatest(c, greatest(1, round_even(0.6::double * n, 0))), least(n - 1, round_even(0.8::double * n, 0))) masked from w1""")
-def enforce_ratio(vox):
+@query(_PATCH + """, w as (select *, case sample when 'A' then 0.4::double when 'B' then 0.6 else 0.2 end f,
+greatest(least(round_even(case sample when 'A' then 0.75::double when 'B' then 0.5 else 0.25 end * count(*) over (partition by sample), 0), count(*) over (partition by sample) - 1), 1) k from p)""" + _MASKED + " select sample, pid, masked from mk")
+def mixed_mask(vox):
+    a, b = F.col("sample") == "A", F.col("sample") == "B"
+    p = _patches(vox).withColumns({"edge": F.round("edge", 9), "share": F.when(a, 0.75).when(b, 0.5).otherwise(0.25), "led": F.when(a, 0.4).when(b, 0.6).otherwise(0.2)})
+    return masking.mixed_mask(p, "share", "led").select("sample", "pid", "masked")
+
+
+_ACTIONS = _PATCH + """, w as (select *, round(edge, 9) prob, round(edge, 9) > 0.5 act, count(*) over (partition by sample) n from p), w1 as (select *, sum(cast(act as int)) over (partition by sample) chosen from w)
+select sample, pid, row_number() over (partition by sample order by act desc, prob desc, pid) <= least(greatest(chosen, greatest(1, round_even({least}::double * n, 0))), least(n - 1, round_even({most}::double * n, 0))) masked from w1"""
+
+
+def _enforced(vox, least, most):
     p = _patches(vox).withColumns({"prob": F.round("edge", 9), "act": F.round("edge", 9) > 0.5})
-    return masking.enforce_ratio(p, "act", "prob", 0.6, 0.8).select("sample", "pid", "masked")
+    return masking.enforce_ratio(p, "act", "prob", least, most).select("sample", "pid", "masked")
+
+
+@query(_ACTIONS.format(least=0.6, most=0.8))
+def enforce_ratio(vox):
+    return _enforced(vox, 0.6, 0.8)
+
+
+@query(_ACTIONS.format(least=0.1, most=0.3))
+def enforce_ratio_dropping(vox):
+    return _enforced(vox, 0.1, 0.3)
+
+
+@query("""w as (select sample, z, unnest(['0.25', '0.5', '0.75']) c, unnest([round(avg(az), 9), round(avg(ay), 9), round(avg(ax), 9)]) p from vox group by 1, 2),
+m as (select sample, z, cast(c as double) v from w qualify row_number() over (partition by sample, z order by p desc, cast(c as double)) = 1)
+select sample, z, v as value, case when v = 0.25 then 0 else 1 end bin from m""")
+def policy_choice(vox):
+    means = vox.groupBy("sample", "z").agg(*(F.round(F.avg(f"a{a}"), 9).alias(f"m{a}") for a in "zyx"))
+    choices = means.select("sample", "z", F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(f"m{a}").alias("prob")) for v, a in ((0.25, "z"), (0.5, "y"), (0.75, "x"))))).alias("s")).select("sample", "z", "s.*")
+    best = masking.most_likely(choices, ("sample", "z"))
+    return best.withColumn("bin", masking.nearest_bin(F.col("value"), [0.2, 0.6]))
 
 
 # ---- losses --------------------------------------------------------------
@@ -479,7 +569,7 @@ def _rows(vox):
     return losses.long_channels(both, ("lz", "ly", "lx"), ("tz", "ty", "tx"), ("vz", "vy", "vx"))
 
 
-_LONG = "w as (" + " union all ".join(f"select sample, '{a}' c, 8 * (a{a} - 0.5::double) l, cast(coalesce({_back(a, 'label')} = label and label > 0, false) as double::int)::double t, cast(coalesce(label <> 0 and {_back(a, 'label')} <> 0, false) as int)::double v from vox".replace("double::int)::double t", "int)::double t") for a in "zyx") + "), e as (select *, 1 / (1 + exp(-l)) p from w)"
+_LONG = "w as (" + " union all ".join(f"select sample, '{a}' c, 8 * (a{a} - 0.5::double) l, cast(coalesce({_back(a, 'label')} = label and label > 0, false) as int)::double t, cast(coalesce(label <> 0 and {_back(a, 'label')} <> 0, false) as int)::double v from vox" for a in "zyx") + "), e as (select *, 1 / (1 + exp(-l)) p from w)"
 
 
 @query(_LONG + " select sample, round(sum(v * (p - t) * (p - t)) / greatest(sum(v), 1), 6) loss from e group by 1")
@@ -493,7 +583,7 @@ b2 as (select *, (p - t) * (p - t) * case when t >= 0.5 then case when f > 0.5 t
 
 @query(_BALANCED + " select sample, round(sum(v * m) / greatest(sum(v), 1), 6) loss from b2 group by 1")
 def loss_mse_balanced(vox):
-    return r6(losses.mean_loss(_rows(vox), losses.squared_error() * losses.ratio_weight()), "loss")
+    return r6(losses.mean_loss(losses.ratio_weight(_rows(vox)), losses.squared_error() * F.col("balance")), "loss")
 
 
 @query(_BALANCED + " select sample, round(sum(v * m) / greatest(count(*) / 3.0::double, 1), 6) loss from b2 group by 1")
@@ -514,6 +604,28 @@ def loss_bce_focal(vox):
     return r6(losses.mean_loss(_rows(vox), losses.cross_entropy(1.0, 2.0, 2.0)), "loss")
 
 
+@query(_LONG + """ select sample, round(sum(v * (greatest(l, 0) - l * t + ln(1 + exp(-abs(l)))) * case when t > 0.5 then 1 - p else p * p end) / greatest(sum(v), 1), 6) loss from e group by 1""")
+def loss_bce_two_exponents(vox):
+    return r6(losses.mean_loss(_rows(vox), losses.cross_entropy(focus_positive=1.0, focus_negative=2.0)), "loss")
+
+
+@query(_LONG + ", d as (select sample, c, 1 - (2 * sum((1 - p) * v * (1 - t) * v) + 1) / (sum((1 - p) * v) + sum((1 - t) * v) + 1) d from e group by 1, 2) select sample, round(avg(d), 6) loss from d group by 1")
+def loss_boundary_dice(vox):
+    return r6(losses.soft_dice(_rows(vox), boundary=True), "loss")
+
+
+@query(_LONG + """, k as (select *, case c when 'z' then 2.0::double when 'y' then 1 else 0.5 end k from e),
+mn as (select sample, sum(k * v * (greatest(l, 0) - l * t + ln(1 + exp(-abs(l)))) * case when t > 0.5 then 1 else 2 end) / greatest(sum(k * v), 1) main, avg(v) valid_fraction from k group by 1),
+d as (select sample, c, any_value(k) k, 1 - (2 * sum(p * v * t * v) + 1) / (sum(p * v) + sum(t * v) + 1) d, 1 - (2 * sum((1 - p) * v * (1 - t) * v) + 1) / (sum((1 - p) * v) + sum((1 - t) * v) + 1) b,
+  avg(case when t >= 0.75 and v > 0 then l end) hi, avg(case when t <= 0.25 and v > 0 then l end) lo, avg(case when v > 0 then l end) m from k group by 1, 2),
+g as (select sample, sum(d * k) / greatest(sum(k), 1) dice, sum(b * k) / greatest(sum(k), 1) boundary_dice, coalesce(avg(ln(1 + exp(1 - hi + lo))), 0) rank_loss, case when count(m) = 3 then pow(avg(case when c = 'z' then m end) - avg(case when c <> 'z' then m end), 2) else 0 end calibration from d group by 1)
+select sample, round(main, 6) main, round(dice, 6) dice, round(boundary_dice, 6) boundary_dice, round(rank_loss, 6) rank_loss, round(calibration, 6) calibration, round(valid_fraction, 6) valid_fraction,
+  round(0.5 * main + 0.3 * dice + 0.2 * boundary_dice + 0.1 * rank_loss + 0.05 * calibration, 6) loss from mn join g using (sample)""")
+def loss_objective(vox):
+    out = losses.objective(_rows(vox), "bce", negative=2.0, channels=[2.0, 1.0, 0.5], main_weight=0.5, dice_weight=0.3, boundary_dice_weight=0.2, rank_weight=0.1, calibration_weight=0.05)
+    return r6(out, *(c for c in out.columns if c != "sample"))
+
+
 @query(_LONG + ", d as (select sample, c, 1 - (2 * sum(p * v * t * v) + 1) / (sum(p * v) + sum(t * v) + 1) d from e group by 1, 2) select sample, round(avg(d), 6) loss from d group by 1")
 def loss_dice(vox):
     return r6(losses.soft_dice(_rows(vox)), "loss")
@@ -526,7 +638,7 @@ def loss_bcar(vox):
 
 
 @query("w as (select *, " + " + ".join(_STEP.format(b=_back(a, "raw")) for a in "zyx") + """ g from vox), w1 as (select *, least(g / greatest(avg(g) over (partition by sample), 1e-6), 5) edge from w)
-select sample, z, y, x, round((1 + 2 * edge) / greatest(avg(1 + 2 * edge) over (partition by sample), 1e-6), 6) spatial from w1""")
+select sample, z, y, x, round((1 + 2 * edge) / greatest(avg(1 + 2 * edge) over (), 1e-6), 6) spatial from w1""")
 def loss_membrane_weight(vox):
     return r6(losses.membrane_weight(stencil.edge_map(vox), 2.0).select(*K, "spatial"), "spatial")
 
@@ -606,6 +718,29 @@ def sweep_per_threshold(vox):
     return r6(sweep.group_means(_records(vox), ["threshold"], ["error"]), "error")
 
 
+@query(_REC + ", b as (select *, case c when 'z' then 3 when 'y' then 2 else 1 end size from rc) select round(sum(error * size) / sum(size), 6) error, round(sum(share * size) / sum(size), 6) share, count(*) batches from b")
+def validation_summary(vox):
+    sized = _records(vox).withColumn("size", F.when(F.col("c") == "z", 3).when(F.col("c") == "y", 2).otherwise(1))
+    return r6(sweep.validation_summary(sized, ["error", "share"]), "error", "share")
+
+
+@query("""w as (select sample, z // 8 as chunk, count(*) voxels, round(sum(raw), 3) / 1000 as seconds from vox group by 1, 2)
+select sample, count(*) chunks, round(sum(seconds), 6) as seconds, cast(sum(voxels) as bigint) voxels, cast(sum(voxels) as bigint) core_voxels, round(sum(voxels) / greatest(sum(seconds), 1e-6), 6) voxels_per_sec from w group by 1""")
+def throughput(vox):
+    chunks = vox.groupBy("sample", F.expr("z div 8").alias("chunk")).agg(F.count(F.lit(1)).alias("voxels"), (F.round(F.sum("raw"), 3) / 1000).alias("seconds"))
+    return r6(sweep.throughput(chunks.withColumn("core_voxels", F.col("voxels")), ("sample",)), "seconds", "voxels_per_sec")
+
+
+@query("""w as (select az recon, ay value, ln(ax + 0.001::double) lp, ax entropy, az - ay gain, ax / 10 pen, [az, ay] lg from vox),
+r as (select *, least(greatest(-recon + 0.5 * gain - 0.2 * pen, -0.6), 0.6) rw from w), a as (select *, rw - value adv from r), n as (select *, (adv - avg(adv) over ()) / greatest(stddev_pop(adv) over (), 1e-6) ad, ln(exp(lg[1]) + exp(lg[2])) t from a)
+, f as (select -avg(lp * ad) actor, avg((value - rw) * (value - rw)) critic, -avg(entropy) entropy, avg(exp(lg[1] - t) * (lg[1] - t - ln(0.25::double)) + exp(lg[2] - t) * (lg[2] - t - ln(0.75::double))) prior_kl from n)
+select round(actor, 6) actor, round(critic, 6) critic, round(entropy, 6) entropy, round(prior_kl, 6) prior_kl, round(actor + 0.5 * critic + 0.01 * entropy + 0.1 * prior_kl, 6) loss from f""")
+def policy_loss(vox):
+    d = vox.select(F.col("az").alias("recon"), F.col("ay").alias("value"), F.ln(F.col("ax") + 0.001).alias("log_prob"), F.col("ax").alias("entropy"), (F.col("az") - F.col("ay")).alias("gain"), (F.col("ax") / 10).alias("ratio_penalty"), F.array("az", "ay").alias("logits"))
+    out = losses.policy_loss(d, edge_reward=0.5, ratio_weight=0.2, clip=0.6, normalize=True, prior_weight=0.1, priors={"logits": [math.log(0.25), math.log(0.75)]})
+    return r6(out, *out.columns)
+
+
 @query(_REC + " select c, threshold, round(error, 6) error, n from gm order by round(error, 9), c, cast(threshold as varchar) limit 1")
 def best_by_error(vox):
     groups = sweep.group_means(_records(vox), ["c", "threshold"], ["error"]).withColumn("rank_error", F.round("error", 9))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -23,13 +24,20 @@ def build_session(app: str = "lamina", master: str | None = None, **conf: str) -
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only if unset."""
+    """The session's ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster a
+    machine-local folder would be lost with its machine, so that is an error.
+    """
     context = spark.sparkContext
-    set_to = context._jsc.sc().getCheckpointDir()
-    if set_to.isDefined():
-        return context.getConf().get("spark.checkpoint.dir") or set_to.get()
-    named = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lamina-checkpoint-")
-    context.setCheckpointDir(named)
+    given = context._jsc.sc().getCheckpointDir()
+    named = context.getConf().get("spark.checkpoint.dir") or (given.get() if given.isDefined() else None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="lamina-checkpoint-")
+    if not given.isDefined():
+        context.setCheckpointDir(named)
     return named
 
 
