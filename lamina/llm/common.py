@@ -3,29 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests, a laptop) a folder of our own is
-    set; on a cluster the setting must be there.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lamina-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+from lamina.session import checkpoint_folder
 
 
 def remove_tree(spark: SparkSession, path: str) -> None:
@@ -39,7 +22,7 @@ def remove_tree(spark: SparkSession, path: str) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/lamina-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/lamina-{name}-{uuid.uuid4().hex}"
 
     def clean() -> None:
         try:
@@ -66,12 +49,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def whole_text(col: str = "text") -> Column:
     """The text as a string, a null as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
-
-
-def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Deal rows evenly so that one heavy input file is not one heavy task."""
-    return df.repartition(*cols) if cols else df

@@ -4,6 +4,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lamina.llm.mixing import mix_sources
@@ -40,40 +42,65 @@ def test_mix_meets_its_weights(spark, odd, empty):
     n = mix_sources(large, {"s": 1}, total=200 * 300).count()  # means above a part's bound
     assert abs(n - 60000) < 6 * math.sqrt(60000)
     assert set(mix_sources(odd).columns) == {*odd.columns, "shuffle_key"}
+    assert set(map(tuple, mix_sources(odd).drop("shuffle_key", "copy").collect())) <= set(map(tuple, odd.drop("copy").collect()))
     assert mix_sources(empty).collect() == []
 
 
+def test_rows_that_share_an_id_draw_for_themselves(spark):
+    docs = spark.range(4000).selectExpr("if(id < 2000, null, 7L) as doc_id", "'s' as source", "if(id % 4 = 0, 'same', concat('t', id)) as text")
+    out = mix_sources(docs, {"s": 1}, total=8000).collect()
+    again = mix_sources(docs.orderBy(F.desc("text")), {"s": 1}, total=8000).collect()
+    assert abs(len(out) - 8000) < 6 * math.sqrt(8000) and sorted(map(repr, out)) == sorted(map(repr, again))
+    times = Counter((r["doc_id"], r["text"]) for r in out if r["text"] != "same")
+    assert len(set(times.values())) > 4  # a Poisson draw of mean 2 for each row, not one for all
+    assert len({r["shuffle_key"] for r in out}) == len(out)
+
+
+def brute_top_k(rows, k=20, every=20):
+    """Every query row against every other row of its length, in Python's integers."""
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (q, v) in enumerate(whole):
+        if q % every == 0:
+            found = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for b, (i, w) in enumerate(whole) if b != a and len(w) == len(v))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
 def test_top_k_with_ties_gaps_and_bad_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 5) / 64]) for i in range(900)]
     rows += [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0]), (920, [float("nan")] * 5), (None, [1.0] * 5), (940, [float("inf")] * 5), (960, [0.5, 0.5])]
+    rows += rows[40:42] * 3 + [(60, [9.0, 9.0, 9.0, 9.0, 9.0])]  # repeated rows, of a query too, and an id with two vectors
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = sorted(tuple(r) for r in top_k(df, shard_rows=100, block_rows=16).collect())
-    whole = np.array([[math.floor(64 * x) for x in v] for _, v in rows[:900]])
-    want = []
-    for q in range(0, 900, 20):
-        s = whole @ whole[q]
-        best = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:20]
-        want += [(q, k + 1, int(i), int(s[i])) for k, i in enumerate(best)]
-    assert got == want
+    assert sorted(tuple(r) for r in top_k(df, shard_rows=100, block_rows=16).collect()) == brute_top_k(rows)
     assert top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 3e6]) for i in range(300)]  # beyond what doubles add up exactly
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in top_k(df, shard_rows=100).collect()) == brute_top_k(rows)
+    with pytest.raises(Exception, match="64-bit"):
+        top_k(spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 1.0])], df.schema)).collect()
+
+
 def test_ball_tree_cuts_and_stays_exact():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 8)) * 50
     vectors = np.floor(centres[rng.integers(0, 20, 5000)] + rng.normal(size=(5000, 8)))
-    best = Best(np.arange(10) * -1 - 1, vectors[:10], 5)
+    best = Best(np.arange(10) * -1 - 1, np.arange(10), vectors[:10], 5)
     seen = 0
     offer = best.offer
 
-    def counted(who, ids, part):
+    def counted(who, rows, ids, part):
         nonlocal seen
         seen += len(who) * len(ids)
-        offer(who, ids, part)
+        offer(who, rows, ids, part)
 
     best.offer = counted
-    best.search(BallTree(np.arange(5000), vectors))
+    best.search(BallTree(np.arange(5000), np.arange(5000), vectors))
     s = vectors[:10] @ vectors.T
     assert (best.scores == -np.sort(-s, axis=1)[:, :5]).all()
     assert seen < 10 * 5000 / 2
