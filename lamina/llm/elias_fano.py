@@ -59,8 +59,11 @@ class EliasFano:
         high = (self._select(i, self.ones_before, 0) - i).astype(_U)
         return (high << _U(self.low_bits)) | self.low[i].astype(_U)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, or -1: the bucket of its high part, then the low parts."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x, or -1: the bucket of its high part, then the low parts.
+
+        Where ``begin`` and ``stop`` are given, x is sought in that run only.
+        """
         if not self.n or not len(x):
             return np.full(len(x), -1)
         x = x.astype(_U)
@@ -68,6 +71,8 @@ class EliasFano:
         low = (x & _U((1 << self.low_bits) - 1)).astype(self.low.dtype)
         end = self._select(high, self.zeros_before, 255) - high
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros_before, 255) - np.maximum(high - 1, 0), 0)
+        if begin is not None:
+            start, end = np.maximum(start, begin), np.minimum(end, stop)
         found = np.full(len(x), -1)
         while True:  # binary search in the buckets that hold more
             open_ = np.flatnonzero(start < end)
@@ -84,13 +89,14 @@ class EliasFano:
 class Trie:
     """Two levels: contexts, and under each its successors with a coded value.
 
-    Successors are numbered by context, so the level is one sorted sequence;
-    pointers say where each context's run begins.  All arrays are mapped from a
+    Contexts are a monotone sequence, as are the pointers, which say where each
+    context's run begins.  Successors are stored relative to their context's rank,
+    so the level is monotone too; a successor is sought in its context's run.  All arrays are mapped from a
     file, so the pages in use and no more are in memory.
     """
 
     def __init__(self, contexts: np.ndarray, of: np.ndarray, successors: np.ndarray, bits: int, values: np.ndarray, levels: int = 255):
-        self.contexts, self.bits = contexts, bits
+        self.contexts, self.bits = EliasFano(contexts, 1 << 64), bits
         self.pointers = EliasFano(np.searchsorted(of, np.arange(len(contexts) + 1)), len(of) + 1)
         self.level = EliasFano((of.astype(_U) << _U(bits)) | successors, max(1, len(contexts)) << bits)
         self.floor = float(values.min()) if len(values) else 0.0
@@ -99,7 +105,7 @@ class Trie:
 
     def map_to(self, folder: str | None = None) -> Trie:
         """Move every array into one file and map it; the file goes with the map."""
-        owners = [(o, name) for o in (self.pointers, self.level) for name in o.arrays()] + [(self, "contexts"), (self, "codes")]
+        owners = [(o, name) for o in (self.contexts, self.pointers, self.level) for name in o.arrays()] + [(self, "codes")]
         fd, path = tempfile.mkstemp(dir=folder)
         try:
             places = []
@@ -115,13 +121,15 @@ class Trie:
             os.unlink(path)
         return self
 
-    def look_up(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Code of each (context, successor); 0 where the trie has none."""
-        at = np.searchsorted(self.contexts, contexts)
-        known = np.flatnonzero((at < len(self.contexts)) & (self.contexts[np.minimum(at, len(self.contexts) - 1)] == contexts)) if len(self.contexts) else np.zeros(0, int)
-        out = np.zeros(len(contexts), np.uint8)
-        where = self.level.find((at[known].astype(_U) << _U(self.bits)) | successors[known])
-        out[known[where >= 0]] = self.codes[where[where >= 0]]
+    def look_up(self, contexts: np.ndarray, which: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Code of each (contexts[which], successor); 0 where the trie has none."""
+        rank = self.contexts.find(contexts)
+        known = np.maximum(rank, 0)
+        begin, stop = (self.pointers.get(known + i).astype(np.int64) if self.contexts.n else known for i in (0, 1))
+        stop = np.where(rank >= 0, stop, begin)  # an unknown context has an empty run
+        where = self.level.find((known[which].astype(_U) << _U(self.bits)) | successors, begin[which], stop[which])
+        out = np.zeros(len(which), np.uint8)
+        out[where >= 0] = self.codes[where[where >= 0]]
         return out
 
     def children(self, context: int) -> np.ndarray:

@@ -18,7 +18,8 @@ context's part, whose size is bounded.
 
 Defined results: a null text is empty and is its end alone; a null id counts as
 the empty text's crc, thus held out; repeated rows are learned from as often as
-they occur; an empty table gives no row; other columns are not read.
+they occur; a text of any length is in one block, which it may make larger; an
+empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -171,13 +172,13 @@ def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard's whole-corpus counts, for each block; block -1 has (tokens, kinds)."""
+    """A shard's whole-corpus counts, for each block; the last row has its tokens and kinds."""
     asked = [_unpack(b) for b in rows["body"]]
     _, sums, which = _add_up(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]).astype(np.int64))
     ends = np.cumsum([len(a[0]) for a in asked])[:-1]
     bodies = [_pack(_narrow(c)) for c in np.split(sums[which], ends)]
-    stats = _pack(np.array([sums.sum(), (sums > 0).sum()], _U))
-    return pd.DataFrame({"block": [*rows["block"], -1], "shard": [*rows["shard"], int(rows["shard"].iloc[0])], "body": [*bodies, stats]})
+    none = [0] * len(rows)
+    return pd.DataFrame({"block": [*rows["block"], -1], "shard": [*rows["shard"], int(rows["shard"].iloc[0])], "body": [*bodies, b""], "tokens": [*none, int(sums.sum())], "kinds": [*none, int((sums > 0).sum())]})
 
 
 def _answer_bigrams(rows: pd.DataFrame, pull: float) -> pd.DataFrame:
@@ -198,7 +199,7 @@ def _answer_bigrams(rows: pd.DataFrame, pull: float) -> pd.DataFrame:
     first, sums = first[sums > 0], sums[sums > 0]
     contexts, of = np.unique(a[first], return_inverse=True)
     trie = Trie(contexts, of, b[first], BITS, np.log10(sums / (t[first] + pull))).map_to()
-    bodies = [_pack(trie.look_up(c[o], s), np.array([trie.floor, trie.step]).view(_U)) for c, _, o, s, _ in asked]
+    bodies = [_pack(trie.look_up(c, o, s), np.array([trie.floor, trie.step]).view(_U)) for c, _, o, s, _ in asked]
     return pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "body": bodies})
 
 
@@ -223,9 +224,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _asked([(row["block"], s, _pack(block.words[i], _narrow(counts[i]))) for s, i in _groups(_word_shard(block.words, shards))])
 
     asked = blocks.mapInArrow(ask_words, _ASK)
-    words = stored(asked.groupBy("shard").applyInPandas(_count_words, _ASK), "words")
-    sums = np.array([_unpack(r["body"])[0] for r in words.where("block < 0").select("body").collect()], np.int64).reshape(-1, 2)  # one small row a shard
-    total, kinds = (int(x) for x in sums.sum(axis=0))
+    words = stored(asked.groupBy("shard").applyInPandas(_count_words, _ASK + ", tokens bigint, kinds bigint"), "words")
+    total, kinds = (int(x or 0) for x in words.agg(F.sum("tokens"), F.sum("kinds")).first())
     known = blocks.join(_replies(words, "words_of"), "block")
 
     def whole_counts(block: Block, reply: dict) -> np.ndarray:

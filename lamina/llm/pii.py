@@ -1,8 +1,9 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Base patterns give spans that always stay.  Wider patterns give further
-candidates; four labelers (rule, gazetteer, context, edges) vote on each, -1, 0
-or 1.  Expectation-maximisation over the table of vote patterns (bounded by
+Base patterns give spans that always stay.  Matches of them that fail their check,
+and of wider patterns, are candidates where they overlap no base span; four
+labelers (rule, gazetteer, context, edges) vote on each candidate and base span,
+-1, 0 or 1.  Expectation-maximisation over the table of vote patterns (bounded by
 kinds and votes, not by rows) estimates each labeler's reliability; its
 posteriors train a logistic span classifier, which decides on the candidates.
 
@@ -11,8 +12,9 @@ candidates per document.  Patterns are possessive and anchored at run starts, so
 each is linear in the text and keeps no stack of repetitions.
 
 Defined results: a null text is empty and has no span; a null id stays null;
-repeated rows give repeated results; an empty table gives no row; other columns
-are not read.
+repeated rows give repeated results; texts of any length are scanned whole; equal
+spans found twice count once; an empty table gives no row; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -37,13 +39,13 @@ BASE = {
 }
 # Forms that the base patterns don't know.
 WIDER = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?[(\[{<][aA][tT][)\]}>]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[{<][dD][oO][tT][)\]}>])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9.])(?:[0-9]{4}[./_]){3}[0-9]{4}(?![0-9.])",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "phone": r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[1-9][0-9](?:[\x20-]?[0-9]){7,11})(?![0-9.-])",
 }
 #: Substrings without which a pattern cannot match.
-NEEDS = {("email", 0): ["@"], ("phone", 0): ["+"], ("email", 1): ["(at)", "[at]"]}
+NEEDS = {("email", 0): ["@"], ("phone", 0): ["+"], ("email", 1): [o + a + c for o, c in ("()", "[]", "{}", "<>") for a in ("at", "AT", "At", "aT")]}
 
 # Fixed word lists of the gazetteer and context labelers.
 TOP_LEVEL = "com|org|net|edu|gov|int|info|biz|io|de|fr|es|uk|it|nl|eu|ch|at|pl|se|us|ca|au|jp|cn|in|br"
@@ -166,7 +168,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sets.append(name)
             out = out.withColumn(name, F.transform(spans, _labeled(k, wider)).cast(_CANDIDATE))
     none = F.array().cast(_CANDIDATE)
-    return out.select("doc_id", F.concat(*(F.coalesce(F.col(c), none) for c in sets)).alias("found"))
+    out = out.select("doc_id", F.concat(*(F.coalesce(F.col(c), none) for c in sets)).alias("found"))
+    # Only what is decided on is learned from: no candidate that overlaps a base span.
+    base = F.filter("found", lambda c: c["base"])
+    free = F.filter("found", lambda c: ~c["base"] & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    return out.select("doc_id", F.concat(base, free).alias("found"))
 
 
 Cell = tuple[int, ...]  # kind, wider, four votes
@@ -198,11 +204,12 @@ def estimate(cells: dict[Cell, int], rounds: int = 40) -> tuple[dict[Cell, float
     return posterior, tables
 
 
-#: Weights that the classifier starts from and is drawn to: bias, wider, votes.
-PRIOR = (-2.5, -1.0, 2.0, 0.8, 2.2, 0.9)
+#: Weights that the classifier starts from and is drawn to: bias, wider, votes.  All votes
+#: weigh the same; a candidate needs three more for it than against it.
+PRIOR = (-1.5, 0.0, 1.0, 1.0, 1.0, 1.0)
 
 
-def train(cells: dict[Cell, int], posterior: dict[Cell, float], steps: int = 300, rate: float = 0.3, hold: float = 0.05) -> list[tuple[float, ...]]:
+def train(cells: dict[Cell, int], posterior: dict[Cell, float], steps: int = 300, rate: float = 0.5, hold: float = 0.02) -> list[tuple[float, ...]]:
     """Logistic weights for each kind, fitted to the posteriors."""
     weights = []
     for kind in range(len(KINDS)):
@@ -246,8 +253,8 @@ def _joined(spans: Column) -> Column:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end) for each document.
 
-    ``base`` holds the valid base spans; ``spans`` adds wider candidates that
-    the classifier accepts and that overlap no base span.
+    ``base`` holds the valid base spans; ``spans`` adds the candidates, none of
+    which overlaps a base span, that the classifier accepts.
     """
     found = stored(candidates(docs, id_col, text_col), "pii")
     cells = vote_cells(found)
@@ -259,8 +266,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     base = F.transform(F.filter("found", lambda c: c["base"]), bare)
     out = found.withColumn("base", F.array_sort(base))
-    more = F.filter("found", lambda c: c["wider"] & (_score(c, weights) >= threshold) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    return out.select("doc_id", "base", F.array_sort(F.concat("base", F.transform(more, bare))).alias("spans"))
+    more = F.filter("found", lambda c: ~c["base"] & (_score(c, weights) >= threshold))
+    return out.select("doc_id", "base", F.array_sort(F.concat("base", F.array_distinct(F.transform(more, bare)))).alias("spans"))
 
 
 def _of_kind(k: int):

@@ -5,8 +5,9 @@ by people.  Candidates are long unbroken runs, and of a dotted run each part tha
 long enough; digests of known lengths and UUIDs are set aside before the test.
 
 Defined results: a null text is empty and has no span; a null id stays null;
-repeated rows give repeated results; an empty table gives no row; other columns
-are not read.
+repeated rows give repeated results; texts of any length are scanned whole; spans
+that begin together are in order of kind; an empty table gives no row; other
+columns are not read, or kept as they are where texts are redacted.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 ASSIGN = re.compile(rf"(?:{_WORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 HEX = re.compile("[0-9a-f]{32,}")
-#: Runs for the efficiency test: key-like characters, 20 or more; a full stop ends a run.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Runs for the efficiency test: key-like characters, 16 or more; a full stop ends a run.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: A run written like a word, letters of one case but for the first, is tested from this length on.
+WORD = 20
 
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 _DIGEST = re.compile(r"[0-9a-fA-F]+\Z")
@@ -92,6 +95,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], test: Efficiency, m
     out = []
     for m in RUN.finditer(text):
         run = m.group()
+        if len(run) < WORD and run.isalpha() and (run[1:].islower() or run.isupper()):
+            continue
         if excluded(run) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
         if entropy(run) >= min_entropy and test.ratio(run) < max_ratio:
@@ -124,7 +129,7 @@ def _scan(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float, min_
     return docs.mapInArrow(scan, schema)
 
 
-def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 2.0, min_entropy: float = 3.5) -> DataFrame:
+def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 2.0, min_entropy: float = 3.25) -> DataFrame:
     """(doc_id, counts of base kinds, base digest, all spans as text)."""
 
     def give(batch, i, text, base, spans):
@@ -148,7 +153,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", mark: str = "[secret]", max_ratio: float = 2.0, min_entropy: float = 3.5) -> DataFrame:
+def redact_secrets(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", mark: str = "[secret]", max_ratio: float = 2.0, min_entropy: float = 3.25) -> DataFrame:
     """The same rows and columns, each secret in the text replaced by ``mark``.
 
     A text without secrets, or null, stays as it is.

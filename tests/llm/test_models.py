@@ -73,7 +73,7 @@ def test_trie_looks_up_within_contexts():
     of, after = np.array([0, 0, 1, 2, 2, 2]), np.array([3, 8, 3, 0, 1, 99], np.uint64)
     values = np.log10(np.array([0.5, 0.25, 1.0, 0.1, 0.2, 0.3]))
     trie = Trie(contexts, of, after, 40, values).map_to()
-    codes = trie.look_up(np.array([5, 5, 9, 9, 70, 71, 1], np.uint64), np.array([8, 9, 3, 8, 99, 3, 3], np.uint64))
+    codes = trie.look_up(np.array([5, 9, 70, 71, 1], np.uint64), np.array([0, 0, 1, 1, 2, 3, 4]), np.array([8, 9, 3, 8, 99, 3, 3], np.uint64))
     assert [c > 0 for c in codes] == [True, False, True, False, True, False, False]
     assert trie.value(codes[[0, 2, 4]]) == pytest.approx(values[[1, 2, 5]], abs=0.01)
     assert [trie.children(i).tolist() for i in range(3)] == [[3, 8], [3], [0, 1, 99]]

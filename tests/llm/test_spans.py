@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -65,6 +67,25 @@ def test_wider_forms_need_support(spark):
     assert not any(v for k, v in got.items() if k != 50)
 
 
+def test_added_spans_of_planted_cases(spark):
+    """Recall of forms the base patterns don't know, and false alarms on numbers that look alike."""
+    rng = random.Random(7)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    plain = [f"the mail of {i} is user{i}@example.org and by phone +49 30 {d(7)}, login from 10.0.{i % 256}.{i % 7}" for i in range(150)]
+    plain += [f"nothing but words and the number {d(4)} in text {i}" for i in range(150)]
+    planted = [f"contact me by mail: jane.{d(3)} {o}at{c} example{i} {o}dot{c} com soon" for i in range(20) for o, c in ("()", "[]", "{}")]
+    planted += [f"please call 555-{1 + i % 8}{d(2)}-{d(4)} today" for i in range(40)] + [f"our phone is 0049 30 {d(7)} now" for i in range(40)]
+    planted += [f"the server has ip 2001:db8:{i}:1:2:3:4:{i}" for i in range(40)]
+    decoys = [f"see order 555-{1 + i % 8}{d(2)}-{d(4)}x" for i in range(40)] + [f"part no {d(4)} {d(4)} {d(4)} {d(3)}" for i in range(40)] + [f"version 1.{i}.300.{d(3)}-rc" for i in range(40)]
+    docs = list(enumerate(plain + planted + decoys))
+    got = {r["doc_id"]: [s for s in r["spans"] if s not in r["base"]] for r in pii.find_pii(spark.createDataFrame(rows(docs), SCHEMA)).collect()}
+    first, last = len(plain), len(plain) + len(planted)
+    assert sum(bool(got[i]) for i in range(first, last)) >= 0.9 * len(planted)
+    assert not any(got[i] for i in range(first))
+    failing = [i for i in range(last, len(docs)) if got[i] and len(brute_pii(docs[i][1])) == 0]
+    assert len(failing) <= 0.05 * len(decoys), [docs[i][1] for i in failing[:5]]
+
+
 def test_em_finds_the_labeler_that_guesses():
     # Labelers 0 and 2 agree with the truth, 1 guesses, 3 abstains.
     cells = {(0, 0, a, g, a, 0): 100 for a in (1, -1) for g in (1, -1)}
@@ -104,7 +125,7 @@ def test_secrets_of_tables(spark, sample, odd, odd_texts, empty):
 
 def test_random_strings_stand_out(spark):
     test = secrets._efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    find = lambda t: [t[s:e] for s, k, e in secrets.added_spans(t, secrets.base_spans(t), test, 2.0, 3.5)]
+    find = lambda t: [t[s:e] for s, k, e in secrets.added_spans(t, secrets.base_spans(t), test, 2.0, 3.25)]
     key = "xK9vQ2mZp7Lr4TnB8wYc3HdF6sJg"
     assert find(f"use {key} here") == [key]
     for clean in ("internationalization_of_configuration", "123e4567-e89b-12d3-a456-426614174000", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "12345678901234567890123", "getUserAccountConfigurationByIdentifier"):
@@ -114,7 +135,7 @@ def test_random_strings_stand_out(spark):
 
 def test_keys_at_full_stops_and_of_one_class():
     test = secrets._efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    find = lambda t: [t[s:e] for s, k, e in secrets.added_spans(t, secrets.base_spans(t), test, 2.0, 3.5)]
+    find = lambda t: [t[s:e] for s, k, e in secrets.added_spans(t, secrets.base_spans(t), test, 2.0, 3.25)]
     key = "Zk3Jq9LmX7vTb2RwYp5NcA8d"
     assert find(f"use {key}. Next") == find(f"use .{key}") == find(f"{key}...") == [key]
     jwt = ["eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
@@ -124,3 +145,17 @@ def test_keys_at_full_stops_and_of_one_class():
         assert find(f"the key {letters} opens it") == [letters]
     for clean in ("Donaudampfschifffahrtsgesellschaft.", "www.internationalization-of-configuration.example.com", "id.123e4567-e89b-12d3-a456-426614174000.json", "." * 40, "=" * 40):
         assert find(f"see {clean} here") == []
+
+
+def test_recall_and_false_alarms_of_the_efficiency_test(spark, sample):
+    test = secrets._efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = lambda t: secrets.added_spans(t, secrets.base_spans(t), test, 2.0, 3.25)
+    rng, letters = random.Random(9), string.ascii_letters
+    for alphabet in (letters + string.digits, letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, letters):
+        for n in (16, 20, 24, 32, 40):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(100)]
+            assert sum(len(added(f"it is {k} as set")) == 1 for k in keys) >= 90, (alphabet, n)
+    prose = [t for _, t in sample if t and not brute_secrets(t)]
+    assert len(prose) > 100 and sum(bool(added(t)) for t in prose) <= 0.01 * len(prose)
+    names = ("getElementsByTagName", "HttpServletRequestWrapper", "spark_sql_adaptive_enabled", "docs/source/reference/pyspark", "mother-in-law-and-father", "v1/projects/main/locations", "DEFAULT_MAX_RESULT_SIZE", "2024-01-15T10-22-33")
+    assert not any(added(f"see {n} there") for n in names)
