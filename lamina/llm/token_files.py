@@ -4,13 +4,14 @@ Each file holds blocks of ``BLOCK`` ids, every id in the same number of bits;
 its index holds the place of each block, the first id and length of each
 document.  Any run of ids is unpacked with NumPy from the blocks that cover it.
 
-Texts are encoded where they lie and stored as ids of two bytes (four, if the
-vocabulary needs them); what is put in order afterwards is these ids, and the
-writers only join and pack them.
+Texts are encoded where they lie, into ids of two bytes (four, if the vocabulary
+needs them), and at once dealt to their place in the order, by quantiles of the
+doc_id found before; what is shuffled is these ids, once, and the writers only
+join and pack them.
 
 Defined results: a null text is empty and holds the end id alone; rows are in
-ascending ``doc_id`` (nulls first; equal ids by a hash of their ids, so a doc_id
-that many rows share is dealt to many files); repeated rows are stored as often
+ascending ``doc_id`` (nulls first; rows that share one in no particular order, so
+an id that many rows share is dealt to many files); repeated rows are stored as often
 as they occur; a text may be of any length, as a document may span blocks; an
 empty table gives no file; other columns, whatever their names, are not read.
 """
@@ -22,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from . import files
-from .common import scratch_path, stored, whole_text
+from .common import scratch_path, whole_text
 from .units import encoder, slices
 
 #: Ids of a block; a multiple of 64, so that blocks end on whole words.
@@ -76,23 +78,47 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if bits_for(vocabulary) <= 16 else "<u4"
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id, in the type of ``id_type``."""
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, bounds: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(part, doc_id, turn, ids): each whole text's ids and the end id, in the type of ``id_type``.
+
+    ``part`` is the row's range between ``bounds``.  Where bounds repeat an id,
+    its rows are spread over the ranges between them in the order of ``turn``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(vocabulary)
         kind = id_type(codec.vocabulary_size())
-        end = np.array([end_id], kind).tobytes()
+        end, task, made = np.array([end_id], kind).tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
             first = 0
             for part in slices(batch.column(1).to_pylist()):
                 rows = codec.encode(part)
                 if kind == "<u2":
                     rows = [np.frombuffer(ids, "<u4").astype(kind).tobytes() for ids in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array([ids + end for ids in rows], pa.binary())], ["doc_id", "ids"])
+                ids = batch.column(0).slice(first, len(part))
+                keys = ids.fill_null(LEAST).to_numpy()
+                # Multiples of an odd number by 2**64: even over the range, and the same when a task is repeated.
+                turn = (np.arange(made, made + len(part), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(task * 0xBF58476D1CE4E5B9 % (1 << 64))
+                low, high = (np.searchsorted(bounds, keys, side) for side in ("left", "right"))
+                place = low + np.minimum((turn / 2.0**64 * (high - low + 1)).astype(np.int64), high - low)
+                turn = (turn ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), ids, pa.array(turn), pa.array([x + end for x in rows], pa.binary())], ["part", "doc_id", "turn", "ids"])
                 first += len(part)
+                made += len(part)
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "part int, doc_id bigint, turn bigint, ids binary")
+
+
+#: Stands for a null id, which comes first.
+LEAST = -(1 << 63)
+
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
+def range_bounds(docs: DataFrame, parts: int, id_col: str = "doc_id") -> np.ndarray:
+    """Ids that cut the table into about even ranges; one may occur several times."""
+    at = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST))
+    found = docs.agg(F.percentile_approx(key, at, max(10_000, 4 * parts)).alias("b")).first()["b"] if parts > 1 else None
+    return np.array(found or [], np.int64)
 
 
 def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -226,10 +252,9 @@ class TokenFiles(DataSource):
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and store their ids, in ascending order of the id."""
     docs.sparkSession.dataSource.register(TokenFiles)
-    rows = stored(encoded(docs, vocabulary, end_id, id_col, text_col), "encoded")
-    # Rows alike in both are interchangeable, so the last key only spreads them.
-    rows = rows.withColumns({"hash": F.xxhash64("ids"), "turn": F.monotonically_increasing_id()})
-    rows = rows.repartitionByRange("doc_id", "hash", "turn").sortWithinPartitions("doc_id", "hash", "turn")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = encoded(docs, vocabulary, end_id, range_bounds(docs, parts, id_col), id_col, text_col)
+    rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "turn")
     size = encoder(vocabulary).vocabulary_size()
     rows.select("doc_id", "ids").write.format("lamina_tokens").option("vocabulary", vocabulary).option("size", size).mode("append").save(path)
 

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -81,6 +82,18 @@ def test_token_files_odd_rows_and_random_access(spark, odd, odd_texts, empty):
     assert read_tokens(spark, path).count() == 0
 
 
+def test_token_files_of_ids_that_many_rows_share(spark):
+    docs = [(None, f"null {i % 3}") for i in range(60)] + [(7, "the same")] * 80 + [(7, f"other {i}") for i in range(20)] + [(i, f"own {i}") for i in range(40)]
+    path = scratch_path(spark, "test")
+    write_tokens(spark.createDataFrame(docs, "doc_id bigint, text string"), path, BYTES, end_id=2)
+    got = sorted(map(tuple, token_digest(read_tokens(spark, path)).collect()), key=lambda r: r[1])
+    ids = [r[0] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r[1] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])[:-1]]).tolist()
+    assert Counter((r[0], r[2], r[3]) for r in got) == Counter((r[0], r[2], r[3]) for r in expected_tokens(docs))
+    assert len(files.manifest(path)["files"]) > 2
+
+
 def check_packing(rows, docs, capacity):
     pieces = {}
     for i, text in docs:
