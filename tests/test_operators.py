@@ -162,7 +162,8 @@ def test_masks_hide_the_right_number(spark):
     p = spark.range(10).select(F.lit("s").alias("sample"), F.col("id").alias("pid"), (F.col("id") / 10).alias("edge"), (F.col("id") < 3).alias("act"))
     assert masking.random_mask(p, 0.25).where("masked").count() == 2  # half to even
     assert {r["pid"] for r in masking.edge_mask(p, 0.5, 1.0).where("masked").collect()} == {5, 6, 7, 8, 9}
-    assert masking.edge_mask(p, 1.0, 0.3).where("masked").count() == 9
+    assert masking.edge_mask(p, 1.0, 0.3).where("masked").count() == 10  # only the mixed mask leaves one patch
+    assert masking.mixed_mask(p, 1.0, 0.3).where("masked").count() == 9
     assert {r["pid"] for r in masking.enforce_ratio(p, "act", "edge", 0.5, 0.9).where("masked").collect()} == {0, 1, 2, 9, 8}
     assert {r["pid"] for r in masking.enforce_ratio(p, "act", "edge", 0.1, 0.2).where("masked").collect()} == {1, 2}
 
