@@ -146,6 +146,37 @@ def test_seeds_and_distances(method):
     assert kernels.seeds(np.ones((3, 3)), "grid", 20, 0.5).max() == 1
 
 
+def greedy_merges(faces, threshold, score):
+    """The best pair first, one at a time: a plain list of faces (a, b, w)."""
+    root = {i: i for a, b, _ in faces for i in (a, b)}
+    while True:
+        pairs = {}
+        for a, b, w in faces:
+            key = tuple(sorted((root[a], root[b])))
+            if key[0] != key[1]:
+                pairs.setdefault(key, []).append(w)
+        best = max(((score(ws), k) for k, ws in pairs.items()), default=(-1, None))
+        if best[0] < 1 - threshold:
+            return root
+        root = {i: best[1][0] if r == best[1][1] else r for i, r in root.items()}
+
+
+@pytest.mark.parametrize(("scoring", "score"), [("min", min), ("max", max), ("hist_quantile_false", lambda ws: (int(sorted(ws)[(len(ws) + 1) // 2 - 1] * 256) + 0.5) / 256)])
+def test_hierarchical_agglomeration_equals_greedy(spark, scoring, score):
+    rng = np.random.default_rng(8)
+    label = np.arange(1, 37).reshape(6, 6).repeat(2, axis=0).repeat(2, axis=1)[None]
+    # A bin of its own for each face between segments, so no two pairs tie.
+    own = (rng.permutation(256)[:120].reshape(2, 5, 12) + 0.5) / 256
+    w, w2 = np.zeros((2, 1, 12, 12))
+    w[0, 2::2], w2[0, :, 2::2] = own[0], own[1].T
+    vox = volume(spark, label, az=w * 0, ay=w, ax=w2)
+    faces = [(label[0, y, x], label[0, y - d, x - e], float(v[0, y, x])) for d, e, v in ((1, 0, w), (0, 1, w2)) for y in range(d, 12) for x in range(e, 12) if label[0, y, x] != label[0, y - d, x - e]]
+    want = greedy_merges(faces, 0.45, score)
+    got = {r["label"]: r["segment"] for r in kernels.hierarchical_agglomeration(vox, "label", 0.45, scoring).select("label", "segment").distinct().collect()}
+    dense = {r: i for i, r in enumerate(sorted(set(want.values())), 1)}
+    assert 1 < len(dense) < 36 and got == {k: dense[r] for k, r in want.items()}
+
+
 def test_hierarchical_agglomeration_limits(spark):
     vox = volume(spark, [[[1, 1, 2, 3]]], az=[[[0, 0, 0, 0]]], ay=[[[0, 0, 0, 0]]], ax=[[[0, 1, 0.9, 0.2]]])
     ids = lambda df: [r["segment"] for r in df.orderBy("x").collect()]
