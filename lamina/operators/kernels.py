@@ -48,6 +48,23 @@ def local_peaks(values: np.ndarray, radius: int) -> np.ndarray:
     return values >= top
 
 
+def regional_minima(values: np.ndarray) -> np.ndarray:
+    """Level places, of touching equal values, that no lower place touches."""
+
+    def near(a: np.ndarray, fill: float) -> list[np.ndarray]:
+        p = np.pad(a, 1, constant_values=fill)
+        return [p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]
+
+    level = [n == values for n in near(values, np.nan)]
+    low = np.all([n >= values for n in near(values, np.inf)], axis=0)
+    while True:
+        # A place beside an equal one that is not low is not low either.
+        spoilt = low & np.any([e & (k == 0) for e, k in zip(level, near(low.astype(float), 1.0), strict=True)], axis=0)
+        if not spoilt.any():
+            return low
+        low &= ~spoilt
+
+
 def touching(mask: np.ndarray) -> np.ndarray:
     """Runs of touching places, numbered from 1 in scan order."""
     out, n = np.zeros(mask.shape, np.int64), 0
@@ -73,7 +90,7 @@ def seeds(boundary: np.ndarray, method: str, distance: int, threshold: float) ->
     """
     found = np.zeros(boundary.shape, np.int64)
     if method == "minima":
-        found = touching(local_peaks(-boundary, 1))
+        found = touching(regional_minima(boundary))
     elif method == "maxima_distance":
         far = distance_to(boundary < threshold)
         found = touching(local_peaks(far, 2) & (far > 0))

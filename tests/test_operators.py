@@ -146,6 +146,14 @@ def test_seeds_and_distances(method):
     assert kernels.seeds(np.ones((3, 3)), "grid", 20, 0.5).max() == 1
 
 
+def test_regional_minima_by_hand():
+    v = np.array([[3, 3, 3, 5, 1], [3, 2, 3, 5, 1], [5, 5, 5, 5, 5], [4, 4, 4, 4, 0]], float)
+    # The level of threes touches a two, that of fours a nought; the ones are a level of their own.
+    assert kernels.regional_minima(v).astype(int).tolist() == [[0, 0, 0, 0, 1], [0, 1, 0, 0, 1], [0, 0, 0, 0, 0], [0, 0, 0, 0, 1]]
+    assert kernels.seeds(v, "minima", 4, 0.5).tolist() == [[0, 0, 0, 0, 1], [0, 2, 0, 0, 1], [0, 0, 0, 0, 0], [0, 0, 0, 0, 3]]
+    assert kernels.regional_minima(np.ones((2, 3))).all()
+
+
 def greedy_merges(faces, threshold, score):
     """The best pair first, one at a time: a plain list of faces (a, b, w)."""
     root = {i: i for a, b, _ in faces for i in (a, b)}
