@@ -113,3 +113,19 @@ def write_records(records: DataFrame, folder: str) -> None:
     """Sweep records as CSV with a header and as JSON lines."""
     records.write.mode("overwrite").option("header", "true").csv(f"{folder}/csv")
     records.write.mode("overwrite").json(f"{folder}/json")
+
+
+def write_segmentation(vox: DataFrame, path: str, point: dict[str, str | float]) -> None:
+    """Segments of one point of a sweep, in folders by sample and by the point's parameters.
+
+    Coordinates are the volume's own, so a crop's bounds are those of its rows.
+    Writing a point again replaces that point's folders and no others.
+    """
+    tagged = vox.select("sample", "z", "y", "x", F.col("segment").cast("bigint").alias("segment")).withColumns({k: F.lit(v) for k, v in point.items()})
+    keys = ["sample", *point]
+    tagged.repartition("sample", F.expr("z div 32")).sortWithinPartitions("sample", "z", "y", "x").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def write_summary(summary: DataFrame, folder: str) -> None:
+    """A summary of few rows as one file of JSON lines, keys in order of name."""
+    summary.select(sorted(summary.columns)).coalesce(1).write.mode("overwrite").json(folder)

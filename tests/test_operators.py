@@ -267,3 +267,16 @@ def test_log_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r["epoch"]: (r["loss"], r["last_step"], r["n"]) for r in spark.table("means").collect()}
     assert got == {0: (pytest.approx(0.4), 2, 2), 1: (pytest.approx(0.1), 3, 1)}
+
+
+def test_segmentations_and_summaries_are_stored(spark, tmp_path):
+    vox = volume(spark, [[[1, 1, 2]]]).withColumn("segment", F.col("label"))
+    path = str(tmp_path / "segments")
+    volumes.write_segmentation(vox, path, {"variant": "a/b", "threshold": 0.5})
+    volumes.write_segmentation(vox.withColumn("segment", F.lit(7)), path, {"variant": "a/b", "threshold": 0.25})
+    volumes.write_segmentation(vox.where("x < 2"), path, {"variant": "a/b", "threshold": 0.5})
+    rows = spark.read.parquet(path).orderBy("threshold", "x").select("sample", "variant", "threshold", "x", "segment").collect()
+    assert [tuple(r) for r in rows] == [("s", "a/b", 0.25, x, 7) for x in range(3)] + [("s", "a/b", 0.5, x, 1) for x in range(2)]
+    volumes.write_summary(spark.range(1).select(F.lit(2).alias("b"), F.lit(1).alias("a")), str(tmp_path / "summary"))
+    (part,) = (tmp_path / "summary").glob("part-*.json")
+    assert part.read_text() == '{"a":1,"b":2}\n'
