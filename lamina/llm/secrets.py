@@ -1,8 +1,10 @@
 """Secrets: fixed patterns, and a token-efficiency test for random strings.
 
 A string that a vocabulary spells with few characters per token was not written
-by people.  Candidates are long unbroken runs, and of a dotted run each part that is
-long enough; digests of known lengths and UUIDs are set aside before the test.
+by people.  Candidates are unbroken runs of 16 characters or more, and of a dotted run
+each part of that length.  Known digests and identifiers are set aside: digests by
+their lengths, UUIDs, times, and runs without a letter.  Of all others the ratio alone
+decides, whatever their length, case and alphabet.
 
 Defined results: a null text is empty and has no span; a null id stays null;
 repeated rows give repeated results; texts of any length are scanned whole; spans
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,23 +35,21 @@ ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 HEX = re.compile("[0-9a-f]{32,}")
 #: Runs for the efficiency test: key-like characters, 16 or more; a full stop ends a run.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-#: A run written like a word, letters of one case but for the first, is tested from this length on.
-WORD = 20
+#: Characters a token up to which a run counts as random.
+MAX_RATIO = 2.0
 
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 _DIGEST = re.compile(r"[0-9a-fA-F]+\Z")
+#: Times such as 20240115T102233Z, 2024-01-15T10-22-33 and 2024-01-15T10-22-33-0500.
+_TIME = re.compile(r"[0-9]{4}[-/_]?[0-9]{2}[-/_]?[0-9]{2}[Tt_-]?[0-9]{2}[-_]?[0-9]{2}(?:[-_]?[0-9]{2})?(?:[Zz]|[+-][0-9]{2}-?[0-9]{2})?\Z")
+_LETTER = re.compile("[A-Za-z]")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 
 
 def excluded(run: str) -> bool:
-    """Digests of known lengths and UUIDs."""
-    return bool(_UUID.match(run) or _DIGEST.match(run) and len(run) in DIGEST_LENGTHS)
-
-
-def entropy(run: str) -> float:
-    n = len(run)
-    return -sum(c / n * math.log2(c / n) for c in Counter(run).values())
+    """Digests of known lengths, UUIDs, times, and runs without a letter."""
+    return not _LETTER.search(run) or bool(_UUID.match(run) or _TIME.match(run) or _DIGEST.match(run) and len(run) in DIGEST_LENGTHS)
 
 
 class Efficiency:
@@ -90,16 +89,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], test: Efficiency, max_ratio: float, min_entropy: float) -> list[tuple[int, int, int]]:
-    """Runs below ``max_ratio`` characters per token, clear of base spans."""
+def added_spans(text: str, base: list[tuple[int, int, int]], test: Efficiency, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
+    """Runs of ``max_ratio`` characters a token or fewer, clear of base spans."""
     out = []
     for m in RUN.finditer(text):
-        run = m.group()
-        if len(run) < WORD and run.isalpha() and (run[1:].islower() or run.isupper()):
-            continue
-        if excluded(run) or any(s < m.end() and m.start() < e for s, _, e in base):
+        if excluded(m.group()) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if entropy(run) >= min_entropy and test.ratio(run) < max_ratio:
+        if test.ratio(m.group()) <= max_ratio:
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -108,7 +104,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float, min_entropy: float, give, schema, text_col: str = "text") -> DataFrame:
+def _scan(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float, give, schema, text_col: str = "text") -> DataFrame:
     """Scan each text; ``give(batch, row, text, base, spans)`` makes a result row."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -122,14 +118,14 @@ def _scan(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float, min_
             for i, text in enumerate(batch.column(text_col)):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                rows.append(give(batch, i, text, base, sorted(base + added_spans(text, base, test, max_ratio, min_entropy))))
+                rows.append(give(batch, i, text, base, sorted(base + added_spans(text, base, test, max_ratio))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), names, strict=True)], schema=names)
 
     return docs.mapInArrow(scan, schema)
 
 
-def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 2.0, min_entropy: float = 3.25) -> DataFrame:
+def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
     """(doc_id, counts of base kinds, base digest, all spans as text)."""
 
     def give(batch, i, text, base, spans):
@@ -137,7 +133,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
         return batch.column("doc_id")[i].as_py(), kinds[0], kinds[1], kinds[2], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
-    return _scan(rows, vocabulary, pattern, max_ratio, min_entropy, give, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return _scan(rows, vocabulary, pattern, max_ratio, give, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -153,7 +149,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", mark: str = "[secret]", max_ratio: float = 2.0, min_entropy: float = 3.25) -> DataFrame:
+def redact_secrets(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", mark: str = "[secret]", max_ratio: float = MAX_RATIO) -> DataFrame:
     """The same rows and columns, each secret in the text replaced by ``mark``.
 
     A text without secrets, or null, stays as it is.
@@ -166,7 +162,7 @@ def redact_secrets(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
             row[at] = redact(text, spans, mark)
         return row
 
-    return _scan(docs, vocabulary, pattern, max_ratio, min_entropy, give, docs.schema, text_col)
+    return _scan(docs, vocabulary, pattern, max_ratio, give, docs.schema, text_col)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
