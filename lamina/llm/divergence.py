@@ -38,8 +38,10 @@ TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Groups and terms of a block, and of a leaf; both powers of two.
 SIDE, LEAF = 512, 8
 LEVELS = (SIDE // LEAF).bit_length() - 1
-#: (source, term) counts that a task gathers before it hands them on.
-HELD = 200_000
+#: (source, term) counts that a task gathers before it hands them on, some 120 bytes each.
+HELD = 500_000
+#: A gathered count holds times in its lower and documents in its upper bits.
+ONE_DOC = 1 << 40
 SCALE = 1_000_000_000
 
 
@@ -124,30 +126,28 @@ def count_terms(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, df): summed up within tasks; a null term marks a group that occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
-        times: dict[tuple[str, str], Counter] = {}
-        docs: dict[tuple[str, str], Counter] = {}
+        gathered: dict[tuple[str, str], dict[str, int]] = {}
         held = 0
 
-        def drain() -> pa.RecordBatch:
-            rows = [(*g, t, n, docs[g][t]) for g, c in times.items() for t, n in c.items()] + [(*g, None, 0, 0) for g in seen]
-            times.clear(), docs.clear(), seen.clear()
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(),) * 3 + (pa.int64(),) * 2, strict=True)], ["lang", "source", "term", "n", "df"])
+        def drain() -> Iterator[pa.RecordBatch]:
+            for (lang, source), terms in gathered.items():
+                both = np.fromiter(terms.values(), np.int64, len(terms))
+                n = len(terms) + 1
+                columns = [pa.repeat(lang, n), pa.repeat(source, n), pa.array([*terms, None], pa.string()), pa.array(np.append(both % ONE_DOC, 0)), pa.array(np.append(both // ONE_DOC, 0))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "df"])
+            gathered.clear()
 
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
-                seen.add((lang, source))
-                mine = Counter(TERM.findall(lower(text.as_py())))
-                group = times.setdefault((lang, source), Counter())
+                group = gathered.setdefault((lang, source), {})
                 held -= len(group)
-                group.update(mine)
+                for term, n in Counter(TERM.findall(lower(text.as_py()))).items():
+                    group[term] = group.get(term, 0) + n + ONE_DOC
                 held += len(group)
-                docs.setdefault((lang, source), Counter()).update(mine.keys())
                 if held >= HELD:
-                    yield drain()
+                    yield from drain()
                     held = 0
-        yield drain()
+        yield from drain()
 
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text")}
     return docs.select(*(e.alias(c) for c, e in text.items())).mapInArrow(run, "lang string, source string, term string, n bigint, df bigint")

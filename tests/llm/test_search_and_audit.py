@@ -87,8 +87,9 @@ def brute_divergence(rows, least, top):
 
         q, p = shares(every), {s: shares(c) for s, c in each.items()}
         f = lambda a, b: (a - b) ** 2 // (a + b)
+        flat = {s: np.array([p[s][t] for t in kept], np.int64) for s in p}
         for s in p:
-            pairs = sorted(((-sum(f(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in p if o != s))
+            pairs = sorted(((-int(f(flat[s], flat[o]).sum()), o.encode(), o) for o in p if o != s))
             own = sorted((-f(p[s][t], q[t]), t.encode(), t) for t in kept if each[s][t] and p[s][t] > q[t])[:top]
             for part, found in (("pair", pairs), ("term", own)):
                 out += [(lang, s, part, i, -value, r) for r, (value, _, i) in enumerate(found, 1)]
