@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import cut
+from lamina.session import cut, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -35,9 +35,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
         a = hook.select(*k, F.col("id").alias("src"), F.col("root").alias("a"))
         b = hook.select(*k, F.col("id").alias("dst"), F.col("root").alias("b"))
         moved = todo.join(a, [*k, "src"]).join(b, [*k, "dst"]).where("a <> b")
-        todo = cut(moved.select(*k, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        left = cut(moved.select(*k, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        release(todo)
+        todo = left
     done = hooks[0].withColumnRenamed("root", "component")
     for hook in hooks[1:]:
         up = hook.select(*k, F.col("id").alias("component"), F.col("root").alias("up"))
         done = done.join(up, [*k, "component"], "left").select(*k, "id", F.coalesce("up", "component").alias("component"))
-    return cut(done)
+    out = cut(done)
+    release(todo, *hooks)
+    return out

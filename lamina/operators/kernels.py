@@ -1,25 +1,19 @@
-"""Watershed, hierarchical merging and prediction.
-
-The watershed takes a slice as its unit, prediction a block; merging goes in
-rounds of relational operators.
-"""
+"""Watershed and prediction: the watershed takes a slice as its unit, prediction a block."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from lamina.session import cut
-
-from .graph import boundary_pairs, merge_segments, relabel
+from .agglomeration import hierarchical_agglomeration  # noqa: F401  callers know it from here
+from .graph import relabel
 
 
 def distance_to(mask: np.ndarray) -> np.ndarray:
@@ -141,63 +135,6 @@ def watershed_fragments(vox: DataFrame, method: str = "maxima_distance", distanc
     return vox.join(relabel(wide, "__key", out).select("sample", "z", "y", "x", out), ["sample", "z", "y", "x"])
 
 
-BINS = 256
-
-
-def _median_bin(hist: Column) -> Column:
-    """Middle of the first bin, of sorted (bin, n), up to which half of all faces lie."""
-    half = F.aggregate(hist, F.lit(0).cast("bigint"), lambda s, b: s + b["n"]) / 2
-    start = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(None).cast("int").alias("bin"))
-    found = F.aggregate(hist, start, lambda s, b: F.struct((s["run"] + b["n"]).alias("run"), F.when(s["bin"].isNull() & (s["run"] + b["n"] >= half), b["bin"]).otherwise(s["bin"]).alias("bin")))
-    return (found["bin"] + 0.5) / BINS
-
-
-#: By name, what becomes of a pair's sorted histogram, least and greatest affinity.
-_SCORES: dict[str, Callable[[], Column]] = {
-    "hist_quantile": lambda: _median_bin(F.col("hist")),
-    "hist_quantile_false": lambda: _median_bin(F.col("hist")),
-    "min": lambda: F.col("least"),
-    "max": lambda: F.col("most"),
-}
-
-
-def hierarchical_agglomeration(vox: DataFrame, segment: str, threshold: float, scoring: str = "hist_quantile", out: str = "segment") -> DataFrame:
-    """Merge the pair of highest affinity first, while it is at least 1 - ``threshold``.
-
-    A merged pair's faces are one histogram of ``BINS`` bins; both histogram
-    scorings count all faces.  No union scores above its better part, so pairs
-    that are each other's best can merge in any order: a round merges all of
-    them, and a segment without a pair that passes never merges again and leaves.
-    Pairs of one score are taken in order of a hash of their ids.  Segments are
-    rows throughout, so no component of the graph is one task's work.
-    """
-    if scoring not in _SCORES:
-        raise ValueError(f"unknown scoring {scoring!r}")
-    pair = ["sample", "lo", "hi"]
-    bins = F.least(F.floor(F.col("w") * BINS), F.lit(BINS - 1)).cast("int")
-    faces = cut(boundary_pairs(vox, segment).groupBy(*pair, bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("least"), F.max("w").alias("most")))
-    rounds: list[DataFrame] = []
-    while True:
-        # At most BINS entries a pair.
-        scored = faces.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("hist"), F.min("least").alias("least"), F.max("most").alias("most"))
-        passing = scored.withColumn("score", _SCORES[scoring]()).where(F.col("score") >= 1 - threshold)
-        keyed = passing.select("sample", F.struct((-F.col("score")).alias("below"), F.xxhash64("lo", "hi").alias("tie"), "lo", "hi").alias("key"))
-        ends = keyed.select("sample", "key", F.explode(F.array("key.lo", "key.hi")).alias("id"))
-        best = cut(ends.groupBy("sample", "id").agg(F.min("key").alias("key")))
-        joins = best.groupBy("sample", F.col("key.lo").alias("lo"), F.col("key.hi").alias("hi")).agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(*pair)
-        if joins.isEmpty():
-            break
-        rounds.append(joins)
-        # Each live segment with the one it becomes part of.
-        moves = best.select("sample", "id").join(joins.select("sample", F.col("hi").alias("id"), F.col("lo").alias("to")), ["sample", "id"], "left").select("sample", "id", F.coalesce("to", "id").alias("to"))
-        moved = faces.join(moves.select("sample", F.col("id").alias("lo"), F.col("to").alias("a")), ["sample", "lo"]).join(moves.select("sample", F.col("id").alias("hi"), F.col("to").alias("b")), ["sample", "hi"])
-        placed = moved.where("a <> b").select("sample", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "bin", "n", "least", "most")
-        faces = cut(placed.groupBy(*pair, "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")))
-    if not rounds:
-        return relabel(vox, segment, out)
-    return merge_segments(vox, segment, reduce(DataFrame.unionAll, rounds), out)
-
-
 def predict(blocks: DataFrame, model: Callable[[np.ndarray], np.ndarray], channels: int = 3) -> DataFrame:
     """Run a model on blocks (key, shape, data): adds logits, one array a channel.
 

@@ -286,9 +286,9 @@ def pseudo_affinity(vox):
 _N = "case when max({a}) over (partition by sample) = 0 then -1.0::double else -1 + 2.0::double * {a} / max({a}) over (partition by sample) end"
 
 
-@query("w as (select *, " + ", ".join(f"{_N.format(a=a)} n{a}" for a in "zyx") + " from vox) select sample, z, y, x, cast(label > 0 as int) fg, " + ", ".join(f"round(case when label > 0 then least(greatest(avg(n{a}) over (partition by sample, label) - n{a}, -1), 1) else 0 end, 6) + 0.0 o{a}" for a in "zyx") + " from w")
+@query("w as (select *, " + ", ".join(f"{_N.format(a=a)} n{a}" for a in "zyx") + " from vox) select sample, z, y, x, cast(label > 0 as int) fg, " + ", ".join(f"round(round(case when label > 0 then least(greatest(avg(n{a}) over (partition by sample, label) - n{a}, -1), 1) else 0 end, 9) + 1e-9::double, 6) + 0.0 o{a}" for a in "zyx") + " from w")
 def lsd_targets(vox):
-    out = r6(stencil.shape_descriptors(vox).select(*K, "fg", "oz", "oy", "ox"), "oz", "oy", "ox")
+    out = r96(stencil.shape_descriptors(vox).select(*K, "fg", "oz", "oy", "ox"), "oz", "oy", "ox")
     return out.withColumns({f"o{a}": F.col(f"o{a}") + 0.0 for a in "zyx"})
 
 

@@ -45,12 +45,34 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and forget how it was made.
 
     One job, unlike an eager checkpoint, and compressed; survives lost executors.
+    The table goes when it is released, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/lamina-cut-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _TABLES[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lamina_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for table in tables:
+        path = table.__dict__.pop("_lamina_path", None)
+        if path is not None:
+            _remove(_TABLES.pop(path), path)
+
+
+#: Tables that still lie in the shared folder, each with its session.
+_TABLES: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_all() -> None:
+    while _TABLES:
+        path, spark = _TABLES.popitem()
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

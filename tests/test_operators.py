@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import graph, grid, kernels, losses, masking, metrics, stencil, sweep
+from lamina.operators import agglomeration, graph, grid, kernels, losses, masking, metrics, stencil, sweep
 from lamina.operators.components import connected_components
 from lamina.sources import manifest, volumes
 from lamina.sources.voxels import demo_voxels
@@ -280,3 +280,65 @@ def test_segmentations_and_summaries_are_stored(spark, tmp_path):
     volumes.write_summary(spark.range(1).select(F.lit(2).alias("b"), F.lit(1).alias("a")), str(tmp_path / "summary"))
     (part,) = (tmp_path / "summary").glob("part-*.json")
     assert part.read_text() == '{"a":1,"b":2}\n'
+
+
+def bucket_queue(faces, least, scoring):
+    """One pair at a time from the lowest of 256 levels: a plain list of every living pair."""
+    begin_with_greatest, _, score = agglomeration.SCORINGS[scoring]
+    pairs = {}
+    for r in faces:
+        hist, low, high, tie = pairs.setdefault((r["lo"], r["hi"]), [{}, 9.0, -9.0, r["tie"]])
+        hist[r["bin"]] = hist.get(r["bin"], 0) + r["n"]
+        pairs[r["lo"], r["hi"]] = [hist, min(low, r["least"]), max(high, r["most"]), tie]
+    root = {i: i for p in pairs for i in p}
+    while True:
+        scores = {p: score(*v[:3]) for p, v in pairs.items()}
+        passing = [(-min(255, max(0, int(s * 256))), pairs[p][3], p) for p, s in scores.items() if s >= least]
+        if not passing:
+            return root
+        a, b = min(passing)[2]
+        root = {i: a if r == b else r for i, r in root.items()}
+        joined = {}
+        for (lo, hi), (hist, low, high, tie) in pairs.items():
+            key = tuple(sorted((a if lo == b else lo, a if hi == b else hi)))
+            if key[0] == key[1]:
+                continue
+            if key in joined:
+                h, low0, high0, tie0 = joined[key]
+                joined[key] = [{k: h.get(k, 0) + hist.get(k, 0) for k in h | hist}, min(low, low0), max(high, high0), max(tie, tie0)]
+            else:
+                joined[key] = [hist, low, high, tie]
+        pairs = joined
+
+
+@pytest.mark.parametrize("scoring", sorted(agglomeration.SCORINGS))
+@pytest.mark.parametrize("block", [6, 100_000])
+def test_merging_in_blocks_equals_a_bucket_queue(spark, scoring, block):
+    rng = np.random.default_rng(4)
+    label = (np.arange(1, 65).reshape(8, 8) * 7).repeat(3, axis=0).repeat(2, axis=1)[None]
+    # Few distinct affinities, so levels are full of ties; one segment touches many others.
+    label[0, 10:13, :] = 5000
+    w, w2 = rng.integers(0, 12, (2, *label.shape)) / 12
+    vox = volume(spark, label, az=w * 0, ay=w, ax=w2).cache()
+    want = bucket_queue(agglomeration.pair_faces(vox, "label", scoring == "hist_quantile").collect(), 0.55, scoring)
+    got = {r["label"]: r["segment"] for r in agglomeration.hierarchical_agglomeration(vox, "label", 0.45, scoring, block=block, most=24).select("label", "segment").distinct().collect()}
+    dense = {r: i for i, r in enumerate(sorted(set(want.values())), 1)}
+    assert 1 < len(dense) < len(want) and got == {k: dense[r] for k, r in want.items()}
+
+
+def test_histograms_may_begin_with_the_greatest(spark):
+    # Two faces of a pair: 0.9 and 0.1.  With all faces the median is the lower one, with the greatest alone it is 0.9.
+    vox = volume(spark, [[[1, 2], [1, 2]]], az=[[[0, 0], [0, 0]]], ay=[[[0, 0], [0, 0]]], ax=[[[0, 0.9], [0, 0.1]]])
+    count = lambda how: agglomeration.hierarchical_agglomeration(vox, "label", 0.5, how).select("segment").distinct().count()
+    assert (count("hist_quantile"), count("hist_quantile_false")) == (1, 2)
+    # Merged pairs add up what they began with: 1-3 (0.9) and 2-3 (0.2) have the median 0.2 once 1 and 2 are one.
+    vox = volume(spark, [[[1, 2], [3, 3]]], az=[[[0, 0], [0, 0]]], ay=[[[0, 0], [0.9, 0.2]]], ax=[[[0, 0.95], [0, 0]]])
+    assert [r["segment"] for r in agglomeration.hierarchical_agglomeration(vox, "label", 0.5).orderBy("y", "x").collect()] == [1, 1, 2, 2]
+
+
+def test_a_rising_chain_takes_few_rounds(spark):
+    n = 100
+    vox = volume(spark, [[list(range(1, n + 1))]], az=[[[0] * n]], ay=[[[0] * n]], ax=[[[0.2 + 0.7 * i / n for i in range(n)]]])
+    rounds = []
+    out = agglomeration.hierarchical_agglomeration(vox, "label", 0.9, "max", block=10, report=rounds)
+    assert out.select("segment").distinct().count() == 1 and len(rounds) <= 5
