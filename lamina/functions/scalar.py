@@ -27,10 +27,12 @@ def normalize_volume(vox: DataFrame, col: str = "raw", out: str = "norm", scope:
 
     Volumes brighter than 2 are divided by 255 first; where the percentiles are
     equal the values stay.  ``scope`` says what is one volume: a crop, a whole
-    sample, or a chunk.  The statistics are an aggregate with one row a volume,
+    sample, or a chunk.  The statistics are counts with one row a volume at the end,
     joined back; the voxels themselves are not shuffled if that row is small.
     """
-    stats = vox.groupBy(*scope).agg(F.max(col).alias("__top"), F.percentile(col, F.array(F.lit(0.01), F.lit(0.99))).alias("__p"))
+    from lamina.operators.quantiles import exact_quantiles
+
+    stats = vox.groupBy(*scope).agg(F.max(col).alias("__top")).join(exact_quantiles(vox, scope, col, (0.01, 0.99), "__p"), list(scope))
     unit = F.when(F.col("__top") > 2, 255.0).otherwise(1.0)
     v, lo, hi = F.col(col) / unit, F.col("__p")[0] / unit, F.col("__p")[1] / unit
     joined = vox.join(stats, list(scope))

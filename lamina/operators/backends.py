@@ -14,6 +14,8 @@ from . import graph, kernels
 
 #: Back ends that look at the same parameters, as sets for ``sweep.sweep_grid``.
 FAMILIES = {"components": {"graph_cc", "cc3d_mean", "cupy_mean", "cupy_graph_cc"}, "watershed": {"mahotas_watershed", "scipy_watershed"}, "agglomeration": {"mahotas_agglomeration", "scipy_agglomeration", "seeded_rag"}, "hierarchical": {"waterz"}}
+#: Back ends whose fragments come from the second library; all others use the first.
+SCIPY = {"scipy_watershed", "scipy_agglomeration"}
 NAMES = frozenset().union(*FAMILIES.values())
 
 
@@ -43,9 +45,9 @@ class Backends:
     fragments: dict[tuple, DataFrame] = field(default_factory=dict)
 
     def _fragments(self, p: Point) -> DataFrame:
-        key = p.seed_method, p.seed_distance, p.boundary_threshold
+        key = "scipy" if p.backend in SCIPY else "mahotas", p.seed_method, p.seed_distance, p.boundary_threshold
         if key not in self.fragments:
-            self.fragments[key] = cut(kernels.watershed_fragments(self.vox, p.seed_method, p.seed_distance, p.boundary_threshold))
+            self.fragments[key] = cut(kernels.watershed_fragments(self.vox, *key[1:], library=key[0]))
         return self.fragments[key]
 
     def _sized(self, parts: DataFrame, p: Point) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .quantiles import exact_quantiles
 from .ranking import beside, ranks
 from .stencil import AXES, before
 
@@ -68,14 +69,19 @@ def boundary_pairs(vox: DataFrame, segment: str, cols: tuple[str, str, str] = ("
     return reduce(DataFrame.unionAll, sets)
 
 
-def pair_score(mode: str, quantile: float = 0.25) -> Column:
-    """How the affinities of a pair's faces become one number; exact quantiles."""
-    fixed = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "quantile": quantile}
-    if mode in fixed:
-        return F.percentile("w", F.lit(fixed[mode]))
-    if mode not in ("mean", "min", "max"):
+QUANTILES = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def pair_scores(pairs: DataFrame, mode: str, quantile: float = 0.25, by: tuple[str, ...] = ("sample", "lo", "hi")) -> DataFrame:
+    """(by, score, n): a pair's faces as one number; quantiles are exact, found from counts."""
+    level = quantile if mode == "quantile" else QUANTILES.get(mode)
+    if level is None and mode not in ("mean", "min", "max"):
         raise ValueError(f"unknown score mode {mode!r}")
-    return {"mean": F.avg, "min": F.min, "max": F.max}[mode]("w")
+    n = F.count(F.lit(1)).alias("n")
+    if level is None:
+        return pairs.groupBy(*by).agg({"mean": F.avg, "min": F.min, "max": F.max}[mode]("w").alias("score"), n)
+    found = exact_quantiles(pairs, by, "w", (level,), "q")
+    return pairs.groupBy(*by).agg(n).join(found, list(by)).select(*by, F.col("q")[0].alias("score"), "n")
 
 
 def rag_features(pairs: DataFrame, min_boundary: int = 1) -> DataFrame:
@@ -123,7 +129,7 @@ def select_pairs(pairs: DataFrame, threshold: dict[int, float], min_boundary: in
     level = F.lit(None).cast("double")
     for axis, t in threshold.items():
         level = F.when(F.col("axis") == axis, t).otherwise(level)
-    scored = pairs.groupBy("sample", "lo", "hi", "axis").agg(pair_score(mode, quantile).alias("score"), F.count(F.lit(1)).alias("n"))
+    scored = pair_scores(pairs, mode, quantile, ("sample", "lo", "hi", "axis"))
     return scored.where((F.col("score") >= level) & (F.col("n") >= min_boundary)).select("sample", "lo", "hi").distinct()
 
 

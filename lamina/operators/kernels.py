@@ -77,17 +77,24 @@ def touching(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds(boundary: np.ndarray, method: str, distance: int, threshold: float) -> np.ndarray:
-    """Seeds of a slice: a grid, regional minima, or peaks of the inner distance.
+def seeds(boundary: np.ndarray, method: str, distance: int, threshold: float, library: str = "mahotas") -> np.ndarray:
+    """Seeds of a slice as one of two libraries sets them.
 
-    A slice without such places gets the grid, which begins at its corner.
+    ``mahotas``: regional minima of the boundary, or regional maxima of the inner
+    distance, by method; ``scipy``: for every method but the grid, places inside that
+    none within two steps exceeds.  A slice without such places gets the grid, which
+    begins at its corner.
     """
     found = np.zeros(boundary.shape, np.int64)
-    if method == "minima":
-        found = touching(regional_minima(boundary))
-    elif method == "maxima_distance":
+    if library not in ("mahotas", "scipy"):
+        raise ValueError(f"unknown watershed library {library!r}")
+    if library == "scipy" and method != "grid":
         far = distance_to(boundary < threshold)
         found = touching(local_peaks(far, 2) & (far > 0))
+    elif method == "minima":
+        found = touching(regional_minima(boundary))
+    elif method == "maxima_distance":
+        found = touching(regional_minima(-distance_to(boundary < threshold)))
     elif method != "grid":
         raise ValueError(f"unknown seed method {method!r}")
     if not found.any():
@@ -116,10 +123,11 @@ def flood(boundary: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return out
 
 
-def watershed_fragments(vox: DataFrame, method: str = "maxima_distance", distance: int = 12, threshold: float = 0.5, out: str = "fragment") -> DataFrame:
+def watershed_fragments(vox: DataFrame, method: str = "maxima_distance", distance: int = 12, threshold: float = 0.5, out: str = "fragment", library: str = "mahotas") -> DataFrame:
     """Adds fragment: a watershed of 1 - (y + x affinity) / 2 in each slice.
 
-    Ids are dense over the sample, in order of slices.
+    Seeds are set as by ``library``; for ``scipy`` the boundary is flooded by 256
+    levels.  Ids are dense over the sample, in order of slices.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +135,9 @@ def watershed_fragments(vox: DataFrame, method: str = "maxima_distance", distanc
         boundary = np.ones((h, w))
         y, x = rows["y"].to_numpy(int), rows["x"].to_numpy(int)
         boundary[y, x] = 1 - 0.5 * (rows["ay"].to_numpy() + rows["ax"].to_numpy())
-        marks = seeds(boundary, method, distance, threshold)
+        marks = seeds(boundary, method, distance, threshold, library)
+        if library == "scipy":
+            boundary = np.floor(np.clip(boundary * 255.0, 0, 255))
         return rows[["sample", "z", "y", "x"]].assign(local=flood(boundary, marks)[y, x])
 
     local = vox.select("sample", "z", "y", "x", "ay", "ax").groupBy("sample", "z").applyInPandas(one, "sample string, z bigint, y bigint, x bigint, local bigint")

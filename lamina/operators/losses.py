@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lamina.functions.scalar import clamp, sigmoid
 
+from .masking import noise
+from .quantiles import least_of
 from .ranking import beside
 from .stencil import AXES, before
 
@@ -92,14 +94,30 @@ def _contrast(rows: DataFrame, margin: float) -> DataFrame:
     return by_c.select("sample", "c", F.log1p(F.exp(F.lit(margin) - F.col("p") + F.col("n"))).alias("soft"), "m")
 
 
-def ranking(rows: DataFrame, margin: float = 1.0, gap: float = 0.0) -> DataFrame:
+def sample_edges(rows: DataFrame, most: int, keys: tuple[str, ...], seed: str = "0", positive: float = 0.75, negative: float = 0.25) -> DataFrame:
+    """Of each sample and channel at most ``most`` kept and ``most`` cut edges that count; adds ``side``.
+
+    Those of the least hash of seed, channel and ``keys`` (which tell voxels apart) stay;
+    a bound for each side is found from counts, so no side is ranked or gathered.
+    """
+    side = F.when((F.col("t") >= positive) & (F.col("v") > 0), 1).when((F.col("t") <= negative) & (F.col("v") > 0), 0)
+    drawn = F.conv(F.substring(noise(seed, "c", *keys), 1, 13), 16, 10).cast("bigint")
+    return least_of(rows.withColumn("side", side).where("side is not null"), ("sample", "c", "side"), most, drawn)
+
+
+def ranking(rows: DataFrame, margin: float = 1.0, gap: float = 0.0, most: int = 0, keys: tuple[str, ...] = (), seed: str = "0") -> DataFrame:
     """(sample, rank_loss, calibration): kept edges above cut ones by a margin, and
     the z channel's mean logit ``gap`` below that of y and x if all three count.
 
-    Means over all edges; none are sampled.
+    Means over all edges, or for the rank loss over ``most`` of each side, drawn by a
+    hash of ``keys``.
     """
     z, yx = F.avg(F.when(F.col("c") == "z", F.col("m"))), F.avg(F.when(F.col("c") != "z", F.col("m")))
-    return _contrast(rows, margin).groupBy("sample").agg(F.coalesce(F.avg("soft"), F.lit(0.0)).alias("rank_loss"), F.when(F.count("m") == 3, F.pow(z - yx + gap, F.lit(2.0))).otherwise(0.0).alias("calibration"))
+    apart = _contrast(rows, margin)
+    if most > 0:
+        drawn = _contrast(sample_edges(rows, most, keys, seed), margin).select("sample", "c", "soft")
+        apart = apart.drop("soft").join(drawn, ["sample", "c"], "left")
+    return apart.groupBy("sample").agg(F.coalesce(F.avg("soft"), F.lit(0.0)).alias("rank_loss"), F.when(F.count("m") == 3, F.pow(z - yx + gap, F.lit(2.0))).otherwise(0.0).alias("calibration"))
 
 
 def connectivity(vox: DataFrame, logits: tuple[str, str, str], targets: tuple[str, str, str], valid: tuple[str, str, str] | None = None, margin: float = 0.05, weights: tuple[float, float, float] = (1.0, 0.15, 0.25)) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lamina.functions.scalar import sigmoid
 
+from .quantiles import exact_quantiles
+
 
 def contingency(vox: DataFrame, pred: str = "pred", truth: str = "label", by: tuple[str, ...] = ("sample",), ignore: int | None = 0) -> DataFrame:
     """(by, pred, gt, n): voxels of each pair; truth that is ignored is left out."""
@@ -62,7 +64,8 @@ def channel_stats(vox: DataFrame, cols: dict[str, str]) -> DataFrame:
     """(sample, channel, mean, std, p01, p05, p50, p95, p99), exact percentiles."""
     long = vox.select("sample", F.explode(F.array(*(F.struct(F.lit(n).alias("channel"), F.col(c).alias("v")) for n, c in cols.items()))).alias("s")).select("sample", "s.*")
     levels = (1, 5, 50, 95, 99)
-    s = long.groupBy("sample", "channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", F.array(*(F.lit(q / 100) for q in levels))).alias("p"))
+    s = long.groupBy("sample", "channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    s = s.join(exact_quantiles(long, ("sample", "channel"), "v", tuple(q / 100 for q in levels), "p"), ["sample", "channel"])
     return s.select("sample", "channel", "mean", "std", *(F.col("p")[i].alias(f"p{q:02d}") for i, q in enumerate(levels)))
 
 

@@ -7,8 +7,6 @@ separable windows, one axis after the other.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,23 +102,6 @@ def widen_boundaries(vox: DataFrame, radius: int = 1, label: str = "label", out:
     return vox.withColumn(out, F.when(F.col("__high") != F.col("__low"), 0).otherwise(F.col(label))).drop("__lifted", "__high", "__low")
 
 
-def boundary_ignore(vox: DataFrame, xy: int = 1, z: int = 0, label: str = "label", ignore: int | None = 0, out: str = "masked") -> DataFrame:
-    """Labels near a change of label become ``ignore``.
-
-    Changes are seen from both sides, in the slice always and across slices only
-    if ``z`` is above 0, then grown by the distances.
-    """
-    if ignore is None or (xy <= 0 and z <= 0):
-        return vox.withColumn(out, F.col(label))
-    marks = []
-    for a in ("y", "x", *(["z"] if z > 0 else [])):
-        marks += [f"__b{a}", f"__a{a}"]
-        vox = vox.withColumn(f"__b{a}", F.coalesce(before(a, label) != F.col(label), F.lit(False))).withColumn(f"__a{a}", F.coalesce(after(a, label) != F.col(label), F.lit(False)))
-    vox = vox.withColumn("__edge", reduce(lambda p, q: p | q, map(F.col, marks)).cast("int"))
-    vox = box(vox, "__edge", {"y": max(0, xy), "x": max(0, xy), "z": max(0, z)}, "max", "__near")
-    return vox.withColumn(out, F.when(F.col("__near") == 1, ignore).otherwise(F.col(label))).drop(*marks, "__edge", "__near")
-
-
 def edge_map(vox: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), clip: float = 5.0, col: str = "raw", out: str = "edge") -> DataFrame:
     """Weighted absolute steps along the axes, over their sample's mean, clipped."""
     total = F.lit(0.0)

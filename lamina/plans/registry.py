@@ -6,13 +6,15 @@ Floating results are rounded to six places: engines differ in the last bits.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import graph, grid, losses, masking, metrics, stencil, sweep
+from lamina.operators import blocks, graph, grid, losses, masking, metrics, stencil, sweep
 from lamina.sources.voxels import VOX_SQL, demo_voxels, synthetic_volume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +44,7 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 
 def r96(df: DataFrame, *cols: str) -> DataFrame:
     """Rounded to six places, from midway up: for means that may lie midway between two sixth places."""
-    return df.withColumns({c: F.round(F.round(F.col(c).cast("double"), 9) + 1e-9, 6) for c in cols})
+    return df.withColumns({c: F.round(F.round(F.col(c).cast("double"), 9) + 5e-10, 6) for c in cols})
 
 
 def logits(vox: DataFrame) -> DataFrame:
@@ -101,12 +103,12 @@ masked as (select *, case when near = 1 then 0 else label end masked from e2)"""
 
 @query(_IGNORED + " select sample, z, y, x, cast(masked as bigint) masked from masked")
 def boundary_ignore(vox):
-    return stencil.boundary_ignore(vox).select(*K, F.col("masked").cast("bigint"))
+    return blocks.boundary_ignore(vox).select(*K, F.col("masked").cast("bigint"))
 
 
 @query(_IGNORED + ", " + _METRICS.strip().format(truth="masked", src="masked"))
 def boundary_ignore_metrics(vox):
-    return r6(metrics.segmentation_metrics(stencil.boundary_ignore(vox), truth="masked"), *_SCORES)
+    return r6(metrics.segmentation_metrics(blocks.boundary_ignore(vox), truth="masked"), *_SCORES)
 
 
 _SEAM = "(({a} - {a} % {c} > 0 and {a} % {c} < 2) or ({a} - {a} % {c} + {c} < d{a} and {c} - {a} % {c} <= 2))"
@@ -286,7 +288,7 @@ def pseudo_affinity(vox):
 _N = "case when max({a}) over (partition by sample) = 0 then -1.0::double else -1 + 2.0::double * {a} / max({a}) over (partition by sample) end"
 
 
-@query("w as (select *, " + ", ".join(f"{_N.format(a=a)} n{a}" for a in "zyx") + " from vox) select sample, z, y, x, cast(label > 0 as int) fg, " + ", ".join(f"round(round(case when label > 0 then least(greatest(avg(n{a}) over (partition by sample, label) - n{a}, -1), 1) else 0 end, 9) + 1e-9::double, 6) + 0.0 o{a}" for a in "zyx") + " from w")
+@query("w as (select *, " + ", ".join(f"{_N.format(a=a)} n{a}" for a in "zyx") + " from vox) select sample, z, y, x, cast(label > 0 as int) fg, " + ", ".join(f"round(round(case when label > 0 then least(greatest(avg(n{a}) over (partition by sample, label) - n{a}, -1), 1) else 0 end, 9) + 5e-10::double, 6) + 0.0 o{a}" for a in "zyx") + " from w")
 def lsd_targets(vox):
     out = r96(stencil.shape_descriptors(vox).select(*K, "fg", "oz", "oy", "ox"), "oz", "oy", "ox")
     return out.withColumns({f"o{a}": F.col(f"o{a}") + 0.0 for a in "zyx"})
@@ -439,15 +441,15 @@ def rag_pairs(vox):
 for _mode, _sql in (("mean", "avg(w)"), ("min", "min(w)"), ("max", "max(w)"), ("q25", "quantile_cont(w, 0.25)")):
 
     def _scores(vox, mode=_mode):
-        return r96(graph.boundary_pairs(vox, "pred").groupBy("sample", "lo", "hi").agg(graph.pair_score(mode).alias("score"), F.count(F.lit(1)).alias("n")), "score")
+        return r96(graph.pair_scores(graph.boundary_pairs(vox, "pred"), mode), "score")
 
     _scores.__name__ = f"rag_scores_{_mode}"
-    query(_PAIRS + f" select sample, lo, hi, round(round({_sql}, 9) + 1e-9::double, 6) score, count(*) n from p group by 1, 2, 3")(_scores)
+    query(_PAIRS + f" select sample, lo, hi, round(round({_sql}, 9) + 5e-10::double, 6) score, count(*) n from p group by 1, 2, 3")(_scores)
 
 _FEATURES = [f"{n}_{a}" for a in "zyx" for n in ("mean", "min", "max", "share")]
 
 
-@query(_PAIRS + " select sample, lo, hi, count(*) n, " + ", ".join(f"round(round(coalesce({f}(case when axis = {k} then w end), 0), 9) + 1e-9::double, 6) {n}_{a}" for k, a in enumerate("zyx") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + ", " + ", ".join(f"round(round(count(case when axis = {k} then w end) / cast(count(*) as double), 9) + 1e-9::double, 6) share_{a}" for k, a in enumerate("zyx")) + ", round(round(ln(1 + count(*)), 9) + 1e-9::double, 6) log_n from p group by 1, 2, 3 having count(*) >= 2")
+@query(_PAIRS + " select sample, lo, hi, count(*) n, " + ", ".join(f"round(round(coalesce({f}(case when axis = {k} then w end), 0), 9) + 5e-10::double, 6) {n}_{a}" for k, a in enumerate("zyx") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + ", " + ", ".join(f"round(round(count(case when axis = {k} then w end) / cast(count(*) as double), 9) + 5e-10::double, 6) share_{a}" for k, a in enumerate("zyx")) + ", round(round(ln(1 + count(*)), 9) + 5e-10::double, 6) log_n from p group by 1, 2, 3 having count(*) >= 2")
 def rag_features(vox):
     return r96(graph.rag_features(graph.boundary_pairs(vox, "pred"), 2), *_FEATURES, "log_n")
 
@@ -778,6 +780,86 @@ def synthetic_em(spark, sf_dir):
     return r6(synthetic_volume(spark, (8, 16, 16), _BLOBS), "raw")
 
 
+# ---- new grids, drawn edges, stored crops ----------------------------------
+
+_KERNELS = {a: [round(((7 * i + 5 * k) % 11 - 5) / 20, 2) for i in range(27)] for k, a in enumerate("zyx")}
+_PLACES = [(i // 9 - 1, i // 3 % 3 - 1, i % 3 - 1) for i in range(27)]
+_AFFINE = {"z": (1.2, 0.1), "y": (0.9, -0.2), "x": (1.0, 0.05)}
+
+
+@query("""w as (select sample, id, z, y, x, """ + ", ".join(f"8 * (a{a} - 0.5::double) * {s}::double + {b}::double l{a}" for a, (s, b) in _AFFINE.items()) + """ from vox),
+o as (select * from (values """ + ", ".join(f"({d}, {e}, {f}, " + ", ".join(f"{_KERNELS[a][i]}::double" for a in "zyx") + ")" for i, (d, e, f) in enumerate(_PLACES)) + """) v(dz, dy, dx, kz, ky, kx)),
+p as (select *, """ + ", ".join(f"1 / (1 + exp(-l{a})) p{a}" for a in "zyx") + """ from w),
+m as (select a.sample, a.id, """ + ", ".join(f"any_value(a.p{a}) - sum(b.p{a}) / 27.0::double d{a}" for a in "zyx") + """ from p a cross join o join p b on b.sample = a.sample and b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx group by 1, 2),
+q as (select p.*, dz, dy, dx from p join m using (sample, id)),
+r as (select a.sample, a.id, """ + ", ".join(f"sum(o.k{a} * b.d{a}) r{a}" for a in "zyx") + """ from q a cross join o join q b on b.sample = a.sample and b.z = a.z + o.dz and b.y = a.y + o.dy and b.x = a.x + o.dx group by 1, 2)
+select p.sample, p.z, p.y, p.x, """ + ", ".join(f"round(round(l{a} + tanh(0.4::double) * r{a}, 9) + 5e-10::double, 6) c{a}" for a in "zyx") + " from p join r using (sample, id)")
+def learned_calibration(vox):
+    weights = [np.array(_KERNELS[a]).reshape(3, 3, 3) for a in "zyx"]
+    scale, bias = zip(*_AFFINE.values(), strict=True)
+    out = blocks.learned_calibration(logits(vox), ("lz", "ly", "lx"), scale, bias, weights, 0.4, outs=("cz", "cy", "cx"))
+    return r96(out.select(*K, "cz", "cy", "cx"), "cz", "cy", "cx")
+
+
+_RESIZED = (9, 13, 31)
+
+
+@query("t as (select sample, " + ", ".join(f"cast(max({a}) + 1 as double) d{a}" for a in "zyx") + " from vox group by 1), " + ", ".join(f"""g{a} as (select sample, o, greatest((o + 0.5::double) * d{a} / {n} - 0.5::double, 0) pos, d{a} d from t, (select unnest(range(0, {n})) o)),
+e{a} as (select sample, o, cast(floor(pos) as bigint) i, 1 - (pos - floor(pos)) w from g{a} union all select sample, o, cast(least(floor(pos) + 1, d - 1) as bigint), pos - floor(pos) from g{a})""" for a, n in zip("zyx", _RESIZED, strict=True)) + """
+select v.sample, ez.o z, ey.o y, ex.o x, round(round(sum(raw * ez.w * ey.w * ex.w), 9) + 5e-10::double, 6) raw
+from ez join ey using (sample) join ex using (sample) join vox v on v.sample = ez.sample and v.z = ez.i and v.y = ey.i and v.x = ex.i where ez.w * ey.w * ex.w > 0 group by 1, 2, 3, 4""")
+def resize_trilinear(vox):
+    return r96(blocks.resize(vox, _RESIZED), "raw")
+
+
+_DRAWN = 40
+
+
+@query(_LONG.replace("select sample, '", "select sample, id, '") + f""", d as (select *, case when t >= 0.75 and v > 0 then 1 when t <= 0.25 and v > 0 then 0 end side from e),
+k as (select * from d where side is not null qualify row_number() over (partition by sample, c, side order by substr(md5('5:' || c || ':' || id), 1, 13)) <= {_DRAWN}),
+g as (select sample, c, ln(1 + exp(1 - avg(case when side = 1 then l end) + avg(case when side = 0 then l end))) soft from k group by 1, 2),
+m as (select sample, c, avg(case when v > 0 then l end) m from e group by 1, 2)
+select sample, round(coalesce(avg(soft), 0), 6) rank_loss, round(case when count(m) = 3 then pow(avg(case when c = 'z' then m end) - avg(case when c <> 'z' then m end), 2) else 0 end, 6) calibration from m left join g using (sample, c) group by 1""")
+def loss_bcar_drawn(vox):
+    both = stencil.valid_edges(stencil.affinities(logits(vox)))
+    rows = losses.long_channels(both, ("lz", "ly", "lx"), ("tz", "ty", "tx"), ("vz", "vy", "vx"), keep=("sample", "id"))
+    return r6(losses.ranking(rows, most=_DRAWN, keys=("id",), seed="5"), "rank_loss", "calibration")
+
+
+_CROP, _BLOCK = (6, 12, 24), (4, 8, 8)
+
+
+def crops_of(vox, every: int = 2):
+    """(index, sample, z0, y0, x0): a crop for every second slice, its corner drawn by a hash."""
+    dims = grid.extents(vox)
+    plan = vox.select("sample", "z").distinct().where(F.col("z") % every == 0).join(dims, "sample").withColumn("index", F.concat_ws(":", "sample", F.col("z").cast("string")))
+    draw = lambda a: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("9"), F.lit(a), F.col("index")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return plan.select("index", "sample", *((draw(a) % (F.greatest(F.col(f"d{a}") - n, F.lit(0)) + 1)).alias(f"{a}0") for a, n in zip("zyx", _CROP, strict=True)))
+
+
+def _filled(a: str, n: int) -> str:
+    return f"""i{a} as (select index, sample, p, n{a} n, z0, y0, x0, {a}0 + case when {{edge}} or n{a} = {n} then least(p, n{a} - 1) when p % (2 * (n{a} - 1)) < n{a} then p % (2 * (n{a} - 1)) else 2 * (n{a} - 1) - p % (2 * (n{a} - 1)) end {a} from c, (select unnest(range(0, {n})) p))"""
+
+
+def _stored_sql(name: str, edge: str) -> str:
+    grown = ", ".join(_filled(a, n).replace("{edge}", edge).replace(f"i{a} as", f"{name}{a} as") for a, n in zip("zyx", _CROP, strict=True))
+    return grown + f""", {name} as (select u.index, u.p z, v.p y, w.p x, {"label" if edge == "true" else "raw"} from {name}z u join {name}y v using (index) join {name}x w using (index) join vox on vox.sample = u.sample and vox.z = u.z and vox.y = v.y and vox.x = w.x)"""
+
+
+@query("""t as (select sample, max(z) + 1 dz, max(y) + 1 dy, max(x) + 1 dx from vox group by 1),
+q as (select distinct sample, z, sample || ':' || z as index from vox where z % 2 = 0),
+a as (select q.index, sample, dz, dy, dx, """ + ", ".join(f"cast(('0x' || substr(md5('9:{a}:' || q.index), 1, 8)) as bigint) % (greatest(d{a} - {n}, 0) + 1) {a}0" for a, n in zip("zyx", _CROP, strict=True)) + """ from q join t using (sample)),
+c as (select index, sample, z0, y0, x0, """ + ", ".join(f"least({n}, d{a} - {a}0) n{a}" for a, n in zip("zyx", _CROP, strict=True)) + " from a), " + _stored_sql("r", "least(nz, ny, nx) < 2") + ", " + _stored_sql("s", "true") + """
+select index, z, y, x, raw, label from r join s using (index, z, y, x)""", volume=True)
+def stored_crops(vox):
+    from lamina.session import checkpoint_folder
+    from lamina.sources import volumes
+
+    path = f"{checkpoint_folder(vox.sparkSession).rstrip('/')}/lamina-blocks-{uuid.uuid4().hex}"
+    volumes.write_blocks(vox.select(*K, "raw", "label"), path, _BLOCK)
+    return volumes.read_crops(vox.sparkSession, path, crops_of(vox), _CROP, _BLOCK).select("index", "z", "y", "x", "raw", "label")
+
+
 # ---- kernels: no SQL form; tests hold their invariants -------------------
 
 @query()

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamina.session import cut
+
 #: Names under which a volume may be stored, best first.
 RAW_KEYS = ("main", "raw", "image", "images", "data", "volumes/raw", "stack")
 LABEL_KEYS = ("label", "labels", "gt", "volumes/labels/neuron_ids", "main")
@@ -46,6 +48,56 @@ def read_crop(spark: SparkSession, path: str, bounds: dict[str, tuple[int, int]]
     return df.drop("bz", "by", "bx")
 
 
+def read_crops(spark: SparkSession, path: str, plan: DataFrame, size: tuple[int, int, int], block: tuple[int, int, int] = (32, 256, 256), labels: tuple[str, ...] = ("label",)) -> DataFrame:
+    """(index, z, y, x, ...): the boxes that ``plan`` (index, sample, z0, y0, x0) asks for, counted from their corners.
+
+    A crop is joined to the blocks it meets, so folders that no crop meets are pruned
+    while the query runs.  Where a volume ends inside a crop, the crop is filled up at
+    its end: raw values mirrored, labels (the columns named) by their last plane; of a
+    crop with an axis of one voxel everything is filled up by the last plane.
+    """
+    stored = spark.read.parquet(path)
+    ends = stored.groupBy("sample").agg(*((F.max(a) + 1).alias(f"d{a}") for a in "zyx"))
+    asked = plan.join(ends, "sample")
+    asked = asked.withColumns({f"n{a}": F.least(F.lit(n), F.col(f"d{a}") - F.col(f"{a}0")) for a, n in zip("zyx", size, strict=True)})
+    blocks = asked
+    for a, b in zip("zyx", block, strict=True):
+        blocks = blocks.withColumn(f"b{a}", F.explode(F.sequence(F.expr(f"cast({a}0 div {b} as int)"), F.expr(f"cast(({a}0 + n{a} - 1) div {b} as int)"))))
+    values = [c for c in stored.columns if c not in {"sample", *"zyx", *(f"b{a}" for a in "zyx")}]
+    # Written, so that Spark knows the size: a small list of blocks is broadcast and prunes the scan's folders
+    # (which Spark does for a side with a condition), a large one is shuffled.
+    blocks = cut(blocks.drop("dz", "dy", "dx")).where("bz >= 0 and by >= 0 and bx >= 0")
+    met = stored.join(blocks, ["sample", "bz", "by", "bx"])
+    for a in "zyx":
+        met = met.where((F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}0") + F.col(f"n{a}"))).withColumn(a, F.col(a) - F.col(f"{a}0"))
+    thin = F.least("nz", "ny", "nx") < 2
+    kinds = {True: [c for c in values if c in labels], False: [c for c in values if c not in labels]}
+    out = None
+    for label, cols in kinds.items():
+        if not cols:
+            continue
+        part = met.select("index", "sample", "nz", "ny", "nx", "z", "y", "x", *cols)
+        for a, n in zip("zyx", size, strict=True):
+            part = part.withColumn(a, F.explode(filled_places(F.col(a), F.col(f"n{a}"), n, F.lit(label) | thin)))
+        part = part.select("index", "sample", "z", "y", "x", *cols)
+        out = part if out is None else out.join(part, ["index", "sample", "z", "y", "x"])
+    return out
+
+
+def filled_places(at: Column, length: Column, size: int, edge: Column) -> Column:
+    """The places of an axis of ``size`` that show place ``at`` of ``length``: itself, and in
+    what is filled up its mirror images, or, with ``edge``, all places after the last."""
+    last, period = F.lit(size - 1).cast("bigint"), (2 * (length - 1)).cast("bigint")
+
+    def steps(first: Column) -> Column:
+        return F.when(first <= last, F.sequence(first, last, F.greatest(period, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+
+    here = at.cast("bigint")
+    mirrored = F.array_distinct(F.concat(steps(here), steps(F.when(here == 0, here).otherwise(period - here))))
+    behind = F.when(here == length - 1, F.sequence(here, last)).otherwise(F.array(here))
+    return F.when(edge | (length == size), behind).otherwise(mirrored)
+
+
 def read_grey_stack(spark: SparkSession, path: str, pattern: str = "*.pgm") -> DataFrame:
     """(z, y, x, raw) of a folder of binary PGM slices, in order of their names.
 
@@ -87,26 +139,9 @@ def parse_pgm(data: bytes) -> np.ndarray:
 
 def read_hdf5(spark: SparkSession, paths: list[str], keys: tuple[str, ...] = (), depth: int = 16) -> DataFrame:
     """(path, z, y, x, raw): slabs of ``depth`` slices, each a task's unit.  Needs h5py."""
-    import h5py
-
-    plan = []
-    for p in paths:
-        with h5py.File(p) as f:
-            names: list[str] = []
-            f.visititems(lambda n, o, names=names: names.append(n) if isinstance(o, h5py.Dataset) else None)
-            name = choose_dataset(names, keys)
-            plan += [(p, name, z, min(z + depth, f[name].shape[0])) for z in range(0, f[name].shape[0], depth)]
+    from .arrays import read_slabs
 
-    def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, name, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with h5py.File(p) as f:
-                    part = f[name][a:b]
-                z, y, x = np.indices(part.shape)
-                yield pa.RecordBatch.from_arrays([pa.array([p] * part.size), pa.array(z.ravel() + a), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(part.ravel().astype(float))], ["path", "z", "y", "x", "raw"])
-
-    table = spark.createDataFrame(plan, "path string, name string, a bigint, b bigint").repartition(len(plan))
-    return table.mapInArrow(slabs, "path string, z bigint, y bigint, x bigint, raw double")
+    return read_slabs(spark, paths, keys=",".join(keys), depth=str(depth))
 
 
 def write_records(records: DataFrame, folder: str) -> None:

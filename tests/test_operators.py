@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import agglomeration, graph, grid, kernels, losses, masking, metrics, stencil, sweep
+from lamina.operators import agglomeration, blocks, graph, grid, kernels, losses, masking, metrics, stencil, sweep
 from lamina.operators.components import connected_components
 from lamina.sources import manifest, volumes
 from lamina.sources.voxels import demo_voxels
@@ -74,9 +74,9 @@ def test_rand_is_the_count_over_all_pairs(spark):
 def test_boundaries_beside_background_stay(spark):
     vox = volume(spark, [[[0, 1, 1, 2, 2]]])
     assert [r["widened"] for r in stencil.widen_boundaries(vox).orderBy("x").collect()] == [0, 1, 0, 0, 2]
-    masked = [r["masked"] for r in stencil.boundary_ignore(volume(spark, [[[1, 1, 1, 2, 2, 2]]]), xy=1).orderBy("x").collect()]
+    masked = [r["masked"] for r in blocks.boundary_ignore(volume(spark, [[[1, 1, 1, 2, 2, 2]]]), xy=1).orderBy("x").collect()]
     assert masked == [1, 0, 0, 0, 0, 2]
-    assert stencil.boundary_ignore(vox, xy=0, z=0).where("masked <> label").count() == 0
+    assert blocks.boundary_ignore(vox, xy=0, z=0).where("masked <> label").count() == 0
     with pytest.raises(ValueError):
         stencil.offset_affinities(vox, [(0, 0, 0)])
 
@@ -194,7 +194,7 @@ def test_hierarchical_agglomeration_limits(spark):
     with pytest.raises(ValueError):
         kernels.hierarchical_agglomeration(vox, "label", 0.5, "mean")
     with pytest.raises(ValueError):
-        graph.pair_score("mode")
+        graph.pair_scores(graph.boundary_pairs(vox, "label"), "mode")
 
 
 def test_masks_hide_the_right_number(spark):
