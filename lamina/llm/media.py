@@ -7,7 +7,8 @@ members through Arrow, and retries each member alone, by its offset.
 
 Defined results: a null text is the empty text and gives one block of padding;
 a null id stays null; repeated rows give repeated members; an empty table gives
-an archive folder without members; other columns are not read.
+an archive folder without members; texts of any length are one member each, held
+whole by the task that writes or reads it; other columns are not read.
 """
 
 from __future__ import annotations

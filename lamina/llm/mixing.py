@@ -11,7 +11,7 @@ from the second on the number is hashed with the id, so each draws for itself.
 
 Defined results: a null source is a source of its own; null ids count as one id
 that their rows share; of rows alike in all columns it does not matter which is
-which; a text may be of any length; an empty table gives no row; columns named
+which; copies of equal order key are in any order; a text may be of any length; an empty table gives no row; columns named
 like the two added ones are replaced, all others are kept.
 """
 

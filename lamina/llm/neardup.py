@@ -15,8 +15,8 @@ holds both already or the filter proves the two unlike.
 
 Defined results: a document without words has an empty set and is its own
 component; rows with a null id are never linked (component null, kept true);
-repeated rows share a class; an empty table gives no row; other columns are not
-read.
+repeated rows share a class; texts of any length are shingled whole; an empty table
+gives no row; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ first) and has a fixed size.  Labels, language, source and id are no features.
 
 Defined results: a null text is empty; an empty text has a score like any other;
 labels other than 0 and 1, and null ids, are not learned from; with no labelled
-row every score is 0.5; repeated rows give repeated scores.
+row every score is 0.5; repeated rows give repeated scores; texts of any length are
+read whole; an empty table gives no row; other columns, whatever their names, are not
+read, or kept as they are where documents are filtered.
 """
 
 from __future__ import annotations
