@@ -96,6 +96,60 @@ def boundary_ignore(vox: DataFrame, xy: int = 1, z: int = 0, label: str = "label
     return map_blocks(vox, [label], kernel, f"{out} {kind}", (z + 1 if z else 0, xy + 1, xy + 1), block)
 
 
+def least_in_component(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``ids`` the least id it reaches over links between places ``a`` and ``b``."""
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    root, a, b = np.arange(len(ids)), place[a], place[b]
+    while len(a):
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        np.minimum.at(root, high, low)
+        while True:  # roots are no higher than their members, so jumps end
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return ids[order][root[place]]
+
+
+def local_components(vox: DataFrame, columns: Sequence[str], links: Callable[[dict[str, np.ndarray]], list[np.ndarray]], steps: Sequence[tuple[int, int, int]], block: tuple[int, int, int] = (16, 64, 64)) -> DataFrame:
+    """(sample, id, root, rim, over): components inside blocks by their least id, and what leads on.
+
+    ``links`` says, for each of ``steps``, which voxels are linked to the one a step on.
+    ``over`` are the ids beyond the block that a voxel is linked to; ``rim`` marks voxels
+    of a block's outer layer, to which links from other blocks lead.
+    """
+    inner = (slice(1, -1),) * 3
+
+    def kernel(values: dict[str, np.ndarray], present: np.ndarray) -> dict[str, np.ndarray]:
+        ids, at = values["id"], np.arange(present.size).reshape(present.shape)
+        core, deep = np.zeros(present.shape, bool), np.zeros(present.shape, bool)
+        core[inner], deep[(slice(2, -2),) * 3] = True, True
+        pairs, made = [], {}
+        for i, (step, linked) in enumerate(zip(steps, links(values), strict=True)):
+            both = linked & present & shifted(present, step, False) & core
+            inside = shifted(core, step, False)
+            here = both & inside
+            pairs.append((at[here], shifted(at, step)[here]))
+            made[f"__over{i}"] = np.where(both & ~inside, shifted(ids, step), ids)
+        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        flat = np.nonzero(core & present)
+        rank = np.zeros(present.size, np.int64)
+        rank[at[flat]] = np.arange(len(flat[0]))
+        root = ids.copy()
+        root[flat] = least_in_component(ids[flat], rank[a], rank[b])
+        return made | {"root": root, "rim": core & ~deep}
+
+    overs = [f"__over{i}" for i in range(len(steps))]
+    adds = "root bigint, rim boolean, " + ", ".join(f"{o} bigint" for o in overs)
+    made = map_blocks(vox.select("sample", "id", *AXES, *columns), ["id", *columns], kernel, adds, (1, 1, 1), block)
+    return made.select("sample", "id", "root", "rim", F.array_except(F.array(*overs), F.array("id")).alias("over"))
+
+
 def learned_calibration(vox: DataFrame, logits: Sequence[str], scale: Sequence[float], bias: Sequence[float], weights: Sequence[np.ndarray], residual: float, smooth: int = 3, outs: Sequence[str] | None = None, block: tuple[int, int, int] = (16, 64, 64)) -> DataFrame:
     """Adds calibrated logits: an affine part, and a learned sum over what smoothing takes away.
 

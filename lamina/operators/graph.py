@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import cut
+
+from .blocks import local_components, shifted
 from .components import connected_components
 from .quantiles import exact_quantiles
 from .ranking import beside, ranks
@@ -28,12 +31,17 @@ def drop_small(vox: DataFrame, label: str, min_size: int, out: str) -> DataFrame
     return vox.join(sizes, ["sample", label]).withColumn(out, F.when(F.col("__n") < min_size, 0).otherwise(F.col(label))).drop("__n")
 
 
-def _joined(vox: DataFrame, edges: DataFrame, out: str) -> DataFrame:
-    parts = connected_components(edges, keys=("sample",)).withColumnRenamed("component", out)
-    return vox.join(parts, ["sample", "id"], "left").withColumn(out, F.coalesce(out, "id"))
+def _joined(vox: DataFrame, local: DataFrame, out: str) -> DataFrame:
+    """Components inside blocks become whole ones: only what lies at a block's rim is joined in rounds."""
+    local = cut(local)
+    across = local.select("sample", F.col("root").alias("src"), F.explode("over").alias("dst"))
+    rims = local.where("rim and root <> id").select("sample", F.col("root").alias("src"), F.col("id").alias("dst"))
+    parts = connected_components(across.unionAll(rims), keys=("sample",)).select("sample", F.col("id").alias("root"), "component")
+    whole = local.select("sample", "id", "root").join(parts, ["sample", "root"], "left").select("sample", "id", F.coalesce("component", "root").alias(out))
+    return vox.join(whole, ["sample", "id"])
 
 
-def affinity_components(vox: DataFrame, threshold: float | tuple[float, float, float], cols: tuple[str, str, str] = ("az", "ay", "ax"), out: str = "component") -> DataFrame:
+def affinity_components(vox: DataFrame, threshold: float | tuple[float, float, float], cols: tuple[str, str, str] = ("az", "ay", "ax"), out: str = "component", block: tuple[int, int, int] = (16, 64, 64)) -> DataFrame:
     """Each voxel's component over edges of enough affinity, by its least ``id``.
 
     The edge of a channel runs to the voxel before on that axis.
@@ -41,11 +49,11 @@ def affinity_components(vox: DataFrame, threshold: float | tuple[float, float, f
     levels = (threshold,) * 3 if isinstance(threshold, int | float) else threshold
     if len(levels) != 3:
         raise ValueError("one threshold, or one for each axis")
-    sets = [vox.select("sample", F.col("id").alias("src"), F.when(F.col(c) >= t, before(a, "id")).alias("dst")).where("dst is not null") for a, c, t in zip(AXES, cols, levels, strict=True)]
-    return _joined(vox, reduce(DataFrame.unionAll, sets), out)
+    steps = [(-1, 0, 0), (0, -1, 0), (0, 0, -1)]
+    return _joined(vox, local_components(vox, tuple(dict.fromkeys(cols)), lambda v: [v[c] >= t for c, t in zip(cols, levels, strict=True)], steps, block), out)
 
 
-def mask_components(vox: DataFrame, mask: Column, connectivity: int = 6, out: str = "component") -> DataFrame:
+def mask_components(vox: DataFrame, mask: Column, connectivity: int = 6, out: str = "component", block: tuple[int, int, int] = (16, 64, 64)) -> DataFrame:
     """Components of the voxels in ``mask``; -1 elsewhere.
 
     6 neighbours share a face; 26 also an edge or a corner (13 forward steps).
@@ -53,11 +61,10 @@ def mask_components(vox: DataFrame, mask: Column, connectivity: int = 6, out: st
     steps = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
     if connectivity == 26:
         steps = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
-    inside = vox.where(mask)
-    here = inside.select("sample", F.col("id").alias("src"), F.explode(F.array(*(F.struct(*((F.col(a) + d).alias(a) for a, d in zip(AXES, s, strict=True))) for s in steps))).alias("to"))
-    there = inside.select("sample", *(F.col(a).alias(a) for a in AXES), F.col("id").alias("dst"))
-    edges = here.select("sample", "src", "to.*").join(there, ["sample", *AXES]).select("sample", "src", "dst")
-    return _joined(vox, edges, out).withColumn(out, F.when(mask, F.col(out)).otherwise(-1))
+    inside = vox.withColumn("__inside", F.coalesce(mask, F.lit(False)))
+    linked = lambda v: [v["__inside"] & shifted(v["__inside"], s, False) for s in steps]
+    parts = _joined(inside, local_components(inside, ("__inside",), linked, steps, block), out)
+    return parts.withColumn(out, F.when(F.col("__inside"), F.col(out)).otherwise(-1)).drop("__inside")
 
 
 def boundary_pairs(vox: DataFrame, segment: str, cols: tuple[str, str, str] = ("az", "ay", "ax")) -> DataFrame:
