@@ -304,7 +304,7 @@ def test_components_across_small_blocks(spark):
     shape = (5, 8, 7)
     w = rng.random((3, *shape))
     vox = volume(spark, np.ones(shape, int), az=w[0], ay=w[1], ax=w[2]).withColumn("id", (F.col("id") * 37) % 1009 - 300).where("id % 10 <> 0")
-    for run in (lambda b: graph.affinity_components(vox, 0.6, block=b), lambda b: graph.mask_components(vox, F.col("ax") > 0.5, 26, block=b), lambda b: graph.mask_components(vox, F.col("ax") > 0.4, block=b)):
+    for run in (lambda b: graph.affinity_components(vox, 0.6, block=b), lambda b: graph.mask_components(vox, F.col("ax") > 0.88, 26, block=b), lambda b: graph.mask_components(vox, F.col("ax") > 0.6, block=b)):
         small, whole = (sorted((r["id"], r["component"]) for r in run(b).collect()) for b in ((2, 3, 2), (64, 64, 64)))
         assert small == whole and len({c for _, c in whole}) > 3
     ids = np.array([5, -3, 9, 2, 7])
