@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from lamina.llm.elias_fano import EliasFano, Trie
 from lamina.llm.ngram_lm import op5_ngram_scores, score_texts
-from lamina.llm.quality import AdditiveModel, fit_quality, label_sample, op8_quality, score_quality, text_features
+from lamina.llm.quality import FEATURES, AdditiveModel, features, fit_quality, label_sample, op8_quality, score_quality, text_features
 
 from .conftest import SF
 
@@ -109,3 +109,40 @@ def test_quality_odd_rows(spark, odd, odd_texts, empty):
     none = spark.createDataFrame([], labels.schema)
     assert {r["score"] for r in score_quality(table, fit_quality(table, label_sample(none))).collect()} == {0.5}
     assert score_quality(text_features(empty), fit_quality(table, label_sample(labels))).collect() == []
+
+
+def plain_features(text):
+    """The 22 numbers, byte by byte and word by word."""
+    raw = text.encode()
+    n, words, lines = max(1, len(raw)), raw.split(), raw.split(b"\n")
+    w, seen = max(1, len(words)), Counter(words)
+    among = lambda chars: sum(b in chars for b in raw)
+    upper, lower = among(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), among(b"abcdefghijklmnopqrstuvwxyz")
+    space, other = among(b"\t\n\x0b\x0c\r "), sum(b > 127 for b in raw)
+    named = {
+        "log_bytes": math.log(1 + len(raw)), "log_words": math.log(1 + len(words)), "word_length": (len(raw) - space) / w, "letters": (upper + lower + other) / n,
+        "upper": upper / max(1, upper + lower), "digits": among(b"0123456789") / n, "marks": among(b"!\"'(),-./:;?") / n, "symbols": among(b"#$%&*+<=>@[\\]^_`{|}~") / n,
+        "exclaims": among(b"!") / w, "bars": among(b"|") / w, "spaces": space / n, "lines": len(lines) / w, "line_length": math.log(1 + len(raw) / len(lines)),
+        "distinct_words": len(seen) / w, "top_word": max(seen.values(), default=0) / w, "same_as_next": sum(a == b for a, b in zip(words, words[1:], strict=False)) / w,
+        "distinct_lines": len(set(lines)) / len(lines), "one_letter": sum(len(x) == 1 for x in words) / w, "longest_word": math.log(1 + max(map(len, words), default=0)),
+        "stops": among(b".") / w, "other_bytes": other / n, "capital_words": sum(x[:1] in [bytes([c]) for c in range(65, 91)] for x in words) / w,
+    }
+    return [named[k] for k in FEATURES]
+
+
+def test_features_equal_a_plain_count(spark, sample, odd_texts):
+    for _, text in sample[:60] + odd_texts:
+        assert np.allclose(features(text or ""), plain_features(text or ""), rtol=1e-12)
+
+
+def test_quality_of_odd_rows(spark, odd, odd_texts, empty):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    table = text_features(odd)
+    model = fit_quality(text_features(spark.read.parquet(f"{SF}/documents.parquet")), label_sample(labels))
+    got = Counter((r["doc_id"], round(r["score"], 9), r["predicted"]) for r in score_quality(table, model).collect())
+    want = Counter()
+    for i, text in odd_texts:
+        s = float(model.score(np.array([plain_features(text or "")]))[0])
+        want[i, round(s, 9), int(s >= 0.3)] += 1
+    assert got == want
+    assert score_quality(text_features(empty), model).collect() == []
