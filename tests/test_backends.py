@@ -33,7 +33,7 @@ def test_every_backend_gives_dense_segments(vox):
         assert len({r["id"] for r in rows}) == len(rows) == 128
         ids = sorted({r["segment"] for r in rows})
         assert ids[0] in (0, 1) and ids == list(range(ids[0], ids[0] + len(ids)))
-    assert len(backends.fragments) == 1  # made once for all that share them
+    assert {k[0] for k in backends.fragments} == {"mahotas", "scipy"} and len(backends.fragments) == 2  # made once for all that share a library
 
 
 def test_failing_points_are_noted_and_the_rest_goes_on(vox):
@@ -110,3 +110,19 @@ def test_triplets_channels_and_noise(spark, vox):
 def test_offset_edges_count_where_both_ends_do(vox):
     got = {(r["z"], r["y"], r["x"]): r["v"] for r in stencil.offset_valid(vox.withColumn("label", F.when(F.col("x") == 3, 0).otherwise(1)), [(0, 0, -1)], replicate=True).collect()}
     assert got[0, 0, 0] == 1 and got[0, 0, 3] == 0 and got[0, 0, 4] == 0 and got[0, 0, 5] == 1
+
+
+def test_small_rules_by_hand(spark, tmp_path):
+    import math
+
+    from lamina.sources import volumes
+
+    even, led = losses.prior_log_probs([0.25, 0.5, 0.75], None, 2.0), losses.prior_log_probs([0.25, 0.5, 0.75], 0.7, 2.0)
+    assert even == pytest.approx([math.log(1 / 3)] * 3) and led[2] - led[0] == pytest.approx(2) and sum(map(math.exp, led)) == pytest.approx(1)
+    assert losses.prior_log_probs([0.25, 0.5], 0.3, 0.0) == pytest.approx([math.log(0.5)] * 2)
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 5.0)], "sample string, v double")
+    assert sorted((r["sample"], r["scaled"]) for r in scalar.scale_01(rows, "v").collect()) == [("a", 0.0), ("a", 0.5), ("a", 1.0), ("b", 0.0)]
+    assert [grid.crop_size(c, 8) for c in (0, -1, 5, 8, 20)] == [0, 0, 8, 8, 20]
+    volumes.write_records(rows, str(tmp_path))
+    assert sorted(tuple(r) for r in spark.read.option("header", "true").csv(f"{tmp_path}/csv").collect()) == [("a", "1.0"), ("a", "2.0"), ("a", "3.0"), ("b", "5.0")]
+    assert spark.read.json(f"{tmp_path}/json").count() == 4
