@@ -105,22 +105,27 @@ def seeds(boundary: np.ndarray, method: str, distance: int, threshold: float, li
 
 
 def flood(boundary: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Seeded watershed: lowest place first, then the one reached first."""
-    out, order = marks.copy(), 0
-    heap: list[tuple[float, int, int, int]] = []
-    for y, x in zip(*np.nonzero(marks), strict=True):
-        heap.append((float(boundary[y, x]), order, int(y), int(x)))
-        order += 1
+    """Seeded watershed: lowest place first, then the one reached first.
+
+    Places are numbers in a flat list with a border, so that no neighbour has to be
+    held against the slice's edges.
+    """
+    wide = boundary.shape[1] + 2
+    level = np.pad(boundary, 1).ravel().tolist()
+    framed = np.pad(marks, 1, constant_values=-1)
+    out = framed.ravel().tolist()
+    heap = [(level[i], n, i) for n, i in enumerate(np.flatnonzero(framed > 0).tolist())]
+    order, push, pop = len(heap), heapq.heappush, heapq.heappop
     heapq.heapify(heap)
-    h, w = boundary.shape
     while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for c, d in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-            if 0 <= c < h and 0 <= d < w and not out[c, d]:
-                out[c, d] = out[y, x]
-                heapq.heappush(heap, (float(boundary[c, d]), order, c, d))
+        i = pop(heap)[2]
+        mark = out[i]
+        for j in (i - wide, i + wide, i - 1, i + 1):
+            if not out[j]:
+                out[j] = mark
+                push(heap, (level[j], order, j))
                 order += 1
-    return out
+    return np.array(out).reshape(framed.shape)[1:-1, 1:-1]
 
 
 def watershed_fragments(vox: DataFrame, method: str = "maxima_distance", distance: int = 12, threshold: float = 0.5, out: str = "fragment", library: str = "mahotas") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import cut
+
 from .ranking import beside, ranks
 
 
@@ -37,6 +39,7 @@ def mixed_mask(patches: DataFrame, ratio: float | str, fraction: float | str, ed
 
 def _led(patches: DataFrame, count: Callable[[Column], Column], fraction: float | str, edge: str, power: float, seed: str, by: str) -> DataFrame:
     share = F.col(fraction) if isinstance(fraction, str) else F.lit(fraction)
+    patches = cut(patches)  # counted, sampled for ranges and dealt: made once
     out = beside(patches, (by,), __n=F.count(F.lit(1))).withColumn("__k", count(F.col("__n")))
     out = out.withColumn("__led", F.greatest(F.least(F.bround(F.col("__k") * share), F.col("__k")), F.lit(0)))
     out = ranks(out, (by,), (F.pow(edge, F.lit(power)).desc(), F.col("pid")), "__r").withColumn("__top", F.col("__r") <= F.col("__led"))

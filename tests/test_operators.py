@@ -154,6 +154,12 @@ def test_regional_minima_by_hand():
     assert kernels.regional_minima(np.ones((2, 3))).all()
 
 
+def test_flooding_by_hand():
+    # From the nought first, then the ones; the ridge goes to whoever reaches each place first.
+    b, marks = np.array([[0.0, 9, 1], [5, 9, 1]]), np.array([[1, 0, 2], [0, 0, 0]])
+    assert kernels.flood(b, marks).tolist() == [[1, 1, 2], [1, 2, 2]]
+
+
 def greedy_merges(faces, threshold, score):
     """The best pair first, one at a time: a plain list of faces (a, b, w)."""
     root = {i: i for a, b, _ in faces for i in (a, b)}
