@@ -96,6 +96,43 @@ def boundary_ignore(vox: DataFrame, xy: int = 1, z: int = 0, label: str = "label
     return map_blocks(vox, [label], kernel, f"{out} {kind}", (z + 1 if z else 0, xy + 1, xy + 1), block)
 
 
+#: One step back on each axis.
+NEAREST = ((-1, 0, 0), (0, -1, 0), (0, 0, -1))
+
+
+def edge_targets(vox: DataFrame, offsets: Sequence[tuple[int, int, int]] | None = None, label: str = "label", replicate: bool = False, ignore: int | None = None, block: tuple[int, int, int] = (16, 64, 64)) -> DataFrame:
+    """Adds t0, t1, ...: 1 where both ends of a channel's offset share a label above 0.
+
+    ``offsets`` are one step back on each axis if None.  With ``ignore``, v0, v1, ... say
+    whether both ends have another label than it.  ``replicate``: on the first plane of a
+    channel that steps back by one, the voxel itself stands for the end outside.
+    The voxels are shuffled once for all channels, as stencil.offset_affinities does not.
+    """
+    steps = [tuple(int(d) for d in o) for o in (NEAREST if offsets is None else offsets)]
+    if not steps or any(len(o) != 3 or not any(o) for o in steps):
+        raise ValueError("offsets are triplets (z, y, x) other than (0, 0, 0), one at least")
+
+    def kernel(values: dict[str, np.ndarray], present: np.ndarray) -> dict[str, np.ndarray]:
+        labels, made = values[label], {}
+        inside = present & (labels > 0)
+        counts = present & (labels != ignore) if ignore is not None else present
+        for c, step in enumerate(steps):
+            there = shifted(present, step, False)
+            same = inside & there & (labels == shifted(labels, step))
+            both = counts & shifted(counts, step, False)
+            if replicate and step in NEAREST:
+                first = values[AXES[NEAREST.index(step)]] == 0
+                same, both = np.where(first, inside, same), np.where(first, counts, both)
+            made[f"t{c}"] = same.astype(np.int32)
+            if ignore is not None:
+                made[f"v{c}"] = both.astype(np.int32)
+        return made
+
+    names = [f"{k}{c} int" for k in ("t", "v")[: 1 + (ignore is not None)] for c in range(len(steps))]
+    halo = tuple(max(abs(o[a]) for o in steps) for a in range(3))
+    return map_blocks(vox, [label, *AXES], kernel, ", ".join(names), halo, block)
+
+
 def least_in_component(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of ``ids`` the least id it reaches over links between places ``a`` and ``b``."""
     order = np.argsort(ids, kind="stable")

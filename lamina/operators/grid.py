@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.scalar import sigmoid
 
+from .ranking import ranks
 from .stencil import AXES
 
 
@@ -141,19 +142,34 @@ def pad(vox: DataFrame, axis: str, size: int, target: int, mode: str = "reflect"
     return vox.withColumn(axis, F.explode(places))
 
 
-def crop_plan(spark, n_paths: int, multiplier: int, shape: tuple[int, int, int], size: tuple[int, int, int], seed: int) -> DataFrame:
-    """(index, path, z0, y0, x0) for an epoch; places drawn from a hash of seed and index."""
-    plan = spark.range(n_paths * multiplier).select(F.col("id").alias("index"), (F.col("id") % n_paths).alias("path"))
-    for a, d, s in zip(AXES, shape, size, strict=True):
+def crop_plan(dims: DataFrame, multiplier: int, size: tuple[int, int, int], seed: int) -> DataFrame:
+    """(index, path, sample, z0, y0, x0): each volume ``multiplier`` times an epoch.
+
+    Entry ``index`` takes the volume whose place in order of names, from 0, is index modulo
+    their number; its corner is drawn from a hash of seed and index, so that the crop fits
+    where the volume is large enough, and is 0 on an axis that is shorter.  ``dims``: see
+    ``extents``.
+    """
+    many = dims.count()
+    placed = ranks(dims.withColumn("__all", F.lit(0)), ("__all",), ("sample",), "path").withColumn("path", F.col("path") - 1)
+    rounds = F.sequence(F.lit(0).cast("bigint"), F.lit(multiplier - 1).cast("bigint")) if multiplier > 0 else F.array().cast("array<bigint>")
+    plan = placed.withColumn("__round", F.explode(rounds)).withColumn("index", F.col("__round") * many + F.col("path"))
+    for a, n in zip(AXES, size, strict=True):
         draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(a), F.col("index").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
-        plan = plan.withColumn(f"{a}0", draw % (max(0, d - s) + 1))
-    return plan
+        plan = plan.withColumn(f"{a}0", draw % (F.greatest(F.col(f"d{a}") - n, F.lit(0)) + 1))
+    return plan.select("index", "path", "sample", *(f"{a}0" for a in AXES))
 
 
-def factor_grid(spark, patches: int) -> DataFrame:
-    """(d, h, w) with d <= h <= w and d h w = ``patches``, the most even, z the least."""
-    d = spark.range(1, round(patches ** (1 / 3)) + 8).where(F.lit(patches) % F.col("id") == 0).select(F.col("id").alias("a"))
-    h = d.withColumn("rest", F.expr(f"{patches} div a")).withColumn("b", F.explode(F.expr("sequence(1L, cast(sqrt(rest) as bigint))"))).where("rest % b = 0")
-    dims = h.select("a", "b", F.array_sort(F.array("a", "b", F.expr("rest div b"))).alias("s"))
-    score = (F.col("s")[2] - F.col("s")[1]) + 2 * (F.col("s")[1] - F.col("s")[0])
-    return dims.orderBy(score, "a", "b").limit(1).select(*(F.col("s")[i].alias(n) for i, n in enumerate("dhw")))
+def factor_grid(volumes: DataFrame, patches: str = "patches") -> DataFrame:
+    """(sample, d, h, w) with d <= h <= w and d h w = ``patches``, the most even, z the least.
+
+    Divisors are found row by row, the best pair of them by one aggregate.
+    """
+    n = F.col(patches)
+    first = F.sequence(F.lit(1).cast("bigint"), F.round(F.pow(n, F.lit(1 / 3))).cast("bigint") + 7)
+    d = volumes.where(n > 0).select("sample", n.alias("n"), F.explode(first).alias("a")).where("n % a = 0").withColumn("rest", F.expr("n div a"))
+    h = d.withColumn("b", F.explode(F.expr("sequence(1L, cast(floor(sqrt(rest)) as bigint))"))).where("rest % b = 0")
+    s = F.array_sort(F.array("a", "b", F.expr("rest div b")))
+    score = (s[2] - s[1]) + 2 * (s[1] - s[0])
+    best = h.groupBy("sample").agg(F.min_by(s, F.struct(score, "a", "b")).alias("s"))
+    return best.select("sample", *(F.col("s")[i].alias(c) for i, c in enumerate("dhw")))

@@ -12,7 +12,7 @@ from lamina.functions.scalar import clamp, sigmoid
 from .masking import noise
 from .quantiles import least_of
 from .ranking import beside
-from .stencil import AXES, before
+from .stencil import AXES, before, edge_map, shape_descriptors
 
 
 def long_channels(vox: DataFrame, logits: tuple[str, ...], targets: tuple[str, ...], valid: tuple[str, ...] | None = None, weight: str | None = None, names: tuple[str, ...] = ("z", "y", "x"), keep: tuple[str, ...] = ("sample",)) -> DataFrame:
@@ -22,6 +22,11 @@ def long_channels(vox: DataFrame, logits: tuple[str, ...], targets: tuple[str, .
     return vox.select(*keep, F.explode(F.array(*rows)).alias("__r")).select(*keep, "__r.*")
 
 
+def channel_names(n: int) -> tuple[str, ...]:
+    """z, y, x, then numbers: the first three are the axes in the losses that tell them apart."""
+    return (*AXES, *(str(i) for i in range(3, n)))[:n]
+
+
 def ratio_weight(rows: DataFrame, by: tuple[str, ...] = ("sample", "c"), alpha: float = 1.0, out: str = "balance") -> DataFrame:
     """Adds ``out``: the rarer class of a channel weighs more; the commoner keeps 1.
 
@@ -120,12 +125,15 @@ def ranking(rows: DataFrame, margin: float = 1.0, gap: float = 0.0, most: int =
     return apart.groupBy("sample").agg(F.coalesce(F.avg("soft"), F.lit(0.0)).alias("rank_loss"), F.when(F.count("m") == 3, F.pow(z - yx + gap, F.lit(2.0))).otherwise(0.0).alias("calibration"))
 
 
-def connectivity(vox: DataFrame, logits: tuple[str, str, str], targets: tuple[str, str, str], valid: tuple[str, str, str] | None = None, margin: float = 0.05, weights: tuple[float, float, float] = (1.0, 0.15, 0.25)) -> DataFrame:
+def connectivity(vox: DataFrame, logits: tuple[str, ...], targets: tuple[str, ...], valid: tuple[str, ...] | None = None, margin: float = 0.05, weights: tuple[float, float, float] = (1.0, 0.15, 0.25)) -> DataFrame:
     """(sample, path, smooth, contrast, loss): two steps along a channel's own axis
-    should multiply like the targets, stay even within objects, and stand apart."""
+    should multiply like the targets, stay even within objects, and stand apart.
+
+    The first three channels have the axes z, y and x; further ones only stand apart.
+    """
     path = smooth = F.lit(0.0)
     cols, axes = [], F.lit(0)
-    for i, a in enumerate(AXES):
+    for i, a in enumerate(AXES[: len(logits)]):
         p, t = sigmoid(F.col(logits[i]), None), F.col(targets[i]).cast("double")
         m = F.col(valid[i]).cast("double") if valid else F.lit(1.0)
         names = {f"__p{a}": p, f"__t{a}": t, f"__m{a}": m}
@@ -140,7 +148,7 @@ def connectivity(vox: DataFrame, logits: tuple[str, str, str], targets: tuple[st
         path, smooth = path + F.coalesce(f"path_{a}", F.lit(0.0)), smooth + F.coalesce(f"smooth_{a}", F.lit(0.0))
         axes = axes + F.col(f"path_{a}").isNotNull().cast("int")
     sums = vox.groupBy("sample").agg(*cols).select("sample", (path / F.greatest(axes, F.lit(1))).alias("path"), (smooth / F.greatest(axes, F.lit(1))).alias("smooth"))
-    apart = _contrast(long_channels(vox, logits, targets, valid), margin).groupBy("sample").agg(F.coalesce(F.avg("soft"), F.lit(0.0)).alias("contrast"))
+    apart = _contrast(long_channels(vox, logits, targets, valid, names=channel_names(len(logits))), margin).groupBy("sample").agg(F.coalesce(F.avg("soft"), F.lit(0.0)).alias("contrast"))
     total = weights[0] * F.col("path") + weights[1] * F.col("smooth") + weights[2] * F.col("contrast")
     return sums.join(apart, "sample").withColumn("loss", total)
 
@@ -241,6 +249,50 @@ def objective(
     return out.withColumn("loss", sum((w * F.col(n) for n, w in terms), F.lit(0.0))).select("sample", *(n for n, _ in terms), "valid_fraction", "loss")
 
 
+def finetune_objective(
+    vox: DataFrame, logits: tuple[str, ...], offsets: list[tuple[int, int, int]] | None = None, replicate: bool = False, ignore: int | None = None, label: str = "label",
+    calibrated: tuple[str, ...] | None = None, connectivity_weight: float = 0.0, connectivity_margin: float = 0.05, connectivity_terms: tuple[float, float, float] = (1.0, 0.15, 0.25),
+    image: str | None = None, membrane: float = 0.0, membrane_axes: tuple[float, float, float] = (1.0, 1.0, 1.0), membrane_clip: float = 5.0, membrane_normalize: bool = True,
+    shape_logits: tuple[str, str, str, str] | None = None, shape_weight: float = 0.0, fg_weight: float = 0.25, offset_weight: float = 1.0, **objective_terms,
+) -> DataFrame:
+    """(sample, the columns of ``objective``, connectivity, shape_fg, shape_offset, shape, membrane_mean, loss).
+
+    Targets come from labels, one channel for each offset (one step back on each axis if
+    None); edges at an ``ignore`` label don't count, and all count if it is None.  A weight of
+    connectivity above 0 has the ``calibrated`` logits supervised, where given.  The image's
+    steps weigh the voxels if ``membrane`` is above 0.  ``shape_logits`` are those of
+    foreground and offsets z, y, x.  A term of no weight is 0 and is not computed; a
+    sample is a batch.
+    """
+    from .blocks import NEAREST, edge_targets
+
+    n = len(offsets if offsets is not None else NEAREST)
+    if len(logits) != n or (calibrated is not None and len(calibrated) != n):
+        raise ValueError(f"{n} channels of targets, {len(logits)} of logits")
+    if shape_weight > 0 and (shape_logits is None or len(shape_logits) != 4):
+        raise ValueError("shape descriptors have four logits: foreground and three offsets")
+    both = edge_targets(vox, offsets, label, replicate, ignore)
+    targets = tuple(f"t{c}" for c in range(n))
+    valid = tuple(f"v{c}" for c in range(n)) if ignore is not None else None
+    weight, mean = None, vox.select("sample").distinct().withColumn("membrane_mean", F.lit(1.0))
+    if image is not None and membrane > 0:
+        counted = sum((F.col(v) for v in valid), F.lit(0)) if valid else None
+        both = edge_map(both, membrane_axes, membrane_clip, image, "__edge")
+        both = membrane_weight(both, membrane, "__edge", counted, "__spatial", ("sample",)) if membrane_normalize else both.withColumn("__spatial", 1 + F.lit(membrane) * F.col("__edge"))
+        weight, mean = "__spatial", both.groupBy("sample").agg(F.avg("__spatial").alias("membrane_mean"))
+    names = channel_names(n)
+    supervised = calibrated if calibrated is not None and connectivity_weight > 0 else logits
+    out = objective(long_channels(both, supervised, targets, valid, weight, names), names=names, **objective_terms).withColumnRenamed("loss", "__loss").join(mean, "sample")
+    if connectivity_weight > 0:
+        term = connectivity(both, calibrated or logits, targets, valid, connectivity_margin, connectivity_terms)
+        out = out.join(term.select("sample", F.col("loss").alias("connectivity")), "sample")
+    if shape_weight > 0:
+        term = shape_loss(shape_descriptors(vox, label), shape_logits, fg_weight, offset_weight)
+        out = out.join(term.select("sample", F.col("fg_loss").alias("shape_fg"), F.col("offset_loss").alias("shape_offset"), F.col("loss").alias("shape")), "sample")
+    out = out.withColumns({c: F.lit(0.0) for c in ("connectivity", "shape_fg", "shape_offset", "shape") if c not in out.columns})
+    return out.withColumn("loss", F.col("__loss") + connectivity_weight * F.col("connectivity") + shape_weight * F.col("shape")).drop("__loss")
+
+
 def prior_log_probs(bins: list[float], start: float | None, margin: float) -> list[float]:
     """Log-softmax with a margin at the bin nearest to ``start``."""
     raw = [0.0] * len(bins)
@@ -250,11 +302,16 @@ def prior_log_probs(bins: list[float], start: float | None, margin: float) -> li
     return [x - total for x in raw]
 
 
-def membrane_weight(vox: DataFrame, weight: float, edge: str = "edge", valid: str | None = None, out: str = "spatial") -> DataFrame:
-    """1 + weight x edge, over its mean where ``valid``; ``vox`` is the batch that has one mean."""
+def membrane_weight(vox: DataFrame, weight: float, edge: str = "edge", valid: str | Column | None = None, out: str = "spatial", by: tuple[str, ...] = ()) -> DataFrame:
+    """1 + weight x edge, over its mean where ``valid``; ``vox`` is the batch that has one
+    mean, or each group of ``by`` is one.  ``valid`` may count a voxel's valid channels."""
     raw = 1 + F.lit(weight) * F.col(edge)
-    v = F.col(valid).cast("double") if valid else F.lit(1.0)
-    mean = vox.agg((F.sum(raw * v) / F.greatest(F.sum(v), F.lit(1.0))).alias("mean")).scalar()
+    v = (F.col(valid) if isinstance(valid, str) else valid).cast("double") if valid is not None else F.lit(1.0)
+    mean = F.sum(raw * v) / F.greatest(F.sum(v), F.lit(1.0))
+    if by:
+        vox = beside(vox, by, __mean=mean)
+        return vox.withColumn(out, raw / F.greatest("__mean", F.lit(1e-6))).drop("__mean")
+    mean = vox.agg(mean.alias("mean")).scalar()
     return vox.withColumn(out, raw / F.greatest(F.coalesce(mean, F.lit(1e-6)), F.lit(1e-6)))
 
 

@@ -26,13 +26,19 @@ def _entropy(n: Column, total: Column) -> Column:
     return F.sum(-p * F.log2(p))
 
 
-def segmentation_metrics(vox: DataFrame, pred: str = "pred", truth: str = "label", by: tuple[str, ...] = ("sample",), ignore: int | None = 0) -> DataFrame:
+def segmentation_metrics(vox: DataFrame, pred: str = "pred", truth: str = "label", by: tuple[str, ...] = ("sample",), ignore: int | None = 0, backend: str = "internal") -> DataFrame:
     """Adapted Rand and variation of information, one row a group.
 
     The contingency table is summed up once from the voxels; both marginals come
     from it, so the voxels are shuffled once, after partial counts.  A group all
     of whose truth is ignored has error 1 and zeros.
+
+    Backend ``skimage`` follows that package's conventions: precision is the share of the
+    truth's pairs and recall that of the prediction's, and what has no pairs or no
+    voxels is NaN.
     """
+    if backend not in ("internal", "skimage"):
+        raise ValueError(f"unknown metric backend {backend!r}")
     by = list(by)
     table = contingency(vox, pred, truth, tuple(by), ignore)
     whole = table.groupBy(*by).agg(F.sum("n").cast("double").alias("total"))
@@ -47,6 +53,12 @@ def segmentation_metrics(vox: DataFrame, pred: str = "pred", truth: str = "label
     recall = F.coalesce(F.col("pairs_both") / F.nullif("pairs_gt", F.lit(0.0)), F.lit(0.0))
     f = F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0))
     split, merge = (F.coalesce(F.greatest(F.col("h_both") - F.col(f"h_{m}"), F.lit(0.0)), F.lit(0.0)) for m in ("gt", "pred"))
+    if backend == "skimage":
+        nan = F.lit(float("nan"))
+        share = lambda top, bottom: F.coalesce(top / F.nullif(bottom, F.lit(0.0)), nan)
+        precision, recall = (share(F.col("pairs_both"), F.col(f"pairs_{side}")) for side in ("gt", "pred"))
+        f = share(2 * F.col("pairs_both"), F.col("pairs_pred") + F.col("pairs_gt"))
+        split, merge = (F.when(F.col("total").isNull(), nan).otherwise(c) for c in (split, merge))
     count = [F.coalesce(c, F.lit(0)).cast("bigint").alias(a) for c, a in (("n_pred", "n_pred"), ("n_gt", "n_gt"), ("total", "n_voxels"))]
     return out.select(*by, (1 - f).alias("adapted_rand_error"), f.alias("rand_fscore"), precision.alias("rand_precision"), recall.alias("rand_recall"), split.alias("voi_split"), merge.alias("voi_merge"), (split + merge).alias("voi_sum"), *count)
 

@@ -43,16 +43,26 @@ def affinities(vox: DataFrame, label: str = "label", replicate: bool = False) ->
     return vox
 
 
+def _first_plane() -> Column:
+    """Of a step (dz, dy, dx) back by one on one axis, to (nz, ny, nx) before the volume."""
+    single = (F.col("dz") + F.col("dy") + F.col("dx") == -1) & (F.abs("dz") + F.abs("dy") + F.abs("dx") == 1)
+    return single & (F.least("nz", "ny", "nx") < 0)
+
+
 def offset_affinities(vox: DataFrame, offsets: list[tuple[int, int, int]], label: str = "label", replicate: bool = False) -> DataFrame:
-    """(sample, c, z, y, x, t): the same for any offsets, one channel for each."""
+    """(sample, c, z, y, x, t): the same for any offsets, one channel for each.
+
+    ``replicate`` holds on the first plane of a channel that steps back by one on one
+    axis; an edge that leaves the volume elsewhere is 0.
+    """
     if any(o == (0, 0, 0) for o in offsets):
         raise ValueError("an offset must not be (0, 0, 0)")
     steps = F.array(*(F.struct(F.lit(c).alias("c"), *(F.lit(d).alias(f"d{a}") for d, a in zip(o, AXES, strict=True))) for c, o in enumerate(offsets)))
     here = vox.select("sample", *AXES, F.col(label).alias("label"))
-    asked = here.withColumn("o", F.explode(steps)).select("sample", *AXES, "label", "o.c", *((F.col(a) + F.col(f"o.d{a}")).alias(f"n{a}") for a in AXES))
+    asked = here.withColumn("o", F.explode(steps)).select("sample", *AXES, "label", "o.*", *((F.col(a) + F.col(f"o.d{a}")).alias(f"n{a}") for a in AXES))
     there = here.select("sample", *(F.col(a).alias(f"n{a}") for a in AXES), F.col("label").alias("other"))
     same = ((F.col("other") == F.col("label")) & (F.col("label") > 0)).cast("int")
-    outside = (F.col("label") > 0).cast("int") if replicate else F.lit(0)
+    outside = F.when(_first_plane() & F.lit(replicate), (F.col("label") > 0).cast("int")).otherwise(0)
     return asked.join(there, ["sample", "nz", "ny", "nx"], "left").select("sample", "c", *AXES, F.when(F.col("other").isNull(), outside).otherwise(same).alias("t"))
 
 
@@ -74,9 +84,7 @@ def offset_valid(vox: DataFrame, offsets: list[tuple[int, int, int]], label: str
     here = vox.select("sample", *AXES, (F.col(label) != ignore).alias("here"))
     asked = here.withColumn("o", F.explode(steps)).select("sample", *AXES, "here", "o.*", *((F.col(a) + F.col(f"o.d{a}")).alias(f"n{a}") for a in AXES))
     there = here.select("sample", *(F.col(a).alias(f"n{a}") for a in AXES), F.col("here").alias("there"))
-    back = F.col("dz") + F.col("dy") + F.col("dx") == -1
-    back = back & (F.abs("dz") + F.abs("dy") + F.abs("dx") == 1) & F.lit(replicate) & (F.least("nz", "ny", "nx") < 0)
-    both = F.when(back, F.col("here")).otherwise(F.col("here") & F.coalesce("there", F.lit(False)))
+    both = F.when(_first_plane() & F.lit(replicate), F.col("here")).otherwise(F.col("here") & F.coalesce("there", F.lit(False)))
     return asked.join(there, ["sample", "nz", "ny", "nx"], "left").select("sample", "c", *AXES, both.cast("int").alias("v"))
 
 

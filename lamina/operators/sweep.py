@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranks
+
 #: Parameters that each backend looks at; the others keep their first value.
 USES = {
     "components": ("threshold",),
@@ -14,18 +16,26 @@ USES = {
 }
 
 
-def sweep_grid(spark: SparkSession, axes: dict[str, list], uses: dict[str, tuple[str, ...]] = USES) -> DataFrame:
-    """One row a run: all backends by the parameters each of them looks at."""
-    grid = spark.createDataFrame([(b,) for b in uses], "backend string")
+def sweep_grid(volumes: DataFrame, axes: dict[str, list], uses: dict[str, tuple[str, ...]] = USES) -> DataFrame:
+    """Each row of ``volumes`` once a run: all backends by the parameters each of them looks at.
+
+    The points are few and fixed, so rows are multiplied in place and nothing is joined.
+    """
+    grid = volumes.withColumn("backend", F.explode(F.array(*map(F.lit, uses))))
     for name, values in axes.items():
-        own = F.lit(False)
-        for b, names in uses.items():
-            own = own | ((F.col("backend") == b) & F.lit(name in names))
+        own = F.col("backend").isin(*(b for b, names in uses.items() if name in names))
         every = F.array(*map(F.lit, values))
         grid = grid.withColumn(name, F.explode(F.when(own, every).otherwise(F.slice(every, 1, 1))))
     return grid
 
 
+def first_samples(records: DataFrame, most: int, by: str = "sample") -> DataFrame:
+    """Records of the first ``most`` samples in order of names; 0 means all."""
+    if most <= 0:
+        return records
+    return records.join(records.select(by).distinct().orderBy(by).limit(most), by, "left_semi")
+
+
 def group_means(records: DataFrame, keys: list[str], metrics: list[str], require_samples: int | None = None) -> DataFrame:
     """Mean of each metric and the number of records; incomplete groups may be left out."""
     out = records.groupBy(*keys).agg(*(F.avg(m).alias(m) for m in metrics), F.count(F.lit(1)).alias("n"), F.countDistinct("sample").alias("__samples"))
@@ -63,9 +73,11 @@ def best(groups: DataFrame, metric: str, keys: list[str], by: list[str] | None =
 def split(items: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
     """Adds validation: min(n - 1, max(1, round(n * fraction))) items by hash.
 
-    Items are files or samples, few enough to be ranked together.
+    Ranks are counted by ranges, so the items may be many; only their number is known to
+    the driver.
     """
     n = items.count()
     k = min(n - 1, max(1, round(n * fraction)))
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), key))
-    return items.withColumn("validation", rank <= k)
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    placed = ranks(items.withColumns({"__all": F.lit(0), "__drawn": drawn}), ("__all",), ("__drawn", key), "__rank")
+    return placed.withColumn("validation", F.col("__rank") <= k).drop("__all", "__drawn", "__rank")

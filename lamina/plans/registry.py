@@ -6,6 +6,7 @@ Floating results are rounded to six places: engines differ in the last bits.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import scalar
 from lamina.operators import blocks, graph, grid, losses, masking, metrics, stencil, sweep
-from lamina.sources.voxels import VOX_SQL, demo_voxels, synthetic_volume
+from lamina.sources.voxels import VOX_SQL, demo_voxels, synthetic_volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,7 +32,7 @@ def query(sql: str | None = None, volume: bool = True):
         name = f.__name__.lstrip("_")
         QUERIES[name] = (lambda spark, sf_dir: f(demo_voxels(spark, sf_dir))) if volume else f
         if sql is not None:
-            ORACLE_SQL[name] = VOX_SQL + (", " if sql.lstrip().startswith(("w as", "t as", "e as", "s as", "p as")) else " ") + sql if volume else sql
+            ORACLE_SQL[name] = VOX_SQL + (", " if re.match(r"\s*\w+ as \(", sql) else " ") + sql if volume else sql
         return f
 
     return register
@@ -68,7 +69,7 @@ def _forth(axis: str, col: str) -> str:
 
 # ---- metrics -------------------------------------------------------------
 
-_METRICS = """
+_TABLES = """
 t as (select sample, {truth} gt, pred, count(*) n from {src} where {truth} <> 0 group by all),
 s as (select sample, cast(sum(n) as double) total from t group by 1),
 bp as (select sample, sum(n) n from t group by sample, pred), bg as (select sample, sum(n) n from t group by sample, gt),
@@ -76,10 +77,12 @@ j as (select t.sample, sum(cast(n as double) * (n - 1) / 2) pr, sum(-(n / total)
 mp as (select bp.sample, sum(cast(n as double) * (n - 1) / 2) pr, sum(-(n / total) * log2(n / total)) h, count(*) c from bp join s using (sample) group by 1),
 mg as (select bg.sample, sum(cast(n as double) * (n - 1) / 2) pr, sum(-(n / total) * log2(n / total)) h, count(*) c from bg join s using (sample) group by 1),
 m as (select j.sample, coalesce(j.pr / nullif(mp.pr, 0), 0) p, coalesce(j.pr / nullif(mg.pr, 0), 0) r, greatest(j.h - mg.h, 0) sp, greatest(j.h - mp.h, 0) me, mp.c np, mg.c ng, total
-  from j join mp using (sample) join mg using (sample))
-select sample, round(1 - 2 * p * r / (p + r), 6) adapted_rand_error, round(2 * p * r / (p + r), 6) rand_fscore, round(p, 6) rand_precision, round(r, 6) rand_recall,
+  from j join mp using (sample) join mg using (sample))"""
+_SUMMARY = """
+select sample, round(1 - 2 * p * r / (p + r), 6) adapted_rand_error, round(2 * p * r / (p + r), 6) rand_fscore, round({p}, 6) rand_precision, round({r}, 6) rand_recall,
   round(sp, 6) voi_split, round(me, 6) voi_merge, round(sp + me, 6) voi_sum, cast(np as bigint) n_pred, cast(ng as bigint) n_gt, cast(total as bigint) n_voxels from m
 """
+_METRICS = _TABLES + _SUMMARY.format(p="p", r="r")
 _SCORES = ["adapted_rand_error", "rand_fscore", "rand_precision", "rand_recall", "voi_split", "voi_merge", "voi_sum"]
 
 
@@ -88,6 +91,11 @@ def segmentation_metrics(vox):
     return r6(metrics.segmentation_metrics(vox), *_SCORES)
 
 
+@query(_TABLES.format(truth="label", src="vox") + _SUMMARY.format(p="r", r="p"))
+def segmentation_metrics_swapped(vox):
+    return r6(metrics.segmentation_metrics(vox, backend="skimage"), *_SCORES)
+
+
 @query("select sample, pred, label as gt, count(*) n from vox where label <> 0 group by all")
 def contingency(vox):
     return metrics.contingency(vox)
@@ -252,6 +260,17 @@ def affinity_offsets(vox):
     return stencil.offset_affinities(vox, _OFFSETS)
 
 
+_FAR = [(-1, 0, 0), (0, -3, 0), (0, 2, -2), (0, 0, -1), (5, 0, 0)]
+
+
+@query("w as (select * from (values " + ", ".join(f"({c}, {z}, {y}, {x})" for c, (z, y, x) in enumerate(_FAR)) + """) o(c, dz, dy, dx)),
+e as (select a.sample, c, a.z, a.y, a.x, case when (c = 0 and a.z = 0) or (c = 3 and a.x = 0) then a.label > 0 else coalesce(b.label = a.label and a.label > 0, false) end t,
+  a.label <> 0 and (coalesce(b.label <> 0, false) or (c = 0 and a.z = 0) or (c = 3 and a.x = 0)) v from vox a cross join w left join vox b on b.sample = a.sample and b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx)
+select sample, z, y, x, """ + ", ".join(f"cast(max(case when c = {c} then {k}::int end) as int) {k}{c}" for k in "tv" for c in range(len(_FAR))) + " from e group by 1, 2, 3, 4")
+def edge_targets(vox):
+    return blocks.edge_targets(vox, _FAR, replicate=True, ignore=0).select(*K, *(f"{k}{c}" for k in "tv" for c in range(len(_FAR))))
+
+
 @query("select sample, z, y, x, " + ", ".join(f"cast(coalesce(label <> 0 and {_back(a, 'label')} <> 0, false) as int) v{a}" for a in "zyx") + " from vox")
 def valid_mask(vox):
     return stencil.valid_edges(vox).select(*K, "vz", "vy", "vx")
@@ -310,15 +329,16 @@ def offset_valid_mask(vox):
 
 # ---- grids ---------------------------------------------------------------
 
-@query("""with t as (select * from (values (38, 16, 6), (20, 8, 5), (20, 32, 5), (7, 7, 3), (25, 10, 10)) v(dim, win, stride))
-select dim, win, stride, unnest(case when dim <= win then [0] else list_sort(list_distinct(list_append(range(0, dim - win + 1, stride), dim - win))) end) as start from t""", volume=False)
-def sliding_starts(spark, sf_dir):
-    rows = [(38, 16, 6), (20, 8, 5), (20, 32, 5), (7, 7, 3), (25, 10, 10)]
-    parts = [spark.range(1).select(F.lit(d).alias("dim"), F.lit(w).alias("win"), F.lit(s).alias("stride"), F.explode(grid.sliding_starts(F.lit(d), w, s)).alias("start")) for d, w, s in rows]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+_WINDOWS = ((8, 5), (16, 6), (64, 32), (7, 7))
+
+
+@query("t as (select sample, " + ", ".join(f"max({a}) + 1 d{a}" for a in "zyx") + " from vox group by 1), u as (" + " union all ".join(f"select sample, '{a}' as axis, d{a} as dim from t" for a in "zyx") + """),
+g as (select * from (values (8, 5), (16, 6), (64, 32), (7, 7)) v(win, stride))
+select sample, axis, dim, win, stride, unnest(case when dim <= win then [0] else list_sort(list_distinct(list_append(range(0, dim - win + 1, stride), dim - win))) end) as start from u, g""")
+def sliding_starts(vox):
+    dims = grid.extents(vox).select("sample", F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"d{a}").alias("dim")) for a in "zyx"))).alias("d")).select("sample", "d.*")
+    plans = F.array(*(F.struct(F.lit(w).alias("win"), F.lit(s).alias("stride"), grid.sliding_starts(F.col("dim"), w, s).alias("starts")) for w, s in _WINDOWS))
+    return dims.withColumn("p", F.explode(plans)).select("sample", "axis", "dim", "p.win", "p.stride", F.explode("p.starts").alias("start"))
 
 
 _CHUNK, _HALO = (8, 10, 12), (2, 3, 4)
@@ -360,10 +380,10 @@ def pad_reflect(vox):
     return grid.pad(vox, "y", 20, 26).select(*K, "raw")
 
 
-@query("""with t as (select unnest(range(0, 30)) i)
-select i as index, i % 10 as path, """ + ", ".join(f"cast(('0x' || substr(md5('7:{a}:' || i), 1, 8)) as bigint) % {m} as {a}0" for a, m in (("z", 18), ("y", 11), ("x", 5))) + " from t", volume=False)
-def crop_plan(spark, sf_dir):
-    return grid.crop_plan(spark, 10, 3, (25, 20, 20), (8, 10, 16), 7)
+@query("t as (select sample, row_number() over (order by sample) - 1 as path, count(*) over () n, " + ", ".join(f"max({a}) + 1 d{a}" for a in "zyx") + """ from vox group by 1), u as (select sample, path, k * n + path as index, dz, dy, dx from t, (select unnest(range(0, 40)) k))
+select index, path, sample, """ + ", ".join(f"cast(('0x' || substr(md5('7:{a}:' || index), 1, 8)) as bigint) % (greatest(d{a} - {m}, 0) + 1) as {a}0" for a, m in (("z", 8), ("y", 10), ("x", 16))) + " from u")
+def crop_plan(vox):
+    return grid.crop_plan(grid.extents(vox), 40, (8, 10, 16), 7)
 
 
 # ---- graphs --------------------------------------------------------------
@@ -655,34 +675,57 @@ def loss_mae(vox):
 _STEPS = "q as (select *, " + ", ".join(f"1 / (1 + exp(-8 * (a{a} - 0.5::double))) p{a}, cast(coalesce({_back(a, 'label')} = label and label > 0, false) as int)::double t{a}, cast(coalesce(label <> 0 and {_back(a, 'label')} <> 0, false) as int)::double v{a}" for a in "zyx") + " from vox), q2 as (select *, " + ", ".join(f"{_back(a, c + a)} {c}{a}0" for a in "zyx" for c in "ptv") + " from q)"
 
 
-@query(_LONG + ", " + _STEPS + """, s as (select sample, """ + ", ".join(f"sum(v{a} * v{a}0 * pow(p{a} * p{a}0 - t{a} * t{a}0, 2)) / greatest(sum(v{a} * v{a}0), 1) path{a}, sum(v{a} * v{a}0 * t{a} * t{a}0 * pow(p{a} - p{a}0, 2)) / greatest(sum(v{a} * v{a}0 * t{a} * t{a}0), 1) smooth{a}" for a in "zyx") + """ from q2 group by 1),
+_CONNECTED = _LONG + ", " + _STEPS + """, s as (select sample, """ + ", ".join(f"sum(v{a} * v{a}0 * pow(p{a} * p{a}0 - t{a} * t{a}0, 2)) / greatest(sum(v{a} * v{a}0), 1) path{a}, sum(v{a} * v{a}0 * t{a} * t{a}0 * pow(p{a} - p{a}0, 2)) / greatest(sum(v{a} * v{a}0 * t{a} * t{a}0), 1) smooth{a}" for a in "zyx") + """ from q2 group by 1),
 d as (select sample, c, avg(case when t >= 0.75 and v > 0 then l end) a, avg(case when t <= 0.25 and v > 0 then l end) b from e group by 1, 2),
 k as (select sample, coalesce(avg(ln(1 + exp(0.05 - a + b))), 0) contrast from d group by 1),
-r as (select sample, list_avg(list_filter([pathz, pathy, pathx], lambda x: x is not null)) path, list_avg(list_filter([smoothz, smoothy, smoothx], lambda x: x is not null)) smooth, contrast from s join k using (sample))
-select sample, round(path, 6) path, round(smooth, 6) smooth, round(contrast, 6) contrast, round(path + 0.15 * smooth + 0.25 * contrast, 6) loss from r""")
+r as (select sample, list_avg(list_filter([pathz, pathy, pathx], lambda x: x is not null)) path, list_avg(list_filter([smoothz, smoothy, smoothx], lambda x: x is not null)) smooth, contrast from s join k using (sample))"""
+
+
+@query(_CONNECTED + """ select sample, round(path, 6) path, round(smooth, 6) smooth, round(contrast, 6) contrast, round(path + 0.15 * smooth + 0.25 * contrast, 6) loss from r""")
 def loss_connectivity(vox):
     both = stencil.valid_edges(stencil.affinities(logits(vox)))
     return r6(losses.connectivity(both, ("lz", "ly", "lx"), ("tz", "ty", "tx"), ("vz", "vy", "vx")), "path", "smooth", "contrast", "loss")
 
 
-@query("w as (select *, " + ", ".join(f"{_N.format(a=a)} n{a}" for a in "zyx") + " from vox), f as (select *, cast(label > 0 as int)::double fg, 8 * (az - 0.5::double) l, " + ", ".join(f"case when label > 0 then abs((1 - 2 / (exp(2 * g{a}) + 1)) - least(greatest(avg(n{a}) over (partition by sample, label) - n{a}, -1), 1)) else 0 end d{a}" for a in "zyx").replace("gz", "(8 * (ay - 0.5::double))").replace("gy", "(8 * (ax - 0.5::double))").replace("gx", "(8 * (az - 0.5::double))") + """ from w),
-h as (select sample, avg(greatest(l, 0) - l * fg + ln(1 + exp(-abs(l)))) fg_loss, sum(""" + " + ".join(f"case when d{a} < 1 then 0.5 * d{a} * d{a} else d{a} - 0.5 end" for a in "zyx") + """) / (greatest(sum(fg), 1) * 3) offset_loss from f group by 1)
-select sample, round(fg_loss, 6) fg_loss, round(offset_loss, 6) offset_loss, round(0.25 * fg_loss + offset_loss, 6) loss from h""")
+_SHAPES = "w as (select *, " + ", ".join(f"{_N.format(a=a)} n{a}" for a in "zyx") + " from vox), f as (select *, cast(label > 0 as int)::double fg, 8 * (az - 0.5::double) l, " + ", ".join(f"case when label > 0 then abs((1 - 2 / (exp(2 * g{a}) + 1)) - least(greatest(avg(n{a}) over (partition by sample, label) - n{a}, -1), 1)) else 0 end d{a}" for a in "zyx").replace("gz", "(8 * (ay - 0.5::double))").replace("gy", "(8 * (ax - 0.5::double))").replace("gx", "(8 * (az - 0.5::double))") + """ from w),
+h as (select sample, avg(greatest(l, 0) - l * fg + ln(1 + exp(-abs(l)))) fg_loss, sum(""" + " + ".join(f"case when d{a} < 1 then 0.5 * d{a} * d{a} else d{a} - 0.5 end" for a in "zyx") + """) / (greatest(sum(fg), 1) * 3) offset_loss from f group by 1)"""
+
+
+@query(_SHAPES + """ select sample, round(fg_loss, 6) fg_loss, round(offset_loss, 6) offset_loss, round(0.25 * fg_loss + offset_loss, 6) loss from h""")
 def loss_lsd(vox):
     return r6(losses.shape_loss(stencil.shape_descriptors(logits(vox)), ("lz", "ly", "lx", "lz")), "fg_loss", "offset_loss", "loss")
 
 
+_EDGES = "w as (select *, " + " + ".join(_STEP.format(b=_back(a, "raw")) for a in "zyx") + " g, " + ", ".join(f"8 * (a{a} - 0.5::double) l{a}, cast(coalesce({_back(a, 'label')} = label and label > 0, false) as int)::double t{a}, cast(coalesce(label <> 0 and {_back(a, 'label')} <> 0, false) as int)::double v{a}" for a in "zyx") + """ from vox),
+w1 as (select *, 1 + 2 * least(g / greatest(avg(g) over (partition by sample), 1e-6), 5) rawer, vz + vy + vx nv from w),
+w2 as (select *, rawer / greatest(sum(rawer * nv) over (partition by sample) / greatest(sum(nv) over (partition by sample), 1), 1e-6) sp from w1),
+e as (""" + " union all ".join(f"select sample, '{a}' c, l{a} l, t{a} t, v{a} v, sp, 1 / (1 + exp(-l{a})) p from w2" for a in "zyx") + """),
+mn as (select sample, sum(v * sp * (greatest(l, 0) - l * t + ln(1 + exp(-abs(l))))) / greatest(sum(v * sp), 1) main, avg(v) valid_fraction, avg(sp) membrane_mean from e group by 1),
+dc as (select sample, avg(d) dice from (select sample, c, 1 - (2 * sum(p * v * t * v) + 1) / (sum(p * v) + sum(t * v) + 1) d from e group by 1, 2) group by 1)"""
+
+
+@query(f"""w0 as ({VOX_SQL}, {_CONNECTED} select sample, path + 0.15 * smooth + 0.25 * contrast connectivity from r), w3 as ({VOX_SQL}, {_SHAPES} select sample, fg_loss shape_fg, offset_loss shape_offset, 0.25 * fg_loss + offset_loss shape from h), {_EDGES}
+select sample, round(main, 6) main, round(dice, 6) dice, 0.0::double boundary_dice, 0.0::double rank_loss, 0.0::double calibration, round(valid_fraction, 6) valid_fraction, round(membrane_mean, 6) membrane_mean,
+  round(connectivity, 6) connectivity, round(shape_fg, 6) shape_fg, round(shape_offset, 6) shape_offset, round(shape, 6) shape, round(main + 0.4 * dice + 0.3 * connectivity + 0.5 * shape, 6) loss
+from mn join dc using (sample) join w0 using (sample) join w3 using (sample)""")
+def loss_finetune(vox):
+    out = losses.finetune_objective(logits(vox), ("lz", "ly", "lx"), ignore=0, connectivity_weight=0.3, image="raw", membrane=2.0, shape_logits=("lz", "ly", "lx", "lz"), shape_weight=0.5, dice_weight=0.4)
+    return r6(out, *(c for c in out.columns if c != "sample"))
+
+
 @query(_PAIRS + """, n as (select sample, lo, hi, count(*) n from p group by 1, 2, 3), g as (select sample, count(*) pairs, avg(n) mean_faces from n group by 1), z as (select sample, count(*) voxels, count(distinct case when pred > 0 then pred end) segments from vox group by 1)
 select sample, segments, coalesce(pairs, 0) pairs, round(coalesce(mean_faces, 0), 6) mean_faces, round(coalesce(pairs, 0) / (voxels / 1e6::double), 6) pairs_per_mvoxel from z left join g using (sample)""")
 def rag_stats(vox):
     return r6(graph.rag_stats(vox, "pred"), "mean_faces", "pairs_per_mvoxel")
 
 
-@query("""with d as (select unnest(range(1, 18)) a), h as (select a, 960 // a rest from d where 960 % a = 0), k as (select a, rest, b from h, (select unnest(range(1, 32)) b) where b * b <= rest and rest % b = 0),
-s as (select a, b, list_sort([a, b, rest // b]) s from k)
-select s[1] d, s[2] h, s[3] w from s order by (s[3] - s[2]) + 2 * (s[2] - s[1]), a, b limit 1""", volume=False)
-def factor_grid(spark, sf_dir):
-    return grid.factor_grid(spark, 960)
+@query("""n as (select sample, ((max(z) + 1) * ((max(y) + 4) // 4) * ((max(x) + 4) // 4)) patches from vox group by 1),
+d as (select sample, patches, a, patches // a rest from n, (select unnest(range(1, 1000)) a) where a < round(pow(patches, 1 / 3.0::double)) + 8 and patches % a = 0),
+k as (select sample, a, rest, b from d, (select unnest(range(1, 10000)) b) where b * b <= rest and rest % b = 0), s as (select sample, a, b, list_sort([a, b, rest // b]) s from k)
+select sample, s[1] d, s[2] h, s[3] w from s qualify row_number() over (partition by sample order by (s[3] - s[2]) + 2 * (s[2] - s[1]), a, b) = 1""")
+def factor_grid(vox):
+    patches = F.col("dz") * F.ceil(F.col("dy") / 4) * F.ceil(F.col("dx") / 4)
+    return grid.factor_grid(grid.extents(vox).withColumn("patches", patches))
 
 
 # ---- sweeps and manifests ------------------------------------------------
@@ -690,12 +733,17 @@ def factor_grid(spark, sf_dir):
 _AXES = {"threshold": [0.1, 0.25, 0.5], "seed_distance": [4, 10], "min_boundary": [1, 4], "score_mode": ["mean", "q25"]}
 
 
-@query("""with b as (select unnest(['components', 'mean_components', 'agglomeration', 'watershed']) backend)
-select backend, threshold, seed_distance, min_boundary, score_mode from b,
+@query("""t as (select sample, count(*) voxels, backend from vox, (select unnest(['components', 'mean_components', 'agglomeration', 'watershed']) backend) group by sample, backend)
+select sample, voxels, backend, threshold, seed_distance, min_boundary, score_mode from t,
 (select unnest([0.1, 0.25, 0.5])::double threshold), (select unnest([4, 10]) seed_distance), (select unnest([1, 4]) min_boundary), (select unnest(['mean', 'q25']) score_mode)
-where (seed_distance = 4 or backend = 'watershed') and (min_boundary = 1 or backend in ('agglomeration', 'watershed')) and (score_mode = 'mean' or backend in ('agglomeration', 'watershed'))""", volume=False)
-def sweep_grid(spark, sf_dir):
-    return sweep.sweep_grid(spark, _AXES)
+where (seed_distance = 4 or backend = 'watershed') and (min_boundary = 1 or backend in ('agglomeration', 'watershed')) and (score_mode = 'mean' or backend in ('agglomeration', 'watershed'))""")
+def sweep_grid(vox):
+    return sweep.sweep_grid(vox.groupBy("sample").agg(F.count(F.lit(1)).alias("voxels")), _AXES)
+
+
+@query("w as (select sample, count(*) n from vox group by 1) select sample, n from w order by sample limit 2")
+def first_samples(vox):
+    return sweep.first_samples(vox, 2).groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _records(vox):
@@ -769,15 +817,23 @@ def train_val_split(spark, sf_dir):
     return sweep.split(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey"), "n_nationkey", 0.2, "3")
 
 
-_BLOBS = [(1, 4, 6, 6, 3, 4, 4), (2, 5, 12, 10, 3, 5, 4), (3, 2, 9, 14, 2, 3, 5)]
+@query("select string_split(p_type, ' ')[1] as prefix, count(*) n from part group by 1", volume=False)
+def prefix_counts(spark, sf_dir):
+    from lamina.sources.manifest import prefix_counts as counts
+
+    return counts(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_type", " ")
+
+
+#: Ellipsoids of a supplier: six make a volume, from 0.
+_BLOB = {"num": "s_suppkey % 6 + 1", "cz": "(s_suppkey * 5 + s_nationkey) % 8", "cy": "(s_suppkey * 7 + s_nationkey) % 16", "cx": "(s_suppkey * 11 + s_nationkey * 3) % 16", "rz": "s_nationkey % 2 + 2", "ry": "s_nationkey % 3 + 3", "rx": "s_suppkey % 3 + 3"}
 
 
-@query("""with g as (select i // 256 z, (i // 16) % 16 y, i % 16 x from range(0, 2048) t(i)),
-b as (select * from (values (1, 4, 6, 6, 3, 4, 4), (2, 5, 12, 10, 3, 5, 4), (3, 2, 9, 14, 2, 3, 5)) v(num, cz, cy, cx, rz, ry, rx)),
-f as (select z, y, x, num, pow((z - cz) / rz::double, 2) + pow((y - cy) / ry::double, 2) + pow((x - cx) / rx::double, 2) far from g, b)
-select z, y, x, cast(coalesce(max(case when far < 1 then num end), 0) as bigint) "label", round(least(greatest(0.15 + 0.75 * max(exp(-2.5 * far)), 0), 1), 6) raw from f group by 1, 2, 3""", volume=False)
+@query("with b as (select s_suppkey // 6 as sample, " + ", ".join(f"{e} as {n}" for n, e in _BLOB.items()) + """ from supplier), g as (select i // 256 z, (i // 16) % 16 y, i % 16 x from range(0, 2048) t(i)),
+f as (select sample, z, y, x, num, pow((z - cz) / rz::double, 2) + pow((y - cy) / ry::double, 2) + pow((x - cx) / rx::double, 2) far from b, g)
+select sample, z, y, x, cast(coalesce(max(case when far < 1 then num end), 0) as bigint) "label", round(least(greatest(0.15 + 0.75 * max(exp(-2.5 * far)), 0), 1), 6) raw from f group by 1, 2, 3, 4""", volume=False)
 def synthetic_em(spark, sf_dir):
-    return r6(synthetic_volume(spark, (8, 16, 16), _BLOBS), "raw")
+    blobs = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey div 6 sample", *(f"{e} {n}" for n, e in _BLOB.items()))
+    return r6(synthetic_volumes(blobs, (8, 16, 16)), "raw")
 
 
 # ---- new grids, drawn edges, stored crops ----------------------------------

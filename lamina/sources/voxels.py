@@ -47,17 +47,18 @@ def demo_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_CHANNELS.format(div="div", src="{src}"), src=src)
 
 
-def synthetic_volume(spark: SparkSession, shape: tuple[int, int, int], blobs: list[tuple[float, ...]]) -> DataFrame:
-    """A volume of ellipsoids, without noise.
+def synthetic_volumes(blobs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """(sample, z, y, x, label, raw): volumes of ellipsoids, without noise.
 
-    ``blobs``: (number, cz, cy, cx, rz, ry, rx); a later number covers an
-    earlier one, and brightness falls off from the nearest centre.  Blobs are
-    few, so each voxel meets all of them (a broadcast nested loop).
+    ``blobs``: (sample, num, cz, cy, cx, rz, ry, rx); a greater number covers a
+    smaller one, and brightness falls off from the nearest centre.  Blobs go to the planes
+    of their volume, and a plane's voxels are made and summed up where it lies, so
+    that voxels are never shuffled.
     """
     d, h, w = shape
-    grid = spark.range(d * h * w).selectExpr(f"id div {h * w} z", f"(id div {w}) % {h} y", f"id % {w} x")
-    table = spark.createDataFrame([tuple(map(float, b)) for b in blobs], "num double, cz double, cy double, cx double, rz double, ry double, rx double")
-    far = sum((((F.col(a) - F.col(f"c{a}")) / F.col(f"r{a}")) ** 2 for a in "zyx"), F.lit(0.0))
-    seen = grid.crossJoin(F.broadcast(table)).withColumn("far", far)
-    agg = seen.groupBy("z", "y", "x").agg(F.max(F.when(F.col("far") < 1, F.col("num"))).alias("top"), F.max(F.exp(-2.5 * F.col("far"))).alias("glow"))
-    return agg.select("z", "y", "x", F.coalesce(F.col("top"), F.lit(0)).cast("bigint").alias("label"), F.least(F.greatest(0.15 + 0.75 * F.col("glow"), F.lit(0.0)), F.lit(1.0)).alias("raw"))
+    planes = blobs.withColumn("z", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(d - 1).cast("bigint")))).repartition("sample", "z")
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(h * w - 1).cast("bigint"))
+    each = planes.withColumn("__i", F.explode(places)).withColumns({"y": F.expr(f"__i div {w}"), "x": F.col("__i") % w})
+    far = sum((F.pow((F.col(a) - F.col(f"c{a}")) / F.col(f"r{a}"), F.lit(2.0)) for a in "zyx"), F.lit(0.0))
+    agg = each.withColumn("far", far).groupBy(*KEYS).agg(F.max(F.when(F.col("far") < 1, F.col("num"))).alias("top"), F.max(F.exp(-2.5 * F.col("far"))).alias("glow"))
+    return agg.select(*KEYS, F.coalesce(F.col("top"), F.lit(0)).cast("bigint").alias("label"), F.least(F.greatest(0.15 + 0.75 * F.col("glow"), F.lit(0.0)), F.lit(1.0)).alias("raw"))
