@@ -11,6 +11,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql.datasource import WriterCommitMessage
 
@@ -67,6 +68,38 @@ def abort(uri: str, messages: list[Written | None]) -> None:
                     pass
 
 
+def integers(file, at: int, n: int) -> np.ndarray:
+    """``n`` little-endian 64-bit integers of an open file, from the ``at``-th on."""
+    raw = file.read_at(8 * n, 8 * at)
+    if len(raw) != 8 * n:
+        raise OSError("a short read")
+    return np.frombuffer(raw, "<i8")
+
+
+def records_between(file, start: int, end: int, width: int = 2, page: int = 4096) -> np.ndarray:
+    """Records of ``width`` integers, sorted by their first, for which that is in [start, end).
+
+    The first of them is sought by halves down to a page, and pages are read until one
+    goes beyond ``end``; so what is read follows the number of records found, not the file.
+    """
+    low, high = 0, file.size() // (8 * width)
+    many = high
+    while high - low > page:
+        middle = (low + high) // 2
+        if integers(file, middle * width, 1)[0] < start:
+            low = middle + 1
+        else:
+            high = middle
+    found = []
+    while low < many:
+        rows = integers(file, low * width, min(page, many - low) * width).reshape(-1, width)
+        found.append(rows[(rows[:, 0] >= start) & (rows[:, 0] < end)])
+        if rows[-1, 0] >= end:
+            break
+        low += len(rows)
+    return np.concatenate(found) if found else np.zeros((0, width), np.int64)
+
+
 def manifest(uri: str) -> dict:
     store, path = open_store(uri)
     with store.open_input_stream(f"{path}/{MANIFEST}") as f:

@@ -157,9 +157,8 @@ class _ArchiveReader(DataSourceReader):
         if not partition.name:
             return
         store, path = files.open_store(self.uri)
-        with store.open_input_stream(f"{path}/{partition.name}.index", compression=None) as f:
-            index = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
-        mine = index[(index[:, 0] >= partition.start) & (index[:, 0] < partition.end)]
+        with store.open_input_file(f"{path}/{partition.name}.index") as f:
+            mine = files.records_between(f, partition.start, partition.end)
         data = f"{path}/{partition.name}.data"
         with store.open_input_file(data) as stream:
             rows, held = [], 0

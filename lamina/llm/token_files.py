@@ -164,8 +164,9 @@ class _TokenWriter(DataSourceArrowWriter):
         total += len(rest)
         keys, nulls, sizes = (np.concatenate(x) for x in (keys, nulls, sizes))
         blocks = np.arange(0, total, BLOCK) // 64 * bits * 8
+        starts = np.concatenate([[0], np.cumsum(sizes)])
         with store.open_output_stream(f"{path}/{name}.index", compression=None) as f:
-            for x in ([bits, BLOCK, len(keys), len(blocks), total], nulls, keys, sizes, blocks):
+            for x in ([bits, BLOCK, len(keys), len(blocks), total], nulls, keys, starts, blocks):
                 f.write(np.asarray(x).astype("<i8").tobytes())
         return files.Written(part, name, {"docs": len(keys), "ids": total})
 
@@ -185,27 +186,34 @@ class DocRange(InputPartition):
 
 
 class TokenFile:
-    """Random access to one file: ids of any document or of any run."""
+    """Random access to one file: ids of documents [first, last) or of any run of ids.
 
-    def __init__(self, uri: str, name: str):
+    ``keys``, ``null`` and ``starts`` (one more, so the end of the last) are of these
+    documents; only their part of the index is read, all of it if ``last`` is None.
+    """
+
+    def __init__(self, uri: str, name: str, first: int = 0, last: int | None = None):
         self.store, path = files.open_store(uri)
-        self.data = f"{path}/{name}.data"
-        with self.store.open_input_stream(f"{path}/{name}.index", compression=None) as f:
-            raw = np.frombuffer(f.read(), "<i8")
-        self.bits, self.block, docs, blocks, self.total = raw[:5].tolist()
-        self.null, self.keys, self.sizes = raw[5 : 5 + 3 * docs].reshape(3, docs)
-        self.places = raw[5 + 3 * docs : 5 + 3 * docs + blocks]
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.file = self.store.open_input_file(self.data)
+        self.index = self.store.open_input_file(f"{path}/{name}.index")
+        self.bits, self.block, self.docs, self.blocks, self.total = files.integers(self.index, 0, 5).tolist()
+        last = self.docs if last is None else last
+        self.null, self.keys = (files.integers(self.index, 5 + k * self.docs + first, last - first) for k in range(2))
+        self.starts = files.integers(self.index, 5 + 2 * self.docs + first, last - first + 1)
+        self.file = self.store.open_input_file(f"{path}/{name}.data")
 
     def ids(self, start: int, end: int) -> np.ndarray:
         if end <= start:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
-        at = int(self.places[first])
-        stop = int(self.places[last + 1]) if last + 1 < len(self.places) else self.file.size()
+        wanted = min(last + 2, self.blocks) - first
+        places = files.integers(self.index, 6 + 3 * self.docs + first, wanted)
+        at, stop = int(places[0]), int(places[-1]) if last + 1 < self.blocks else self.file.size()
         return unpack(self.file.read_at(stop - at, at), self.bits, end - first * self.block)[start - first * self.block :]
 
+    def close(self) -> None:
+        self.index.close()
+        self.file.close()
+
 
 class _TokenReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -218,11 +226,11 @@ class _TokenReader(DataSourceReader):
     def read(self, partition: DocRange) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
-        file = TokenFile(self.uri, partition.name)
-        first = partition.first
-        while first < partition.last:  # a few blocks at a time, one document at least
+        file = TokenFile(self.uri, partition.name, partition.first, partition.last)
+        first, many = 0, partition.last - partition.first
+        while first < many:  # a few blocks at a time, one document at least
             last = int(np.searchsorted(file.starts, file.starts[first] + 64 * BLOCK, "right")) - 1
-            last = min(max(last, first + 1), partition.last)
+            last = min(max(last, first + 1), many)
             low = int(file.starts[first])
             ids = file.ids(low, int(file.starts[last]))
             cut = (file.starts[first : last + 1] - low).tolist()
@@ -230,6 +238,7 @@ class _TokenReader(DataSourceReader):
             starts = pa.array(file.starts[first:last] + partition.base, pa.int64())
             yield pa.RecordBatch.from_arrays([keys, starts, pa.array([ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "start", "ids"])
             first = last
+        file.close()
 
 
 class TokenFiles(DataSource):
@@ -259,10 +268,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     rows.select("doc_id", "ids").write.format("lamina_tokens").option("vocabulary", vocabulary).option("size", size).mode("append").save(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, **options) -> DataFrame:
     """(doc_id, start, ids): ids as little-endian unsigned 32-bit integers."""
     spark.dataSource.register(TokenFiles)
-    return spark.read.format("lamina_tokens").load(path)
+    return spark.read.format("lamina_tokens").options(**options).load(path)
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:

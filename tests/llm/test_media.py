@@ -74,3 +74,39 @@ def test_members_are_tried_anew_alone(tmp_path):
     Flaky.opened = -99
     with pytest.raises(OSError):
         reader._member(Flaky(), str(tmp_path / "a.data"), 512, len(head) + len(png))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=60), st.integers(-2, 45), st.integers(0, 20), st.integers(1, 9))
+def test_slices_of_a_sorted_index(keys, start, length, page):
+    import io
+    import struct
+
+    class Held(io.BytesIO):
+        read_bytes = 0
+
+        def size(self):
+            return len(self.getvalue())
+
+        def read_at(self, n, at):
+            Held.read_bytes += n
+            return self.getvalue()[at : at + n]
+
+    keys = sorted(keys)
+    held = Held(b"".join(struct.pack("<qq", k, i) for i, k in enumerate(keys)))
+    got = files.records_between(held, start, start + length, page=page).tolist()
+    assert got == [[k, i] for i, k in enumerate(keys) if start <= k < start + length]
+    with pytest.raises(OSError):
+        files.integers(held, 2 * len(keys), 1)
+
+
+def test_a_range_reads_its_part_of_the_index(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    (tmp_path / "i").write_bytes(np.column_stack([np.arange(200_000) * 1536, np.full(200_000, 1500)]).astype("<i8").tobytes())
+    read = []
+    whole = files.integers
+    monkeypatch.setattr(files, "integers", lambda f, at, n: read.append(n) or whole(f, at, n))
+    with files.open_store(str(tmp_path))[0].open_input_file(str(tmp_path / "i")) as f:
+        assert len(files.records_between(f, 16 << 20, 32 << 20)) == -(-(32 << 20) // 1536) - -(-(16 << 20) // 1536)
+    assert sum(read) < 2 * 4 * 4096 + 100

@@ -139,3 +139,17 @@ def test_bins_hold_every_piece_once(counts):
     if counts:  # never worse than twice the volume, the bound of any fit that leaves no two half-empty bins
         volume = sum(s * n for s, n in counts.items())
         assert sum(t for _, t in bins) <= 2 * -(-volume // 40)
+
+
+@pytest.mark.parametrize("split", [1, 3, 1000])
+def test_token_files_read_by_any_split(spark, odd, split):
+    path = scratch_path(spark, "test")
+    write_tokens(odd, path, BYTES, 2)
+    whole = sorted(map(tuple, token_digest(read_tokens(spark, path)).collect()), key=str)
+    assert sorted(map(tuple, token_digest(read_tokens(spark, path, splitDocs=split)).collect()), key=str) == whole
+    for f in files.manifest(path)["files"]:
+        every = TokenFile(path, f["name"])
+        for first in range(every.docs):
+            one = TokenFile(path, f["name"], first, first + 1)
+            assert (one.keys[0], one.null[0]) == (every.keys[first], every.null[first])
+            assert one.ids(*one.starts.tolist()).tolist() == every.ids(*every.starts[first : first + 2].tolist()).tolist()
