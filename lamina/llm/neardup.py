@@ -13,6 +13,10 @@ prefix-filter join.  So a bucket of thousands of near copies costs a few
 comparisons each, and no pair that shares a bucket is left unless one component
 holds both already or the filter proves the two unlike.
 
+Joins by bucket or by shingle are salted: what was aggregated for a key goes to
+those of its 64 salts that occur, and a shingle in many prefixes meets itself in
+cells of a bounded number of rows, so a hot key is no task's work alone.
+
 Defined results: a document without words has an empty set and is its own
 component; rows with a null id are never linked (component null, kept true);
 repeated rows share a class; texts of any length are shingled whole; an empty table
@@ -116,8 +120,12 @@ def _hashed(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
+#: Rows that a task remembers as seen, about 15 MB; what comes again later goes in the shuffle.
+REMEMBERED = 100_000
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, digest, items) of each row; of rows repeated within a task, once."""
+    """(id, digest, items) of each row; of rows repeated close together, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = Shingler(words), set()
@@ -126,6 +134,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = cut(t.as_py() or "").tobytes()
                 key = i, hashlib.blake2b(s, digest_size=16).digest()
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 if key not in seen:
                     seen.add(key)
                     rows.append((*key, s))
@@ -135,6 +145,39 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, digest binary, items binary")
 
 
+#: Leaders that a bucket's members meet in a turn, and turns before the exact join of what is left.
+LEADERS, TURNS = 6, 2
+
+
+#: Parts of a hot key in a join: as many as a 64-bit mask has bits.
+SALTS = 64
+#: Members from which a bucket is split, and rows of a shingle's cell in the join of prefixes.
+SPLIT, CELL = 512, 1024
+
+
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _mask(salt):
+    """Aggregate: the salts that occur, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), salt)).alias("mask")
+
+
+def _each_salt():
+    """A row for each salt of the mask: never more than the key has rows."""
+    bits = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return F.explode(F.filter(bits, lambda i: F.call_function("getbit", F.col("mask"), i) == 1)).alias("salt")
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, name: str) -> DataFrame:
+    """Adds the set of ``end``; a document in many pairs, as a leader is, is sent to its salts."""
+    hot = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("c"), _mask(_salt(other))).where(F.col("c") > SPLIT).select(end, _each_salt())
+    spread = pairs.withColumn("salt", _salt(other)).join(hot.withColumn("hot", F.lit(True)), [end, "salt"], "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(0)).drop("hot")
+    sent = sets.select(F.col("id").alias(end), F.col("items").alias(name)).join(hot, end, "left").withColumn("salt", F.coalesce("salt", F.lit(0)))
+    return spread.join(sent, [end, "salt"]).drop("salt")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(p, q) of the pairs (a, b, p, q) whose full sets are ``percent`` % alike."""
 
@@ -149,13 +192,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(every) - both))
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("q")], ["p", "q"]).filter(pa.array(keep, pa.bool_()))
 
-    x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("p", "q", "x", "y").mapInArrow(run, "p bigint, q bigint").distinct()
-
-
-#: Leaders that a bucket's members meet in a turn, and turns before the exact join of what is left.
-LEADERS, TURNS = 6, 2
+    pairs = _with_set(_with_set(stored(pairs, "pairs"), sets, "b", "a", "y"), sets, "a", "b", "x")
+    return pairs.select("p", "q", "x", "y").mapInArrow(run, "p bigint, q bigint").distinct()
 
 
 def _alike(n, m, percent: int):
@@ -170,8 +208,8 @@ def _with_leaders(now: DataFrame, turn: int, percent: int) -> DataFrame:
     their members share their leaders too, and a pair is met once.
     """
     leaders = [F.min(F.struct(F.xxhash64("id", F.lit(turn * LEADERS + j)), "id", "n", "part")).alias(f"l{j}") for j in range(LEADERS)]
-    leads = now.groupBy("key").agg(*leaders).select("key", F.array_distinct(F.array(*(F.struct(f"l{j}.id", f"l{j}.n", f"l{j}.part") for j in range(LEADERS)))).alias("leads"))
-    both = now.join(leads, "key").select("id", "part", F.explode(F.filter("leads", lambda x: (x["part"] != F.col("part")) & _alike(x["n"], F.col("n"), percent))).alias("x"))
+    leads = now.groupBy("key").agg(_mask(F.col("salt")), *leaders).select("key", _each_salt(), F.array_distinct(F.array(*(F.struct(f"l{j}.id", f"l{j}.n", f"l{j}.part") for j in range(LEADERS)))).alias("leads"))
+    both = now.join(leads, ["key", "salt"]).select("id", "part", F.explode(F.filter("leads", lambda x: (x["part"] != F.col("part")) & _alike(x["n"], F.col("n"), percent))).alias("x"))
     return _pairs(both, F.col("x.id"), F.col("x.part"))
 
 
@@ -193,14 +231,17 @@ def _by_prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     those = sets.join(left.select("id"), "id", "left_semi").select("id", F.xxhash64("digest").alias("which"), "items")
     each = those.mapInArrow(items, "id bigint, which bigint, items array<bigint>").select("id", "which", F.explode("items").alias("item"))
     each = stored(each, "items")
-    often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ordered = each.join(often, "item", "left").groupBy("id", "which").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "item"))).alias("items"))
+    each = each.withColumn("salt", _salt("id", "which"))
+    often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often"), _mask(F.col("salt"))).where("often > 1").select("item", "often", _each_salt())
+    ordered = each.join(often, ["item", "salt"], "left").groupBy("id", "which").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "item"))).alias("items"))
     length = (F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).cast("int")
     first = ordered.withColumn("n", F.size("items").cast("bigint")).join(left, "id").select("id", "n", "part", F.posexplode(F.slice("items", F.lit(1), length)).alias("at", "x"))
-    first = first.where("x.often > 1").select("id", "n", "part", (F.col("at") + 1).alias("at"), F.col("x.item").alias("item"))
-    other = first.select("item", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("at").alias("at2"))
+    # An item of many sets is cut into g x g cells: each row goes to the g cells of its side.
+    first = first.where("x.often > 1").select("id", "n", "part", (F.col("at") + 1).alias("at"), F.col("x.item").alias("item"), F.expr(f"1 + x.often div {CELL}").alias("g"))
+    first = first.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("g"))).withColumn("yours", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)))
+    other = first.select("item", F.col("yours").alias("mine"), F.col("mine").alias("yours"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("at").alias("at2"))
     enough = (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
-    both = first.join(other, "item").where((F.col("part") < F.col("part2")) & _alike(F.col("n"), F.col("n2"), percent) & enough)
+    both = first.join(other, ["item", "mine", "yours"]).where((F.col("part") < F.col("part2")) & _alike(F.col("n"), F.col("n2"), percent) & enough)
     return _pairs(both, F.col("id2"), F.col("part2"))
 
 
@@ -216,9 +257,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
-    members = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    buckets = stored(members.join(shared, "key"), "buckets")  # (key, id, n, c) of buckets with two members at least
+    members = classes.select("id", "n", F.explode("bands").alias("key"), _salt("id").alias("salt"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), _mask(F.col("salt"))).where("c > 1").select("key", "c", _each_salt())
+    # (key, salt, id, n, c) of buckets with two members at least; from here only large ones have more than one salt
+    buckets = members.join(shared, ["key", "salt"]).withColumn("salt", F.when(F.col("c") > SPLIT, F.col("salt")).otherwise(0))
+    buckets = stored(buckets, "buckets")
 
     ids = buckets.select("id").distinct()
     wanted = classes.join(ids, "id", "left_semi").select("id", "digest")
@@ -239,8 +282,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             places = stored(places.join(roots, "part", "left").select("id", F.coalesce("component", "part").alias("part")), "places")
         if turn < TURNS:  # what goes on: buckets of three members or more, in several components
             now = buckets.where("c > 2").join(places, "id")
-            spread = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-            now = stored(now.join(spread.select("key"), "key", "left_semi"), "open")
+            spread = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), _mask(F.col("salt"))).where("lo < hi")
+            now = stored(now.join(spread.select("key", _each_salt()), ["key", "salt"], "left_semi"), "open")
             if now.isEmpty():
                 break
 

@@ -76,6 +76,24 @@ def test_prefix_join_on_repeated_rows_and_ids(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in both.collect()} == {i: i - i % 10 for i, _ in two}
 
 
+def test_hot_keys_are_split_without_loss(spark, monkeypatch):
+    """With every key hot, in either way of linking, the links are those of all pairs."""
+    rng = random.Random(11)
+    docs = []
+    for g in range(4):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(30):
+            docs.append((len(docs), " ".join(w if rng.random() > 0.06 else f"e{rng.random()}" for w in words)))
+    df = spark.createDataFrame(rows(docs), SCHEMA)
+    want = brute(docs, 2)
+    assert len({c for _, c in want.values()}) < len(docs)
+    monkeypatch.setattr(neardup, "SPLIT", 1)
+    monkeypatch.setattr(neardup, "CELL", 2)
+    for turns in (2, 0):
+        monkeypatch.setattr(neardup, "TURNS", turns)
+        assert got(near_duplicates(df, words=2)) == want
+
+
 def test_odd_rows(spark, odd, odd_texts):
     out = near_duplicates(odd, words=2)
     assert out.count() == len(odd_texts)
