@@ -170,12 +170,25 @@ def _each_salt():
     return F.explode(F.filter(bits, lambda i: F.call_function("getbit", F.col("mask"), i) == 1)).alias("salt")
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, name: str) -> DataFrame:
-    """Adds the set of ``end``; a document in many pairs, as a leader is, is sent to its salts."""
-    hot = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("c"), _mask(_salt(other))).where(F.col("c") > SPLIT).select(end, _each_salt())
-    spread = pairs.withColumn("salt", _salt(other)).join(hot.withColumn("hot", F.lit(True)), [end, "salt"], "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(0)).drop("hot")
-    sent = sets.select(F.col("id").alias(end), F.col("items").alias(name)).join(hot, end, "left").withColumn("salt", F.coalesce("salt", F.lit(0)))
-    return spread.join(sent, [end, "salt"]).drop("salt")
+def _dealt(pairs: DataFrame, end: str, other: str) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs with a salt for ``end``, and the salts of each document in many pairs, as a leader is; None if there is none."""
+    salt = f"salt_{end}"
+    hot = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("c"), _mask(_salt(other))).where(F.col("c") > SPLIT)
+    hot = stored(hot.select(end, _each_salt().alias(salt)), "hot")
+    if hot.isEmpty():
+        return pairs.withColumn(salt, F.lit(0)), None
+    found = pairs.withColumn(salt, _salt(other)).join(hot.withColumn("hot", F.lit(True)), [end, salt], "left")
+    return found.withColumn(salt, F.when(F.col("hot"), F.col(salt)).otherwise(-1)).drop("hot"), hot
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, hot: DataFrame | None, name: str) -> DataFrame:
+    """Adds the set of ``end``; that of a document in many pairs goes to its salts, any other to one place."""
+    named = sets.select(F.col("id").alias(end), F.col("items").alias(name))
+    if hot is None:
+        return pairs.join(named, end)
+    salt = f"salt_{end}"
+    sent = named.withColumn(salt, F.lit(-1)).unionByName(named.join(hot, end))
+    return pairs.join(sent, [end, salt])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +205,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(every) - both))
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("q")], ["p", "q"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = _with_set(_with_set(stored(pairs, "pairs"), sets, "b", "a", "y"), sets, "a", "b", "x")
+    pairs, hot_a = _dealt(stored(pairs, "pairs"), "a", "b")
+    pairs, hot_b = _dealt(pairs, "b", "a")
+    pairs = _with_set(_with_set(pairs, sets, "b", hot_b, "y"), sets, "a", hot_a, "x")
     return pairs.select("p", "q", "x", "y").mapInArrow(run, "p bigint, q bigint").distinct()
 
 
@@ -257,10 +272,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
-    members = classes.select("id", "n", F.explode("bands").alias("key"), _salt("id").alias("salt"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), _mask(F.col("salt"))).where("c > 1").select("key", "c", _each_salt())
+    members = classes.select("id", "n", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), _mask(_salt("id"))).where("c > 1").select("key", "c", _each_salt())
     # (key, salt, id, n, c) of buckets with two members at least; from here only large ones have more than one salt
-    buckets = members.join(shared, ["key", "salt"]).withColumn("salt", F.when(F.col("c") > SPLIT, F.col("salt")).otherwise(0))
+    buckets = members.join(shared.withColumnRenamed("key", "held"), (F.col("key") == F.col("held")) & (_salt("id") == F.col("salt")))
+    buckets = buckets.select("key", F.when(F.col("c") > SPLIT, F.col("salt")).otherwise(0).alias("salt"), "id", "n", "c")
     buckets = stored(buckets, "buckets")
 
     ids = buckets.select("id").distinct()
