@@ -170,25 +170,27 @@ def _each_salt():
     return F.explode(F.filter(bits, lambda i: F.call_function("getbit", F.col("mask"), i) == 1)).alias("salt")
 
 
-def _dealt(pairs: DataFrame, end: str, other: str) -> tuple[DataFrame, DataFrame | None]:
-    """The pairs with a salt for ``end``, and the salts of each document in many pairs, as a leader is; None if there is none."""
-    salt = f"salt_{end}"
-    hot = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("c"), _mask(_salt(other))).where(F.col("c") > SPLIT)
-    hot = stored(hot.select(end, _each_salt().alias(salt)), "hot")
-    if hot.isEmpty():
-        return pairs.withColumn(salt, F.lit(0)), None
-    found = pairs.withColumn(salt, _salt(other)).join(hot.withColumn("hot", F.lit(True)), [end, salt], "left")
-    return found.withColumn(salt, F.when(F.col("hot"), F.col(salt)).otherwise(-1)).drop("hot"), hot
-
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds both sets, x of a and y of b, to the pairs.
 
-def _with_set(pairs: DataFrame, sets: DataFrame, end: str, hot: DataFrame | None, name: str) -> DataFrame:
-    """Adds the set of ``end``; that of a document in many pairs goes to its salts, any other to one place."""
-    named = sets.select(F.col("id").alias(end), F.col("items").alias(name))
-    if hot is None:
-        return pairs.join(named, end)
-    salt = f"salt_{end}"
-    sent = named.withColumn(salt, F.lit(-1)).unionByName(named.join(hot, end))
-    return pairs.join(sent, [end, salt])
+    The set of a document in many pairs, as a leader is, goes to its salts, any other
+    to one place.  Both ends are joined with the same table, so it is shuffled once.
+    """
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    hot = ends.groupBy("id").agg(F.count(F.lit(1)).alias("c"), _mask(_salt("other"))).where(F.col("c") > SPLIT)
+    hot = stored(hot.select("id", _each_salt()), "hot")
+    if hot.isEmpty():
+        sent = sets.select("id", F.lit(-1).alias("salt"), "items")
+    else:
+        sent = sets.select("id", F.lit(-1).alias("salt"), "items").unionByName(sets.join(hot, "id").select("id", "salt", "items"))
+    for end, other in (("a", "b"), ("b", "a")):
+        mine = hot.select(F.col("id").alias(end), F.col("salt").alias(f"salt_{end}"), F.lit(True).alias("hot"))
+        pairs = pairs.withColumn(f"salt_{end}", _salt(other)).join(mine, [end, f"salt_{end}"], "left")
+        pairs = pairs.withColumn(f"salt_{end}", F.when(F.col("hot"), F.col(f"salt_{end}")).otherwise(-1)).drop("hot")
+    for end, name in (("b", "y"), ("a", "x")):
+        pairs = pairs.join(sent.select(F.col("id").alias(end), F.col("salt").alias(f"salt_{end}"), F.col("items").alias(name)), [end, f"salt_{end}"])
+    return pairs.select("p", "q", "x", "y")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,10 +207,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(every) - both))
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("q")], ["p", "q"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs, hot_a = _dealt(stored(pairs, "pairs"), "a", "b")
-    pairs, hot_b = _dealt(pairs, "b", "a")
-    pairs = _with_set(_with_set(pairs, sets, "b", hot_b, "y"), sets, "a", hot_a, "x")
-    return pairs.select("p", "q", "x", "y").mapInArrow(run, "p bigint, q bigint").distinct()
+    return _with_sets(pairs, sets).mapInArrow(run, "p bigint, q bigint").distinct()
 
 
 def _alike(n, m, percent: int):
