@@ -1,10 +1,12 @@
 """Connected components of an edge table, by contraction.
 
-Each round every vertex hooks onto its least neighbour, a pointer jump shortens
-the chains, and the edges are rewritten between the roots.  Edges inside
-a root vanish, so a round works on what is left.  Vertices are aggregated with
-map-side partial results and joined by shuffles that AQE may split; no vertex's
-edges are gathered in one row, however many it has.
+Each round every vertex hooks onto its least neighbour, pointer jumps bring all
+vertices of a tree to its root, and the edges are rewritten between the roots.  Edges
+inside a root vanish, so a round works on what is left.  A root that still has an edge
+has others hooked onto it, so a round leaves half the vertices at most, and a tree of
+depth d takes log2(d) jumps: long chains take few rounds, whatever the order of their ids.
+Vertices are aggregated with map-side partial results and joined by shuffles that AQE
+may split; no vertex's edges are gathered in one row, however many it has.
 """
 
 from __future__ import annotations
@@ -28,9 +30,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     hooks: list[DataFrame] = []
     while not hooks or not todo.isEmpty():
         both = todo.select(*k, F.col("dst").alias("id"), F.col("src").alias("to")).union(todo.select(*k, F.col("src").alias("id"), F.col("dst").alias("to")))
-        hook = both.groupBy(*k, "id").agg(F.min("to").alias("to")).select(*k, "id", F.least("id", "to").alias("root"))
-        up = hook.select(*k, F.col("id").alias("root"), F.col("root").alias("up"))
-        hook = cut(hook.join(up, [*k, "root"], "left").select(*k, "id", F.coalesce("up", "root").alias("root")))
+        hook = _to_roots(cut(both.groupBy(*k, "id").agg(F.min("to").alias("to")).select(*k, "id", F.least("id", "to").alias("root"))), k)
         hooks.append(hook)
         a = hook.select(*k, F.col("id").alias("src"), F.col("root").alias("a"))
         b = hook.select(*k, F.col("id").alias("dst"), F.col("root").alias("b"))
@@ -38,10 +38,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
         left = cut(moved.select(*k, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         release(todo)
         todo = left
-    done = hooks[0].withColumnRenamed("root", "component")
-    for hook in hooks[1:]:
-        up = hook.select(*k, F.col("id").alias("component"), F.col("root").alias("up"))
-        done = done.join(up, [*k, "component"], "left").select(*k, "id", F.coalesce("up", "component").alias("component"))
-    out = cut(done)
+    done = hooks[-1].select(*k, "id", "root")
+    for hook in reversed(hooks[:-1]):  # later rounds are smaller
+        up = done.select(*k, F.col("id").alias("root"), F.col("root").alias("up"))
+        done = hook.join(up, [*k, "root"], "left").select(*k, "id", F.coalesce("up", "root").alias("root"))
+    out = cut(done.withColumnRenamed("root", "component"))
     release(todo, *hooks)
     return out
+
+
+def _to_roots(hook: DataFrame, k: list[str]) -> DataFrame:
+    """Pointers (keys, id, root) led on until each root is its own; every jump doubles their reach."""
+    while True:
+        up = hook.select(*k, F.col("id").alias("root"), F.col("root").alias("up"))
+        further = cut(hook.join(up, [*k, "root"]).select(*k, "id", F.col("up").alias("root"), (F.col("up") < F.col("root")).alias("moved")))
+        release(hook)
+        hook = further
+        if hook.where("moved").isEmpty():
+            return hook

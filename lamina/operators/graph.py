@@ -127,8 +127,8 @@ def pair_targets(pairs: DataFrame, majority: DataFrame, least: float = 0.5) -> D
 def merge_segments(vox: DataFrame, segment: str, joins: DataFrame, out: str) -> DataFrame:
     """Segments that ``joins`` (sample, lo, hi) links become one, then relabelled."""
     roots = connected_components(joins, "lo", "hi", keys=("sample",)).withColumnRenamed("id", segment)
-    merged = vox.join(roots, ["sample", segment], "left").withColumn("__root", F.coalesce("component", segment)).drop("component")
-    return relabel(merged, "__root", out).drop("__root")
+    ids = vox.select("sample", segment).distinct().join(roots, ["sample", segment], "left").select("sample", segment, F.coalesce("component", segment).alias("__root"))
+    return vox.join(relabel(ids, "__root", out).drop("__root"), ["sample", segment])
 
 
 def select_pairs(pairs: DataFrame, threshold: dict[int, float], min_boundary: int = 1, mode: str = "mean", quantile: float = 0.25) -> DataFrame:

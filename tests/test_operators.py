@@ -48,6 +48,18 @@ def test_components_equal_union_find(spark):
     assert connected_components(none, keys=("k",)).collect() == []
 
 
+def test_components_of_chains_take_few_tables(spark, monkeypatch):
+    from lamina.operators import components
+
+    made = []
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: made.append(0) or cut(df))
+    up = spark.range(600).selectExpr("'up' k", "id src", "id + 1 dst")
+    zigzag = spark.range(600).selectExpr("'zigzag' k", "(id * 7) % 601 src", "((id + 1) * 7) % 601 dst")
+    got = connected_components(up.unionAll(zigzag), keys=("k",))
+    assert {r["component"] for r in got.collect()} == {0} and got.count() == 2 * 601
+    assert len(made) < 40
+
+
 def test_metrics_of_equal_permuted_and_empty(spark):
     vox = demo_voxels(spark, SF)
     same = metrics.segmentation_metrics(vox.withColumn("pred", F.col("label") * 7 + 1)).collect()
