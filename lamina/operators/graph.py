@@ -76,17 +76,26 @@ def boundary_pairs(vox: DataFrame, segment: str, cols: tuple[str, str, str] = ("
     return reduce(DataFrame.unionAll, sets)
 
 
+def exact_mean(w: Column) -> Column:
+    """The mean of values of moderate size by a sum that is rounded once, so that it doesn't depend on the rows' order.
+
+    Multiples of 2^-26 and what is left of each value are summed up apart, both without rounding.
+    """
+    high = F.floor(w * 2.0**26) / 2.0**26
+    return (F.sum(high) + F.sum(w - high)) / F.count(w)
+
+
 QUANTILES = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def pair_scores(pairs: DataFrame, mode: str, quantile: float = 0.25, by: tuple[str, ...] = ("sample", "lo", "hi")) -> DataFrame:
-    """(by, score, n): a pair's faces as one number; quantiles are exact, found from counts."""
+    """(by, score, n): a pair's faces as one number; means are summed exactly, quantiles found from counts."""
     level = quantile if mode == "quantile" else QUANTILES.get(mode)
     if level is None and mode not in ("mean", "min", "max"):
         raise ValueError(f"unknown score mode {mode!r}")
     n = F.count(F.lit(1)).alias("n")
     if level is None:
-        return pairs.groupBy(*by).agg({"mean": F.avg, "min": F.min, "max": F.max}[mode]("w").alias("score"), n)
+        return pairs.groupBy(*by).agg({"mean": exact_mean, "min": F.min, "max": F.max}[mode](F.col("w")).alias("score"), n)
     found = exact_quantiles(pairs, by, "w", (level,), "q")
     return pairs.groupBy(*by).agg(n).join(found, list(by)).select(*by, F.col("q")[0].alias("score"), "n")
 

@@ -116,6 +116,16 @@ def test_scores_of_pairs(spark):
 # ---- seeds ---------------------------------------------------------------
 
 
+def test_mean_scores_do_not_depend_on_the_order_of_faces(spark):
+    import itertools
+    import math
+
+    faces = [0.719, 0.881, 0.8]
+    rows = [("s", 1, 2 + i, w) for i, order in enumerate(itertools.permutations(faces)) for w in order]
+    table = spark.createDataFrame(rows, "sample string, lo bigint, hi bigint, w double").coalesce(1)
+    assert {r["score"] for r in graph.pair_scores(table, "mean").collect()} == {math.fsum(faces) / 3}
+
+
 def test_two_libraries_set_seeds_differently():
     # Inner distances: a ridge of twos and, five columns on, a one that touches nothing higher.
     b = np.ones((5, 11))
