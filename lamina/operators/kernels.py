@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from lamina.session import cut
+
 from .agglomeration import hierarchical_agglomeration  # noqa: F401  callers know it from here
 from .graph import relabel
 
@@ -145,7 +147,8 @@ def watershed_fragments(vox: DataFrame, method: str = "maxima_distance", distanc
             boundary = np.floor(np.clip(boundary * 255.0, 0, 255))
         return rows[["sample", "z", "y", "x"]].assign(local=flood(boundary, marks)[y, x])
 
-    local = vox.select("sample", "z", "y", "x", "ay", "ax").groupBy("sample", "z").applyInPandas(one, "sample string, z bigint, y bigint, x bigint, local bigint")
+    # Written, as it is read for the ids and for the voxels.
+    local = cut(vox.select("sample", "z", "y", "x", "ay", "ax").groupBy("sample", "z").applyInPandas(one, "sample string, z bigint, y bigint, x bigint, local bigint"))
     wide = local.withColumn("__key", F.col("z") * (1 << 32) + F.col("local"))
     return vox.join(relabel(wide, "__key", out).select("sample", "z", "y", "x", out), ["sample", "z", "y", "x"])
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import scalar
 from lamina.operators import blocks, graph, grid, losses, masking, metrics, stencil, sweep
+from lamina.session import cut
 from lamina.sources.voxels import VOX_SQL, demo_voxels, synthetic_volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -929,7 +930,8 @@ def watershed_fragments(vox):
 def watershed_agglomeration(vox):
     from lamina.operators.kernels import watershed_fragments as fragments
 
-    return graph.agglomerate(fragments(vox, distance=5), "fragment", 0.6, "segment", min_boundary=2).select("sample", "id", "segment")
+    made = cut(fragments(vox, distance=5).select(*K, "id", "fragment", "az", "ay", "ax"))
+    return graph.agglomerate(made, "fragment", 0.6, "segment", min_boundary=2).select("sample", "id", "segment")
 
 
 @query()

@@ -136,6 +136,11 @@ def test_padding(spark):
     assert grid.centre_bounds(10, 0) == (0, 10) and grid.centre_bounds(10, 4) == (3, 7)
 
 
+def test_watershed_is_made_once_for_ids_and_voxels(spark):
+    plan = kernels.watershed_fragments(demo_voxels(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan
+
+
 def test_watershed_covers_slices(spark):
     vox = demo_voxels(spark, SF).where("sample <> 'B'")
     out = kernels.watershed_fragments(vox, distance=5)
