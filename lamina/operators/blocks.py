@@ -225,7 +225,7 @@ def resize(vox: DataFrame, size: tuple[int, int, int], col: str = "raw") -> Data
     count as 0.
     """
     dims = vox.groupBy("sample").agg(*((F.max(a) + 1).cast("double").alias(f"d{a}") for a in AXES))
-    parts = vox.select("sample", *AXES, F.col(col).cast("double").alias("__v")).join(dims, "sample")
+    parts = vox.select("sample", *AXES, F.col(col).cast("double").alias("__v")).join(F.broadcast(dims), "sample")
     for a, n in zip(AXES, size, strict=True):
         d = F.col(f"d{a}")
         # Places that may read the voxel: those whose centre lies less than a voxel away, and one more on either side.

@@ -27,6 +27,11 @@ def extents(vox: DataFrame) -> DataFrame:
     return vox.groupBy("sample").agg(*((F.max(a) + 1).alias(f"d{a}") for a in AXES))
 
 
+def with_extents(vox: DataFrame) -> DataFrame:
+    """Adds dz, dy, dx; the row of each volume is sent to every task, so that its voxels don't meet in one."""
+    return vox.join(F.broadcast(extents(vox)), "sample")
+
+
 def chunk_plan(dims: DataFrame, chunk: tuple[int, int, int], halo: tuple[int, int, int]) -> DataFrame:
     """One row a chunk: its core [a0, a1) and, grown by the halo, [ea0, ea1)."""
     for a, c in zip(AXES, chunk, strict=True):
@@ -45,16 +50,16 @@ def deal_to_chunks(vox: DataFrame, chunk: tuple[int, int, int], halo: tuple[int,
     The chunks of a voxel follow from its place, so none is looked up by range:
     per axis the chunk of a - h up to that of a + h.
     """
-    core = F.lit(True)
+    core, vox = F.lit(True), with_extents(vox)
     for a, c, h in zip(AXES, chunk, halo, strict=True):
         low = F.expr(f"greatest({a} - {h}, 0) div {c}")
         high = F.expr(f"({a} + {h}) div {c}")
         vox = vox.withColumn(f"c{a}", F.explode(F.sequence(low, high)))
         core = core & (F.expr(f"{a} div {c}") == F.col(f"c{a}"))
-    dims = extents(vox)  # chunks beyond the volume hold nothing of their own; one row a volume
+    # Chunks beyond the volume hold nothing of their own.
     exists = [F.col(f"c{a}") * c < F.col(f"d{a}") for a, c in zip(AXES, chunk, strict=True)]
     inside = exists[0] & exists[1] & exists[2]
-    return vox.join(dims, "sample").where(inside).drop(*(f"d{a}" for a in AXES)).withColumn("core", core)
+    return vox.where(inside).drop(*(f"d{a}" for a in AXES)).withColumn("core", core)
 
 
 def stitch_windows(vox: DataFrame, dims: dict[str, int], window: tuple[int | None, int, int], stride: tuple[int | None, int, int], logit: Column) -> DataFrame:
@@ -101,7 +106,7 @@ def centre_crop(vox: DataFrame, size: dict[str, int]) -> DataFrame:
         dim = F.col(f"d{a}")
         whole = (dim <= n) | F.lit(n <= 0)
         dims = dims.withColumns({f"s{a}": F.when(whole, 0).otherwise(F.floor((dim - n) / 2)), f"n{a}": F.when(whole, dim).otherwise(n)})
-    out = vox.join(dims, "sample")
+    out = vox.join(F.broadcast(dims), "sample")
     for a in size:
         out = out.where((F.col(a) >= F.col(f"s{a}")) & (F.col(a) < F.col(f"s{a}") + F.col(f"n{a}"))).withColumn(a, F.col(a) - F.col(f"s{a}"))
     return out.drop(*(f"{k}{a}" for k in "dsn" for a in AXES))

@@ -126,6 +126,29 @@ def test_window_stitch_keeps_voxels_at_any_depth(spark):
     assert vox.count() and shown(deep) == shown(window_stitch(vox))
 
 
+@pytest.fixture
+def no_guess(spark):
+    """No side of a join is sent to all tasks unless the code says so."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    yield
+    for n in names:
+        spark.conf.unset(n)
+
+
+def voxels_meet(df):
+    """Whether rows are joined by a shuffle."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+
+
+def test_chunks_of_a_volume_do_not_meet_in_one_task(spark, no_guess):
+    assert not voxels_meet(grid.deal_to_chunks(demo_voxels(spark, SF), (8, 10, 12), (2, 3, 4)))
+    assert not voxels_meet(grid.centre_crop(demo_voxels(spark, SF), {"z": 3}))
+    assert not voxels_meet(blocks.resize(demo_voxels(spark, SF), (3, 3, 3)))
+
+
 def test_padding(spark):
     row = volume(spark, [[[1, 2, 3, 4]]])
     shown = lambda df: [r["label"] for r in df.orderBy("x").collect()]
