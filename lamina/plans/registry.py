@@ -126,9 +126,7 @@ _REGION = f"t0 as (select *, max(z) over (partition by sample) + 1 dz, max(y) ov
 
 
 def _seamed(vox):
-    dims = grid.extents(vox)
-    inside = vox.join(dims, "sample")
-    return inside.withColumn("seam", stencil.seam_mask({"z": 8, "y": 10, "x": 10}, {a: F.col(f"d{a}") for a in "zyx"}, 2))
+    return grid.with_extents(vox).withColumn("seam", stencil.seam_mask({"z": 8, "y": 10, "x": 10}, {a: F.col(f"d{a}") for a in "zyx"}, 2))
 
 
 QUERIES["seam_mask"] = lambda spark, sf_dir: _seamed(demo_voxels(spark, sf_dir)).select(*K, "seam")
@@ -889,7 +887,7 @@ _CROP, _BLOCK = (6, 12, 24), (4, 8, 8)
 def crops_of(vox, every: int = 2):
     """(index, sample, z0, y0, x0): a crop for every second slice, its corner drawn by a hash."""
     dims = grid.extents(vox)
-    plan = vox.select("sample", "z").distinct().where(F.col("z") % every == 0).join(dims, "sample").withColumn("index", F.concat_ws(":", "sample", F.col("z").cast("string")))
+    plan = vox.select("sample", "z").distinct().where(F.col("z") % every == 0).join(F.broadcast(dims), "sample").withColumn("index", F.concat_ws(":", "sample", F.col("z").cast("string")))
     draw = lambda a: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("9"), F.lit(a), F.col("index")).cast("binary")), 1, 8), 16, 10).cast("bigint")
     return plan.select("index", "sample", *((draw(a) % (F.greatest(F.col(f"d{a}") - n, F.lit(0)) + 1)).alias(f"{a}0") for a, n in zip("zyx", _CROP, strict=True)))
 

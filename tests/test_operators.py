@@ -149,6 +149,12 @@ def test_chunks_of_a_volume_do_not_meet_in_one_task(spark, no_guess):
     assert not voxels_meet(blocks.resize(demo_voxels(spark, SF), (3, 3, 3)))
 
 
+def test_seams_are_marked_where_voxels_lie(spark, no_guess):
+    from lamina.plans.registry import QUERIES
+
+    assert not voxels_meet(QUERIES["seam_mask"](spark, SF))
+
+
 def test_padding(spark):
     row = volume(spark, [[[1, 2, 3, 4]]])
     shown = lambda df: [r["label"] for r in df.orderBy("x").collect()]
