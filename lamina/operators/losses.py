@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.scalar import clamp, sigmoid
+from lamina.session import cut
 
 from .masking import noise
 from .quantiles import least_of
@@ -271,16 +272,19 @@ def finetune_objective(
         raise ValueError(f"{n} channels of targets, {len(logits)} of logits")
     if shape_weight > 0 and (shape_logits is None or len(shape_logits) != 4):
         raise ValueError("shape descriptors have four logits: foreground and three offsets")
-    both = edge_targets(vox, offsets, label, replicate, ignore)
+    names = channel_names(n)
     targets = tuple(f"t{c}" for c in range(n))
     valid = tuple(f"v{c}" for c in range(n)) if ignore is not None else None
-    weight, mean = None, vox.select("sample").distinct().withColumn("membrane_mean", F.lit(1.0))
-    if image is not None and membrane > 0:
+    weighed = image is not None and membrane > 0
+    read = dict.fromkeys(("sample", *AXES, label, *logits, *(calibrated or ()), *((image,) if weighed else ())))
+    # Written, as each term reads the voxels anew, and no more columns than the terms read.
+    both = edge_targets(vox.select(*read), offsets, label, replicate, ignore)
+    both = cut(edge_map(both, membrane_axes, membrane_clip, image, "__edge") if weighed else both)
+    weight, mean = None, both.select("sample").distinct().withColumn("membrane_mean", F.lit(1.0))
+    if weighed:
         counted = sum((F.col(v) for v in valid), F.lit(0)) if valid else None
-        both = edge_map(both, membrane_axes, membrane_clip, image, "__edge")
         both = membrane_weight(both, membrane, "__edge", counted, "__spatial", ("sample",)) if membrane_normalize else both.withColumn("__spatial", 1 + F.lit(membrane) * F.col("__edge"))
         weight, mean = "__spatial", both.groupBy("sample").agg(F.avg("__spatial").alias("membrane_mean"))
-    names = channel_names(n)
     supervised = calibrated if calibrated is not None and connectivity_weight > 0 else logits
     out = objective(long_channels(both, supervised, targets, valid, weight, names), names=names, **objective_terms).withColumnRenamed("loss", "__loss").join(mean, "sample")
     if connectivity_weight > 0:

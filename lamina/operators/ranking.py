@@ -24,6 +24,14 @@ def ranks(rows: DataFrame, by: tuple[str, ...], order: tuple[Column | str, ...],
     return placed.withColumn(out, F.col("__place") + F.col("__before")).drop("__range", "__place", "__before")
 
 
+#: Groups by these columns alone are few: one a volume and channel.
+FEW = {"sample", "c"}
+
+
 def beside(rows: DataFrame, by: tuple[str, ...], **figures: Column) -> DataFrame:
-    """Adds aggregates of a row's group: summed up with partial results, then joined."""
-    return rows.join(rows.groupBy(*by).agg(*(f.alias(n) for n, f in figures.items())), list(by))
+    """Adds aggregates of a row's group: summed up with partial results, then joined.
+
+    Those of whole volumes are sent to every task, so that a volume's rows don't meet in one.
+    """
+    sums = rows.groupBy(*by).agg(*(f.alias(n) for n, f in figures.items()))
+    return rows.join(F.broadcast(sums) if FEW.issuperset(by) else sums, list(by))

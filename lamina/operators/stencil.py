@@ -152,7 +152,10 @@ def shape_descriptors(vox: DataFrame, label: str = "label") -> DataFrame:
     for a in AXES:
         last = F.col(f"__last_{a}")
         vox = vox.withColumn(f"__{a}", F.when(last == 0, F.lit(-1.0)).otherwise(-1 + 2 * F.col(a) / F.greatest(last, F.lit(1))))
-    vox = beside(vox, ("sample", label), **{f"__mean_{a}": F.avg(f"__{a}") for a in AXES})
+    # Background has no centroid; it gets keys of its own that meet nothing, so that it doesn't come to one task.
+    centroids = vox.where("fg = 1").groupBy("sample", F.col(label).cast("bigint").alias("__key")).agg(*(F.avg(f"__{a}").alias(f"__mean_{a}") for a in AXES))
+    key = F.when(F.col("fg") == 1, F.col(label).cast("bigint")).otherwise(-1 - F.pmod(F.xxhash64(*AXES), F.lit(4096)))
+    vox = vox.withColumn("__key", key).join(centroids, ["sample", "__key"], "left").drop("__key")
     for a in AXES:
         off = F.col(f"__mean_{a}") - F.col(f"__{a}")
         vox = vox.withColumn(f"o{a}", F.when(F.col("fg") == 1, F.least(F.greatest(off, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0))

@@ -155,6 +155,19 @@ def test_seams_are_marked_where_voxels_lie(spark, no_guess):
     assert not voxels_meet(QUERIES["seam_mask"](spark, SF))
 
 
+def test_figures_of_a_volume_go_to_its_voxels(spark, no_guess):
+    vox = demo_voxels(spark, SF)
+    rows = losses.long_channels(vox.withColumn("one", F.lit(1.0)), ("az",), ("one",), names=("z",))
+    for out in (stencil.edge_map(vox), stencil.pseudo_affinity(vox), losses.ratio_weight(rows), losses.membrane_weight(vox, 2.0, "raw", by=("sample",))):
+        assert not voxels_meet(out)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        empty = stencil.shape_descriptors(vox.where("sample = 'A'").withColumn("label", F.col("id") * 0))
+        assert empty.groupBy(F.spark_partition_id()).agg(F.sum("oz")).count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_padding(spark):
     row = volume(spark, [[[1, 2, 3, 4]]])
     shown = lambda df: [r["label"] for r in df.orderBy("x").collect()]
