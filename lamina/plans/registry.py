@@ -876,8 +876,9 @@ g as (select sample, c, ln(1 + exp(1 - avg(case when side = 1 then l end) + avg(
 m as (select sample, c, avg(case when v > 0 then l end) m from e group by 1, 2)
 select sample, round(coalesce(avg(soft), 0), 6) rank_loss, round(case when count(m) = 3 then pow(avg(case when c = 'z' then m end) - avg(case when c <> 'z' then m end), 2) else 0 end, 6) calibration from m left join g using (sample, c) group by 1""")
 def loss_bcar_drawn(vox):
-    both = stencil.valid_edges(stencil.affinities(logits(vox)))
-    rows = losses.long_channels(both, ("lz", "ly", "lx"), ("tz", "ty", "tx"), ("vz", "vy", "vx"), keep=("sample", "id"))
+    # Written, as each pass of the draw reads the edges anew.
+    both = cut(blocks.edge_targets(logits(vox).select(*K, "id", "label", "lz", "ly", "lx"), ignore=0).drop("label", *K[1:]))
+    rows = losses.long_channels(both, ("lz", "ly", "lx"), ("t0", "t1", "t2"), ("v0", "v1", "v2"), keep=("sample", "id"))
     return r6(losses.ranking(rows, most=_DRAWN, keys=("id",), seed="5"), "rank_loss", "calibration")
 
 

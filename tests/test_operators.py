@@ -168,6 +168,16 @@ def test_figures_of_a_volume_go_to_its_voxels(spark, no_guess):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_drawn_edges_are_shuffled_as_blocks_once(spark, monkeypatch):
+    from lamina.plans import registry
+
+    plans = []
+    monkeypatch.setattr(registry, "cut", lambda df, cut=registry.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    out = registry.QUERIES["loss_bcar_drawn"](spark, SF)
+    assert [p.count("Exchange") for p in plans] == [1]
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString() and "Window" not in plans[0]
+
+
 def test_padding(spark):
     row = volume(spark, [[[1, 2, 3, 4]]])
     shown = lambda df: [r["label"] for r in df.orderBy("x").collect()]
