@@ -86,8 +86,8 @@ def mine(labelled: DataFrame, support: float = 0.01, least: int = 5, confidence:
     need = F.ceil(F.lit(share) * F.lit(n).cast("double"))
     held = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).select("token")
     # URLs without a chosen token count in the number of baskets.
-    chosen = each.join(held, "token").groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("held"))
-    chosen = stored(numbered.select("row", "verdict").join(chosen, "row", "left").select("row", "verdict", F.coalesce("held", F.array().cast("array<string>")).alias("held")), "chosen")
+    kept = held.select("token", F.col("token").alias("kept"))
+    chosen = stored(each.join(kept, "token", "left").groupBy("row", "verdict").agg(F.array_sort(F.collect_list("kept")).alias("held")), "chosen")
     many = chosen.where(F.size("held") > ITEMS).count()
     if many < n:
         baskets = chosen.where(F.size("held") <= ITEMS).select(F.concat("held", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
