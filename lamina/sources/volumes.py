@@ -29,23 +29,44 @@ def choose_dataset(names: list[str], preferred: tuple[str, ...] = (), strict: bo
     return names[0]
 
 
+#: Places along each axis that a folder of stored blocks spans, if a block spans fewer.
+FOLDER = (256, 256, 256)
+
+
+def _in_folders(block: tuple[int, int, int]) -> dict[str, int]:
+    """Blocks along each axis that share a folder, so that small blocks are no files of their own."""
+    return {a: max(1, f // n) for a, f, n in zip("zyx", FOLDER, block, strict=True)}
+
+
+#: Columns of stored blocks that are no values of a voxel: its folder, its block, and how many rows share its place.
+_PLACED = (*(f"{k}{a}" for k in "fb" for a in "zyx"), "copies")
+
+
 def write_blocks(vox: DataFrame, path: str, block: tuple[int, int, int] = (32, 256, 256), zone: int = 8) -> None:
-    """Voxels as Parquet in folders of blocks, so that a crop reads its blocks only."""
+    """Voxels as Parquet, sorted by blocks, in folders of neighbouring blocks, so that a crop reads its folders only.
+
+    Ranges of blocks are written by a task each, so there are about as many files as tasks and folders.
+    """
     placed = vox.withColumns({f"b{a}": F.expr(f"{a} div {n}") for a, n in zip("zyx", block, strict=True)})
-    spread = placed.repartition("sample", "bz", "by", "bx").sortWithinPartitions("sample", "bz", "by", "bx", "z", "y", "x")
-    spread.write.mode("overwrite").partitionBy("sample", "bz", "by", "bx").parquet(path)
+    placed = placed.withColumns({f"f{a}": F.expr(f"b{a} div {n}") for a, n in _in_folders(block).items()})
+    keys = ["sample", *_PLACED[:-1]]
+    spread = placed.repartitionByRange(*keys).sortWithinPartitions(*keys, *"zyx")
+    # The window finds its rows together and in order.
+    counted = spread.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy(*keys, *"zyx")))
+    counted.write.mode("overwrite").partitionBy("sample", "fz", "fy", "fx").parquet(path)
 
 
 def read_crop(spark: SparkSession, path: str, bounds: dict[str, tuple[int, int]], block: tuple[int, int, int] = (32, 256, 256), sample: str | None = None) -> DataFrame:
-    """A box of stored voxels; folders outside it are pruned, rows filtered in the scan."""
+    """A box of stored voxels; folders outside it are pruned, row groups and rows filtered in the scan."""
     df = spark.read.parquet(path)
     if sample is not None:
         df = df.where(F.col("sample") == sample)
-    for a, n in zip("zyx", block, strict=True):
+    for (a, m), n in zip(_in_folders(block).items(), block, strict=True):
         if a in bounds:
             start, end = bounds[a]
-            df = df.where((F.col(f"b{a}") >= start // n) & (F.col(f"b{a}") <= (end - 1) // n) & (F.col(a) >= start) & (F.col(a) < end))
-    return df.drop("bz", "by", "bx")
+            first, last = start // n, (end - 1) // n
+            df = df.where((F.col(f"f{a}") >= first // m) & (F.col(f"f{a}") <= last // m) & (F.col(f"b{a}") >= first) & (F.col(f"b{a}") <= last) & (F.col(a) >= start) & (F.col(a) < end))
+    return df.drop(*_PLACED)
 
 
 def read_crops(spark: SparkSession, path: str, plan: DataFrame, size: tuple[int, int, int], block: tuple[int, int, int] = (32, 256, 256), labels: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -55,6 +76,8 @@ def read_crops(spark: SparkSession, path: str, plan: DataFrame, size: tuple[int,
     while the query runs.  Where a volume ends inside a crop, the crop is filled up at
     its end: raw values mirrored, labels (the columns named) by their last plane; of a
     crop with an axis of one voxel everything is filled up by the last plane.
+    A voxel shows its own place as it is; only places filled up, whose values may come from
+    two voxels, and rows that share a place are joined by place.
     """
     stored = spark.read.parquet(path)
     ends = stored.groupBy("sample").agg(*((F.max(a) + 1).alias(f"d{a}") for a in "zyx"))
@@ -62,26 +85,30 @@ def read_crops(spark: SparkSession, path: str, plan: DataFrame, size: tuple[int,
     asked = asked.withColumns({f"n{a}": F.least(F.lit(n), F.col(f"d{a}") - F.col(f"{a}0")) for a, n in zip("zyx", size, strict=True)})
     blocks = asked
     for a, b in zip("zyx", block, strict=True):
-        blocks = blocks.withColumn(f"b{a}", F.explode(F.sequence(F.expr(f"cast({a}0 div {b} as int)"), F.expr(f"cast(({a}0 + n{a} - 1) div {b} as int)"))))
-    values = [c for c in stored.columns if c not in {"sample", *"zyx", *(f"b{a}" for a in "zyx")}]
+        blocks = blocks.withColumn(f"b{a}", F.explode(F.sequence(F.expr(f"{a}0 div {b}"), F.expr(f"({a}0 + n{a} - 1) div {b}"))))
+    blocks = blocks.withColumns({f"f{a}": F.expr(f"cast(b{a} div {m} as int)") for a, m in _in_folders(block).items()})
+    values = [c for c in stored.columns if c not in {"sample", *"zyx", *_PLACED}]
     # Written, so that Spark knows the size: a small list of blocks is broadcast and prunes the scan's folders
     # (which Spark does for a side with a condition), a large one is shuffled.
     blocks = cut(blocks.drop("dz", "dy", "dx")).where("bz >= 0 and by >= 0 and bx >= 0")
-    met = stored.join(blocks, ["sample", "bz", "by", "bx"])
+    met = stored.join(blocks, ["sample", *_PLACED[:-1]])
     for a in "zyx":
         met = met.where((F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}0") + F.col(f"n{a}"))).withColumn(a, F.col(a) - F.col(f"{a}0"))
-    thin = F.least("nz", "ny", "nx") < 2
     kinds = {True: [c for c in values if c in labels], False: [c for c in values if c not in labels]}
-    out = None
+    kinds = {label: cols for label, cols in kinds.items() if cols}
+    place = ["index", "sample", "z", "y", "x"]
+    own = met if len(kinds) == 1 else met.where("copies = 1")
+    thin, filled = F.least("nz", "ny", "nx") < 2, None
+    shorter = " or ".join(f"n{a} < {n}" for a, n in zip("zyx", size, strict=True))
     for label, cols in kinds.items():
-        if not cols:
-            continue
-        part = met.select("index", "sample", "nz", "ny", "nx", "z", "y", "x", *cols)
+        part = met.where(shorter if len(kinds) == 1 else f"copies > 1 or {shorter}").select(*place, "nz", "ny", "nx", "copies", *cols)
         for a, n in zip("zyx", size, strict=True):
             part = part.withColumn(a, F.explode(filled_places(F.col(a), F.col(f"n{a}"), n, F.lit(label) | thin)))
-        part = part.select("index", "sample", "z", "y", "x", *cols)
-        out = part if out is None else out.join(part, ["index", "sample", "z", "y", "x"])
-    return out
+        beyond = "z >= nz or y >= ny or x >= nx"
+        part = part.where(beyond if len(kinds) == 1 else f"copies > 1 or {beyond}").select(*place, *cols)
+        filled = part if filled is None else filled.join(part, place)
+    out = own.select(*place, *(c for cols in kinds.values() for c in cols))
+    return out if filled is None else out.unionByName(filled)
 
 
 def filled_places(at: Column, length: Column, size: int, edge: Column) -> Column:

@@ -200,6 +200,23 @@ def test_folders_no_crop_meets_are_pruned(spark, tmp_path):
     assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_blocks_share_files(spark, tmp_path):
+    vox = spark.range(40 * 400).selectExpr("'s' as sample", "id div 400 as z", "(id div 20) % 20 as y", "id % 20 as x", "cast(id as double) as raw", "id as label")
+    path = tmp_path / "blocks"
+    volumes.write_blocks(vox, str(path), (4, 8, 8))  # 90 blocks
+    assert len(list(path.rglob("*.parquet"))) <= 8
+
+
+def test_rows_that_share_a_place_meet_each_other(spark, tmp_path):
+    rows = [("s", 0, 0, x, 10.0 * x + i, 10 * x + i) for x in range(3) for i in range(1 + (x == 1))]
+    path = str(tmp_path / "blocks")
+    volumes.write_blocks(spark.createDataFrame(rows, "sample string, z bigint, y bigint, x bigint, raw double, label bigint"), path, (1, 1, 2))
+    plan = spark.createDataFrame([("i", "s", 0, 0, 0)], "index string, sample string, z0 bigint, y0 bigint, x0 bigint")
+    got = volumes.read_crops(spark, path, plan, (1, 1, 4), (1, 1, 2)).collect()
+    twice = [(1, float(a), b) for a in (10, 11) for b in (10, 11)]
+    assert sorted((r["x"], r["raw"], r["label"]) for r in got) == [(0, 0.0, 0), *twice, (2, 20.0, 20), (3, 20.0, 20)]
+
+
 # ---- slabs and images ----------------------------------------------------
 
 OPENED = "slices.log"
