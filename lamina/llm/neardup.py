@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators.components import connected_components
 
-from .common import stored, whole_text
+from .common import slim, stored, whole_text
 
 PERMUTATIONS, ROWS = 100, 5
 _U = np.uint64
@@ -107,7 +107,7 @@ def _hashed(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(words)
-        for batch in batches:
+        for batch in slim(batches):
             sizes, digests, bands = [], [], []
             for text in batch.column(1):
                 s = cut(text.as_py() or "")
@@ -129,7 +129,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = Shingler(words), set()
-        for batch in batches:
+        for batch in slim(batches):
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = cut(t.as_py() or "").tobytes()
@@ -197,7 +197,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(p, q) of the pairs (a, b, p, q) whose full sets are ``percent`` % alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
@@ -238,7 +238,7 @@ def _by_prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             lists = pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("which"), lists], ["id", "which", "items"])
 

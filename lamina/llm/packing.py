@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import slim, stored, whole_text
 from .units import encoder, slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(vocabulary)
-        for batch in batches:
+        for batch in slim(batches):
             rows = []
             encoded = (x for part in slices(batch.column(1).to_pylist()) for x in codec.encode(part))
             for key, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):

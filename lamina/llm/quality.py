@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import slim, stored, whole_text
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "letters", "upper", "digits", "marks", "symbols", "exclaims", "bars",
@@ -170,7 +170,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, x): the features of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id bigint, x array<double>")
@@ -233,7 +233,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_ro
     model = fit_quality(text_features(known), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             if batch.num_rows:
                 score = model.score(np.array([features(t.as_py() or "") for t in batch.column("text")]))
                 yield batch.filter(pa.array(score >= threshold))

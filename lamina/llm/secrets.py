@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import slim, whole_text
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -113,7 +113,7 @@ def _scan(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float, give
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = _efficiency(vocabulary, pattern)
-        for batch in batches:
+        for batch in slim(batches):
             rows = []
             for i, text in enumerate(batch.column(text_col)):
                 text = text.as_py() or ""

@@ -160,3 +160,17 @@ def test_recall_and_false_alarms_of_the_efficiency_test(spark, sample):
     assert len(prose) > 100 and sum(bool(added(t)) for t in prose) <= 0.01 * len(prose)
     names = ("getElementsByTagName", "HttpServletRequestWrapper", "spark_sql_adaptive_enabled", "docs/source/reference/pyspark", "mother-in-law-and-father", "v1/projects/main/locations", "DEFAULT_MAX_RESULT_SIZE", "2024-01-15T10-22-33", "20240115T102233Z", "1999/12/31-23-59-59", "+49-170-1234-5678-90")
     assert not any(added(f"see {n} there") for n in names)
+
+
+def test_batches_are_worked_on_in_slices_of_few_bytes():
+    import pyarrow as pa
+
+    from lamina.llm import common
+
+    sizes = [10, 0, 3 * common.SLIM_BYTES, *[4_000] * 5_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["x" * n for n in sizes])], ["doc_id", "text"])
+    parts = list(common.slim(iter([batch.slice(0, 0), batch])))
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(len(sizes)))
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == batch.column("text").to_pylist()
+    assert max(p.num_rows for p in parts) <= common.SLIM_ROWS
+    assert sorted(p.nbytes for p in parts)[-2] <= 2 * common.SLIM_BYTES
