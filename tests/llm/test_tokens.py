@@ -1,3 +1,5 @@
+import re
+import time
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -12,7 +14,7 @@ from tokenizers import Tokenizer
 from lamina.llm.common import scratch_path
 from lamina.llm.packing import op2_best_fit, pack_documents, pack_lengths
 from lamina.llm.token_files import TokenFile, op3_token_files, pack, read_tokens, token_digest, unpack, write_tokens
-from lamina.llm.units import encoder
+from lamina.llm.units import cut_units, encoder
 from lamina.llm import files
 
 from .conftest import SF
@@ -45,6 +47,40 @@ def test_units_of_sample(path, sample, odd_texts):
         assert np.frombuffer(encoder(path).encode([text or ""])[0], "<u4").tolist() == whole(path, text, 0)[:-1]
 
 
+#: What the cut of many texts at once has to find: a unit with the white space before it, or apart.
+BODY = r"[^\W\d_]+|(?:[^\w\s]|[\d_])+(?:(?<=')[^\W\d_]+)?"
+PATTERNS = {BYTES: re.compile(rf"\s*(?:{BODY})|\s+"), WORDS: re.compile(rf"{BODY}|\s+")}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.one_of(st.sampled_from("aZé' \n.5²_\x1c🙂日"), st.characters(exclude_categories=["Cs"])), max_size=12), max_size=5))
+def test_cut_equals_pattern(path, texts):
+    units, bounds = cut_units(texts, encoder(path).rule)
+    assert [units[a:b].to_pylist() for a, b in zip(bounds, bounds[1:], strict=False)] == [PATTERNS[path].findall(t) for t in texts]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_texts_together_equal_texts_alone(path, odd_texts):
+    texts = ["", *(t or "" for _, t in odd_texts), "x²y", "", "plain", "İ, İ", "plain", ""]
+    assert encoder(path).encode(texts) == [np.array(whole(path, t, 0)[:-1], "<u4").tobytes() for t in texts]
+    assert encoder(path).encode(["", ""]) == [b"", b""]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_known_units_cost_less_than_their_pattern(path, sample):
+    texts = [" ".join(t or "" for _, t in sample[k:40] + sample[:k]) for k in range(20)]
+
+    def seconds(f):
+        at = time.process_time()
+        f()
+        return time.process_time() - at
+
+    encoder(path).encode(texts)
+    new = min(seconds(lambda: encoder(path).encode(texts)) for _ in range(3))
+    assert new < min(seconds(lambda: [PATTERNS[path].findall(t) for t in texts]) for _ in range(3))
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 31, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1003).astype(np.uint32)
